@@ -5,10 +5,20 @@ from __future__ import annotations
 from collections.abc import Iterable
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def emit(df: DataFrame, condition: Column, *cols: Column) -> DataFrame:
+    """Rows of ``cols`` (the first never NULL) where ``condition`` holds.
+
+    A plain filter over computed columns is pushed below them and computes them twice. Here
+    condition and columns sit in one generator, so an expensive parse runs once per row.
+    """
+    kept = df.select(F.inline_outer(F.when(condition, F.array(F.struct(*cols)))))
+    return kept.filter(F.col(kept.columns[0]).isNotNull())
+
+
 def contains_any(text: Column, words: Iterable[str]) -> Column:
     """True when one of ``words`` is a substring of ``text`` (no word boundaries)."""
     return reduce(lambda a, b: a | b, [text.contains(w) for w in words], F.lit(False))

@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from phrasemill.functions.jsontext import is_strict_json
@@ -297,21 +297,12 @@ def retry_schedule(responses: DataFrame, max_attempts: int = MAX_ATTEMPTS) -> Da
     """Back-off after each attempt that was needed: ``2 ** attempt`` seconds after an exception
     that is not the last one, else none. Nothing sleeps."""
     parsed = parse_response(responses).filter(F.col("attempt") < max_attempts)
-    ok = F.col("kind") == "ok"
-    rows = parsed.groupBy("example_id").agg(
-        F.min(F.when(ok, F.col("attempt"))).alias("won"),
-        F.collect_list(F.struct("attempt", "kind")).alias("tries"),  # at most max_attempts each
-    )
-    made = rows.select(
-        "example_id", "won", F.explode("tries").alias("t")
-    ).filter(F.col("won").isNull() | (F.col("t.attempt") <= F.col("won")))
-    delay = F.when(
-        (F.col("t.kind") == "error") & (F.col("t.attempt") < max_attempts - 1),
-        F.pow(F.lit(2.0), F.col("t.attempt")),
-    ).otherwise(F.lit(0.0))
+    won = F.min(F.when(F.col("kind") == "ok", F.col("attempt"))).over(Window.partitionBy("example_id"))
+    made = parsed.withColumn("won", won).filter("won IS NULL OR attempt <= won")
+    waits = (F.col("kind") == "error") & (F.col("attempt") < max_attempts - 1)
     return made.select(
-        "example_id", F.col("t.attempt").cast("bigint").alias("attempt"),
-        F.col("t.kind").alias("kind"), delay.alias("delay_seconds"),
+        "example_id", F.col("attempt").cast("bigint"), "kind",
+        F.when(waits, F.pow(F.lit(2.0), F.col("attempt"))).otherwise(F.lit(0.0)).alias("delay_seconds"),
     )
 
 

@@ -12,7 +12,7 @@ import json
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from phrasemill.functions.text import contains_any, contains_sql, first_contained, quoted
+from phrasemill.functions.text import contains_any, contains_sql, emit, first_contained, quoted
 from phrasemill.schemas import REQUIRED_FIELDS, presence_type, steps_type
 
 # Target terms whose use is counted, in reporting order.
@@ -278,20 +278,17 @@ def pattern_ranking(df: DataFrame, n: int = 10) -> DataFrame:
 # ---------------------------------------------------------------- structure
 
 
-def structure_issues_top(df: DataFrame) -> DataFrame:
-    """Examples without ``intent``, else without ``discovery_results``."""
-    issue = F.when(~_has_intent(), F.lit("Missing intent field")).when(
+def _top_problem() -> Column:
+    return F.when(~_has_intent(), F.lit("Missing intent field")).when(
         ~_has_results(), F.lit("Missing discovery_results")
     )
-    return (
-        _with_presence(df)
-        .select("example_id", issue.alias("problem"))
-        .filter("problem IS NOT NULL")
-        .select(
-            "example_id",
-            F.concat(F.lit("Example "), F.col("example_id"), F.lit(": "), F.col("problem")).alias("issue"),
-        )
-    )
+
+
+def structure_issues_top(df: DataFrame) -> DataFrame:
+    """Examples without ``intent``, else without ``discovery_results``."""
+    found = _with_presence(df).select("example_id", _top_problem().alias("problem"))
+    issue = F.concat(F.lit("Example "), F.col("example_id"), F.lit(": "), F.col("problem"))
+    return emit(found, F.col("problem").isNotNull(), F.col("example_id"), issue.alias("issue"))
 
 
 def structure_issues_fields(df: DataFrame) -> DataFrame:
@@ -316,9 +313,7 @@ def structure_issues(df: DataFrame) -> DataFrame:
 
     ``step_no`` and ``field_no`` give the report order and are -1 for top-level issues.
     """
-    top = F.when(~_has_intent(), F.lit("Missing intent field")).when(
-        ~_has_results(), F.lit("Missing discovery_results")
-    )
+    top = _top_problem()
     found = _with_presence(df).select(
         "example_id",
         F.when(
@@ -348,7 +343,8 @@ def structure_issues(df: DataFrame) -> DataFrame:
         )
         .alias("found"),
     )
-    return found.select("example_id", F.inline("found")).select(
+    rows = found.select("example_id", F.inline_outer("found")).filter("problem IS NOT NULL")
+    return rows.select(
         "example_id", F.col("step_no").cast("bigint"), F.col("field_no").cast("bigint"),
         F.concat(F.lit("Example "), F.col("example_id"), F.col("problem")).alias("issue"),
     )
@@ -378,9 +374,9 @@ def residual_terms(df: DataFrame, terms: tuple[str, ...] = NON_BI_TERMS) -> Data
     found = _with_lower(df).select(
         "example_id", first_contained(F.col("_pm_lower"), terms).alias("term")
     )
-    return found.filter("term IS NOT NULL").select(
-        "example_id", "term",
-        F.concat(F.lit("Non-BI term found: '"), F.col("term"), F.lit("' in question")).alias("issue"),
+    issue = F.concat(F.lit("Non-BI term found: '"), F.col("term"), F.lit("' in question"))
+    return emit(
+        found, F.col("term").isNotNull(), F.col("example_id"), F.col("term"), issue.alias("issue")
     )
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+MAX_BROADCAST_SPLITS = 200_000  # a split is one small row: below about 40 MB
+
 _BITS = 20  # a bucket spans 2**20 line numbers, a bucket of buckets 2**40
 
 
@@ -87,6 +89,10 @@ def number_by_file(df: DataFrame, position: str, probe: str | None = None) -> Da
         "_pm_path", "_pm_block", "_pm_first",
         (F.coalesce("_pm_in", F.lit(0)) + F.coalesce("_pm_out", F.lit(0))).alias("_pm_off"),
     )
+    # Every file has one split more than its full-size ones at most, so files plus partitions
+    # bound the number of splits. Above the bound the join shuffles.
+    if len(df.inputFiles()) + df.rdd.getNumPartitions() <= MAX_BROADCAST_SPLITS:
+        offsets = F.broadcast(offsets)
     return (
         df.join(offsets, ["_pm_path", "_pm_block"])
         .withColumn(position, (F.col("_pm_off") + F.col("_pm_mid") - F.col("_pm_first")).cast("bigint"))

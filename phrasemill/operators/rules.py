@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from phrasemill.functions.jsontext import as_objects, as_text, edit_items, edit_key, edit_results
-from phrasemill.functions.text import contains_any, digest
+from phrasemill.functions.text import contains_any, digest, emit
 from phrasemill.operators.audit import BI_TERMS, NON_BI_TERMS
 from phrasemill.operators.convert import recoder
 from phrasemill.operators.flatten import items, steps
@@ -77,11 +77,15 @@ def union_datasets(**datasets: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- fixes
 
 
-def fix_types(df: DataFrame, fixes: dict[str, str] = TYPE_FIXES) -> DataFrame:
-    """Recode invalid types of unmatched intents."""
-    edit = {
+def _type_edit(fixes: dict[str, str]) -> dict:
+    return {
         "unmatched_intents": lambda v: edit_items(v, lambda u: edit_key(u, {"type": recoder(fixes)}))
     }
+
+
+def fix_types(df: DataFrame, fixes: dict[str, str] = TYPE_FIXES) -> DataFrame:
+    """Recode invalid types of unmatched intents."""
+    edit = _type_edit(fixes)
     return df.withColumn(
         "output_json", edit_results(F.col("output_json"), lambda r: edit_key(r, edit))
     )
@@ -95,27 +99,34 @@ def _with_defaults(obj: Column, defaults: dict[str, str]) -> Column:
     return F.map_concat(obj, F.map_filter(table, lambda k, _: ~F.map_contains_key(obj, k)))
 
 
-def complete_fields(df: DataFrame) -> DataFrame:
-    """Add absent required keys with their empty value: ``[]`` for lists, else null."""
-    per_result = {f: "[]" if f in LIST_FIELDS else "null" for f in REQUIRED_FIELDS}
-    filled = edit_results(F.col("output_json"), lambda r: _with_defaults(r, per_result))
+def _completed(df: DataFrame, per_result) -> DataFrame:
+    """Edit every result, then add absent top-level keys; only outputs that lack one are parsed
+    a second time."""
     top = F.from_json(F.col("_pm_filled"), VARIANT_OBJECT)
     whole = F.to_json(
         F.to_variant_object(_with_defaults(top, {"intent": "null", "discovery_results": "[]"}))
     )
-    # Only the few outputs without a top-level key are parsed a second time.
     keys = F.json_object_keys("_pm_filled")
     incomplete = ~(F.array_contains(keys, "intent") & F.array_contains(keys, "discovery_results"))
     return (
-        df.withColumn("_pm_filled", filled)
+        df.withColumn("_pm_filled", edit_results(F.col("output_json"), per_result))
         .withColumn("output_json", F.when(incomplete, whole).otherwise(F.col("_pm_filled")))
         .drop("_pm_filled")
     )
 
 
+_EMPTY_FIELDS = {f: "[]" if f in LIST_FIELDS else "null" for f in REQUIRED_FIELDS}
+
+
+def complete_fields(df: DataFrame) -> DataFrame:
+    """Add absent required keys with their empty value: ``[]`` for lists, else null."""
+    return _completed(df, lambda r: _with_defaults(r, _EMPTY_FIELDS))
+
+
 def fix_examples(df: DataFrame) -> DataFrame:
-    """The two published fixes: types, then absent fields."""
-    return complete_fields(fix_types(df))
+    """The two published fixes, types and absent fields, in one pass."""
+    edit = _type_edit(TYPE_FIXES)
+    return _completed(df, lambda r: _with_defaults(edit_key(r, edit), _EMPTY_FIELDS))
 
 
 def fix_count_names(df: DataFrame) -> DataFrame:
@@ -234,17 +245,14 @@ def complexity_mismatch(
     """``under_split``: an indicator but one step. ``over_split``: two or more steps without one."""
     n = F.array_size(F.from_json("output_json", "struct<discovery_results:array<string>>")["discovery_results"])
     hinted = contains_any(F.col(_LOWER), indicators)
-    return (
-        _with_lower(df)
-        .select("example_id", "input", hinted.alias("_pm_hint"),
-                F.coalesce(n, F.lit(0)).cast("bigint").alias("steps"))
-        .select(
-            "example_id", "input", "steps",
-            F.when(F.col("_pm_hint") & (F.col("steps") < 2), F.lit("under_split"))
-            .when(~F.col("_pm_hint") & (F.col("steps") >= 2), F.lit("over_split"))
-            .alias("mismatch"),
-        )
-        .filter("mismatch IS NOT NULL")
+    rows = _with_lower(df).select(
+        "example_id", "input", hinted.alias("_pm_hint"),
+        F.coalesce(n, F.lit(0)).cast("bigint").alias("steps"),
+    )
+    return emit(
+        rows, F.col("_pm_hint") == (F.col("steps") < 2),
+        F.col("example_id"), F.col("input"), F.col("steps"),
+        F.when(F.col("_pm_hint"), F.lit("under_split")).otherwise(F.lit("over_split")).alias("mismatch"),
     )
 
 
@@ -274,15 +282,9 @@ def phrase_mismatch(df: DataFrame) -> DataFrame:
 def sub_question_mismatch(df: DataFrame) -> DataFrame:
     """One-step examples whose sub question is not the question."""
     subs = F.from_json("output_json", "struct<discovery_results:array<struct<sub_question:string>>>")
-    return (
-        df.select("example_id", "input", subs["discovery_results"]["sub_question"].alias("_pm_subs"))
-        .select(
-            "example_id", "input",
-            F.when(F.array_size("_pm_subs") == 1, F.try_element_at("_pm_subs", F.lit(1)))
-            .alias("sub_question"),
-        )
-        .filter("sub_question <> input")
-    )
+    rows = df.select("example_id", "input", subs["discovery_results"]["sub_question"].alias("_pm_subs"))
+    only = F.when(F.array_size("_pm_subs") == 1, F.try_element_at("_pm_subs", F.lit(1)))
+    return emit(rows, only != F.col("input"), F.col("example_id"), F.col("input"), only.alias("sub_question"))
 
 
 def count_measure_name(df: DataFrame) -> DataFrame:
@@ -399,10 +401,11 @@ def missing_timeframe(df: DataFrame, pattern: str = TIME_PHRASE) -> DataFrame:
     )
     phrase = F.regexp_extract("input", pattern, 1)
     covered = F.exists(out["discovery_results"], lambda r: r["timeframe"]["phrase"].isNotNull())
-    return (
-        df.select("example_id", phrase.alias("phrase"), F.coalesce(covered, F.lit(False)).alias("_pm_covered"))
-        .filter((F.col("phrase") != "") & ~F.col("_pm_covered"))
-        .drop("_pm_covered")
+    rows = df.select(
+        "example_id", phrase.alias("phrase"), F.coalesce(covered, F.lit(False)).alias("_pm_covered")
+    )
+    return emit(
+        rows, (F.col("phrase") != "") & ~F.col("_pm_covered"), F.col("example_id"), F.col("phrase")
     )
 
 
@@ -581,5 +584,7 @@ def readiness_gate(df: DataFrame, bound: float = READY_RATE) -> DataFrame:
 def clean_subset(df: DataFrame, n: int = SUBSET_SIZE) -> DataFrame:
     """The first ``n`` examples without any issue."""
     every = sum((F.col(f"n_{c}") for c in _CLASSES[1:]), F.col(f"n_{_CLASSES[0]}"))
-    clean = with_issue_counts(df).filter(every == 0)
-    return clean.select("example_id", "input", "output_json").orderBy("example_id").limit(n)
+    clean = emit(
+        with_issue_counts(df), every == 0, F.col("example_id"), F.col("input"), F.col("output_json")
+    )
+    return clean.orderBy("example_id").limit(n)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from phrasemill.functions.text import emit
 from phrasemill.operators.audit import quality_report
 from phrasemill.operators.numbering import number_by_file
 from phrasemill.session import spread
@@ -18,9 +19,8 @@ def read_table(spark: SparkSession, path: str, *keys: str) -> DataFrame:
     return spread(spark.read.parquet(path), *keys)
 
 
-def _numbered(scan: DataFrame) -> DataFrame:
-    """Positions over all records, then the rejects' reason beside the example columns."""
-    rows = number_by_file(with_split(scan), "example_id", probe="input")
+def _checked(rows: DataFrame) -> DataFrame:
+    """The columns of an example with the reason why it is none, if so."""
     problem = (
         F.when(F.col("_corrupt_record").isNotNull(), F.lit("not a JSON object"))
         .when(F.col("input").isNull(), F.lit("no input"))
@@ -32,62 +32,61 @@ def _numbered(scan: DataFrame) -> DataFrame:
     )
 
 
-def scan_examples(spark: SparkSession, path: str, array_file: bool = False) -> DataFrame:
+def _scan_records(spark: SparkSession, path: str, array: bool) -> DataFrame:
+    scan = spark.read.json(path, schema=_RECORD, multiLine=array)
+    return _checked(number_by_file(with_split(scan), "example_id", probe="input"))
+
+
+def _scan_objects(spark: SparkSession, path: str, indent: int) -> DataFrame:
+    """Indented objects, cut at the closing brace in column ``indent``.
+
+    The brace line is the record separator, so one huge file is still read by many tasks. JSON
+    strings hold no raw line breaks, so the separator cannot occur inside a value.
+    """
+    close = "\n" + " " * indent + "}"
+    scan = with_split(spark.read.text(path, lineSep=close))
+    rows = number_by_file(scan, "example_id")
+    # What stands behind the last object: white space, commas or the end of an array.
+    rest = F.col("value").rlike(r"\A[\s,\[\]]*\z")
+    body = F.concat(F.regexp_replace("value", r"\A[\s,\[]+", ""), F.lit("\n}"))
+    record = F.from_json(body, _RECORD, {"columnNameOfCorruptRecord": "_corrupt_record"})
+    parsed = rows.select("example_id", rest.alias("_pm_rest"), record.alias("_pm_rec"))
+    return _checked(
+        emit(
+            parsed, ~F.col("_pm_rest"), F.col("example_id"),
+            *[F.col(f"_pm_rec.{c}").alias(c) for c in ("input", "output", "_corrupt_record")],
+        )
+    )
+
+
+def scan_examples(spark: SparkSession, path: str, layout: str = "lines") -> DataFrame:
     """All records ``(example_id, input, output_json, problem, record)`` of example files.
 
-    ``array_file`` reads files that each hold one JSON array; such a file cannot be split, so
-    large datasets belong in JSON Lines. The output keeps its JSON text.
+    Layouts: ``lines`` (JSON Lines), ``pretty_array`` (one array per file with two-space
+    indentation), ``objects`` (indented objects without an array around them), ``array`` (any
+    JSON array; such a file cannot be cut, so one task reads each). Positions count records in
+    file order, and the output keeps its JSON text.
     """
-    scan = spark.read.json(path, schema=_RECORD, multiLine=array_file)
-    return _numbered(scan)
+    if layout in ("lines", "array"):
+        return _scan_records(spark, path, layout == "array")
+    return _scan_objects(spark, path, {"pretty_array": 2, "objects": 0}[layout])
 
 
-def read_examples(spark: SparkSession, path: str, array_file: bool = False) -> DataFrame:
+def read_examples(spark: SparkSession, path: str, layout: str = "lines") -> DataFrame:
     """The well-formed examples; see :func:`rejected_examples` for the others."""
-    good = scan_examples(spark, path, array_file).filter("problem IS NULL")
+    good = scan_examples(spark, path, layout).filter("problem IS NULL")
     return good.select("example_id", "input", "output_json")
 
 
-def rejected_examples(spark: SparkSession, path: str, array_file: bool = False) -> DataFrame:
+def rejected_examples(spark: SparkSession, path: str, layout: str = "lines") -> DataFrame:
     """Quarantine: records that are not JSON or lack a part, with the reason."""
-    bad = scan_examples(spark, path, array_file).filter("problem IS NOT NULL")
+    bad = scan_examples(spark, path, layout).filter("problem IS NOT NULL")
     return bad.select("example_id", "problem", "record")
 
 
 def repair_concat_json(spark: SparkSession, path: str, pretty: bool = True) -> DataFrame:
-    """Examples from a file of bare consecutive objects (no array around them).
-
-    With ``pretty`` the objects are indented and closed by a brace at column 0, which serves as
-    the record separator, so even one huge file is read by many tasks. Otherwise each line is
-    an object. Records that do not parse have a ``problem``.
-    """
-    if not pretty:
-        return scan_examples(spark, path)
-    scan = spark.read.text(path, lineSep="\n}")
-    body = F.regexp_replace("value", r"\A[\s,\[]+", "")
-    objects = (
-        with_split(scan)
-        .withColumn("_pm_body", F.concat(body, F.lit("\n}")))
-        .withColumn("_pm_rec", F.from_json("_pm_body", _RECORD, {"columnNameOfCorruptRecord": "_corrupt_record"}))
-    )
-    # The piece behind the last object holds white space or a closing bracket only.
-    rest = F.col("value").rlike(r"\A[\s,\]]*\z")
-    numbered = number_by_file(
-        objects.select(
-            "_pm_path", "_pm_block", "_pm_mid", "value",
-            "_pm_rec.input", "_pm_rec.output", "_pm_rec._corrupt_record",
-        ),
-        "example_id",
-    )
-    problem = (
-        F.when(F.col("_corrupt_record").isNotNull(), F.lit("not a JSON object"))
-        .when(F.col("input").isNull(), F.lit("no input"))
-        .when(F.col("output").isNull(), F.lit("no output"))
-    )
-    return numbered.filter(~rest).select(
-        "example_id", "input", F.col("output").alias("output_json"), problem.alias("problem"),
-        F.col("_corrupt_record").alias("record"),
-    )
+    """Records of a file of bare consecutive objects, indented or one per line."""
+    return scan_examples(spark, path, "objects" if pretty else "lines")
 
 
 def record_text(input: Column, output_json: Column) -> Column:
