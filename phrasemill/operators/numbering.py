@@ -70,24 +70,11 @@ def number_by_file(df: DataFrame, position: str, probe: str | None = None) -> Da
         F.min("_pm_mid").alias("_pm_first"),
         (rows if probe is None else F.greatest(rows, F.count(probe))).alias("_pm_n"),
     )
-    in_file = splits.withColumn(
-        "_pm_in",
-        F.sum("_pm_n").over(
-            Window.partitionBy("_pm_path").orderBy("_pm_block")
-            .rowsBetween(Window.unboundedPreceding, -1)
-        ),
-    )
-    files = splits.groupBy("_pm_path").agg(F.sum("_pm_n").alias("_pm_fn"))
-    files = files.withColumn(
-        "_pm_out",
-        F.sum("_pm_fn").over(
-            Window.partitionBy(F.lit(0)).orderBy("_pm_path")
-            .rowsBetween(Window.unboundedPreceding, -1)
-        ),
-    ).drop("_pm_fn")
-    offsets = in_file.join(files, "_pm_path").select(
-        "_pm_path", "_pm_block", "_pm_first",
-        (F.coalesce("_pm_in", F.lit(0)) + F.coalesce("_pm_out", F.lit(0))).alias("_pm_off"),
+    # One small row per split, so this single ordered sum is bounded by the file listing.
+    order = Window.partitionBy(F.lit(0)).orderBy("_pm_path", "_pm_block")
+    before = F.sum("_pm_n").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    offsets = splits.select(
+        "_pm_path", "_pm_block", "_pm_first", F.coalesce(before, F.lit(0)).alias("_pm_off")
     )
     # Every file has one split more than its full-size ones at most, so files plus partitions
     # bound the number of splits. Above the bound the join shuffles.

@@ -32,20 +32,26 @@ def _checked(rows: DataFrame) -> DataFrame:
     )
 
 
-def _scan_records(spark: SparkSession, path: str, array: bool) -> DataFrame:
+def _placed(scan: DataFrame, dense: bool, probe: str | None = None) -> DataFrame:
+    """Add ``example_id``: the exact position, or only a unique and increasing number."""
+    if dense:
+        return number_by_file(with_split(scan), "example_id", probe)
+    return scan.withColumn("example_id", F.monotonically_increasing_id())
+
+
+def _scan_records(spark: SparkSession, path: str, array: bool, dense: bool) -> DataFrame:
     scan = spark.read.json(path, schema=_RECORD, multiLine=array)
-    return _checked(number_by_file(with_split(scan), "example_id", probe="input"))
+    return _checked(_placed(scan, dense, probe="input"))
 
 
-def _scan_objects(spark: SparkSession, path: str, indent: int) -> DataFrame:
+def _scan_objects(spark: SparkSession, path: str, indent: int, dense: bool) -> DataFrame:
     """Indented objects, cut at the closing brace in column ``indent``.
 
     The brace line is the record separator, so one huge file is still read by many tasks. JSON
     strings hold no raw line breaks, so the separator cannot occur inside a value.
     """
     close = "\n" + " " * indent + "}"
-    scan = with_split(spark.read.text(path, lineSep=close))
-    rows = number_by_file(scan, "example_id")
+    rows = _placed(spark.read.text(path, lineSep=close), dense)
     # What stands behind the last object: white space, commas or the end of an array.
     rest = F.col("value").rlike(r"\A[\s,\[\]]*\z")
     body = F.concat(F.regexp_replace("value", r"\A[\s,\[]+", ""), F.lit("\n}"))
@@ -59,28 +65,36 @@ def _scan_objects(spark: SparkSession, path: str, indent: int) -> DataFrame:
     )
 
 
-def scan_examples(spark: SparkSession, path: str, layout: str = "lines") -> DataFrame:
+def scan_examples(
+    spark: SparkSession, path: str, layout: str = "lines", dense: bool = True
+) -> DataFrame:
     """All records ``(example_id, input, output_json, problem, record)`` of example files.
 
     Layouts: ``lines`` (JSON Lines), ``pretty_array`` (one array per file with two-space
     indentation), ``objects`` (indented objects without an array around them), ``array`` (any
     JSON array; such a file cannot be cut, so one task reads each). Positions count records in
-    file order, and the output keeps its JSON text.
+    file order, and the output keeps its JSON text. Exact positions need a counting pass over
+    the files first; with ``dense=False`` ids are unique and increasing but leave gaps, in one
+    pass.
     """
     if layout in ("lines", "array"):
-        return _scan_records(spark, path, layout == "array")
-    return _scan_objects(spark, path, {"pretty_array": 2, "objects": 0}[layout])
+        return _scan_records(spark, path, layout == "array", dense)
+    return _scan_objects(spark, path, {"pretty_array": 2, "objects": 0}[layout], dense)
 
 
-def read_examples(spark: SparkSession, path: str, layout: str = "lines") -> DataFrame:
+def read_examples(
+    spark: SparkSession, path: str, layout: str = "lines", dense: bool = True
+) -> DataFrame:
     """The well-formed examples; see :func:`rejected_examples` for the others."""
-    good = scan_examples(spark, path, layout).filter("problem IS NULL")
+    good = scan_examples(spark, path, layout, dense).filter("problem IS NULL")
     return good.select("example_id", "input", "output_json")
 
 
-def rejected_examples(spark: SparkSession, path: str, layout: str = "lines") -> DataFrame:
+def rejected_examples(
+    spark: SparkSession, path: str, layout: str = "lines", dense: bool = True
+) -> DataFrame:
     """Quarantine: records that are not JSON or lack a part, with the reason."""
-    bad = scan_examples(spark, path, layout).filter("problem IS NOT NULL")
+    bad = scan_examples(spark, path, layout, dense).filter("problem IS NOT NULL")
     return bad.select("example_id", "problem", "record")
 
 
