@@ -62,14 +62,18 @@ def assign_batches(df: DataFrame, batch_size: int = 10, start: int = 0) -> DataF
 # ---------------------------------------------------------------- prompts and requests
 
 
-def prompt_column(question: Column, template: str, context: str | Column | None = None) -> Column:
+def prompt_column(
+    question: Column, template: str | Column, context: str | Column | None = None
+) -> Column:
     """Fill the question, then the context, so a context mark inside a question is filled too.
 
     Without a context only the question is filled.
     """
-    if not template:
-        raise ValueError("the prompt template is empty")
-    prompt = F.replace(F.lit(template), F.lit(QUESTION_MARK), question)
+    if isinstance(template, str):
+        if not template:
+            raise ValueError("the prompt template is empty")
+        template = F.lit(template)
+    prompt = F.replace(template, F.lit(QUESTION_MARK), question)
     if context is None:
         return prompt
     context = F.lit(context) if isinstance(context, str) else context
@@ -77,13 +81,15 @@ def prompt_column(question: Column, template: str, context: str | Column | None
 
 
 def render_prompt(
-    df: DataFrame, template: str, context: str | DataFrame | None = None
+    df: DataFrame, template: str | DataFrame, context: str | DataFrame | None = None
 ) -> DataFrame:
     """``(example_id, input, prompt)`` for every example.
 
-    A context frame is the one row of :func:`phrasemill.sources.text.load_context`, whose size
-    was checked when it was loaded.
+    Template and context may be the one-row frames of ``sources.text``; they are read once and
+    enter the plan as values.
     """
+    if isinstance(template, DataFrame):
+        template = template.select("template").scalar()
     if isinstance(context, DataFrame):
         context = context.select("context").scalar()
     return df.select(

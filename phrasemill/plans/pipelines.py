@@ -1,0 +1,61 @@
+"""The end-to-end jobs: convert, audit, merge question lists, annotate."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from phrasemill.functions.lexicon import DEFAULT, Lexicon
+from phrasemill.operators import annotate
+from phrasemill.operators.convert import convert_examples
+from phrasemill.operators.questions import combine_questions
+from phrasemill.sources import examples as files
+from phrasemill.sources import text
+
+
+def convert_dataset(
+    spark: SparkSession, source: str, target: str, layout: str = "lines", ordered: bool = True,
+    lexicon: Lexicon = DEFAULT,
+) -> None:
+    """Read examples, convert them, write them.
+
+    Rows are ordered before they are converted: range partitioning reads its input twice, and
+    reading is cheaper than converting. Without ``ordered`` there is no shuffle at all.
+    """
+    examples = files.read_examples(spark, source, layout, dense=ordered)
+    if ordered:
+        examples = examples.orderBy("example_id")
+    files.write_examples(convert_examples(examples, lexicon), target, ordered=False)
+
+
+def audit_dataset(spark: SparkSession, source: str, report: str, layout: str = "lines") -> None:
+    """Read examples and write their quality report. Positions are not needed for it."""
+    files.write_report(files.read_examples(spark, source, layout, dense=False), report)
+
+
+def merge_question_files(spark: SparkSession, existing: str, generated: str, target: str) -> None:
+    """Merge two question lists into one numbered list."""
+    combined = combine_questions(
+        text.read_raw_lines(spark, existing), text.read_raw_lines(spark, generated)
+    )
+    text.write_lines(combined, target)
+
+
+def annotate_dataset(
+    spark: SparkSession, source: str, template: str, context: str, model: annotate.ModelCall,
+    responses: str, target: str, start: int = 0, end: int | None = None, batch_size: int = 10,
+    layout: str = "lines",
+) -> DataFrame:
+    """Send the slice ``[start, end)`` of a dataset through a model and write the result.
+
+    Every answer is stored in ``responses`` before anything is derived from it: a lost executor
+    then costs no second round of calls, and the result cannot mix two answers to one prompt.
+    Returns the summary of the stored result.
+    """
+    examples = annotate.slice_range(files.read_examples(spark, source, layout), start, end)
+    prompts = annotate.render_prompt(
+        examples, text.load_template(spark, template), text.load_context(spark, context)
+    )
+    annotate.annotate_batches(prompts, model, batch_size).write.parquet(responses)
+    made = annotate.annotated_dataset(examples, spark.read.parquet(responses))
+    made.write.parquet(target)
+    return annotate.annotation_summary(spark.read.parquet(target))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from phrasemill import fixtures as fx
 from phrasemill.functions.lexicon import DEFAULT, backfill_context, rewrite_terms
 from phrasemill.operators import annotate, audit, convert, flatten, questions, rules
+from phrasemill.plans.pipelines import convert_dataset
 from phrasemill.session import scratch_dir
 from phrasemill.sources import examples as example_files
 from phrasemill.sources import text as text_files
@@ -50,9 +51,10 @@ def read_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def write_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = scratch_dir(spark, "converted")
-    example_files.write_examples(convert.convert_examples(fx.examples(spark, sf_dir)), path)
-    return example_files.read_examples(spark, path)
+    base = scratch_dir(spark, "converted")
+    example_files.write_examples(fx.examples(spark, sf_dir), f"{base}/in")
+    convert_dataset(spark, f"{base}/in", f"{base}/out")
+    return example_files.read_examples(spark, f"{base}/out")
 
 
 def write_report(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,10 +88,9 @@ def load_template(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_dir(spark, "template")
     spark.createDataFrame([(TEMPLATE,)], "value string").coalesce(1).write.option("lineSep", " ").text(path)
     loaded = text_files.load_template(spark, path)
-    prompt = F.replace(loaded.select("template").scalar(), F.lit(annotate.QUESTION_MARK), F.col("input"))
-    return fx.examples(spark, sf_dir).select(
-        "example_id", prompt.alias("prompt"),
-        loaded.select("template_chars").scalar().alias("template_chars"),
+    prompts = annotate.render_prompt(fx.examples(spark, sf_dir), loaded)
+    return prompts.select(
+        "example_id", "prompt", loaded.select("template_chars").scalar().alias("template_chars")
     )
 
 

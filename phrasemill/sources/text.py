@@ -42,8 +42,12 @@ def write_lines(combined: DataFrame, path: str) -> None:
 
 def load_template(spark: SparkSession, path: str) -> DataFrame:
     """One row ``(template, template_chars)`` holding a whole prompt template file."""
+    size = F.length("value").cast("bigint")
+    checked = F.when(size > 0, F.col("value")).otherwise(
+        F.raise_error(F.lit("the prompt template is empty"))
+    )
     return spark.read.text(path, wholetext=True).select(
-        F.col("value").alias("template"), F.length("value").cast("bigint").alias("template_chars")
+        checked.alias("template"), size.alias("template_chars")
     )
 
 
