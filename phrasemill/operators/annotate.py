@@ -149,8 +149,8 @@ def annotate_batches(
     The model answers a batch with one text per prompt, or an exception in place of a text; a
     call that raises fails the whole batch. Prompts whose answer is not valid JSON are tried
     again. An empty answer counts as an exception. Work is spread by the partitions of
-    ``prompts``; a task holds one batch at a time. The helpers are nested so that they travel
-    with the task and workers need no copy of this package.
+    ``prompts``; a task holds one Arrow batch of prompts and hands answers on as it goes. The
+    helpers are nested so that they travel with the task and workers need no copy of this package.
     """
 
     def is_json(text: str) -> bool:
@@ -170,11 +170,12 @@ def annotate_batches(
         return out
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns = ["example_id", "attempt", "content", "error"]
         for frame in frames:
-            for at in range(0, len(frame), batch_size):
-                part = frame.iloc[at : at + batch_size]
-                open_rows = list(zip(part["example_id"].tolist(), part["prompt"].tolist()))
-                rows = []
+            todo = list(zip(frame["example_id"].tolist(), frame["prompt"].tolist()))
+            rows = []
+            for at in range(0, len(todo), batch_size):
+                open_rows = todo[at : at + batch_size]
                 for attempt in range(max_attempts):
                     if not open_rows:
                         break
@@ -190,7 +191,11 @@ def annotate_batches(
                         if raised or not is_json(reply):
                             failed.append((example_id, prompt))
                     open_rows = failed
-                yield pd.DataFrame(rows, columns=["example_id", "attempt", "content", "error"])
+                if len(rows) >= 1000:
+                    yield pd.DataFrame(rows, columns=columns)
+                    rows = []
+            if rows:
+                yield pd.DataFrame(rows, columns=columns)
 
     return prompts.select("example_id", "prompt").mapInPandas(run, RESPONSE)
 

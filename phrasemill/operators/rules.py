@@ -92,11 +92,13 @@ def fix_types(df: DataFrame, fixes: dict[str, str] = TYPE_FIXES) -> DataFrame:
 
 
 def _with_defaults(obj: Column, defaults: dict[str, str]) -> Column:
-    """``obj`` with each absent key added; defaults are JSON texts."""
+    """``obj`` with each absent key added; defaults are JSON texts. Complete objects pass through."""
     table = F.create_map(
         *[x for k, text in defaults.items() for x in (F.lit(k), F.parse_json(F.lit(text)))]
     )
-    return F.map_concat(obj, F.map_filter(table, lambda k, _: ~F.map_contains_key(obj, k)))
+    absent = F.array_except(F.array(*map(F.lit, defaults)), F.map_keys(obj))
+    added = F.map_filter(table, lambda k, _: ~F.map_contains_key(obj, k))
+    return F.when(F.size(absent) == 0, obj).otherwise(F.map_concat(obj, added))
 
 
 def _completed(df: DataFrame, per_result) -> DataFrame:
