@@ -36,8 +36,14 @@ def as_text(value: Column) -> Column:
     return F.when(F.schema_of_variant(value) == "STRING", F.try_variant_get(value, "$", "string"))
 
 
+def as_object(value: Column) -> Column:
+    """A variant object as ``map<string,variant>``; NULL if it is not one."""
+    return F.try_variant_get(value, "$", VARIANT_OBJECT)
+
+
 def as_objects(value: Column) -> Column:
-    """A variant array of objects as ``array<map<string,variant>>``; NULL if it is not one."""
+    """A variant array as ``array<map<string,variant>>``, its other elements NULL; NULL if it is
+    no array."""
     return F.try_variant_get(value, "$", VARIANT_OBJECTS)
 
 
@@ -54,22 +60,26 @@ def edit_key(obj: Column, edits: dict[str, Callable[[Column], Column]]) -> Colum
 
 
 def edit_items(value: Column, fn: Callable[[Column], Column]) -> Column:
-    """Map ``fn`` over a variant array of objects; anything else passes through."""
-    return F.coalesce(F.to_variant_object(F.transform(as_objects(value), fn)), value)
+    """Map ``fn`` over the objects of a variant array; anything else passes through."""
+
+    def edited(item: Column) -> Column:
+        return F.coalesce(F.to_variant_object(fn(as_object(item))), item)
+
+    items = F.try_variant_get(value, "$", "array<variant>")
+    return F.coalesce(F.to_variant_object(F.transform(items, edited)), value)
 
 
 def edit_results(output_json: Column, fn: Callable[[Column], Column]) -> Column:
     """Map ``fn`` over the ``discovery_results`` objects of an output and write it back.
 
-    Lossless: unknown keys, JSON nulls and absent keys survive. Keys come out sorted.
-    A text that is no JSON object is returned unchanged.
+    Lossless: unknown keys, JSON nulls and absent keys survive. Top-level keys keep their order,
+    those below come out sorted. A text :func:`is_editable` rejects is returned unchanged.
     """
     top = F.from_json(output_json, VARIANT_OBJECT)
-    return F.coalesce(
-        F.to_json(
-            F.to_variant_object(
-                edit_key(top, {"discovery_results": lambda v: edit_items(v, fn)})
-            )
-        ),
-        output_json,
-    )
+    edits = {"discovery_results": lambda value: edit_items(value, fn)}
+    return F.coalesce(F.to_json(edit_key(top, edits)), output_json)
+
+
+def is_editable(output_json: Column) -> Column:
+    """Whether a text is one JSON object that repeats no key below its top level."""
+    return F.from_json(output_json, VARIANT_OBJECT).isNotNull()

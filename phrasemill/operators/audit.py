@@ -141,17 +141,19 @@ def _missing_fields() -> Column:
     )
 
 
+def _has_key(name: str) -> Column:
+    """Presence of a top-level key. The key list is only asked where the parsed value is NULL,
+    because a value that does not fit its type parses to NULL as well."""
+    listed = F.array_contains(F.json_object_keys("output_json"), name)
+    return F.coalesce(F.col("_pm_out")[name].isNotNull() | listed, F.lit(False))
+
+
 def _has_intent() -> Column:
-    return F.coalesce(F.col("_pm_out.intent").isNotNull(), F.lit(False))
+    return _has_key("intent")
 
 
 def _has_results() -> Column:
-    """Key presence of ``discovery_results``, also when it holds null or no array."""
-    return F.coalesce(
-        F.col("_pm_out.discovery_results").isNotNull()
-        | F.array_contains(F.json_object_keys("output_json"), "discovery_results"),
-        F.lit(False),
-    )
+    return _has_key("discovery_results")
 
 
 def audit_metrics(df: DataFrame, terms: tuple[str, ...] = BI_TERMS) -> DataFrame:

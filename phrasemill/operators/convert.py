@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from phrasemill.functions.jsontext import as_text, edit_items, edit_key, edit_results
+from phrasemill.functions.jsontext import as_text, edit_items, edit_key, edit_results, is_editable
 from phrasemill.functions.lexicon import DEFAULT, Lexicon, backfill_context, rewrite_terms
+from phrasemill.functions.text import emit
 
 # Recoded names. Names that are not listed stay as they are.
 MEASURE_NAMES = {"Count": "Total", "Max": "Maximum", "Min": "Minimum", "Sum": "Total"}
@@ -73,6 +74,12 @@ def convert_output(
     )
 
 
+def unreadable_outputs(df: DataFrame) -> DataFrame:
+    """Quarantine: examples whose output is left unconverted because it is no JSON object, or
+    repeats a key inside."""
+    return emit(df, ~is_editable(F.col("output_json")), F.col("example_id"), F.col("output_json"))
+
+
 def convert_question(df: DataFrame, text: str = "input", lexicon: Lexicon = DEFAULT) -> DataFrame:
     """Rewrite terms, then backfill a subject where no target word is present."""
     return backfill_context(rewrite_terms(df, text, lexicon), text, lexicon)

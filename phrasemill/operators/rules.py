@@ -9,7 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from phrasemill.functions.jsontext import as_objects, as_text, edit_items, edit_key, edit_results
+from phrasemill.functions.jsontext import (
+    as_objects, as_text, canonical, edit_items, edit_key, edit_results,
+)
 from phrasemill.functions.text import contains_any, digest, emit
 from phrasemill.operators.audit import BI_TERMS, NON_BI_TERMS
 from phrasemill.operators.convert import recoder
@@ -105,14 +107,13 @@ def _completed(df: DataFrame, per_result) -> DataFrame:
     """Edit every result, then add absent top-level keys; only outputs that lack one are parsed
     a second time."""
     top = F.from_json(F.col("_pm_filled"), VARIANT_OBJECT)
-    whole = F.to_json(
-        F.to_variant_object(_with_defaults(top, {"intent": "null", "discovery_results": "[]"}))
-    )
+    whole = F.to_json(_with_defaults(top, {"intent": "null", "discovery_results": "[]"}))
     keys = F.json_object_keys("_pm_filled")
     incomplete = ~(F.array_contains(keys, "intent") & F.array_contains(keys, "discovery_results"))
+    incomplete = incomplete & (F.array_size(F.array_distinct(keys)) == F.array_size(keys))
     return (
         df.withColumn("_pm_filled", edit_results(F.col("output_json"), per_result))
-        .withColumn("output_json", F.when(incomplete, whole).otherwise(F.col("_pm_filled")))
+        .withColumn("output_json", F.when(incomplete, F.coalesce(whole, F.col("_pm_filled"))).otherwise(F.col("_pm_filled")))
         .drop("_pm_filled")
     )
 
@@ -414,7 +415,9 @@ def missing_timeframe(df: DataFrame, pattern: str = TIME_PHRASE) -> DataFrame:
 # ---------------------------------------------------------------- duplicates
 
 
-def exact_duplicates(df: DataFrame, key: str = "example_id", columns: tuple[str, ...] = ("input", "output_json")) -> DataFrame:
+def exact_duplicates(
+    df: DataFrame, key: str = "example_id", columns: tuple[str, ...] = ("input", "output_json")
+) -> DataFrame:
     """Groups of equal rows: smallest id and number of copies.
 
     Rows are grouped by a 32-byte digest, and copies collapse before the shuffle, so neither
@@ -428,7 +431,9 @@ def exact_duplicates(df: DataFrame, key: str = "example_id", columns: tuple[str,
     )
 
 
-def drop_duplicates(df: DataFrame, key: str = "example_id", columns: tuple[str, ...] = ("input", "output_json")) -> DataFrame:
+def drop_duplicates(
+    df: DataFrame, key: str = "example_id", columns: tuple[str, ...] = ("input", "output_json")
+) -> DataFrame:
     """Rows without their exact copies; of equal rows the smallest id stays.
 
     The join is on unique ids, so a hot text cannot make a hot join key.
@@ -441,13 +446,14 @@ def drop_duplicates(df: DataFrame, key: str = "example_id", columns: tuple[str,
     return df.join(kept, key, "left_semi")
 
 
-def conflicting_duplicates(df: DataFrame) -> DataFrame:
-    """Questions that occur with different outputs.
+def conflicting_duplicates(df: DataFrame, as_json: bool = False) -> DataFrame:
+    """Questions that occur with different outputs; ``as_json`` ignores key order and spacing.
 
     Grouped by (question, output digest) first: a hot question collapses to its distinct
     outputs map-side before it is grouped alone.
     """
-    pairs = df.groupBy("input", digest(F.col("output_json")).alias("_pm_out")).agg(
+    output = canonical(F.col("output_json")) if as_json else F.col("output_json")
+    pairs = df.groupBy("input", digest(output).alias("_pm_out")).agg(
         F.min("example_id").alias("first_id"), F.count(F.lit(1)).alias("examples")
     )
     return (
@@ -508,7 +514,8 @@ def with_issue_counts(
 
     keys = F.json_object_keys("output_json")
     has_results = results.isNotNull() | F.coalesce(F.array_contains(keys, "discovery_results"), F.lit(False))
-    broken = F.col("_pm_out.intent").isNull() | ~has_results
+    has_intent = F.col("_pm_out.intent").isNotNull() | F.coalesce(F.array_contains(keys, "intent"), F.lit(False))
+    broken = ~has_intent | ~has_results
     missing = total(lambda r: sum((F.when(r[f].isNull(), 1).otherwise(0) for f in REQUIRED_FIELDS), F.lit(0)))
     n_steps = F.coalesce(F.array_size(results), F.lit(0))
     hinted = contains_any(F.col(_LOWER), indicators)

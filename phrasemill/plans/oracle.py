@@ -63,7 +63,7 @@ def converted(rel: str, others: str) -> str:
     )
 
 
-# Canonical JSON text: sorted keys at every level.
+# Edited JSON text: top-level keys as they were, sorted keys below.
 
 def obj(o: str, value: str, key: str = "k", extra: list[str] | None = None) -> str:
     keys = f"json_keys({o})" if extra is None else f"list_distinct(list_concat(json_keys({o}), {strings(extra)}))"
@@ -117,7 +117,12 @@ def canonical(edits: dict[str, dict[str, str]], complete: bool = False) -> str:
             "CASE WHEN NOT list_contains(json_keys(output_json), t) THEN "
             f"CASE t WHEN 'intent' THEN 'null' ELSE '[]' END ELSE {top} END"
         )
-    return obj("output_json", top, "t", ["intent", "discovery_results"] if complete else None)
+    keys = "json_keys(output_json)"
+    if complete:
+        keys = f"list_concat({keys}, list_filter(['intent', 'discovery_results'], lambda n: NOT list_contains({keys}, n)))"
+    return (
+        f"'{{' || array_to_string(list_transform({keys}, lambda t: '\"' || t || '\":' || {top}), ',') || '}}'"
+    )
 
 
 def text_at(o: str, key: str) -> str:
@@ -473,6 +478,8 @@ ORACLE: dict[str, str] = {
     "recode_unmatched": flat_rows("unmatched_intents", **{**UNMATCHED, "phrase": U_PHRASE}),
     "convert_output": f"SELECT example_id, output_json FROM ({CONVERTED_OUTPUT})",
     "convert_examples": CONVERTED_EX,
+    "unreadable_outputs": f"SELECT example_id, output_json FROM ({EX}) WHERE NOT json_valid(output_json) "
+    "OR json_type(output_json) <> 'OBJECT'",
     "conversion_preview": (
         f"SELECT e.example_id, e.input AS original, c.input AS converted FROM ({EX}) e JOIN "
         f"({converted(EX, 'example_id')}) c ON c.example_id = e.example_id ORDER BY e.example_id LIMIT 5"

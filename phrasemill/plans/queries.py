@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from phrasemill import fixtures as fx
 from phrasemill.functions.lexicon import DEFAULT, backfill_context, rewrite_terms
 from phrasemill.operators import annotate, audit, convert, flatten, questions, rules
-from phrasemill.plans.pipelines import convert_dataset
+from phrasemill.plans.jobs import convert_dataset
 from phrasemill.session import scratch_dir
 from phrasemill.sources import examples as example_files
 from phrasemill.sources import text as text_files
@@ -265,6 +265,7 @@ QUERIES: dict[str, Query] = {
     "recode_unmatched": recoded(convert.recode_unmatched, flatten.flatten_unmatched),
     "convert_output": on_examples(lambda ex: convert.convert_output(ex).select("example_id", "output_json")),
     "convert_examples": on_examples(convert.convert_examples),
+    "unreadable_outputs": on_examples(convert.unreadable_outputs),
     "conversion_preview": on_examples(convert.conversion_preview),
     "conversion_progress": on_examples(convert.conversion_progress),
     "flatten_steps": on_examples(flatten.flatten_steps),

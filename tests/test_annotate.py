@@ -4,7 +4,7 @@ import pytest
 
 from phrasemill import fixtures as fx
 from phrasemill.operators import annotate
-from phrasemill.plans import pipelines
+from phrasemill.plans import jobs
 
 SF = "/root/testdata/sf0.001"
 TEMPLATE = f"Q: {annotate.QUESTION_MARK} C: {annotate.CONTEXT_MARK}"
@@ -113,7 +113,7 @@ def test_annotate_dataset(spark, tmp_path):
     def model(prompts, attempt):
         return ['{"intent":"new","discovery_results":[]}' if "[m.json]" in p else "" for p in prompts]
 
-    summary = pipelines.annotate_dataset(
+    summary = jobs.annotate_dataset(
         spark, str(tmp_path / "d.json"), str(tmp_path / "t.txt"), str(tmp_path / "ctx"), model,
         str(tmp_path / "r"), str(tmp_path / "out"), start=2, end=8, batch_size=5)
     assert [(r.example_id, r.intent, r.steps) for r in sorted(summary.collect())] == [(i, "new", 0) for i in range(2, 8)]

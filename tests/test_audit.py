@@ -36,6 +36,15 @@ def test_null_is_present_and_absent_is_not(make):
     assert audit.validity_rate(df).first().valid_outputs == 3
 
 
+def test_presence_survives_values_of_another_shape(make):
+    df = make(
+        ("q", '{"intent":"i","discovery_results":[{"measures":[{"name":"A","name":"B"}]}]}'),
+        ("q", '{"intent":"i","discovery_results":{"a":1}}'),
+    )
+    assert audit.validity_rate(df).first().valid_outputs == 2
+    assert audit.structure_issues_top(df).count() == 0
+
+
 def test_steps_count_results_and_ignore_others(make):
     df = make(("q", out({"step_id": "step_1"}, {"step_id": "step_2"}, {"step_id": "step_9"}, {})))
     assert {r.step_id: r.results for r in audit.step_distribution(df).collect()} == {

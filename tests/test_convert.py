@@ -82,6 +82,20 @@ def test_convert_output(make, before, after):
     assert json.loads(row.output_json) == after
 
 
+def test_other_elements_survive(make):
+    before = {"discovery_results": ["x", None, 5, {"measures": ["y", {"name": "Max"}, None]}]}
+    after = {"discovery_results": ["x", None, 5, {"measures": ["y", {"name": "Maximum"}, None]}]}
+    assert json.loads(convert.convert_output(make(("q", json.dumps(before)))).first().output_json) == after
+
+
+def test_repeated_keys_do_not_stop_the_job(make):
+    texts = ['{"intent":"a","intent":"b"}', '{"discovery_results":[{"measures":[{"name":"Max","name":"Min"}]}]}', "{}"]
+    df = make(*[("q", t) for t in texts])
+    rows = convert.convert_output(df).orderBy("example_id").collect()
+    assert [r.output_json for r in rows] == texts
+    assert [r.example_id for r in convert.unreadable_outputs(df).collect()] == [1]
+
+
 @pytest.mark.parametrize("text", ["not json", "[1]", '"x"', '{"a":1', ""])
 def test_other_texts_stay(make, text):
     assert convert.convert_output(make(("q", text))).first().output_json == text

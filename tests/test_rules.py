@@ -99,6 +99,17 @@ def test_duplicates_with_a_hot_text(spark, make):
     assert [(r.input, r.outputs, r.examples) for r in rules.conflicting_duplicates(df).collect()] == [("t1", 2, 2)]
 
 
+def test_conflicts_as_json(make):
+    df = make(("a", '{"x":1,"y":2}'), ("a", '{"y": 2, "x": 1}'), ("b", "{}"), ("b", "[]"))
+    assert rules.conflicting_duplicates(df).count() == 2
+    assert [r.input for r in rules.conflicting_duplicates(df, as_json=True).collect()] == ["b"]
+
+
+def test_repeated_keys_while_completing(make):
+    df = make(("q", '{"a":1,"a":2}'), ("q", "broken"))
+    assert [r.output_json for r in rules.complete_fields(df).orderBy("example_id").collect()] == ['{"a":1,"a":2}', "broken"]
+
+
 def test_digest_borders(make):
     assert rules.exact_duplicates(make(("ab", "c"), ("a", "bc"), ("a", None), ("a", ""))).count() == 0
 

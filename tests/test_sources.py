@@ -3,7 +3,7 @@ import json
 import pytest
 
 from phrasemill.operators.convert import convert_examples
-from phrasemill.plans import pipelines
+from phrasemill.plans import jobs
 from phrasemill.sources import examples as files
 from phrasemill.sources import text
 
@@ -91,16 +91,16 @@ def test_template(spark, tmp_path):
     assert tuple(text.load_template(spark, str(tmp_path / "t.txt")).first()) == ("a\nb", 3)
 
 
-def test_pipelines(spark, tmp_path):
+def test_jobs(spark, tmp_path):
     stored(tmp_path / "d.json", "pretty_array")
-    pipelines.convert_dataset(spark, str(tmp_path / "d.json"), str(tmp_path / "out"), "pretty_array")
+    jobs.convert_dataset(spark, str(tmp_path / "d.json"), str(tmp_path / "out"), "pretty_array")
     back = sorted(files.read_examples(spark, str(tmp_path / "out")).collect())
     assert [r.input for r in back] == [d["input"] for d in DATA]
-    pipelines.audit_dataset(spark, str(tmp_path / "out"), str(tmp_path / "report"))
+    jobs.audit_dataset(spark, str(tmp_path / "out"), str(tmp_path / "report"))
     assert spark.read.json(str(tmp_path / "report")).first().total_examples == 300
     (tmp_path / "old.txt").write_text("1. a\n")
     (tmp_path / "new.txt").write_text("1. b\nc\n")
-    pipelines.merge_question_files(
+    jobs.merge_question_files(
         spark, str(tmp_path / "old.txt"), str(tmp_path / "new.txt"), str(tmp_path / "all"))
     assert [r.line for r in sorted(text.read_raw_lines(spark, str(tmp_path / "all")).collect())] == [
         "1. a", "61. b", "62. c"]
