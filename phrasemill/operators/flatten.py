@@ -5,7 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from phrasemill.schemas import REQUIRED_FIELDS, steps_type
+from phrasemill.schemas import REQUIRED_FIELDS, output_type, steps_type
+
+
+def with_typed_output(df: DataFrame) -> DataFrame:
+    """Add ``output`` as a typed struct, and ``extra_keys``: keys the type has no place for.
+
+    Stored as parquet, the struct lets later scans read only the nested fields they use.
+    ``output_json`` stays, so nothing is lost.
+    """
+    results = F.from_json("output_json", "struct<discovery_results:array<map<string,string>>>")
+    known = F.array(*map(F.lit, REQUIRED_FIELDS))
+    inner = F.flatten(
+        F.transform(results["discovery_results"], lambda r: F.array_except(F.map_keys(r), known))
+    )
+    top = F.array_except(
+        F.json_object_keys("output_json"), F.array(F.lit("intent"), F.lit("discovery_results"))
+    )
+    none = F.array().cast("array<string>")
+    return df.withColumn("output", F.from_json("output_json", output_type())).withColumn(
+        "extra_keys", F.array_distinct(F.concat(F.coalesce(top, none), F.coalesce(inner, none)))
+    )
 
 
 def steps(df: DataFrame, *fields: str, keep: tuple[str, ...] = ()) -> DataFrame:

@@ -478,8 +478,15 @@ ORACLE: dict[str, str] = {
     "recode_unmatched": flat_rows("unmatched_intents", **{**UNMATCHED, "phrase": U_PHRASE}),
     "convert_output": f"SELECT example_id, output_json FROM ({CONVERTED_OUTPUT})",
     "convert_examples": CONVERTED_EX,
-    "unreadable_outputs": f"SELECT example_id, output_json FROM ({EX}) WHERE NOT json_valid(output_json) "
-    "OR json_type(output_json) <> 'OBJECT'",
+    "unreadable_outputs": (
+        f"SELECT example_id, content AS output_json FROM ({RSP}) WHERE content IS NOT NULL AND NOT json_valid(content)"
+    ),
+    "typed_output": (
+        "SELECT example_id, json_extract_string(output_json, '$.intent') AS intent, CAST(json_array_length("
+        "json_extract(output_json, '$.discovery_results')) AS BIGINT) AS results, array_to_string(list_filter("
+        "json_keys(output_json), lambda k: k NOT IN ('intent', 'discovery_results')), ',') AS extra_keys "
+        f"FROM ({ANNOTATED})"
+    ),
     "conversion_preview": (
         f"SELECT e.example_id, e.input AS original, c.input AS converted FROM ({EX}) e JOIN "
         f"({converted(EX, 'example_id')}) c ON c.example_id = e.example_id ORDER BY e.example_id LIMIT 5"

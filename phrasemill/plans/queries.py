@@ -154,6 +154,15 @@ def recoded(fn: Callable[[DataFrame], DataFrame], flat: Callable[[DataFrame], Da
     return on_examples(lambda ex: flat(fn(ex)))
 
 
+def typed_output(ex: DataFrame, responses: DataFrame) -> DataFrame:
+    typed = flatten.with_typed_output(annotate.annotated_dataset(ex, responses))
+    return typed.select(
+        "example_id", F.col("output.intent").alias("intent"),
+        F.array_size("output.discovery_results").cast("bigint").alias("results"),
+        F.array_join("extra_keys", ",").alias("extra_keys"),
+    )
+
+
 def rewritten_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return convert.convert_question(fx.conversations(spark, sf_dir))
 
@@ -265,9 +274,14 @@ QUERIES: dict[str, Query] = {
     "recode_unmatched": recoded(convert.recode_unmatched, flatten.flatten_unmatched),
     "convert_output": on_examples(lambda ex: convert.convert_output(ex).select("example_id", "output_json")),
     "convert_examples": on_examples(convert.convert_examples),
-    "unreadable_outputs": on_examples(convert.unreadable_outputs),
+    "unreadable_outputs": on_responses(
+        lambda r: convert.unreadable_outputs(
+            r.filter("content IS NOT NULL").select("example_id", F.col("content").alias("output_json"))
+        )
+    ),
     "conversion_preview": on_examples(convert.conversion_preview),
     "conversion_progress": on_examples(convert.conversion_progress),
+    "typed_output": on_both(typed_output),
     "flatten_steps": on_examples(flatten.flatten_steps),
     "flatten_measures": on_examples(flatten.flatten_measures),
     "flatten_dimensions": on_examples(flatten.flatten_dimensions),

@@ -44,6 +44,11 @@ def steps_type(*fields: str) -> str:
     return f"struct<discovery_results:array<struct<{inner}>>>"
 
 
+def output_type() -> str:
+    """Type of a whole output."""
+    return steps_type().replace("struct<", "struct<intent:string,", 1)
+
+
 def presence_type() -> str:
     """Type of an output in which every required key is a variant, NULL only when absent."""
     inner = ",".join(f"{name}:variant" for name in REQUIRED_FIELDS)

@@ -126,3 +126,11 @@ def test_flatten_sample(make):
     assert (step.timegrain, step.timeframe, step.n_dimensions, step.n_pattern) == ("day-level", None, 2, 1)
     assert [r.filter_value for r in flatten.flatten_dimensions(df).orderBy("item_no").collect()] == ["A, B", None]
     assert flatten.flatten_unmatched(df).first().type == "business_action"
+
+
+def test_typed_output_names_what_it_drops(make):
+    text = '{"note":1,"intent":"i","discovery_results":[{"step_id":"s","more":2,"timegrain":null,"breakdowns":[{"name":"A"}]}]}'
+    row = flatten.with_typed_output(make(("q", text), ("q", "broken"))).orderBy("example_id").collect()
+    assert sorted(row[0].extra_keys) == ["more", "note"] and row[1].extra_keys == []
+    assert row[0].output.discovery_results[0].breakdowns == ['{"name":"A"}']
+    assert row[0].output_json == text
