@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from phrasemill.functions.text import emit
 from phrasemill.operators.audit import quality_report
 from phrasemill.operators.numbering import number_by_file
 from phrasemill.session import spread
@@ -32,11 +31,18 @@ def _checked(rows: DataFrame) -> DataFrame:
     )
 
 
-def _placed(scan: DataFrame, dense: bool, probe: str | None = None) -> DataFrame:
-    """Add ``example_id``: the exact position, or only a unique and increasing number."""
+def _placed(
+    scan: DataFrame, dense: bool, probe: str | None = None, keep: Column | None = None
+) -> DataFrame:
+    """Add ``example_id``: the exact position, or only a unique and increasing number.
+
+    Rows that fail ``keep`` are no records; they may only stand at the end of a file.
+    """
+    rows = with_split(scan)
+    rows = rows if keep is None else rows.filter(keep)
     if dense:
-        return number_by_file(with_split(scan), "example_id", probe)
-    return scan.withColumn("example_id", F.monotonically_increasing_id())
+        return number_by_file(rows, "example_id", probe)
+    return rows.drop("_pm_path", "_pm_block").withColumnRenamed("_pm_mid", "example_id")
 
 
 def _scan_records(spark: SparkSession, path: str, array: bool, dense: bool) -> DataFrame:
@@ -51,18 +57,12 @@ def _scan_objects(spark: SparkSession, path: str, indent: int, dense: bool) -> D
     strings hold no raw line breaks, so the separator cannot occur inside a value.
     """
     close = "\n" + " " * indent + "}"
-    rows = _placed(spark.read.text(path, lineSep=close), dense)
     # What stands behind the last object: white space, commas or the end of an array.
-    rest = F.col("value").rlike(r"\A[\s,\[\]]*\z")
+    piece = ~F.col("value").rlike(r"\A[\s,\[\]]*\z")
+    rows = _placed(spark.read.text(path, lineSep=close), dense, keep=piece)
     body = F.concat(F.regexp_replace("value", r"\A[\s,\[]+", ""), F.lit("\n}"))
     record = F.from_json(body, _RECORD, {"columnNameOfCorruptRecord": "_corrupt_record"})
-    parsed = rows.select("example_id", rest.alias("_pm_rest"), record.alias("_pm_rec"))
-    return _checked(
-        emit(
-            parsed, ~F.col("_pm_rest"), F.col("example_id"),
-            *[F.col(f"_pm_rec.{c}").alias(c) for c in ("input", "output", "_corrupt_record")],
-        )
-    )
+    return _checked(rows.select("example_id", record.alias("_pm_rec")).select("example_id", "_pm_rec.*"))
 
 
 def scan_examples(

@@ -42,6 +42,19 @@ def test_objects_with_commas_between(spark, tmp_path):
     assert rows.filter("problem IS NULL").count() == 5 == rows.count()
 
 
+@pytest.mark.parametrize("layout", ["pretty_array", "objects"])
+def test_positions_run_on_over_files(spark, tmp_path, layout):
+    for name, part in (("a", DATA[:3]), ("b", DATA[3:7]), ("c", DATA[7:9])):
+        body = json.dumps(part, indent=2) if layout == "pretty_array" else "\n".join(
+            json.dumps(d, indent=2) for d in part)
+        (tmp_path / f"{name}.json").write_text(body + "\n")
+    for dense in (True, False):
+        rows = sorted(files.read_examples(spark, str(tmp_path), layout, dense).collect())
+        assert [r.input for r in rows] == [d["input"] for d in DATA[:9]] or not dense
+        assert {r.input for r in rows} == {d["input"] for d in DATA[:9]}
+        assert [r.example_id for r in rows] == list(range(9)) or not dense
+
+
 def test_rejects(spark, tmp_path):
     (tmp_path / "d.json").write_text(
         '{"input":"a","output":{}}\nbroken\n{"output":{}}\n{"input":"b"}\n{"input":"c","output":{"k":1}}\n')
