@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from phrasemill.functions.text import emit
 from phrasemill.operators.audit import quality_report
 from phrasemill.operators.numbering import number_by_file
 from phrasemill.session import spread
@@ -62,7 +63,9 @@ def _scan_objects(spark: SparkSession, path: str, indent: int, dense: bool) -> D
     rows = _placed(spark.read.text(path, lineSep=close), dense, keep=piece)
     body = F.concat(F.regexp_replace("value", r"\A[\s,\[]+", ""), F.lit("\n}"))
     record = F.from_json(body, _RECORD, {"columnNameOfCorruptRecord": "_corrupt_record"})
-    return _checked(rows.select("example_id", record.alias("_pm_rec")).select("example_id", "_pm_rec.*"))
+    parsed = rows.select("example_id", record.alias("_pm_rec"))
+    fields = [F.col(f"_pm_rec.{c}").alias(c) for c in ("input", "output", "_corrupt_record")]
+    return _checked(emit(parsed, F.lit(True), F.col("example_id"), *fields))
 
 
 def scan_examples(
