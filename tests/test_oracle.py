@@ -3,7 +3,9 @@
 import pytest
 from compare import connect, difference
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
+from phrasemill.plans.oracle import ORACLE
+from phrasemill.plans.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
 
@@ -15,13 +17,13 @@ def con():
 
 
 def test_every_query_is_checked():
-    assert set(queries()) == set(oracle_sql())
+    assert set(QUERIES) == set(ORACLE)
 
 
 def test_entry(spark):
     assert entry(spark).columns == ["example_id", "input", "output_json"]
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, con, name):
-    assert difference(queries()[name](spark, SF), con, oracle_sql()[name]) == ""
+    assert difference(QUERIES[name](spark, SF), con, ORACLE[name]) == ""
