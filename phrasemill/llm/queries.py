@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from phrasemill.llm import langid, toxicity
+from phrasemill.llm import jaccard, langid, toxicity
 from phrasemill.llm.common import held_out, table
 
 
@@ -19,6 +19,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     profiles = langid.learn(docs.where(~held_out(F.col("doc_id"))))
@@ -28,6 +32,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op3_toxicity": op3_toxicity,
+    "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
     "op10_language_id": op10_language_id,
 }
 
