@@ -5,8 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from phrasemill.llm import decontaminate, jaccard, langid, toxicity
+from phrasemill.llm import decontaminate, jaccard, langid, packing, toxicity
 from phrasemill.llm.common import held_out, table
+from phrasemill.llm.packing import measured
+
+
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(measured(table(spark, sf_dir, "documents")))
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,6 +42,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_best_fit_packing": op2_best_fit_packing,
     "op3_toxicity": op3_toxicity,
     "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
