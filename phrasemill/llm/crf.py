@@ -65,15 +65,14 @@ def marginals(emit: np.ndarray, real: np.ndarray, step: np.ndarray, first: np.nd
     return tagged, float(np.log(scale).sum() + shift[real].sum()), between
 
 
-def fit(tokens: list[list[int]], owner: np.ndarray, lengths: list[int], gold: np.ndarray, n_features: int,
+def fit(flat: np.ndarray, owner: np.ndarray, lengths: list[int], gold: np.ndarray, n_features: int,
         rounds: int = 60, l2: float = 1.0, rate: float = 0.5):
     """Weights by AdaGrad steps on the penalised likelihood of the given tags.
 
-    ``tokens`` holds flat feature ids and ``owner`` the token of each; windows are cut from
+    ``flat`` holds feature ids and ``owner`` the token of each; windows are cut from
     ``lengths``. The same input gives the same weights.
     """
     rows, cols = windows(lengths)
-    flat = np.asarray(tokens, np.int64)
     n = int(rows.max()) + 1 if len(rows) else 0
     weight, step, first = np.zeros(n_features), np.zeros((2, 2)), np.zeros(2)
     if not n:

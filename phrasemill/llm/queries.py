@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from phrasemill.llm import decontaminate, jaccard, langid, packing, toxicity
+from phrasemill.llm import decontaminate, jaccard, langid, packing, token_counts, toxicity
 from phrasemill.llm.common import held_out, table
 from phrasemill.llm.packing import measured
 
@@ -28,6 +29,12 @@ def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_token_counts(spark: SparkSession, sf_dir: str, tokenizer_file: str | None = None) -> DataFrame:
+    file = tokenizer_file or public_tokenizers.path("byte_bpe_50k.json")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_counts.add_token_counts(docs, file).drop("text")
+
+
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = decontaminate.scan(docs, table(spark, sf_dir, "benchmark"))
@@ -45,6 +52,7 @@ QUERIES = {
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_toxicity": op3_toxicity,
     "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
+    "op8_token_counts": op8_token_counts,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_language_id": op10_language_id,
 }

@@ -14,6 +14,7 @@ are counted in Spark. Scoring reads every text whole.
 from __future__ import annotations
 
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -30,7 +31,7 @@ from phrasemill.llm.common import slices, stage
 
 MAX_LABELLED = 20_000
 #: Windows of tokens that the CRF is fitted on; those of smallest hash.
-MAX_WINDOWS = 12_000
+MAX_WINDOWS = 8_000
 #: A clean window in so many is kept for the fit; windows with a toxic token all are.
 CLEAN_SHARE = 40
 PREFIXES = (7, 6, 5, 4, 3)
@@ -157,15 +158,15 @@ def fit_tagger(sample: DataFrame, known: Signs, max_windows: int = MAX_WINDOWS)
     )
     # features: the bias and every key that the statistics know
     names = {k: i + 1 for i, k in enumerate(sorted(known.counts))}
-    flat, owner, gold = [], [], []
+    flat, owner, gold = array("i"), array("i"), array("i")
     for row in chosen:
         for word, tag in zip(row["words"], row["tags"], strict=True):
             ids = [0, *(names[k] for k in keys(word) if k in names)]
-            flat += ids
-            owner += [len(gold)] * len(ids)
+            flat.extend(ids)
+            owner.extend([len(gold)] * len(ids))
             gold.append(tag)
     weight, step, first = crf.fit(
-        flat, np.array(owner, np.int64), [len(r["words"]) for r in chosen], np.array(gold, np.int64), len(names) + 1
+        np.array(flat), np.array(owner), [len(r["words"]) for r in chosen], np.array(gold), len(names) + 1
     )
     return Model({k: float(weight[i]) for k, i in names.items()}, float(weight[0]), step, first)
 
