@@ -12,7 +12,7 @@ shingles, their prefixes, so only texts that meet there are compared:
   verified on the words, once a pair.
 * A prefix shingle that many texts share would give all pairs of them. Instead each round compares
   its texts with one leader, and texts already in one component are not compared again. When few
-  pairs lie across components, or a round finds no link, the last pass compares all that are left:
+  pairs lie across components, or rounds no longer help, the last pass compares all that are left:
   in every group, whatever is not in its largest component with everything of another component.
 
 So no link between components is lost, and a group of near copies costs about one comparison a text.
@@ -37,8 +37,9 @@ from phrasemill.llm.shingles import WIDTH, shingle_set, shingle_texts
 THRESHOLD = 80
 #: Cells in each of the two rows of the sketch.
 CELLS = 1 << 16
-#: Rounds with leaders end when this many open pairs are left for each prefix entry.
-OPEN_PAIRS = 2
+#: Rounds with leaders end when this many open pairs are left for each prefix entry, or when a
+#: round has closed less than a tenth of them.
+OPEN_PAIRS = 8
 #: Value ranges of the suffix filter.
 RANGES = 16
 
@@ -127,9 +128,12 @@ def may_link(x: np.ndarray, y: np.ndarray, threshold: int) -> bool:
     return int(np.abs(sizes[0] - sizes[1]).sum()) <= len(x) + len(y) - 2 * need
 
 
+def enough(both: int, x: int, y: int, threshold: int) -> bool:
+    return both > 0 and 100 * both >= threshold * (x + y - both)
+
+
 def linked(x: set, y: set, threshold: int = THRESHOLD) -> bool:
-    both = len(x & y)
-    return both > 0 and 100 * both >= threshold * (len(x) + len(y) - both)
+    return enough(len(x & y), len(x), len(y), threshold)
 
 
 def _verify(threshold: int, width: int):
@@ -137,10 +141,12 @@ def _verify(threshold: int, width: int):
         values = lru_cache(maxsize=256)(lambda t: shingle_set(t, width))
         plain = lru_cache(maxsize=256)(lambda t: shingle_texts(t, width))
         for batch in batches:
-            keep = [
-                may_link(values(s), values(t), threshold) and linked(plain(s), plain(t), threshold)
-                for s, t in zip(batch.column("s").to_pylist(), batch.column("t").to_pylist(), strict=True)
-            ]
+            keep = []
+            for s, t in zip(batch.column("s").to_pylist(), batch.column("t").to_pylist(), strict=True):
+                x, y = values(s), values(t)
+                # equal words have equal values, so what the values rule out needs no words
+                near = may_link(x, y, threshold) and enough(np.intersect1d(x, y, True).size, len(x), len(y), threshold)
+                keep.append(near and linked(plain(s), plain(t), threshold))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return check
@@ -181,13 +187,17 @@ def near_duplicates(df: DataFrame, threshold: int = THRESHOLD, width: int = WIDT
         rows.join(nodes.withColumnRenamed("digest", "of"), F.col("digest") == F.col("of"))
         .where("doc_id = node").select("node", "n", F.posexplode("prefix").alias("pos", "h"))
     )
-    often = entries.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h")
+    # the smaller set of a linked pair has the shared shingle even among fewer first ones
+    index = F.expr(f"pos <= n - {_need(threshold, 'n', 'n')}")
+    often = (
+        entries.groupBy("h").agg(F.count("*").alias("c"), F.max(index).alias("leads")).where("c > 1 and leads").select("h")
+    )
     band = F.floor(F.log("n") / log(100 / threshold)).alias("band")
     members = stage(entries.join(often, "h").select("h", "node", "n", "pos", band), "shingle-members")
     # documents whose rows hold several sets tie these together
     several = base.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("top")).where("a < top")
     edges = base.join(several, "doc_id").where("node <> a").select("a", F.col("node").alias("b")).distinct()
-    edges, tested, links, parts = stage(edges, "edges"), None, None, None
+    edges, tested, parts = stage(edges, "edges"), None, None
     texts = stage(
         docs.join(members.select(F.col("node").alias("doc_id")).distinct(), "doc_id")
         .select(F.col("doc_id").alias("node"), "text"),
@@ -195,7 +205,7 @@ def near_duplicates(df: DataFrame, threshold: int = THRESHOLD, width: int = WIDT
     )
     release(rows)
     size = members.count()
-    spin = 0
+    spin, before = 0, float("inf")
     while True:
         if parts is None:
             now = members.withColumn("comp", F.col("node"))
@@ -206,9 +216,9 @@ def near_duplicates(df: DataFrame, threshold: int = THRESHOLD, width: int = WIDT
         kinds = now.groupBy("h", "comp").agg(F.count("*").alias("c"))
         per = kinds.groupBy("h").agg(
             F.sum("c").alias("c"), F.max(F.struct("c", "comp")).alias("big"), F.count("*").alias("k")).where("k > 1")
-        found = links is None or links > 0
         open_pairs = per.select(F.sum(F.col("c").cast("double") * (F.col("c") - F.col("big.c")))).first()[0] or 0
-        last = not found or open_pairs <= OPEN_PAIRS * size
+        last = spin > 0 and (open_pairs <= OPEN_PAIRS * size or open_pairs > 0.9 * before)
+        before = open_pairs
         if last:
             minor = now.join(per.select("h", F.col("big.comp").alias("most")), "h").where("comp <> most")
             pairs = (
@@ -230,9 +240,7 @@ def near_duplicates(df: DataFrame, threshold: int = THRESHOLD, width: int = WIDT
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = stage(pairs, "shingle-pairs")
-        new = stage(_links(pairs, texts, threshold, width), "links")
-        links = new.count()
-        edges = stage(edges.union(new), "edges")
+        edges = stage(edges.union(_links(pairs, texts, threshold, width)), "edges")
         parts = stage(components(edges), "components")
         if last:
             break

@@ -8,7 +8,12 @@ from phrasemill.llm.common import mix
 
 WIDTH = 5
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-_POWERS = np.cumprod(np.full(64, _BASE, np.uint64), dtype=np.uint64)
+#: Random odd factors, one for each place in a word; a longer word goes through them again.
+_FACTORS = np.random.default_rng(5).integers(0, 1 << 63, 4096).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+#: The value of each byte: 0 for white space.
+_VALUES = np.arange(1, 257).astype(np.uint64)
+_VALUES[[9, 10, 11, 12, 13, 32]] = 0
+_INSIDE = _VALUES > 0
 
 
 def words(text: str | None) -> list[bytes]:
@@ -19,20 +24,19 @@ def words(text: str | None) -> list[bytes]:
 def word_values(text: str | None) -> np.ndarray:
     """One 64-bit value for each word of a text."""
     raw = np.frombuffer((text or "").encode("utf-8", "surrogatepass").lower(), np.uint8)
-    blank = (raw == 32) | ((raw >= 9) & (raw <= 13))
-    inside = ~blank
-    starts = np.flatnonzero(inside & np.append(True, blank[:-1])) if len(raw) else np.empty(0, np.int64)
-    if not len(starts):
+    inside = np.zeros(len(raw) + 2, bool)
+    inside[1:-1] = _INSIDE[raw]
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    if not len(edges):
         return np.empty(0, np.uint64)
-    ends = np.flatnonzero(inside & np.append(blank[1:], True)) + 1
-    lengths = ends - starts
-    at = np.arange(len(raw)) - np.repeat(np.append(0, starts), np.diff(np.concatenate([[0], starts, [len(raw)]])))
-    # place within the word, folded so that the table of powers stays small; a word of over 64
-    # bytes mixes the number of the block of 64 into each byte
-    value = raw.astype(np.uint64) + np.uint64(1) + ((at >> 6).astype(np.uint64) << np.uint64(8))
-    value = mix(value * _POWERS[at & 63])
-    value[blank] = 0
-    return mix(np.add.reduceat(value, starts) + lengths.astype(np.uint64))
+    starts, ends = edges[::2], edges[1::2]
+    gaps = np.diff(np.append(starts, len(raw)))
+    at = np.arange(starts[0], len(raw)) - np.repeat(starts, gaps)
+    value = _VALUES[raw[starts[0] :]]
+    if (ends - starts).max() > len(_FACTORS):
+        value = mix(value + ((at >> 12).astype(np.uint64) << np.uint64(9))) * (value > 0)
+    value *= _FACTORS[at & (len(_FACTORS) - 1)]
+    return mix(np.add.reduceat(value, starts - starts[0]) + (ends - starts).astype(np.uint64))
 
 
 def shingle_set(text: str | None, width: int = WIDTH) -> np.ndarray:
@@ -44,7 +48,7 @@ def shingle_set(text: str | None, width: int = WIDTH) -> np.ndarray:
     size = min(width, n)
     out = np.zeros(n - size + 1, np.uint64)
     for k in range(size):
-        out = mix(out ^ value[k : n - size + 1 + k]) * _BASE
+        out = out * _BASE + value[k : n - size + 1 + k]
     return np.unique(mix(out + np.uint64(size)))
 
 

@@ -86,7 +86,7 @@ def test_edited_copies_around_the_threshold(spark):
 def test_last_pass_alone_and_leaders_alone_agree(spark, monkeypatch):
     rows = [(i, " ".join(f"w{j}" for j in range(i % 7, 60 + i % 5)), None) for i in range(90)]
     df = spark.createDataFrame(rows, SCHEMA)
-    for share in (0, 1e9):
+    for share in (-1, 1e9):
         monkeypatch.setattr(jaccard, "OPEN_PAIRS", share)
         assert result(jaccard.near_duplicates(df)) == plain(rows)
 
