@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from phrasemill.llm import decontaminate, html, jaccard, langid, packing, token_counts, toxicity
+from phrasemill.llm import decontaminate, embeddings, html, jaccard, langid, packing, token_counts, toxicity
 from phrasemill.llm.common import held_out, table
 from phrasemill.llm.packing import measured
 
@@ -29,6 +29,10 @@ def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
 
+def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -56,6 +60,7 @@ QUERIES = {
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_toxicity": op3_toxicity,
     "op4_html_extraction": op4_html_extraction,
+    "op5_embedding_near_dedup": op5_embedding_near_dedup,
     "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
     "op8_token_counts": op8_token_counts,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
