@@ -6,11 +6,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from phrasemill.llm import decontaminate, embeddings, html, jaccard, langid, packing, token_counts, toxicity
+from phrasemill.llm import decontaminate, embeddings, html, jaccard, langid, licenses, packing, token_counts, toxicity
 from phrasemill.llm.common import held_out, table
 from phrasemill.llm.packing import measured
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = licenses.recognise(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", F.size("sentences").cast("bigint").alias("n_sentences"), "sequence", "licences", "n_unknown")
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(measured(table(spark, sf_dir, "documents")))
 
@@ -57,6 +62,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_license_scan": op1_license_scan,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_toxicity": op3_toxicity,
     "op4_html_extraction": op4_html_extraction,
@@ -67,11 +73,47 @@ QUERIES = {
     "op10_language_id": op10_language_id,
 }
 
+def _license_sql() -> str:
+    """The operator's tables as SQL: a CASE for each phrase and a replacement for each rule."""
+    quote = lambda s: "'" + s.replace("'", "''") + "'"
+    phrases = ",\n".join(f"CASE WHEN regexp_matches(s, {quote(p)}) THEN {quote(n)} END" for n, p in licenses.PHRASES)
+    steps, last = [], "seqs"
+    for i, (name, ids) in enumerate(licenses.RULES):
+        pattern = quote(f";{';;'.join(ids)};")
+        steps.append(f"""r{i} AS (SELECT doc_id, n, sequence, u, replace(rest, {pattern}, '|') AS rest,
+  CASE WHEN contains(rest, {pattern}) AND NOT list_contains(names, {quote(name)}) THEN list_append(names, {quote(name)}) ELSE names END AS names
+  FROM {last})""")
+        last = f"r{i}"
+    return f"""
+WITH cut AS (
+  SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), {quote(licenses.SENTENCE_END)}),
+    lambda s: regexp_matches(s, {quote(licenses.CANDIDATE)})) AS parts FROM documents
+), plain AS (
+  SELECT doc_id, list_transform(parts, lambda s: trim(regexp_replace(regexp_replace(
+    regexp_replace(lower(s), '[^a-z0-9.]+', ' ', 'g'), '\\.+( |$)', ' ', 'g'), ' +', ' ', 'g'))) AS parts FROM cut
+), known AS (
+  SELECT doc_id, list_transform(parts, lambda s: struct_pack(s := s, ids := list_filter([{phrases}], lambda x: x IS NOT NULL))) AS parts
+  FROM plain
+), named AS (
+  SELECT doc_id, list_filter(list_transform(parts, lambda x: CASE WHEN len(x.ids) > 0 THEN x.ids
+    WHEN regexp_matches(x.s || ' ', {quote(licenses.LICENCE_WORD)}) THEN ['{licenses.UNKNOWN}'] ELSE [] END), lambda x: len(x) > 0) AS ids
+  FROM known
+), seqs AS (
+  SELECT doc_id, len(ids) AS n, array_to_string(flatten(ids), ';') AS sequence,
+    len(list_filter(flatten(ids), lambda x: x = '{licenses.UNKNOWN}')) AS u,
+    ';' || replace(array_to_string(flatten(ids), ';'), ';', ';;') || ';' AS rest, CAST([] AS VARCHAR[]) AS names FROM named
+), {", ".join(steps)}
+SELECT doc_id, CAST(n AS BIGINT) AS n_sentences, sequence, array_to_string(names, ',') AS licences, CAST(u AS BIGINT) AS n_unknown
+FROM {last}
+"""
+
+
 _WORDS = r"""list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
   'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '')"""
 
 #: DuckDB SQL of the queries that SQL can express.
 ORACLE: dict[str, str] = {
+    "op1_license_scan": _license_sql(),
     "op9_benchmark_decontamination": f"""
 WITH items AS (
   SELECT item_id, w, least(len(w), 10) AS size FROM (SELECT item_id, {_WORDS} AS w FROM benchmark)
