@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from phrasemill.llm import decontaminate, embeddings, html, jaccard, langid, licenses, packing, token_counts, toxicity
+from phrasemill.llm import decontaminate, embeddings, html, jaccard, langid, licenses, lm_score, packing, token_counts, toxicity
 from phrasemill.llm.common import held_out, table
 from phrasemill.llm.packing import measured
 
@@ -38,6 +38,15 @@ def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The target are the documents labelled of good quality, the background is all documents."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id").distinct().withColumn("target", F.lit(True))
+    vocab = lm_score.vocabulary(docs.select("text").where("text is not null"))
+    model = lm_score.learn(docs.join(good, "doc_id", "left"), vocab=vocab)
+    return lm_score.score(docs, model).select("doc_id", "n_tokens", "score")
+
+
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -67,6 +76,7 @@ QUERIES = {
     "op3_toxicity": op3_toxicity,
     "op4_html_extraction": op4_html_extraction,
     "op5_embedding_near_dedup": op5_embedding_near_dedup,
+    "op6_lm_scoring": op6_lm_scoring,
     "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
     "op8_token_counts": op8_token_counts,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
