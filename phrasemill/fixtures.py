@@ -9,7 +9,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from phrasemill.sources.examples import read_table
 
 EXAMPLES_SQL = """
 SELECT example_id, input,
@@ -37,17 +36,17 @@ FROM (
     CASE event_id % 4 WHEN 0 THEN 'Geographic' WHEN 1 THEN 'Temporal' WHEN 2 THEN 'Entity' ELSE 'Categorical' END AS dim,
     CASE WHEN event_id % 60 = 59 THEN 'List all premium customers ordered by age' ELSE
     CASE event_id % 12
-      WHEN 0 THEN 'How many heads of the departments are older than ' || CAST(event_id % 90 AS STRING) || ' ?'
-      WHEN 1 THEN 'List the name, born state and age of the heads of departments ordered by age, batch ' || CAST(user_id AS STRING)
-      WHEN 2 THEN 'What are the maximum and minimum budget of the departments for ' || event_type || '?'
+      WHEN 0 THEN 'How many of the departments hired more people than in week ' || CAST(event_id % 90 AS STRING) || ' ?'
+      WHEN 1 THEN 'List the name, state and age of all staff in departments sorted by age, batch ' || CAST(user_id AS STRING)
+      WHEN 2 THEN 'What are the highest and lowest budget in departments with ' || event_type || '?'
       WHEN 3 THEN 'Compare sales between Q1 2024 and Q2 2024 for top ' || CAST(event_id % 9 + 1 AS STRING) || ' companies'
-      WHEN 4 THEN 'Find the total student enrollment for different affiliation type schools'
-      WHEN 5 THEN 'Show all main industry for all companies with ' || event_type || ' events'
+      WHEN 4 THEN 'Find the yearly student enrollment at every affiliation type of schools'
+      WHEN 5 THEN 'Show each industry of those companies with ' || event_type || ' events'
       WHEN 6 THEN 'how many ' || event_type || 's'
       WHEN 7 THEN 'List dogs ' || CAST(event_id % 7 AS STRING)
       WHEN 8 THEN 'What are zebras'
       WHEN 9 THEN 'Which films have the highest percentage of ' || event_type || 's versus books?'
-      WHEN 10 THEN 'Return the lowest price change for user ' || CAST(user_id AS STRING)
+      WHEN 10 THEN 'Return the smallest price change seen by user ' || CAST(user_id AS STRING)
       ELSE 'Show the average tonnage of ships and the trend by country'
     END END AS input
   FROM @events
@@ -100,7 +99,7 @@ def _run(spark: SparkSession, sql: str, **frames: DataFrame) -> DataFrame:
 
 def examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(example_id, input, output_json)``, one per event."""
-    events = read_table(spark, f"{sf_dir}/events.parquet", "event_id")
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
     return _run(spark, EXAMPLES_SQL, events=events)
 
 
@@ -114,18 +113,18 @@ def generated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(example_id, attempt, content, error)``, three attempts per event."""
-    events = read_table(spark, f"{sf_dir}/events.parquet", "event_id")
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
     attempts = events.select("event_id", F.explode(F.array(*map(F.lit, range(3)))).alias("attempt"))
     return _run(spark, RESPONSES_SQL, attempts=attempts)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole document texts as questions."""
-    docs = read_table(spark, f"{sf_dir}/documents.parquet", "doc_id")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return docs.select(F.col("doc_id").alias("example_id"), F.col("text").alias("input"))
 
 
 def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole conversation turns as questions."""
-    turns = read_table(spark, f"{sf_dir}/conversations.parquet", "conv_id", "turn")
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
     return turns.select("conv_id", "turn", F.col("text").alias("input"))

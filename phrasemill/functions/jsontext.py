@@ -41,6 +41,11 @@ def as_object(value: Column) -> Column:
     return F.try_variant_get(value, "$", VARIANT_OBJECT)
 
 
+def as_items(value: Column) -> Column:
+    """A variant array as ``array<variant>``, every element as it is; NULL if it is no array."""
+    return F.try_variant_get(value, "$", "array<variant>")
+
+
 def as_objects(value: Column) -> Column:
     """A variant array as ``array<map<string,variant>>``, its other elements NULL; NULL if it is
     no array."""

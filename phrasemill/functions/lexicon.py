@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from phrasemill.functions.text import alternation
+from phrasemill.functions.text import alternation, escaped, replacement
 
 # One term per line with its alternates, in the order they are applied. The
 # first alternate replaces the term; all alternates together are the target vocabulary.
@@ -161,7 +161,9 @@ def rewrite_terms(df: DataFrame, text: str = "input", lexicon: Lexicon = DEFAULT
     term. The others fold over just the terms they hold, with the running text in one lambda
     variable instead of a hundred nested expressions.
     """
-    rows = [{"key": k, "pattern": f"(?iu)\\Q{k}\\E", "repl": alts[0]} for k, alts in lexicon.entries]
+    rows = [
+        {"key": k, "pattern": f"(?iu){escaped(k)}", "repl": replacement(alts[0])} for k, alts in lexicon.entries
+    ]
     table = F.from_json(F.lit(json.dumps(rows)), "array<struct<key:string,pattern:string,repl:string>>")
     lower = F.col("_pm_lower")
     hits = F.when(

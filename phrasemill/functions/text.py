@@ -35,13 +35,26 @@ def contains_sql(text: str, words: Iterable[str]) -> str:
     return "(" + " OR ".join(f"contains({text}, {quoted(w)})" for w in words) + ")"
 
 
+def escaped(text: str) -> str:
+    """A regex that stands for ``text`` itself."""
+    return "".join(c if c.isalnum() or c in " _" else "\\" + c for c in text)
+
+
+def replacement(text: str) -> str:
+    """A replacement string that stands for ``text`` itself."""
+    return text.replace("\\", "\\\\").replace("$", "\\$")
+
+
 def alternation(words: Iterable[str]) -> str:
     """A regex that finds any of ``words`` as a substring, with common prefixes factored out.
 
     At each place only the words with the right first letter are tried, so a long list costs
-    about as much as a short one. Words hold letters, digits, blanks or underscores.
+    about as much as a short one. An empty list finds nothing.
     """
     tree: dict = {}
+    words = list(words)
+    if not words:
+        return "(?!)"
     for word in words:
         node = tree
         for letter in word:
@@ -51,7 +64,7 @@ def alternation(words: Iterable[str]) -> str:
     def render(node: dict) -> str:
         if "" in node:  # a shorter word ends here: its match settles the test
             return ""
-        parts = [letter + render(rest) for letter, rest in node.items()]
+        parts = [escaped(letter) + render(rest) for letter, rest in node.items()]
         return parts[0] if len(parts) == 1 else "(?:" + "|".join(parts) + ")"
 
     return render(tree)

@@ -7,8 +7,6 @@ the data once.
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -50,7 +48,6 @@ PATTERNS = {
     "return": ("return",),
 }
 
-MAX_SUMMED_TERMS = 64
 
 STEP_IDS = ("step_1", "step_2", "step_3")
 
@@ -212,26 +209,10 @@ def complexity_summary(df: DataFrame) -> DataFrame:
 
 
 def term_counts(df: DataFrame, terms: tuple[str, ...] = BI_TERMS) -> DataFrame:
-    """Questions that contain each term, ``(ord, term, questions)``, zero counts included.
-
-    A short list is counted in one row of conditional sums. For a long list only the terms a
-    question holds are exploded; their counts collapse map-side to one row per term.
-    """
-    lower = _with_lower(df)
-    if len(terms) <= MAX_SUMMED_TERMS:
-        row = lower.agg(*_term_aggs(terms))
-        return _stack(row, {t: f"term_{i}" for i, t in enumerate(terms)}, "term", "questions")
-    listed = json.dumps([{"ord": i, "term": t} for i, t in enumerate(terms)])
-    table = F.from_json(F.lit(listed), "array<struct<ord:int,term:string>>")
-    held = F.filter(table, lambda t: F.col("_pm_lower").contains(t["term"]))
-    counted = lower.select(F.explode(held["ord"]).alias("ord")).groupBy("ord").agg(
-        F.count(F.lit(1)).alias("_pm_n")
-    )
-    return (
-        df.sparkSession.range(1).select(F.inline(table))
-        .join(counted, "ord", "left")
-        .select("ord", "term", F.coalesce("_pm_n", F.lit(0)).cast("bigint").alias("questions"))
-    )
+    """Questions that contain each term, ``(ord, term, questions)``, zero counts included: one
+    conditional sum for each term in a single aggregate."""
+    row = _with_lower(df).agg(*_term_aggs(terms))
+    return _stack(row, {t: f"term_{i}" for i, t in enumerate(terms)}, "term", "questions")
 
 
 def terms_used(df: DataFrame, terms: tuple[str, ...] = BI_TERMS) -> DataFrame:

@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-MAX_BROADCAST_SPLITS = 200_000  # a split is one small row: below about 40 MB
-
 _BITS = 20  # a bucket spans 2**20 line numbers, a bucket of buckets 2**40
 
 
@@ -76,12 +74,10 @@ def number_by_file(df: DataFrame, position: str, probe: str | None = None) -> Da
     offsets = splits.select(
         "_pm_path", "_pm_block", "_pm_first", F.coalesce(before, F.lit(0)).alias("_pm_off")
     )
-    # Every file has one split more than its full-size ones at most, so files plus partitions
-    # bound the number of splits. Above the bound the join shuffles.
-    if len(df.inputFiles()) + df.rdd.getNumPartitions() <= MAX_BROADCAST_SPLITS:
-        offsets = F.broadcast(offsets)
+    # One small row a split: the list of splits is what the driver holds anyway to plan the scan
+    # (a million splits, 128 TB, are some 60 MB), so no record is shuffled to get its number.
     return (
-        df.join(offsets, ["_pm_path", "_pm_block"])
+        df.join(F.broadcast(offsets), ["_pm_path", "_pm_block"])
         .withColumn(position, (F.col("_pm_off") + F.col("_pm_mid") - F.col("_pm_first")).cast("bigint"))
         .drop("_pm_path", "_pm_block", "_pm_mid", "_pm_first", "_pm_off")
     )

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from phrasemill.functions.jsontext import (
-    as_objects, as_text, canonical, edit_items, edit_key, edit_results,
+    as_items, as_object, as_objects, as_text, canonical, edit_items, edit_key, edit_results,
 )
 from phrasemill.functions.text import contains_any, digest, emit
 from phrasemill.operators.audit import BI_TERMS, NON_BI_TERMS
@@ -168,19 +168,14 @@ def reclassify_unknown(df: DataFrame, phrases: tuple[str, ...] = BUSINESS_PHRASE
 def drop_redundant_dimensions(df: DataFrame) -> DataFrame:
     """Remove dimensions whose name is also among the breakdowns of the same result."""
 
+    def name(item: Column) -> Column:
+        return as_text(F.try_element_at(as_object(item), F.lit("name")))
+
     def pruned(result: Column) -> Column:
-        names = F.transform(
-            as_objects(F.try_element_at(result, F.lit("breakdowns"))),
-            lambda b: as_text(F.try_element_at(b, F.lit("name"))),
-        )
+        names = F.array_compact(F.transform(as_items(F.try_element_at(result, F.lit("breakdowns"))), name))
 
         def kept(value: Column) -> Column:
-            left = F.filter(
-                as_objects(value),
-                lambda d: ~F.coalesce(
-                    F.array_contains(names, as_text(F.try_element_at(d, F.lit("name")))), F.lit(False)
-                ),
-            )
+            left = F.filter(as_items(value), lambda d: ~F.coalesce(F.array_contains(names, name(d)), F.lit(False)))
             return F.coalesce(F.to_variant_object(left), value)
 
         return edit_key(result, {"dimensions": kept})
@@ -189,26 +184,37 @@ def drop_redundant_dimensions(df: DataFrame) -> DataFrame:
 
 
 def add_business_phrases(df: DataFrame, phrases: tuple[str, ...] = PREMIUM_PHRASES) -> DataFrame:
-    """Add listed phrases of the question to the unmatched intents of every result without them."""
+    """Add listed phrases of the question to the unmatched intents of every result without them.
 
-    def extended(result: Column) -> Column:
-        def grown(value: Column) -> Column:
-            known = as_objects(value)
-            have = F.transform(known, lambda u: F.lower(as_text(F.try_element_at(u, F.lit("phrase")))))
-            new = F.filter(
-                F.col("_pm_phrases"), lambda p: ~F.coalesce(F.array_contains(have, p), F.lit(False))
-            )
-            added = F.transform(
-                new,
-                lambda p: F.create_map(
-                    F.lit("phrase"), p.cast("variant"),
-                    F.lit("type"), F.lit("business_entity").cast("variant"),
-                    F.lit("reason"), F.lit("listed business phrase").cast("variant"),
-                ),
-            )
-            return F.coalesce(F.to_variant_object(F.concat(known, added)), value)
+    An absent or null list is created.
+    """
 
-        return edit_key(result, {"unmatched_intents": grown})
+    key = F.lit("unmatched_intents")
+
+    def extended(result: Column) -> Column:
+        value = F.try_element_at(result, key)
+        # absent and null count as an empty list; anything else that is no list is left alone
+        empty = value.isNull() | F.is_variant_null(value)
+        known = F.when(empty, F.array().cast("array<variant>")).otherwise(as_items(value))
+        have = F.transform(
+            known, lambda u: F.lower(as_text(F.try_element_at(as_object(u), F.lit("phrase"))))
+        )
+        new = F.filter(
+            F.col("_pm_phrases"), lambda p: ~F.coalesce(F.array_contains(have, p), F.lit(False))
+        )
+        added = F.transform(
+            new,
+            lambda p: F.to_variant_object(F.create_map(
+                F.lit("phrase"), p.cast("variant"),
+                F.lit("type"), F.lit("business_entity").cast("variant"),
+                F.lit("reason"), F.lit("listed business phrase").cast("variant"),
+            )),
+        )
+        grown = F.to_variant_object(F.concat(known, added))
+        rest = F.map_filter(result, lambda k, _: k != key)
+        return F.when(known.isNull() | (F.size(new) == 0), result).otherwise(
+            F.map_concat(rest, F.create_map(key, grown))
+        )
 
     found = F.array_compact(
         F.array(*[F.when(F.col(_LOWER).contains(p), F.lit(p)) for p in phrases])

@@ -555,7 +555,15 @@ ORACLE: dict[str, str] = {
     "strip_numbering": STRIPPED,
     "renumber": RENUMBERED,
     "combine_questions": COMBINED,
-    "slice_range": f"SELECT example_id, input FROM ({EX}) WHERE example_id >= 0",
+    "write_examples_array": f"SELECT row_number() OVER (ORDER BY example_id) - 1 AS example_id, input, output_json FROM ({EX})",
+    "write_rejects": (
+        "SELECT 'answer ' || example_id AS input, content AS output_json, CASE WHEN content IS NULL THEN 'no output' "
+        f"WHEN NOT json_valid(content) THEN 'output is not JSON' END AS problem FROM ({RSP})"
+    ),
+    "slice_range": (
+        f"SELECT 'middle' AS slice, example_id, input FROM ({EX}) WHERE example_id >= 100 AND example_id < 700 UNION ALL "
+        f"SELECT 'end', example_id, input FROM ({EX}) WHERE example_id >= (SELECT count(*) FROM events) - 250"
+    ),
     "assign_batches": f"SELECT example_id, example_id // 5 AS batch_no FROM ({EX})",
     "render_prompt": f"SELECT example_id, input, {PROMPT} AS prompt FROM ({EX})",
     "request_rows": request(annotate.BATCH),
@@ -668,7 +676,7 @@ ORACLE: dict[str, str] = {
         flat_rows("unmatched_intents", **UNMATCHED)
         + " UNION ALL SELECT example_id, step_no, "
         f"{size('unmatched_intents')} AS item_no, 'premium customers', 'business_entity', 'listed business phrase' "
-        f"FROM ({steps()}) WHERE contains(lower(input), 'premium customers') AND json_exists(r, '$.unmatched_intents') "
+        f"FROM ({steps()}) WHERE contains(lower(input), 'premium customers') "
         "AND NOT coalesce(list_contains(list_transform(CAST(json_extract_string(r, '$.unmatched_intents[*].phrase') "
         "AS VARCHAR[]), lambda p: lower(p)), 'premium customers'), false)"
     ),

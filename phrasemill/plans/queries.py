@@ -57,6 +57,31 @@ def write_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return example_files.read_examples(spark, f"{base}/out")
 
 
+def write_examples_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An indented array in, lines out, and back."""
+    base = scratch_dir(spark, "array")
+    ordered = fx.examples(spark, sf_dir).orderBy("example_id")
+    indented = F.concat(
+        F.lit('  {\n    "input": '), F.to_json(F.array("input")).substr(F.lit(2), F.length(F.to_json(F.array("input"))) - 2),
+        F.lit(',\n    "output":\n      '), F.regexp_replace("output_json", ',"', ',\n      "'), F.lit("\n  }"),
+    )
+    ordered.select(indented).write.option("lineSep", ",\n").text(f"{base}/in")
+    example_files.write_examples(example_files.read_examples(spark, f"{base}/in", "pretty_array"), f"{base}/out")
+    back = example_files.read_examples(spark, f"{base}/out")
+    return back.select("example_id", "input", F.regexp_replace("output_json", ', +"', ',"').alias("output_json"))
+
+
+def write_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Model answers written as outputs: what is no JSON is put aside with its reason, nothing is lost."""
+    path = scratch_dir(spark, "answers")
+    answers = fx.responses(spark, sf_dir).select(
+        (F.col("example_id") * 3 + F.col("attempt")).alias("example_id"),
+        F.concat(F.lit("answer "), "example_id").alias("input"), F.col("content").alias("output_json"))
+    example_files.write_examples(answers, path)
+    good = example_files.read_examples(spark, path).select("input", "output_json", F.lit(None).cast("string").alias("problem"))
+    return good.union(example_files.unwritten_examples(spark, path).select("input", "output_json", "problem"))
+
+
 def write_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_dir(spark, "report")
     report = audit.quality_report(fx.examples(spark, sf_dir))
@@ -131,6 +156,10 @@ def incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{base}/out")
 
 
+def _slice(examples: DataFrame, name: str, start: int, end: int | None) -> DataFrame:
+    return annotate.slice_range(examples, start, end).select(F.lit(name).alias("slice"), "example_id", "input")
+
+
 # ---------------------------------------------------------------- conversion
 
 
@@ -253,6 +282,8 @@ def before_after(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     # sources and sinks
     "read_examples": read_examples,
+    "write_examples_array": write_examples_array,
+    "write_rejects": write_rejects,
     "write_examples": write_examples,
     "write_report": write_report,
     "read_lines": read_lines,
@@ -318,7 +349,9 @@ QUERIES: dict[str, Query] = {
     "renumber": renumber,
     "combine_questions": combine_questions,
     # annotation
-    "slice_range": on_examples(lambda ex: annotate.slice_range(ex, 0).select("example_id", "input")),
+    "slice_range": on_examples(
+        lambda ex: _slice(ex, "middle", 100, 700).union(_slice(ex, "end", -250, None))
+    ),
     "assign_batches": on_examples(
         lambda ex: annotate.assign_batches(ex, 5).select("example_id", "batch_no")
     ),

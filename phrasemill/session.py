@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 
 def local_session(cores: int | str = 8, app: str = "phrasemill") -> SparkSession:
@@ -39,16 +39,3 @@ def scratch_dir(spark: SparkSession, label: str) -> str:
             raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
         base = tempfile.mkdtemp(prefix="phrasemill-")
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
-
-
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Hash-spread a *scan* that has fewer splits than the session has cores.
-
-    A large table has more splits than cores and is returned untouched, so there is no
-    shuffle at scale. Only meant for plans without an exchange: asking such a plan for its
-    partition count runs no job.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores, *keys)

@@ -2,23 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from phrasemill.functions.jsontext import is_strict_json
 from phrasemill.functions.text import emit
 from phrasemill.operators.audit import quality_report
 from phrasemill.operators.numbering import number_by_file
-from phrasemill.session import spread
+from phrasemill.schemas import EXAMPLE
 from phrasemill.sources.text import with_split
 
 _RECORD = "input string, output string, _corrupt_record string"
 
 
-def read_table(spark: SparkSession, path: str, *keys: str) -> DataFrame:
-    """A parquet table, spread over the cores if it is stored in fewer splits than that."""
-    return spread(spark.read.parquet(path), *keys)
-
-
 def _checked(rows: DataFrame) -> DataFrame:
     """The columns of an example with the reason why it is none, if so."""
     problem = (
@@ -107,25 +104,55 @@ def repair_concat_json(spark: SparkSession, path: str, pretty: bool = True) -> D
 
 
 def record_text(input: Column, output_json: Column) -> Column:
-    """One example as JSON text with its output embedded as it is."""
+    """One example as one line of JSON with its output embedded as it is.
+
+    A raw line break in valid JSON is white space, so it becomes a blank.
+    """
+    output_json = F.regexp_replace(output_json, r"[\r\n]", " ")
     return F.concat(
         F.lit('{"input":'), F.to_json(F.array(input)).substr(F.lit(2), F.length(F.to_json(F.array(input))) - 2),
         F.lit(',"output":'), output_json, F.lit("}"),
     )
 
 
+def write_problem(input: Column, output_json: Column) -> Column:
+    """Why an example cannot be a JSON record; NULL if it can."""
+    return (
+        F.when(input.isNull(), F.lit("no input")).when(output_json.isNull(), F.lit("no output"))
+        .when(~is_strict_json(output_json), F.lit("output is not JSON"))
+    )
+
+
 def write_examples(df: DataFrame, path: str, format: str = "json", ordered: bool = True) -> None:
     """Write examples as JSON Lines or parquet; ``ordered`` keeps positions as file order.
 
-    The order comes from range partitioning on the position, not from one sorted task.
+    The order comes from range partitioning on the position, not from one sorted task. Examples
+    that cannot be JSON records never become broken lines: they go with the reason to the folder
+    ``_rejects`` inside ``path``, which readers of ``path`` skip; see :func:`unwritten_examples`.
+    It is written only if there are any, and only then are they made a second time.
     """
     rows = df.select("example_id", "input", "output_json")
+    if format != "json":
+        (rows.orderBy("example_id") if ordered else rows).write.format(format).save(path)
+        return
+    checked = rows.withColumn("problem", write_problem(F.col("input"), F.col("output_json")))
+    seen = Observation()
+    good = checked.observe(seen, F.count("problem").alias("rejects")).filter("problem IS NULL")
     if ordered:
-        rows = rows.orderBy("example_id")
-    if format == "json":
-        rows.select(record_text(F.col("input"), F.col("output_json"))).write.text(path)
-    else:
-        rows.write.format(format).save(path)
+        good = good.orderBy("example_id")
+    good.select(record_text(F.col("input"), F.col("output_json"))).write.text(path)
+    if seen.get["rejects"]:
+        checked.filter("problem IS NOT NULL").write.parquet(f"{path.rstrip('/')}/_rejects")
+
+
+def unwritten_examples(spark: SparkSession, path: str) -> DataFrame:
+    """What :func:`write_examples` put aside in ``path``: ``(example_id, input, output_json, problem)``."""
+    try:
+        return spark.read.parquet(f"{path.rstrip('/')}/_rejects")
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], f"{EXAMPLE}, problem string")
 
 
 def write_report(df: DataFrame, path: str) -> None:

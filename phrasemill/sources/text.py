@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from phrasemill.operators.numbering import number_by_file
 from phrasemill.operators.questions import clean_lines
 
-MAX_CONTEXT_BYTES = 64 << 20
-
 
 def with_split(scan: DataFrame) -> DataFrame:
     """Add what :func:`phrasemill.operators.numbering.number_by_file` needs to a file scan."""
@@ -51,28 +50,27 @@ def load_template(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
-
-
 def load_context(
-    spark: SparkSession, folder: str, missing_ok: bool = True, max_bytes: int = MAX_CONTEXT_BYTES
+    spark: SparkSession, folder: str, missing_ok: bool = True, max_bytes: int | None = None
 ) -> DataFrame:
     """One row ``(context, context_chars)``: every ``*.json`` file under its bracketed name.
 
-    Files come in name order. A context goes into every prompt, so it has to be small: its
-    size is checked from the file listing before any content is read. A missing folder gives
-    an empty context, or an error unless ``missing_ok``.
+    Files come in name order. A context is one text that goes into every prompt, so it has to fit
+    a model's window; ``max_bytes`` is the caller's own bound, checked from the file listing before
+    any content is read. A missing folder gives an empty context, or an error unless ``missing_ok``.
     """
-    if missing_ok and not _exists(spark, folder):
+    try:
+        files = spark.read.format("binaryFile").option("pathGlobFilter", "*.json").load(folder)
+    except AnalysisException as error:
+        if not missing_ok or error.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.range(1).select(
             F.lit("").alias("context"), F.lit(0).cast("bigint").alias("context_chars")
         )
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.json").load(folder)
-    size = files.agg(F.coalesce(F.sum("length"), F.lit(0)).alias("n")).first()["n"]  # one number
-    if size > max_bytes:
-        raise ValueError(f"context files hold {size} bytes, more than {max_bytes}")
+    if max_bytes is not None:
+        size = files.agg(F.coalesce(F.sum("length"), F.lit(0)).alias("n")).first()["n"]  # one number
+        if size > max_bytes:
+            raise ValueError(f"context files hold {size} bytes, more than {max_bytes}")
     bodies = spark.read.text(folder, wholetext=True, pathGlobFilter="*.json").select(
         F.col("_metadata.file_name").alias("name"), "value"
     )

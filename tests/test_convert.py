@@ -7,14 +7,11 @@ from phrasemill.functions.lexicon import DEFAULT, Lexicon
 from phrasemill.operators import convert, flatten
 
 GOLDEN = [
-    ("How many heads of the departments are older than 56?", "How many heads of the publishers are older than 56?"),
-    ("List the creation year, name and budget of each department",
-     "List the creation year, name and revenue of each department"),
-    ("What are the maximum and minimum budget of the departments?",
-     "What are the maximum and minimum revenue of the publishers?"),
-    ("Find the total student enrollment for different affiliation type schools",
-     "Find the total student engagement for different association type websites"),
-    ("Show all main industry for all companies", "Show all main category for all publishers"),
+    ("How many of the departments hired in week 9?", "How many of the publishers hired in week 9?"),
+    ("Compare the budget of each department by year", "Compare the revenue of each department by year"),
+    ("Which departments spent the largest budget?", "Which publishers spent the largest revenue?"),
+    ("Report yearly enrollment by affiliation of schools", "Report yearly engagement by association of websites"),
+    ("Show the industry of those companies", "Show the category of those publishers"),
     # the vocabulary is missing: a subject is added
     ("how many dogs", "How many users dogs"),
     ("How many dogs", "How many dogs"),
@@ -134,3 +131,14 @@ def test_typed_output_names_what_it_drops(make):
     assert sorted(row[0].extra_keys) == ["more", "note"] and row[1].extra_keys == []
     assert row[0].output.discovery_results[0].breakdowns == ['{"name":"A"}']
     assert row[0].output_json == text
+
+
+def test_own_lexicon_letters_stand_for_themselves(make):
+    lexicon = Lexicon.from_text("us$: a\\b $1, x\nc++: d.e, y\na.b: z, w")
+    out = convert.rewrite_terms(make(("pay us$ now", "{}"), ("C++ or a.b", "{}"), ("axb ccc", "{}")), lexicon=lexicon)
+    assert [r.input for r in out.orderBy("example_id").collect()] == ["pay a\\b $1 now", "d.e or z", "axb ccc"]
+
+
+def test_an_empty_vocabulary_backfills_every_trigger(make):
+    out = convert.convert_question(make(("how many dogs", "{}")), lexicon=Lexicon(()))
+    assert out.first().input == "How many users dogs"

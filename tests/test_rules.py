@@ -127,3 +127,20 @@ def test_gate_and_subset(make):
     assert rules.readiness_gate(make(good, bad)).first().ready is False
     assert rules.readiness_gate(make()).first().ready is False
     assert [r.example_id for r in rules.clean_subset(make(bad, good, good, good), 2).collect()] == [1, 2]
+
+
+def test_fixes_make_no_nulls(make):
+    import json
+
+    from phrasemill.operators import rules
+
+    raw = json.dumps({"intent": "i", "discovery_results": [
+        {"dimensions": ["Country", {"name": "Region"}, {"name": "Year"}], "breakdowns": ["x", {"name": "Region"}],
+         "unmatched_intents": ["raw"]},
+        {"unmatched_intents": None}, {}, "text"]})
+    df = make(("all premium customers", raw))
+    out = json.loads(rules.drop_redundant_dimensions(df).first().output_json)["discovery_results"]
+    assert out[0]["dimensions"] == ["Country", {"name": "Year"}] and out[3] == "text"
+    grown = json.loads(rules.add_business_phrases(df).first().output_json)["discovery_results"]
+    new = {"phrase": "premium customers", "type": "business_entity", "reason": "listed business phrase"}
+    assert [r["unmatched_intents"] for r in grown[:3]] == [["raw", new], [new], [new]]

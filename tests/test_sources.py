@@ -117,3 +117,21 @@ def test_jobs(spark, tmp_path):
         spark, str(tmp_path / "old.txt"), str(tmp_path / "new.txt"), str(tmp_path / "all"))
     assert [r.line for r in sorted(text.read_raw_lines(spark, str(tmp_path / "all")).collect())] == [
         "1. a", "61. b", "62. c"]
+
+
+def test_nothing_is_lost_on_writing(spark, tmp_path):
+    from phrasemill.sources import examples as files
+
+    rows = [(0, "a", '{\n "x": 1,\r\n "y": [1,\n2]}'), (1, "b", None), (2, "c", "not json"), (3, None, "{}"), (4, "line\nbreak", "[]"),
+            (5, "d", "{} {}")]
+    df = spark.createDataFrame(rows, "example_id bigint, input string, output_json string")
+    path = str(tmp_path / "out")
+    files.write_examples(df, path)
+    good = {r.input: r.output_json for r in files.read_examples(spark, path).collect()}
+    assert set(good) == {"a", "line\nbreak"} and "".join(good["a"].split()) == '{"x":1,"y":[1,2]}'
+    aside = {r.example_id: (r.input, r.output_json, r.problem) for r in files.unwritten_examples(spark, path).collect()}
+    assert aside == {1: ("b", None, "no output"), 2: ("c", "not json", "output is not JSON"), 3: (None, "{}", "no input"),
+                     5: ("d", "{} {}", "output is not JSON")}
+    assert files.rejected_examples(spark, path).count() == 0
+    files.write_examples(df.where("example_id = 4"), path + "2")
+    assert files.unwritten_examples(spark, path + "2").count() == 0
