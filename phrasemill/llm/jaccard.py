@@ -11,7 +11,7 @@ shingles, their prefixes, so only texts that meet there are compared:
   left: value ranges hold too different numbers of shingles for the pair to link. Survivors are
   verified on the words, once a pair.
 * A prefix shingle that many texts share would give all pairs of them. Instead each round compares
-  its texts with one leader, and texts already in one component are not compared again. When few
+  its texts of like size with a few leaders, and texts already in one component are not compared again. When few
   pairs lie across components, or rounds no longer help, the last pass compares all that are left:
   in every group, whatever is not in its largest component with everything of another component.
 
@@ -37,8 +37,10 @@ from phrasemill.llm.shingles import WIDTH, shingle_set, shingle_texts
 THRESHOLD = 80
 #: Cells in each of the two rows of the sketch.
 CELLS = 1 << 16
+#: Leaders of each group in one round.
+LEADERS = 8
 #: Rounds with leaders end when this many open pairs are left for each prefix entry, or when a
-#: round has closed less than a tenth of them.
+#: round has closed less than a quarter of them.
 OPEN_PAIRS = 8
 #: Value ranges of the suffix filter.
 RANGES = 16
@@ -217,7 +219,7 @@ def near_duplicates(df: DataFrame, threshold: int = THRESHOLD, width: int = WIDT
         per = kinds.groupBy("h").agg(
             F.sum("c").alias("c"), F.max(F.struct("c", "comp")).alias("big"), F.count("*").alias("k")).where("k > 1")
         open_pairs = per.select(F.sum(F.col("c").cast("double") * (F.col("c") - F.col("big.c")))).first()[0] or 0
-        last = spin > 0 and (open_pairs <= OPEN_PAIRS * size or open_pairs > 0.9 * before)
+        last = spin > 0 and (open_pairs <= OPEN_PAIRS * size or open_pairs > 0.75 * before)
         before = open_pairs
         if last:
             minor = now.join(per.select("h", F.col("big.comp").alias("most")), "h").where("comp <> most")
@@ -226,10 +228,13 @@ def near_duplicates(df: DataFrame, threshold: int = THRESHOLD, width: int = WIDT
                 .where(F.expr(f"x.comp <> y.comp and {_filters(threshold, 'x', 'y')}")).select(*_in_order("x", "y"))
             )
         else:
-            # another leader each round: the node of least hash
-            head = F.struct(F.xxhash64("node", F.lit(spin)).alias("rank"), "node", "n", "pos", "comp")
+            # leaders have few rarer shingles before the shared one: they are like the text that the
+            # others were made from rather than ones with changes of their own; each round tries others
+            head = F.struct(F.floor(F.expr("20 * pos / n")).alias("far"), F.xxhash64("node", F.lit(spin)).alias("rank"),
+                            "node", "n", "pos", "comp")
+            seat = F.pmod(F.xxhash64("node", F.lit(spin), F.lit("seat")), F.lit(LEADERS)).alias("seat")
             lead = (
-                now.join(per.select("h"), "h", "left_semi").groupBy("h", "band").agg(F.min(head).alias("lead"))
+                now.join(per.select("h"), "h", "left_semi").groupBy("h", "band", seat).agg(F.min(head).alias("lead"))
                 .select("h", "band", "lead.node", "lead.n", "lead.pos", "lead.comp")
             )
             pairs = (
