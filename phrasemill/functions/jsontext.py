@@ -31,6 +31,30 @@ def canonical(text: Column) -> Column:
     return F.coalesce(F.to_json(F.try_parse_json(text)), text)
 
 
+def is_object(text: Column) -> Column:
+    """Whether a text is one JSON object; false for NULL."""
+    return F.json_object_keys(text).isNotNull()
+
+
+def has_key(text: Column, key: str) -> Column:
+    """Whether an object's text has a key, whatever its value; false if it is no object."""
+    return F.coalesce(F.array_contains(F.json_object_keys(text), key), F.lit(False))
+
+
+def result_texts(output_json: Column) -> Column:
+    """Every element of ``discovery_results`` as its own text, objects or not; NULL without a list.
+
+    Reading level by level keeps what a typed parse of the whole would lose: an element of another
+    kind voids nothing but itself, and of a repeated key the last value counts.
+    """
+    return F.from_json(output_json, "struct<discovery_results:array<string>>")["discovery_results"]
+
+
+def typed_items(texts: Column, kind: str) -> Column:
+    """The elements of a list of texts as structs, NULL where an element is no object."""
+    return F.transform(texts, lambda t: F.when(is_object(t), F.from_json(t, kind)))
+
+
 def as_text(value: Column) -> Column:
     """A variant string's value; NULL for any other kind of value."""
     return F.when(F.schema_of_variant(value) == "STRING", F.try_variant_get(value, "$", "string"))

@@ -142,15 +142,20 @@ ModelCall = Callable[[Sequence[str], int], Sequence["str | None | Exception"]]
 
 
 def annotate_batches(
-    prompts: DataFrame, model: ModelCall, batch_size: int = 10, max_attempts: int = MAX_ATTEMPTS
+    prompts: DataFrame, model: ModelCall, batch_size: int = 10, max_attempts: int = MAX_ATTEMPTS,
+    parallelism: int | None = None, template: str | None = None, context: str | None = None,
 ) -> DataFrame:
     """Run ``model(prompts, attempt)`` over ``(example_id, prompt)``; one row per attempt made.
 
+    With a ``template`` the frame holds ``(example_id, input)`` instead and each task fills in the
+    prompts itself, so template and context travel once a task and not once a row. ``parallelism``
+    is the number of tasks that call the model at a time; without it the partitions of the frame
+    decide, and a file in one split is one task.
+
     The model answers a batch with one text per prompt, or an exception in place of a text; a
     call that raises fails the whole batch. Prompts whose answer is not valid JSON are tried
-    again. An empty answer counts as an exception. Work is spread by the partitions of
-    ``prompts``; a task holds one Arrow batch of prompts and hands answers on as it goes. The
-    helpers are nested so that they travel with the task and workers need no copy of this package.
+    again. An empty answer counts as an exception. A task holds one Arrow batch of prompts and
+    hands answers on as it goes. The helpers are nested so that they travel with the task and workers need no copy of this package.
     """
 
     def is_json(text: str) -> bool:
@@ -169,10 +174,18 @@ def annotate_batches(
             return [ValueError("wrong number of answers")] * len(batch)
         return out
 
+    question_mark, context_mark = QUESTION_MARK, CONTEXT_MARK
+
+    def filled(value: str) -> str:
+        if template is None:
+            return value
+        prompt = template.replace(question_mark, value)
+        return prompt if context is None else prompt.replace(context_mark, context)
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         columns = ["example_id", "attempt", "content", "error"]
         for frame in frames:
-            todo = list(zip(frame["example_id"].tolist(), frame["prompt"].tolist()))
+            todo = list(zip(frame["example_id"].tolist(), map(filled, frame.iloc[:, 1].tolist())))
             rows = []
             for at in range(0, len(todo), batch_size):
                 open_rows = todo[at : at + batch_size]
@@ -197,7 +210,19 @@ def annotate_batches(
             if rows:
                 yield pd.DataFrame(rows, columns=columns)
 
-    return prompts.select("example_id", "prompt").mapInPandas(run, RESPONSE)
+    rows = prompts.select("example_id", "prompt" if template is None else "input")
+    if parallelism:
+        rows = rows.repartition(parallelism, "example_id")
+    return rows.mapInPandas(run, RESPONSE)
+
+
+def unanswered(examples: DataFrame, responses: DataFrame, max_attempts: int = MAX_ATTEMPTS) -> DataFrame:
+    """Examples without a final outcome in ``responses``: no valid JSON and attempts left over."""
+    done = responses.groupBy("example_id").agg(
+        F.max(F.when(F.col("error").isNull(), is_strict_json(F.col("content"))).otherwise(F.lit(False))).alias("ok"),
+        F.max("attempt").alias("last"),
+    ).filter(F.col("ok") | (F.col("last") >= max_attempts - 1))
+    return examples.join(done.select("example_id"), "example_id", "left_anti")
 
 
 # ---------------------------------------------------------------- resolving responses

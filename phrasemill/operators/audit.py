@@ -10,8 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from phrasemill.functions.jsontext import has_key, result_texts
 from phrasemill.functions.text import contains_any, contains_sql, emit, first_contained, quoted
-from phrasemill.schemas import REQUIRED_FIELDS, presence_type, steps_type
+from phrasemill.schemas import REQUIRED_FIELDS
 
 # Target terms whose use is counted, in reporting order.
 BI_TERMS = (
@@ -90,8 +91,11 @@ def _step_sum(per_row: Column, step: str) -> Column:
 
 
 def _with_step_ids(df: DataFrame) -> DataFrame:
-    parsed = F.from_json("output_json", steps_type("step_id"))
-    return df.withColumn("_pm_ids", parsed["discovery_results"]["step_id"])
+    return df.withColumn("_pm_ids", _step_ids(result_texts(F.col("output_json"))))
+
+
+def _step_ids(results: Column) -> Column:
+    return F.transform(results, lambda r: F.from_json(r, "struct<step_id:string>")["step_id"])
 
 
 def _step_aggs() -> list[Column]:
@@ -125,24 +129,21 @@ def _flag_condition(term: str) -> Column:
 
 
 def _with_presence(df: DataFrame) -> DataFrame:
-    return df.withColumn("_pm_out", F.from_json("output_json", presence_type()))
+    return df.withColumn("_pm_results", result_texts(F.col("output_json")))
 
 
 def _missing_fields() -> Column:
-    """Per result the array of absent required fields, for examples passing the top check."""
+    """Per result the array of absent required fields, for examples passing the top check; none
+    for a result that is no object. A key is present whatever its value and however often."""
+    required = F.array(*map(F.lit, REQUIRED_FIELDS))
     return F.transform(
-        F.col("_pm_out.discovery_results"),
-        lambda r: F.array_compact(
-            F.array(*[F.when(r[f].isNull(), F.lit(f)) for f in REQUIRED_FIELDS])
-        ),
+        F.col("_pm_results"),
+        lambda r: F.coalesce(F.array_except(required, F.json_object_keys(r)), F.array().cast("array<string>")),
     )
 
 
 def _has_key(name: str) -> Column:
-    """Presence of a top-level key. The key list is only asked where the parsed value is NULL,
-    because a value that does not fit its type parses to NULL as well."""
-    listed = F.array_contains(F.json_object_keys("output_json"), name)
-    return F.coalesce(F.col("_pm_out")[name].isNotNull() | listed, F.lit(False))
+    return has_key(F.col("output_json"), name)
 
 
 def _has_intent() -> Column:
@@ -155,9 +156,7 @@ def _has_results() -> Column:
 
 def audit_metrics(df: DataFrame, terms: tuple[str, ...] = BI_TERMS) -> DataFrame:
     """Every dataset-level count in one row, from one scan with map-side partial sums."""
-    ids = F.transform(
-        F.col("_pm_out.discovery_results"), lambda r: F.try_variant_get(r["step_id"], "$", "string")
-    )
+    ids = _step_ids(F.col("_pm_results"))
     missing = F.aggregate(_missing_fields(), F.lit(0), lambda n, m: n + F.size(m))
     rows = _with_presence(_with_lower(df)).select(
         "*",

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from phrasemill.schemas import REQUIRED_FIELDS, output_type, steps_type
+from phrasemill.functions.jsontext import is_object, result_texts, typed_items
+from phrasemill.schemas import ITEM_TYPES, REQUIRED_FIELDS, output_type, result_type
 
 
 def with_typed_output(df: DataFrame) -> DataFrame:
@@ -29,14 +30,24 @@ def with_typed_output(df: DataFrame) -> DataFrame:
 
 
 def steps(df: DataFrame, *fields: str, keep: tuple[str, ...] = ()) -> DataFrame:
-    """``(example_id, *keep, step_no, *fields)`` per discovery result, parsing only ``fields``."""
-    parsed = df.select(
-        "example_id", *keep,
-        F.posexplode(F.from_json("output_json", steps_type(*fields))["discovery_results"]),
+    """``(example_id, *keep, step_no, *fields)`` per discovery result, parsing only ``fields``.
+
+    Results that are no objects have no row and such elements of a list are NULL, at their
+    places; :func:`skipped_elements` lists both.
+    """
+    names = fields or REQUIRED_FIELDS
+    raw = df.select(
+        "example_id", *keep, F.posexplode(result_texts(F.col("output_json"))).alias("_pm_no", "_pm_text")
+    )
+    parsed = raw.filter(is_object(F.col("_pm_text"))).withColumn(
+        "_pm_step", F.from_json("_pm_text", result_type(*names))
     )
     return parsed.select(
-        "example_id", *keep, F.col("pos").cast("bigint").alias("step_no"),
-        *[F.col("col")[f].alias(f) for f in (fields or REQUIRED_FIELDS)],
+        "example_id", *keep, F.col("_pm_no").cast("bigint").alias("step_no"),
+        *[
+            (typed_items(F.col("_pm_step")[f], ITEM_TYPES[f]) if f in ITEM_TYPES else F.col("_pm_step")[f]).alias(f)
+            for f in names
+        ],
     )
 
 
@@ -44,7 +55,7 @@ def items(df: DataFrame, field: str, *columns: str, keep: tuple[str, ...] = ())
     """``(example_id, *keep, step_no, item_no, *columns)`` per element of an array field."""
     exploded = steps(df, field, keep=keep).select(
         "example_id", *keep, "step_no", F.posexplode(field)
-    )
+    ).filter("col IS NOT NULL")
     return exploded.select(
         "example_id", *keep, "step_no", F.col("pos").cast("bigint").alias("item_no"),
         *[F.col("col")[c].alias(c) for c in columns],
@@ -75,3 +86,28 @@ def flatten_dimensions(df: DataFrame) -> DataFrame:
 
 def flatten_unmatched(df: DataFrame) -> DataFrame:
     return items(df, "unmatched_intents", "phrase", "type", "reason")
+
+
+def skipped_elements(df: DataFrame) -> DataFrame:
+    """Quarantine ``(example_id, step_no, field, item_no, element)``: what is no object where one
+    belongs. ``field`` is ``discovery_results`` and ``item_no`` -1 for a whole result."""
+    raw = df.select("example_id", F.posexplode(result_texts(F.col("output_json"))).alias("_pm_no", "_pm_text"))
+    at = F.col("_pm_no").cast("bigint").alias("step_no")
+    whole = raw.filter(~is_object(F.col("_pm_text"))).select(
+        "example_id", at, F.lit("discovery_results").alias("field"), F.lit(-1).cast("bigint").alias("item_no"),
+        F.col("_pm_text").alias("element"),
+    )
+    lists = raw.filter(is_object(F.col("_pm_text"))).withColumn(
+        "_pm_step", F.from_json("_pm_text", result_type(*ITEM_TYPES))
+    )
+
+    def elements(field: str) -> Column:
+        return F.transform(
+            F.coalesce(F.col("_pm_step")[field], F.array().cast("array<string>")),
+            lambda t, i: F.struct(
+                F.lit(field).alias("field"), i.cast("bigint").alias("item_no"), t.alias("element")
+            ),
+        )
+
+    inner = lists.select("example_id", at, F.inline(F.concat(*map(elements, ITEM_TYPES)))).filter(~is_object(F.col("element")))
+    return whole.union(inner)

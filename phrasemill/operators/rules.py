@@ -10,13 +10,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from phrasemill.functions.jsontext import (
-    as_items, as_object, as_objects, as_text, canonical, edit_items, edit_key, edit_results,
+    as_items, as_object, as_text, canonical, edit_items, edit_key, edit_results, has_key, is_object, result_texts,
+    typed_items,
 )
 from phrasemill.functions.text import contains_any, digest, emit
 from phrasemill.operators.audit import BI_TERMS, NON_BI_TERMS
 from phrasemill.operators.convert import recoder
 from phrasemill.operators.flatten import items, steps
-from phrasemill.schemas import LIST_FIELDS, REQUIRED_FIELDS, VARIANT_OBJECT, presence_type
+from phrasemill.schemas import ITEM_TYPES, LIST_FIELDS, REQUIRED_FIELDS, VARIANT_OBJECT, result_type
 
 # Named by the rules.
 TYPE_FIXES = {"action": "business_action"}
@@ -290,8 +291,10 @@ def phrase_mismatch(df: DataFrame) -> DataFrame:
 
 def sub_question_mismatch(df: DataFrame) -> DataFrame:
     """One-step examples whose sub question is not the question."""
-    subs = F.from_json("output_json", "struct<discovery_results:array<struct<sub_question:string>>>")
-    rows = df.select("example_id", "input", subs["discovery_results"]["sub_question"].alias("_pm_subs"))
+    subs = F.transform(
+        result_texts(F.col("output_json")), lambda r: F.from_json(r, "struct<sub_question:string>")["sub_question"]
+    )
+    rows = df.select("example_id", "input", subs.alias("_pm_subs"))
     only = F.when(F.array_size("_pm_subs") == 1, F.try_element_at("_pm_subs", F.lit(1)))
     return emit(rows, only != F.col("input"), F.col("example_id"), F.col("input"), only.alias("sub_question"))
 
@@ -353,15 +356,11 @@ def calculation_mismatch(
     df: DataFrame, words: dict[str, tuple[str, ...]] = CALCULATION_WORDS
 ) -> DataFrame:
     """Questions that name a calculation no measure of the example has."""
-    out = F.from_json(
-        "output_json", "struct<discovery_results:array<struct<measures:array<struct<calculation:string>>>>>"
-    )
-    have = F.flatten(
-        F.transform(
-            out["discovery_results"],
-            lambda r: F.coalesce(r["measures"]["calculation"], F.array().cast("array<string>")),
-        )
-    )
+    def calculations_of(result: Column) -> Column:
+        read = typed_items(F.from_json(result, result_type("measures"))["measures"], ITEM_TYPES["measures"])
+        return F.coalesce(F.transform(read, lambda m: m["calculation"]), F.array().cast("array<string>"))
+
+    have = F.flatten(F.transform(result_texts(F.col("output_json")), calculations_of))
     named = F.array_compact(
         F.array(
             *[
@@ -405,11 +404,11 @@ def redundant_dimensions(df: DataFrame) -> DataFrame:
 
 def missing_timeframe(df: DataFrame, pattern: str = TIME_PHRASE) -> DataFrame:
     """Questions with a time phrase whose results hold no time frame."""
-    out = F.from_json(
-        "output_json", "struct<discovery_results:array<struct<timeframe:struct<phrase:string>>>>"
-    )
     phrase = F.regexp_extract("input", pattern, 1)
-    covered = F.exists(out["discovery_results"], lambda r: r["timeframe"]["phrase"].isNotNull())
+    covered = F.exists(
+        result_texts(F.col("output_json")),
+        lambda r: F.from_json(r, result_type("timeframe"))["timeframe"]["phrase"].isNotNull(),
+    )
     rows = df.select(
         "example_id", phrase.alias("phrase"), F.coalesce(covered, F.lit(False)).alias("_pm_covered")
     )
@@ -504,36 +503,38 @@ def with_issue_counts(
     Issues of an example depend on that example alone, so counting, sharing and filtering by
     issue needs no join: one parse, one scan, no shuffle.
     """
-    results = F.col("_pm_out.discovery_results")
+    results = F.col("_pm_results")
 
     def total(per_result) -> Column:
         return F.coalesce(F.aggregate(results, F.lit(0), lambda n, r: n + per_result(r)), F.lit(0))
 
-    def bad(value: Column, item_test) -> Column:
-        return F.coalesce(F.array_size(F.filter(as_objects(value), item_test)), F.lit(0))
-
-    def field(obj: Column, name: str) -> Column:
-        return as_text(F.try_element_at(obj, F.lit(name)))
+    def bad(result: Column, name: str, item_test) -> Column:
+        read = F.array_compact(typed_items(result["step"][name], ITEM_TYPES[name]))
+        return F.coalesce(F.array_size(F.filter(read, item_test)), F.lit(0))
 
     def foreign(item: Column) -> Column:
-        return ~F.coalesce(F.col(_LOWER).contains(F.lower(field(item, "original_phrase"))), F.lit(True))
-
-    keys = F.json_object_keys("output_json")
-    has_results = results.isNotNull() | F.coalesce(F.array_contains(keys, "discovery_results"), F.lit(False))
-    has_intent = F.col("_pm_out.intent").isNotNull() | F.coalesce(F.array_contains(keys, "intent"), F.lit(False))
-    broken = ~has_intent | ~has_results
-    missing = total(lambda r: sum((F.when(r[f].isNull(), 1).otherwise(0) for f in REQUIRED_FIELDS), F.lit(0)))
-    n_steps = F.coalesce(F.array_size(results), F.lit(0))
+        return ~F.coalesce(F.col(_LOWER).contains(F.lower(item["original_phrase"])), F.lit(True))
+
+    texts = result_texts(F.col("output_json"))
+    step = result_type("measures", "dimensions", "unmatched_intents")
+    read = F.transform(
+        F.filter(texts, is_object),
+        lambda t: F.struct(F.json_object_keys(t).alias("keys"), F.from_json(t, step).alias("step")),
+    )
+    required = F.array(*map(F.lit, REQUIRED_FIELDS))
+    broken = ~has_key(F.col("output_json"), "intent") | ~has_key(F.col("output_json"), "discovery_results")
+    missing = total(lambda r: F.array_size(F.array_except(required, r["keys"])))
+    n_steps = F.coalesce(F.col("_pm_steps"), F.lit(0))
     hinted = contains_any(F.col(_LOWER), indicators)
-    parsed = _with_lower(df).withColumn("_pm_out", F.from_json("output_json", presence_type()))
+    parsed = _with_lower(df).withColumns({"_pm_results": read, "_pm_steps": F.array_size(texts)})
     return parsed.select(
         *df.columns,
         F.when(broken, 1).otherwise(missing).alias("n_structure"),
-        total(lambda r: bad(r["unmatched_intents"], lambda u: _absent(field(u, "type"), types)))
+        total(lambda r: bad(r, "unmatched_intents", lambda u: _absent(u["type"], types)))
         .alias("n_invalid_type"),
         F.when((hinted & (n_steps < 2)) | (~hinted & (n_steps >= 2)), 1).otherwise(0).alias("n_complexity"),
-        total(lambda r: bad(r["measures"], foreign) + bad(r["dimensions"], foreign)).alias("n_original_phrase"),
-        total(lambda r: bad(r["measures"], lambda m: _absent(field(m, "calculation"), calculations)))
+        total(lambda r: bad(r, "measures", foreign) + bad(r, "dimensions", foreign)).alias("n_original_phrase"),
+        total(lambda r: bad(r, "measures", lambda m: _absent(m["calculation"], calculations)))
         .alias("n_calculation"),
     )
 

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from phrasemill.functions.lexicon import DEFAULT, Lexicon
 from phrasemill.operators import annotate
 from phrasemill.operators.convert import convert_examples
 from phrasemill.operators.questions import combine_questions
+from phrasemill.schemas import RESPONSE
 from phrasemill.sources import examples as files
 from phrasemill.sources import text
 
@@ -43,19 +46,40 @@ def merge_question_files(spark: SparkSession, existing: str, generated: str, tar
 def annotate_dataset(
     spark: SparkSession, source: str, template: str, context: str, model: annotate.ModelCall,
     responses: str, target: str, start: int = 0, end: int | None = None, batch_size: int = 10,
-    layout: str = "lines",
+    layout: str = "lines", parallelism: int | None = None, commit_every: int = 100_000,
 ) -> DataFrame:
     """Send the slice ``[start, end)`` of a dataset through a model and write the result.
 
-    Every answer is stored in ``responses`` before anything is derived from it: a lost executor
-    then costs no second round of calls, and the result cannot mix two answers to one prompt.
-    Returns the summary of the stored result.
+    Answers are committed to ``responses`` after every ``commit_every`` positions, before anything
+    is derived from them. A rerun with the same folder asks only for examples without a final
+    outcome there, so a failure costs the calls of one step at most, and the result cannot mix two
+    answers to one prompt. Returns the summary of the stored result.
     """
     examples = annotate.slice_range(files.read_examples(spark, source, layout), start, end)
-    prompts = annotate.render_prompt(
-        examples, text.load_template(spark, template), text.load_context(spark, context)
-    )
-    annotate.annotate_batches(prompts, model, batch_size).write.parquet(responses)
-    made = annotate.annotated_dataset(examples, spark.read.parquet(responses))
-    made.write.parquet(target)
+    texts = [text.load_template(spark, template).first()["template"], text.load_context(spark, context).first()["context"]]
+    span = examples.agg(F.min("example_id"), F.max("example_id")).first()
+    for first in range(span[0], span[1] + 1, commit_every) if span[0] is not None else ():
+        step = annotate.slice_range(examples, first, first + commit_every)
+        stored = answers(spark, responses)
+        if stored is not None:
+            step = annotate.unanswered(step, stored)
+        made = annotate.annotate_batches(
+            step, model, batch_size, parallelism=parallelism, template=texts[0], context=texts[1]
+        )
+        made.write.mode("append").parquet(responses)
+    stored = answers(spark, responses)
+    if stored is None:
+        stored = spark.createDataFrame([], RESPONSE)
+    # a step that failed halfway has committed nothing, so attempts of an example come from one run
+    annotate.annotated_dataset(examples, stored).write.parquet(target)
     return annotate.annotation_summary(spark.read.parquet(target))
+
+
+def answers(spark: SparkSession, responses: str) -> DataFrame | None:
+    """The answers stored so far, or None before the first step is committed."""
+    try:
+        return spark.read.schema(RESPONSE).parquet(responses)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None

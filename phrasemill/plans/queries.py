@@ -156,6 +156,14 @@ def incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{base}/out")
 
 
+def _planted(examples: DataFrame) -> DataFrame:
+    """Examples in which some lists hold an element that is no object."""
+    out = F.replace(F.col("output_json"), F.lit('"dimensions":[{'), F.lit('"dimensions":["Country",{'))
+    out = F.when(F.col("example_id") % 10 == 4, out).otherwise(F.col("output_json"))
+    return examples.withColumn("output_json", F.when(F.col("example_id") % 10 == 5, F.replace(
+        out, F.lit('"discovery_results":['), F.lit('"discovery_results":[7,'))).otherwise(out))
+
+
 def _slice(examples: DataFrame, name: str, start: int, end: int | None) -> DataFrame:
     return annotate.slice_range(examples, start, end).select(F.lit(name).alias("slice"), "example_id", "input")
 
@@ -317,6 +325,7 @@ QUERIES: dict[str, Query] = {
     "flatten_measures": on_examples(flatten.flatten_measures),
     "flatten_dimensions": on_examples(flatten.flatten_dimensions),
     "flatten_unmatched": on_examples(flatten.flatten_unmatched),
+    "skipped_elements": on_examples(lambda ex: flatten.skipped_elements(_planted(ex))),
     # audit
     "step_distribution": on_examples(audit.step_distribution),
     "complexity_summary": on_examples(audit.complexity_summary),

@@ -28,6 +28,12 @@ FIELD_TYPES = {
     "unmatched_intents": f"array<{UNMATCHED}>",
 }
 
+# Fields whose elements are objects, read one by one.
+ITEM_TYPES = {
+    "measures": MEASURE, "dimensions": DIMENSION, "pattern": "struct<name:string,phrase:string>",
+    "unmatched_intents": UNMATCHED,
+}
+
 # A VARIANT field tells an absent key (SQL NULL) from a JSON null (a variant holding null),
 # which a typed field cannot.
 VARIANT_OBJECT = "map<string,variant>"
@@ -44,12 +50,12 @@ def steps_type(*fields: str) -> str:
     return f"struct<discovery_results:array<struct<{inner}>>>"
 
 
+def result_type(*fields: str) -> str:
+    """Type of one result that holds only ``fields``, elements of lists still as texts."""
+    kinds = {f: "array<string>" if FIELD_TYPES[f].startswith("array<") else FIELD_TYPES[f] for f in fields or REQUIRED_FIELDS}
+    return "struct<" + ",".join(f"{f}:{kind}" for f, kind in kinds.items()) + ">"
+
+
 def output_type() -> str:
     """Type of a whole output."""
     return steps_type().replace("struct<", "struct<intent:string,", 1)
-
-
-def presence_type() -> str:
-    """Type of an output in which every required key is a variant, NULL only when absent."""
-    inner = ",".join(f"{name}:variant" for name in REQUIRED_FIELDS)
-    return f"struct<intent:variant,discovery_results:array<struct<{inner}>>>"

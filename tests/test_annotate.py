@@ -117,3 +117,39 @@ def test_annotate_dataset(spark, tmp_path):
         spark, str(tmp_path / "d.json"), str(tmp_path / "t.txt"), str(tmp_path / "ctx"), model,
         str(tmp_path / "r"), str(tmp_path / "out"), start=2, end=8, batch_size=5)
     assert [(r.example_id, r.intent, r.steps) for r in sorted(summary.collect())] == [(i, "new", 0) for i in range(2, 8)]
+
+
+def test_a_rerun_asks_only_for_what_is_open(spark, tmp_path):
+    rows = [{"input": f"question {i}", "output": {}} for i in range(20)]
+    (tmp_path / "d.json").write_text("\n".join(map(json.dumps, rows)))
+    (tmp_path / "t.txt").write_text(TEMPLATE)
+    (tmp_path / "calls").mkdir()
+    calls, broken = str(tmp_path / "calls"), str(tmp_path / "broken")
+    (tmp_path / "broken").write_text("x")
+
+    def model(prompts, attempt):
+        import os
+        import uuid
+
+        if any("question 13" in p for p in prompts) and os.path.exists(broken):
+            os._exit(1)  # the worker dies, so the step fails whatever the operator catches
+        with open(f"{calls}/{uuid.uuid4().hex}", "w") as f:
+            f.write("\n".join(p[-20:].replace("\n", " ") for p in prompts))
+        return ['{"intent":"new","discovery_results":[]}'] * len(prompts)
+
+    def job(target):
+        return jobs.annotate_dataset(
+            spark, str(tmp_path / "d.json"), str(tmp_path / "t.txt"), str(tmp_path / "none"), model,
+            str(tmp_path / "r"), str(tmp_path / target), batch_size=2, parallelism=2, commit_every=10)
+
+    def asked():
+        return sum(len(f.read_text().splitlines()) for f in (tmp_path / "calls").iterdir())
+
+    with pytest.raises(Exception):
+        job("out1")
+    stored = jobs.answers(spark, str(tmp_path / "r"))
+    assert stored.count() == 10
+    (tmp_path / "broken").unlink()
+    before = asked()
+    summary = job("out2").collect()
+    assert asked() - before == 10 and sorted(r.example_id for r in summary) == list(range(20))

@@ -144,3 +144,29 @@ def test_fixes_make_no_nulls(make):
     grown = json.loads(rules.add_business_phrases(df).first().output_json)["discovery_results"]
     new = {"phrase": "premium customers", "type": "business_entity", "reason": "listed business phrase"}
     assert [r["unmatched_intents"] for r in grown[:3]] == [["raw", new], [new], [new]]
+
+
+def test_lists_and_counts_agree_on_mixed_outputs(make):
+    import json
+
+    from phrasemill.operators import audit, flatten, rules
+
+    bad = {"name": "N", "calculation": "Nonsense", "original_phrase": "nowhere"}
+    mixed = json.dumps({"intent": "i", "discovery_results": [
+        {"measures": [bad, "text", 5, None], "dimensions": ["Country", {"name": "Region", "original_phrase": "elsewhere"}],
+         "unmatched_intents": [{"phrase": "p", "type": "odd"}, []]},
+        "not a result", {"measures": {"name": "no list"}}]})
+    twice = '{"intent":"i","intent":"j","discovery_results":[{"measures":[1],"measures":[{"name":"M","name":"N","calculation":"Bad"}]}]}'
+    df = make(("a question", mixed), ("a question", twice))
+    counts = rules.with_issue_counts(df).groupBy().sum().first().asDict()
+    listed = {
+        "invalid_type": rules.invalid_types(df).count(), "calculation": rules.invalid_calculations(df).count(),
+        "original_phrase": rules.phrase_mismatch(df).count(), "structure": audit.structure_issues(df).count(),
+    }
+    assert {k: counts[f"sum(n_{k})"] for k in listed} == listed
+    assert listed == {"invalid_type": 1, "calculation": 2, "original_phrase": 2, "structure": 7 + 9 + 9}
+    names = [(r.example_id, r.step_no, r.item_no, r.name) for r in flatten.flatten_measures(df).collect()]
+    assert sorted(names) == [(0, 0, 0, "N"), (1, 0, 0, "N")]
+    skipped = {(r.step_no, r.field, r.item_no) for r in flatten.skipped_elements(df).collect() if r.example_id == 0}
+    assert skipped == {(0, "measures", 1), (0, "measures", 2), (0, "measures", 3), (0, "dimensions", 0), (0, "unmatched_intents", 1),
+                       (1, "discovery_results", -1)}
