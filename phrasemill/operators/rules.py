@@ -184,6 +184,37 @@ def drop_redundant_dimensions(df: DataFrame) -> DataFrame:
     return df.withColumn("output_json", edit_results(F.col("output_json"), pruned))
 
 
+def _put(result: Column, key: str, value: Column) -> Column:
+    """A result with one key set, whether it had it or not."""
+    return F.map_concat(F.map_filter(result, lambda k, _: k != key), F.create_map(F.lit(key), value))
+
+
+def fix_sub_questions(df: DataFrame) -> DataFrame:
+    """Set the sub question of one-step examples to the question; see :func:`sub_question_mismatch`."""
+    one = F.coalesce(F.array_size(result_texts(F.col("output_json"))) == 1, F.lit(False))
+    edited = edit_results(F.col("output_json"), lambda r: _put(r, "sub_question", F.col("input").cast("variant")))
+    fixed = F.when(one & F.col("input").isNotNull(), edited).otherwise(F.col("output_json"))
+    return df.withColumn("output_json", fixed)
+
+
+def fix_timeframes(df: DataFrame, pattern: str = TIME_PHRASE) -> DataFrame:
+    """Give the results of a question with a time phrase that phrase as time frame, where no result
+    of the example has one; see :func:`missing_timeframe`."""
+    phrase = F.regexp_extract("input", pattern, 1)
+    open_ = (phrase != "") & ~F.coalesce(_covered(), F.lit(False))
+    frame = F.to_variant_object(F.create_map(F.lit("phrase"), phrase.cast("variant")))
+    edited = edit_results(F.col("output_json"), lambda r: _put(r, "timeframe", frame))
+    return df.withColumn("output_json", F.when(open_, edited).otherwise(F.col("output_json")))
+
+
+def _covered() -> Column:
+    """Whether a result of the example holds a time frame."""
+    return F.exists(
+        result_texts(F.col("output_json")),
+        lambda r: F.from_json(r, result_type("timeframe"))["timeframe"]["phrase"].isNotNull(),
+    )
+
+
 def add_business_phrases(df: DataFrame, phrases: tuple[str, ...] = PREMIUM_PHRASES) -> DataFrame:
     """Add listed phrases of the question to the unmatched intents of every result without them.
 
@@ -405,12 +436,8 @@ def redundant_dimensions(df: DataFrame) -> DataFrame:
 def missing_timeframe(df: DataFrame, pattern: str = TIME_PHRASE) -> DataFrame:
     """Questions with a time phrase whose results hold no time frame."""
     phrase = F.regexp_extract("input", pattern, 1)
-    covered = F.exists(
-        result_texts(F.col("output_json")),
-        lambda r: F.from_json(r, result_type("timeframe"))["timeframe"]["phrase"].isNotNull(),
-    )
     rows = df.select(
-        "example_id", phrase.alias("phrase"), F.coalesce(covered, F.lit(False)).alias("_pm_covered")
+        "example_id", phrase.alias("phrase"), F.coalesce(_covered(), F.lit(False)).alias("_pm_covered")
     )
     return emit(
         rows, (F.col("phrase") != "") & ~F.col("_pm_covered"), F.col("example_id"), F.col("phrase")

@@ -684,6 +684,16 @@ ORACLE: dict[str, str] = {
         rf"regexp_extract(input, '{rules.TIME_PHRASE}', 1) <> '' AND NOT EXISTS (SELECT 1 FROM ({steps()}) s WHERE "
         "s.example_id = x.example_id AND json_extract_string(s.r, '$.timeframe.phrase') IS NOT NULL)"
     ),
+    "sub_question_fix": (
+        "SELECT example_id, step_no, CASE WHEN count(*) OVER (PARTITION BY example_id) = 1 THEN input ELSE "
+        f"{text_at('r', 'sub_question')} END AS sub_question FROM ({steps()})"
+    ),
+    "timeframe_fix": (
+        rf"SELECT example_id, step_no, CASE WHEN regexp_extract(input, '{rules.TIME_PHRASE}', 1) <> '' AND "
+        "count(json_extract_string(r, '$.timeframe.phrase')) OVER (PARTITION BY example_id) = 0 "
+        rf"THEN regexp_extract(input, '{rules.TIME_PHRASE}', 1) ELSE json_extract_string(r, '$.timeframe.phrase') END "
+        f"AS timeframe FROM ({steps()})"
+    ),
     "premium_reclass": (
         flat_rows("unmatched_intents", **UNMATCHED)
         + " UNION ALL SELECT example_id, step_no, "

@@ -406,6 +406,12 @@ QUERIES: dict[str, Query] = {
     "redundant_dimensions": on_examples(rules.redundant_dimensions),
     "redundant_dimensions_fix": recoded(rules.drop_redundant_dimensions, flatten.flatten_dimensions),
     "missing_timeframe": on_examples(rules.missing_timeframe),
+    "sub_question_fix": on_examples(
+        lambda ex: flatten.flatten_steps(rules.fix_sub_questions(ex)).select("example_id", "step_no", "sub_question")
+    ),
+    "timeframe_fix": on_examples(
+        lambda ex: flatten.flatten_steps(rules.fix_timeframes(ex)).select("example_id", "step_no", "timeframe")
+    ),
     "premium_reclass": recoded(rules.add_business_phrases, flatten.flatten_unmatched),
     "exact_duplicates": on_examples(rules.exact_duplicates),
     "exact_duplicates_documents": on_documents(lambda d: rules.exact_duplicates(d, columns=("input",))),
