@@ -82,18 +82,30 @@ class Coder:
         return out
 
 
-def _count_pairs(shared):
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def encode(df: DataFrame, vocab: list[bytes]) -> DataFrame:
+    """``(key, code)`` from ``df(key, text)``: the numbers of a text's tokens, two bytes each. About a
+    third of the text's size, so what has to be joined with it is joined after this."""
+    shared = df.sparkSession.sparkContext.broadcast(vocab)
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Coder(shared.value)
-        cells = coder.size**2
-        total = np.zeros((2, cells), np.int64)
         for batch in batches:
-            texts, target = batch.column("text").to_pylist(), batch.column("target").to_pylist()
-            for start, end in slices(texts):
+            code = [coder.encode(t).astype(np.uint16).tobytes() for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(code, pa.binary())], names=["key", "code"])
+
+    return df.select("key", "text").mapInArrow(write, f"key {df.schema['key'].dataType.simpleString()}, code binary")
+
+
+def _count_pairs(size: int):
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((2, size**2), np.int64)
+        for batch in batches:
+            codes, target = batch.column("code").to_pylist(), batch.column("target").to_pylist()
+            for start, end in slices(codes):
                 parts: tuple[list, list] = ([], [])
-                for text, is_target in zip(texts[start:end], target[start:end], strict=True):
-                    code = coder.encode(text)
-                    parts[bool(is_target)].append(code[:-1] * coder.size + code[1:])
+                for item, is_target in zip(codes[start:end], target[start:end], strict=True):
+                    code = np.frombuffer(item, np.uint16).astype(np.int64)
+                    parts[bool(is_target)].append(code[:-1] * size + code[1:])
                 for row, part in zip(total, parts, strict=True):
                     if part:
                         where, n = np.unique(np.concatenate(part), return_counts=True)
@@ -125,21 +137,21 @@ def losses(counts: np.ndarray) -> np.ndarray:
     return -np.log2(weight * after + (1 - weight) * alone[None])
 
 
-def learn(df: DataFrame, size: int = SIZE, vocab: list[bytes] | None = None) -> Model:
-    """Fit both models on ``df(text, target)``: the target rows, and all rows as background.
+def learn(df: DataFrame, size: int = SIZE) -> Model:
+    """Fit both models on ``df(text, target)``: the target rows, and all rows as background."""
+    rows = df.select(F.coalesce(F.col("target").cast("boolean"), F.lit(False)).alias("key"), "text").where("text is not null")
+    vocab = vocabulary(rows.select("text"), size)
+    return learn_codes(encode(rows, vocab).withColumnRenamed("key", "target"), vocab)
+
 
-    A vocabulary counted before on the same texts can be given, so that a join that brought in the
-    targets is made once.
+def learn_codes(coded: DataFrame, vocab: list[bytes]) -> Model:
+    """Fit both models on ``coded(code, target)``, texts as :func:`encode` writes them.
 
     Every text is counted. Tasks pass on counts of distinct words and of distinct pairs, which the
-    shuffle sums up; the two sums that models consist of have at most ``size`` squared cells.
+    shuffle sums up; the two sums that models consist of have a fixed number of cells.
     """
-    spark = df.sparkSession
-    rows = df.select("text", F.coalesce(F.col("target").cast("boolean"), F.lit(False)).alias("target")).where("text is not null")
-    vocab = vocabulary(rows.select("text"), size) if vocab is None else vocab
-    shared = spark.sparkContext.broadcast(vocab)
     pairs = stage(
-        rows.mapInArrow(_count_pairs(shared), "pair bigint, target bigint, whole bigint")
+        coded.select("code", "target").mapInArrow(_count_pairs(Coder(vocab).size), "pair bigint, target bigint, whole bigint")
         .groupBy("pair").agg(F.sum("target").alias("target"), F.sum("whole").alias("whole")),
         "pair-counts",
     )
