@@ -42,9 +42,13 @@ NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion nav navbar navigation "
     "menu breadcrumb breadcrumbs header masthead footer sidebar aside widget related recommended share sharing social "
     "comment comments reply replies respond disqus discussion cookie cookies consent notice alert popup modal overlay "
-    "newsletter subscribe subscription signup login search form toolbar pagination pager copyright legal disclaimer "
+    "responses feedback newsletter subscribe subscription signup login search form toolbar pagination pager copyright legal disclaimer "
     "contentinfo complementary dialog rail skip".split()
 )
+#: Of these, what an article may be named and still be none of the page's own text.
+CARD_NAMES = frozenset("ad advert comment reply related recommended sponsored promo".split())
+#: A name that begins like this tells what the element has beside it, not what it is.
+ABOUT = frozenset("has no with without".split())
 ROOT_NAMES = frozenset(("html", "body"))
 
 MARK = re.compile(
@@ -78,14 +82,16 @@ class _Open:
     banned: bool
 
 
-def _named(attributes: str) -> bool:
-    """Whether class, id or role name boilerplate, or the element is hidden."""
+def _named(attributes: str, names: frozenset[str]) -> bool:
+    """Whether class, id or role are among ``names``, or the element is hidden."""
     for name, value in ATTRIBUTE.findall(attributes):
         name = name.lower()
         if name in ("class", "id", "role", "aria-label"):
-            parts = {p.lower() for p in NAME_PARTS.findall(value)}
-            if parts & NAMES:
-                return True
+            for word in value.strip("\"'").split():
+                parts = [p.lower() for p in NAME_PARTS.findall(word)]
+                whole = re.split("[^a-z]+", word.lower())
+                if parts and parts[0] not in ABOUT and names.intersection(parts + whole):
+                    return True
         elif name == "hidden" or name == "aria-hidden" and value.strip("\"'").lower() == "true":
             return True
         elif name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
@@ -178,7 +184,9 @@ def blocks(page: str) -> list[Block]:
             continue
         count += 1
         outside = tag in OUTSIDE and not (tag == "header" and any(o.tag in INSIDE for o in stack))
-        banned = outside or tag not in ROOT_NAMES and tag not in INSIDE and bool(found[3]) and _named(found[3])
+        within = any(o.tag in INSIDE for o in stack)
+        names = CARD_NAMES if tag in INSIDE else NAMES - {"header"} if within else NAMES
+        banned = outside or tag not in ROOT_NAMES and bool(found[3]) and _named(found[3], names)
         if tag in BLOCK or tag == "a" or banned:  # others say nothing, and often stay unclosed
             stack.append(_Open(tag, count, banned))
     close()

@@ -52,6 +52,15 @@ def test_page_without_semantic_tags():
     assert main_text(page).split("\n") == [re.sub("<.*?>", "", p) for p in body.split("</p>")[:-1]] + ["Short."]
 
 
+def test_names_of_elements():
+    page = """<div class="layout has-sidebar no-ads"><article class="post has-comments"><div class="post-header"><h1>Title here</h1></div>
+    <p>The text of it, long enough to be read.</p><div class="shareBar">Share this now, please do.</div></article>
+    <div id="responses"><article class="comment"><p>I liked it very much, thank you for it.</p></article></div>
+    <article class="related-card"><p>Another story that is told elsewhere on the site.</p></article>
+    <div class="SideBar">Most read stories of the week, all of them.</div></div>"""
+    assert main_text(page).split("\n") == ["Title here", "The text of it, long enough to be read."]
+
+
 def test_table(spark):
     rows = {r.page_id: r for r in op4_html_extraction(spark, SF).collect()}
     pages = spark.read.parquet(f"{SF}/pages.parquet").collect()
