@@ -42,13 +42,10 @@ def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The target are the documents labelled of good quality, the background is all documents."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id").distinct().withColumn("target", F.lit(True))
-    known = docs.where("text is not null")
-    vocab = lm_score.vocabulary(known.select("text"))
-    coded = lm_score.encode(known.select(F.col("doc_id").alias("key"), "text"), vocab)
     # labels grow with the corpus, so they are merged and never broadcast: one plan at every size
-    marked = coded.join(good.withColumnRenamed("doc_id", "key").hint("merge"), "key", "left")
-    model = lm_score.learn_codes(marked, vocab)
-    return lm_score.score(docs, model).select("doc_id", "n_tokens", "score")
+    marked = docs.join(good.hint("merge"), "doc_id", "left")
+    model = lm_score.learn(marked, kept=["doc_id"])
+    return lm_score.score_learned(model, ["doc_id"]).select("doc_id", "n_tokens", "score")
 
 
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -73,3 +73,42 @@ def test_edges(spark):
         out = lm_score.score(df, lm_score.learn(rows)).collect()
         assert out[0].n_tokens == 2 and math.isfinite(out[0].score) and out[1].score is None
     assert lm_score.score(df.where(F.lit(False)), lm_score.learn(df)).count() == 0
+
+
+def test_every_word_counts_as_itself(spark):
+    """Rare words of one length and ending, far beyond any fixed vocabulary, still tell texts apart."""
+    rows = [(i, " ".join(f"w{i * 40 + k:06d}xx" for k in range(40)) + (" goodterm" if i % 2 else " badtermxx"), i % 2 == 1) for i in range(200)]
+    rows += [(1000, "qqqaaaxx qqqcccxx qqqaaaxx", True), (1001, "qqqbbbxx qqqdddxx qqqbbbxx", False), (1002, None, True), (1003, "", False)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, target boolean")
+    model = lm_score.learn(df, kept=["doc_id"])
+    own = {r.doc_id: r.score for r in lm_score.score_learned(model, ["doc_id"]).collect()}
+    other = {r.doc_id: r.score for r in lm_score.score(df, model).collect()}
+    assert own[1000] < own[1001] and own[1002] is None and own[1003] is None and len(own) == len(rows)
+    for (doc_id, _, _), want in zip(rows, exact([r[1:] for r in rows]), strict=True):
+        for got in (own, other):
+            assert got[doc_id] == (None if want is None else pytest.approx(want, abs=1e-9))
+
+
+def exact(rows):
+    """The score of each text under models over all words."""
+    low = lambda t: (t or "").encode().lower().split()
+    kinds = len({w for t, _ in rows for w in low(t)}) + 2
+    models = []
+    for kind in (True, False):
+        pairs = Counter(p for t, y in rows if y or not kind for p in zip(["<s>", *low(t)], low(t), strict=False))
+        alone, before = Counter(), Counter()
+        for (a, b), n in pairs.items():
+            alone[b] += n
+            before[a] += n
+        models.append((pairs, alone, before, sum(alone.values()) + kinds))
+
+    def loss(model, a, b):
+        pairs, alone, before, total = model
+        one, weight = (alone[b] + 1) / total, lm_score.PAIR_WEIGHT if before[a] else 0
+        return -math.log2((weight * pairs[a, b] / before[a] if weight else 0) + (1 - weight) * one)
+
+    out = []
+    for t, _ in rows:
+        gaps = [loss(models[0], a, b) - loss(models[1], a, b) for a, b in zip(["<s>", *low(t)], low(t), strict=False)]
+        out.append(sum(gaps) / len(gaps) if gaps else None)
+    return out
