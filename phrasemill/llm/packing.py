@@ -20,6 +20,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from phrasemill.llm import jaccard
+from phrasemill.llm.common import stage
+
 CAPACITY = 2048
 LOT = 4096
 #: Rows dealt to one task.
@@ -133,6 +136,19 @@ def measured(docs: DataFrame) -> DataFrame:
                        "source", F.md5("text").alias("cluster"))
 
 
+def clustered(docs: DataFrame) -> DataFrame:
+    """As :func:`measured`, but copies and near copies are one ``cluster``: the component of the
+    document in ``jaccard.near_duplicates``. A null doc_id is replaced, for the comparison only, by a
+    large number made from the text, so that such rows have clusters too."""
+    own = F.xxhash64("text").bitwiseAND((1 << 62) - 1).bitwiseOR(1 << 62)
+    key = F.coalesce(F.col("doc_id").cast("bigint"), own).alias("key")
+    groups = jaccard.near_duplicates(docs.select(key.alias("doc_id"), "text"))
+    groups = groups.select(F.col("doc_id").alias("key"), F.col("component_id").alias("cluster")).distinct()
+    rows = measured(docs.select("doc_id", "text", F.struct("source", key).alias("source"))).select(
+        "doc_id", "n_tokens", "source.source", "source.key")
+    return stage(rows.join(groups.hint("merge"), "key", "left").select("doc_id", "n_tokens", "source", "cluster"), "packing-rows")
+
+
 def bins(packed: DataFrame) -> DataFrame:
     """One row for each bin: how full it is and the spans it holds, longest first."""
     span = F.struct((-F.col("n_tokens")).alias("k"), "doc_id", "piece", "start", "n_tokens")

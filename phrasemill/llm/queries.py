@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from phrasemill.llm import decontaminate, embeddings, html, jaccard, langid, licenses, lm_score, packing, token_counts, toxicity
 from phrasemill.llm.common import held_out, table
-from phrasemill.llm.packing import measured
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,7 +16,7 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(measured(table(spark, sf_dir, "documents")))
+    return packing.pack(packing.clustered(table(spark, sf_dir, "documents")))
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

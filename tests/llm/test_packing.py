@@ -91,3 +91,15 @@ def test_the_same_rows_give_the_same_bins(spark):
     one, two = (sorted(map(tuple, packing.pack(df).collect())) for _ in "ab")
     assert one == two
     assert pytest.approx(sum(r[3] for r in one)) == df.agg(F.sum("n_tokens")).first()[0]
+
+
+def test_near_copies_never_share_a_bin(spark, tmp_path):
+    words = [f"word{i}" for i in range(60)]
+    near = [" ".join(words), " ".join([*words[:-1], "other"]), "  ".join(words).upper(), "\n".join(words[1:])]
+    docs = [(i, text, f"s{i}") for i, text in enumerate(near)] + [(None, " ".join([*words, "more"]), "s8"), (9, "some different text of its own", "s9")]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string, source string")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    rows = op2_best_fit_packing(spark, str(tmp_path)).collect()
+    assert len(rows) == 6 and sum(r.n_tokens for r in rows) == sum(len(d[1].split()) for d in docs)
+    assert len({r.bin_id for r in rows if r.doc_id != 9}) == 5
+    assert len({r.bin_id for r in rows}) == 5
