@@ -6,8 +6,10 @@ become capacities of edges to two terminals. Neighbouring blocks, and blocks of
 by smoothness edges that a cut between them must pay. The minimum cut is the cheapest labelling:
 what stays on the source's side is content.
 
-Where markup settles the matter (scripts, navigation, forms, comments of readers and the like) the
-cost is a large constant, so no smoothness overrules it.
+Where elements settle the matter (scripts, navigation, forms, hidden parts) the cost is a large
+constant, so no smoothness overrules it. What a class, id or role says is a feature among others: it
+costs much, but length, ``article`` and content on both sides can outweigh it, and it costs little on
+an element around ``main`` or most of the article text, which is then the layout's name.
 """
 
 from __future__ import annotations
@@ -59,7 +61,8 @@ SPACES = re.compile(r"\s+")
 NAME_PARTS = re.compile(r"[A-Za-z][a-z]*|[A-Z]+(?![a-z])")
 
 #: Weights of the classifier: what a block gains as content for each feature.
-WEIGHTS = {"bias": -0.4, "length": 1.0, "sentence": 0.8, "links": -4.0, "inside": 3.0, "heading": 0.6, "list": -0.5}
+WEIGHTS = {"bias": -0.4, "length": 1.0, "sentence": 0.8, "links": -4.0, "inside": 3.0, "heading": 0.6, "list": -0.5,
+           "named": -6.0, "wrapped": -1.0}
 #: Cost of a label that the markup rules out.
 CERTAIN = 1000.0
 #: What a cut between neighbours costs, and between blocks of one parent.
@@ -73,6 +76,8 @@ class Block:
     tags: tuple[str, ...]
     banned: bool
     linked: float
+    #: "named" or "wrapped" for a block in an element that is named like boilerplate, else nothing.
+    name: str = ""
 
 
 @dataclass
@@ -80,25 +85,53 @@ class _Open:
     tag: str
     number: int
     banned: bool
+    named: bool
 
 
 def _named(attributes: str, names: frozenset[str]) -> bool:
-    """Whether class, id or role are among ``names``, or the element is hidden."""
+    """Whether class, id or role are among ``names``."""
     for name, value in ATTRIBUTE.findall(attributes):
-        name = name.lower()
-        if name in ("class", "id", "role", "aria-label"):
+        if name.lower() in ("class", "id", "role", "aria-label"):
             for word in value.strip("\"'").split():
                 parts = [p.lower() for p in NAME_PARTS.findall(word)]
                 whole = re.split("[^a-z]+", word.lower())
                 if parts and parts[0] not in ABOUT and names.intersection(parts + whole):
                     return True
-        elif name == "hidden" or name == "aria-hidden" and value.strip("\"'").lower() == "true":
+    return False
+
+
+def _hidden(attributes: str) -> bool:
+    for name, value in ATTRIBUTE.findall(attributes):
+        name = name.lower()
+        if name == "hidden" or name == "aria-hidden" and value.strip("\"'").lower() == "true":
             return True
-        elif name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
+        if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
             return True
     return False
 
 
+def _name_blocks(found: list[Block], around: list[tuple[int, ...]], rank: list[int], wraps: set[int]) -> None:
+    """Set ``name`` of every block from the named elements ``around`` it.
+
+    An element wraps the page's text if it is in ``wraps`` or has more than half of the text of the
+    highest ``rank`` there is: in articles, else in main, else anywhere. Links do not count.
+    """
+    if not any(around):
+        return
+    size = [0.0 if b.banned else len(b.text) * (1 - b.linked) for b in found]
+    best = max((r for r, n in zip(rank, size, strict=True) if n), default=0)
+    total, held = 0.0, {}
+    for n, r, numbers in zip(size, rank, around, strict=True):
+        if r == best:
+            total += n
+            for number in numbers:
+                held[number] = held.get(number, 0.0) + n
+    wraps = wraps | {number for number, n in held.items() if 2 * n > total}
+    for block, numbers in zip(found, around, strict=True):
+        if numbers:
+            block.name = "wrapped" if wraps.issuperset(numbers) else "named"
+
+
 def blocks(page: str) -> list[Block]:
     """The text blocks of a page. Character references are decoded, white space is one space.
 
@@ -106,6 +139,9 @@ def blocks(page: str) -> list[Block]:
     element ends a paragraph, an item ends the item before, an end tag without a start is ignored.
     """
     out: list[Block] = []
+    around: list[tuple[int, ...]] = []
+    rank: list[int] = []
+    wraps: set[int] = set()
     stack: list[_Open] = []
     pieces: list[str] = []
     linked = count = 0
@@ -119,6 +155,9 @@ def blocks(page: str) -> list[Block]:
                 out.append(Block(
                     text, tuple(o.number for o in stack if o.tag in BLOCK), tuple(o.tag for o in stack),
                     any(o.banned for o in stack), min(1.0, linked / len(text))))
+                around.append(tuple(o.number for o in stack if o.named))
+                own = {o.tag for o in stack if not o.named or o.tag == "main"}
+                rank.append(2 if "article" in own else 1 if "main" in own else 0)
             pieces.clear()
         linked = 0
 
@@ -186,10 +225,15 @@ def blocks(page: str) -> list[Block]:
         outside = tag in OUTSIDE and not (tag == "header" and any(o.tag in INSIDE for o in stack))
         within = any(o.tag in INSIDE for o in stack)
         names = CARD_NAMES if tag in INSIDE else NAMES - {"header"} if within else NAMES
-        banned = outside or tag not in ROOT_NAMES and bool(found[3]) and _named(found[3], names)
-        if tag in BLOCK or tag == "a" or banned:  # others say nothing, and often stay unclosed
-            stack.append(_Open(tag, count, banned))
+        described = tag not in ROOT_NAMES and bool(found[3])
+        banned = outside or described and _hidden(found[3])
+        named = described and _named(found[3], names)
+        if tag in BLOCK or tag == "a" or banned or named:  # others say nothing, and often stay unclosed
+            stack.append(_Open(tag, count, banned, named))
+            if tag == "main":
+                wraps.update(o.number for o in stack if o.named)
     close()
+    _name_blocks(out, around, rank, wraps)
     return out
 
 
@@ -206,6 +250,7 @@ def gain(block: Block) -> float:
     value += WEIGHTS["inside"] * bool(tags & INSIDE)
     value += WEIGHTS["heading"] * bool(tags & HEADINGS)
     value += WEIGHTS["list"] * ("li" in tags)
+    value += WEIGHTS[block.name] if block.name else 0.0
     return value
 
 

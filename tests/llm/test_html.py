@@ -84,3 +84,19 @@ def test_edges(spark):
     assert by[0] == by[1] == by[2] == by[5] == by[7] == by[9] == by[10] == by[11] == ""
     assert by[3] == odd[3] and by[6] == odd[6] and by[8].startswith("Deep") and len(by[12]) == 1_100_000 - 1
     assert extract(df.where(F.lit(False))).count() == 0
+
+
+@pytest.mark.parametrize("name", ["content-sidebar-wrap", "layout-sidebar-right", "main-with-sidebar", "page-search"])
+@pytest.mark.parametrize("inner", ["main", "article", "div"])
+def test_names_of_wrappers(name, inner):
+    text = "The text of it, which is long enough to be read and goes on for some more words until it ends."
+    page = f"""<body><div class="{name}"><{inner}><h1>Title here</h1><p>{text}</p><p>{text}</p></{inner}>
+    <div class="sidebar"><p>Most read stories.</p></div></div><div class="footer">Imprint and contact.</div></body>"""
+    assert main_text(page).split("\n") == ["Title here", text, text]
+
+
+def test_comments_longer_than_the_article():
+    text = "The text of it, which is long enough to be read."
+    comment = "I liked it very much, thank you for it, and I have many more words to say about all of this. " * 3
+    page = f"""<article><p>{text}</p></article><div class="comments"><p>{comment}</p><p>{comment}</p></div>"""
+    assert main_text(page) == text
