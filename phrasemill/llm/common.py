@@ -15,7 +15,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def stage(df: DataFrame, label: str) -> DataFrame:
+def stage(df: DataFrame, label: str, compression: str | None = None) -> DataFrame:
     """Write ``df`` once into the shared folder of ``spark.checkpoint.dir`` and read it back.
 
     This cuts the lineage with files that every executor sees, so a lost executor costs only its
@@ -24,7 +24,7 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_dir(spark, label)
     plain = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
-    plain.write.parquet(path)
+    plain.write.parquet(path, compression=compression)
     back = spark.read.schema(plain.schema).parquet(path)
     out = back.toDF(*df.columns)
     out._staged_at = path

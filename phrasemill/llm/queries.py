@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from phrasemill.llm import decontaminate, embeddings, html, jaccard, langid, licenses, lm_score, packing, token_counts, toxicity
+from phrasemill.llm import alignment, decontaminate, embeddings, html, jaccard, langid, licenses, lm_score, packing, token_counts, toxicity
 from phrasemill.llm.common import held_out, table
 
 
@@ -70,6 +70,12 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    files = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    return alignment.align(docs, *files)
+
+
 QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -81,6 +87,7 @@ QUERIES = {
     "op8_token_counts": op8_token_counts,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_language_id": op10_language_id,
+    "op11_token_alignment": op11_token_alignment,
 }
 
 def _license_sql() -> str:
