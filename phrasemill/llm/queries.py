@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from phrasemill.llm import alignment, decontaminate, embeddings, html, jaccard, langid, licenses, lm_score, packing, token_counts, toxicity
+from phrasemill.llm import alignment, collocations, decontaminate, embeddings, html, jaccard, langid, licenses, lm_score, packing, token_counts, toxicity
 from phrasemill.llm.common import held_out, table
 
 
@@ -76,6 +76,10 @@ def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align(docs, *files)
 
 
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -88,6 +92,7 @@ QUERIES = {
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_language_id": op10_language_id,
     "op11_token_alignment": op11_token_alignment,
+    "op13_phrase_collocations": op13_phrase_collocations,
 }
 
 def _license_sql() -> str:
@@ -154,5 +159,33 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
   CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, coalesce(items_sha256, sha256('')) AS items_sha256,
   n_hit IS NOT NULL AS contaminated
 FROM docs LEFT JOIN places USING (doc_id) LEFT JOIN named USING (doc_id)
+""",
+    "op13_phrase_collocations": r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p FROM documents
+), words AS (SELECT lang, list_filter(string_split_regex(p, '[ \x09]+'), lambda x: x <> '') AS w FROM pieces),
+totals AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM words GROUP BY lang),
+places AS (SELECT lang, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM words CROSS JOIN (VALUES (1), (2), (3), (4)) s(size)),
+f AS (
+  SELECT lang, size, array_to_string(w[i:i + size - 1], ' ') AS phrase, count(*) AS a FROM places GROUP BY ALL HAVING count(*) >= 30
+), cand AS (SELECT lang, size, phrase, string_split(phrase, ' ') AS w, a FROM f WHERE size > 1),
+cuts AS (
+  SELECT c.lang, c.phrase, c.a, k, x.a AS l, y.a AS r, 2000000::HUGEINT * c.a // (x.a + y.a) AS score
+  FROM (SELECT *, unnest(range(1, size)) AS k FROM cand) c
+  JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[1:k], ' ')
+  JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[k + 1:], ' ')
+), lowest AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inner_ AS (
+  SELECT lang, array_to_string(w[i:i + part - 1], ' ') AS phrase, a AS longer
+  FROM (SELECT *, unnest(range(1, size - part + 2)) AS i FROM (SELECT *, unnest(range(2, size)) AS part FROM cand))
+), covered AS (
+  SELECT DISTINCT c.lang, c.phrase FROM cand c JOIN inner_ i ON i.lang = c.lang AND i.phrase = c.phrase
+  WHERE 100::HUGEINT * i.longer >= 80::HUGEINT * c.a
+), ranked AS (
+  SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, score
+  FROM lowest ANTI JOIN covered USING (lang, phrase)
+)
+SELECT lang, rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
 """,
 }
