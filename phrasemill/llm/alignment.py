@@ -44,9 +44,9 @@ from phrasemill.llm.token_counts import PATTERN, byte_letters
 #: Bytes of one lane.
 LANE = 1024
 #: Code points that are encoded and merged at once.
-SLICE = 1 << 21
+SLICE = 1 << 20
 #: Code points of a chunk, whose documents share one set of distinct pairs.
-CHUNK = 1 << 24
+CHUNK = 1 << 22
 #: Links that are expanded at once, and from how many a group is first reduced to distinct ids.
 EXPANDED, WIDE = 1 << 21, 1 << 14
 #: Bits of an id in a pair; three such fields and a document number fit 64 bits.
@@ -111,6 +111,7 @@ class Encoders:
         self.library.no_truncation()
         self.fast = ranks and tiktoken.Encoding("a", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.odd = regex.compile(odd).search
+        self.ascii = not self.odd("".join(map(chr, range(1, 128))))
         self.pieces = sentencepiece.SentencePieceProcessor(model_proto=pieces)
         letters = byte_letters()
         spelled = {n: bytes(letters.get(c, 0) for c in w) for w, n in self.library.get_vocab(with_added_tokens=True).items()}
@@ -129,7 +130,8 @@ class Encoders:
         a: list = [None] * len(texts)
         slow = []
         for i, text in enumerate(spaced):
-            if self.fast is None or self.odd(text):
+            plain = self.ascii and text.isascii() and "\0" not in text
+            if self.fast is None or not plain and self.odd(text):
                 slow.append(i)
             else:
                 a[i] = self.fast.encode_ordinary(text)
@@ -266,12 +268,14 @@ class Aligned:
         raw = [(" " + texts[i]).encode() for i in some]
         size = np.fromiter(map(len, raw), np.int64, len(raw))
         good = np.ones(len(some), bool)
-        for codes, table in ((codes_a, encoders.bytes_a), (codes_b, encoders.bytes_b)):
-            good &= _spells(codes, table, raw, size)
+        sides = [(_flat(c), np.array([len(x) for x in c], np.int64), t)
+                 for c, t in ((codes_a, encoders.bytes_a), (codes_b, encoders.bytes_b))]
+        del codes_a, codes_b
+        for side in sides:
+            good &= _spells(*side, raw, size)
         self.docs = np.asarray(some, np.int64)[good]
-        codes_a, codes_b = list(itertools.compress(codes_a, good)), list(itertools.compress(codes_b, good))
         ends = np.cumsum(size[good])
-        self.ids_a, self.ids_b = _flat(codes_a), _flat(codes_b)
+        self.ids_a, self.ids_b = (ids[np.repeat(good, n)] for ids, n, _ in sides)
         ends_a = np.cumsum(encoders.bytes_a.size[self.ids_a])
         ends_b = np.cumsum(encoders.bytes_b.size[self.ids_b])
         lanes = -(-size[good] // LANE)
@@ -282,8 +286,7 @@ class Aligned:
         self.last = np.isin(group_end, ends)
         self.group_doc = self.docs[np.searchsorted(ends, group_end, side="left")] if len(group_end) else group_end
         self.n_a, self.n_b = np.zeros(self.n_docs, np.int64), np.zeros(self.n_docs, np.int64)
-        self.n_a[self.docs] = list(map(len, codes_a))
-        self.n_b[self.docs] = list(map(len, codes_b))
+        self.n_a[self.docs], self.n_b[self.docs] = (n[good] for _, n, _ in sides)
         self.n_groups = np.bincount(self.group_doc, minlength=self.n_docs)
         self.tables = encoders.bytes_a, encoders.bytes_b
 
@@ -303,11 +306,10 @@ def _flat(codes: list[list[int]]) -> np.ndarray:
     return np.fromiter(itertools.chain.from_iterable(codes), np.int64, sum(map(len, codes)))
 
 
-def _spells(codes: list[list[int]], table: _Table, raw: list[bytes], size: np.ndarray) -> np.ndarray:
+def _spells(ids: np.ndarray, n: np.ndarray, table: _Table, raw: list[bytes], size: np.ndarray) -> np.ndarray:
     """Which documents' tokens spell exactly their bytes, each token at least one."""
-    ids = _flat(codes)
-    doc = np.repeat(np.arange(len(codes)), [len(c) for c in codes])
-    spelled = np.bincount(doc, table.size[ids], len(codes)).astype(np.int64)
+    doc = np.repeat(np.arange(len(n)), n)
+    spelled = np.bincount(doc, table.size[ids], len(n)).astype(np.int64)
     good = spelled == size
     good[doc[table.size[ids] == 0]] = False
     keep = good[doc]
