@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -111,6 +112,15 @@ def _lang_key(lang: str) -> int:
     return int(_Hash.of(SECOND.sums(data), np.array([0]), np.array([len(data)]))[0])
 
 
+def _closed(bitmap: np.ndarray | None) -> bytes | None:
+    """A bitmap as it travels: few proposals take few bytes."""
+    return None if bitmap is None else zstandard.compress(bitmap.tobytes(), 1)
+
+
+def _opened(data: bytes | None) -> np.ndarray | None:
+    return None if data is None else np.frombuffer(zstandard.decompress(data), np.uint64)
+
+
 def has(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """Whether the bits of ``keys`` are set."""
     bit = keys & np.uint64(len(bitmap) * 64 - 1)
@@ -163,7 +173,7 @@ def _counted(shared):
     before; ``words`` 0 is the number of all words of a language, told in the first pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        old, now = shared.value
+        old, now = map(_opened, shared.value)
         for words, names in _chunks(batches):
             second = SECOND.sums(words.data)
             label = np.array(list(names), np.uint64)
@@ -222,7 +232,7 @@ def _fresh(shared):
     """Keys of frequent phrases that are no proposals: the failures of the border."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now = shared.value[1]
+        now = _opened(shared.value[1])
         for batch in batches:
             langs, phrases, sizes = (c.to_pylist() for c in batch.columns)
             label = {lang: _lang_key(lang) for lang in set(langs)}
@@ -259,13 +269,14 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, text: str = "text", la
     old, now = None, _bitmap(proposed.where(F.col("n") >= PROPOSED).select("key"), bits)
     found = None
     while True:
-        shared = spark.sparkContext.broadcast((old, now))
+        shared = spark.sparkContext.broadcast((_closed(old), _closed(now)))
         counted = plain.select(*both).mapInArrow(_counted(shared), "lang string, phrase string, words int, n bigint")
         sums = counted.groupBy("lang", "phrase", "words").agg(F.sum("n").alias("n"))
         kept = stage(sums.where((F.col("n") >= least) | (F.col("words") == 0)), "phrases")
         found = kept if found is None else found.unionByName(kept)
         failures = kept.where("words between 1 and 3").select("lang", "phrase", "words").mapInArrow(_fresh(shared), "key bigint")
         more = _bitmap(failures, bits)
+        shared.unpersist()
         if not more.any():
             return found
         old, now = now, now | more

@@ -124,7 +124,7 @@ def test_later_passes_count_only_what_is_new():
             self.value = value
 
     def counted(*bitmaps):
-        return [r["phrase"] for b in c._counted(Shared(*bitmaps))(iter([batch])) for r in b.to_pylist()]
+        return [r["phrase"] for b in c._counted(Shared(*map(c._closed, bitmaps)))(iter([batch])) for r in b.to_pylist()]
 
     assert sorted(counted(None, some)) == ["", "x", "x y", "y", "z"]
     assert counted(none, some) == ["x y"]
