@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from phrasemill.llm import alignment, collocations, decontaminate, embeddings, html, jaccard, langid, licenses, lm_score, packing, token_counts, toxicity
+from phrasemill.llm import alignment, collocations, decontaminate, embeddings, html, jaccard, langid, licenses, lm_score, packing, repeats, token_counts, toxicity
 from phrasemill.llm.common import held_out, table
 
 
@@ -76,6 +76,11 @@ def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align(docs, *files)
 
 
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = repeats.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"))
 
@@ -92,6 +97,7 @@ QUERIES = {
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_language_id": op10_language_id,
     "op11_token_alignment": op11_token_alignment,
+    "op12_suffix_dedup": op12_suffix_dedup,
     "op13_phrase_collocations": op13_phrase_collocations,
 }
 
