@@ -35,8 +35,8 @@ LEAST, LONGEST, TOP = 30, 4, 2000
 SAMPLE, PROPOSED = 8, 2
 #: Bits of the set of proposals.
 BITMAP = 1 << 27
-#: Bytes of text whose phrases are summed before they leave a task.
-CHUNK = 12 << 20
+#: Bytes of text whose phrases are summed before they leave a task, and bytes that are hashed at once.
+CHUNK, BLOCK = 6 << 20, 1 << 20
 #: A longer candidate with so many hundredths of the occurrences covers a phrase inside it.
 COVERED = 80
 
@@ -65,10 +65,23 @@ class _Hash:
         np.cumsum(self.values[data] * np.cumprod(powers), out=total[1:])
         return total, np.cumprod(undo)
 
-    @staticmethod
-    def of(sums: tuple[np.ndarray, np.ndarray], starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        total, undo = sums
-        return mix((total[ends] - total[starts]) * undo[starts] + (ends - starts).astype(np.uint64))
+    def words(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Hashes of stretches that follow each other, block by block."""
+        out = [np.empty(0, np.uint64)]
+        cuts = np.flatnonzero(np.diff(starts // BLOCK)) + 1
+        for a, b in zip(np.append(0, cuts), np.append(cuts, len(starts)), strict=True):
+            if b > a:
+                x, y = starts[a:b] - starts[a], ends[a:b] - starts[a]
+                total, undo = self.sums(data[starts[a] : ends[b - 1]])
+                out.append(mix((total[y] - total[x]) * undo[x] + (y - x).astype(np.uint64)))
+        return np.concatenate(out)
+
+    def phrases(self, words: np.ndarray, i: np.ndarray, n: int) -> np.ndarray:
+        """Hashes of the phrases of ``n`` words that begin at word ``i``."""
+        out = words[i]
+        for k in range(1, n):
+            out = mix(out * self.base + words[i + k])
+        return out
 
 
 FIRST, SECOND = _Hash(1), _Hash(2)
@@ -95,7 +108,7 @@ class Words:
         self.piece = np.cumsum(kinds == 0)[starts] if len(raw) else starts
         size = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
         self.lang = langs[np.searchsorted(np.cumsum(size), starts, side="right")]
-        self.first = FIRST.sums(self.data)
+        self.first = FIRST.words(self.data, self.starts, self.ends)
 
     def phrases(self, n: int) -> np.ndarray:
         """The first words of all phrases of ``n`` words."""
@@ -104,12 +117,12 @@ class Words:
 
     def hashes(self, i: np.ndarray, n: int) -> np.ndarray:
         """A key of the phrase and its language."""
-        return mix(_Hash.of(self.first, self.starts[i], self.ends[i + n - 1]) ^ self.lang[i])
+        return mix(FIRST.phrases(self.first, i, n) ^ self.lang[i])
 
 
 def _lang_key(lang: str) -> int:
     data = np.frombuffer(lang.encode(), np.uint8)
-    return int(_Hash.of(SECOND.sums(data), np.array([0]), np.array([len(data)]))[0])
+    return int(SECOND.words(data, np.array([0]), np.array([len(data)]))[0])
 
 
 def _closed(bitmap: np.ndarray | None) -> bytes | None:
@@ -156,11 +169,11 @@ def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_pydict({"key": keys.view(np.int64), "n": count.astype(np.int64)})
 
 
-def _equal(keys: np.ndarray, words: Words, second, i: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+def _equal(keys: np.ndarray, second: np.ndarray, i: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """One place of every distinct phrase and its count; phrases are equal if both hashes are."""
     order = np.argsort(keys, kind="stable")
     same = keys[order][1:] == keys[order][:-1]
-    other = _Hash.of(second, words.starts[i], words.ends[i + n - 1])
+    other = SECOND.phrases(second, i, n)
     if np.any(same & (other[order][1:] != other[order][:-1])):
         order = np.lexsort((other, keys))
         same = (keys[order][1:] == keys[order][:-1]) & (other[order][1:] == other[order][:-1])
@@ -175,7 +188,7 @@ def _counted(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         old, now = map(_opened, shared.value)
         for words, names in _chunks(batches):
-            second = SECOND.sums(words.data)
+            second = SECOND.words(words.data, words.starts, words.ends)
             label = np.array(list(names), np.uint64)
             texts = pa.array(list(names.values()), pa.string())
             if old is None:
@@ -191,7 +204,7 @@ def _counted(shared):
                 keys = words.hashes(i, n)
                 wanted = reach & ~reach_old
                 if wanted.any():
-                    at, count = _equal(keys[wanted], words, second, i[wanted], n)
+                    at, count = _equal(keys[wanted], second, i[wanted], n)
                     lang = pa.DictionaryArray.from_arrays(_index(label, words.lang[at]), texts).cast(pa.string())
                     yield _rows(lang, _strings(words, at, n), n, count)
                 inside = _marked(words, i, keys, reach, now)
