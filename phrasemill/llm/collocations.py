@@ -37,6 +37,8 @@ SAMPLE, PROPOSED = 8, 2
 BITMAP = 1 << 27
 #: Bytes of text whose phrases are summed before they leave a task, and bytes that are hashed at once.
 CHUNK, BLOCK = 6 << 20, 1 << 20
+#: Phrases in one batch of rows.
+ROWS = 1 << 16
 #: A longer candidate with so many hundredths of the occurrences covers a phrase inside it.
 COVERED = 80
 
@@ -166,7 +168,9 @@ def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for words, _ in _chunks(batches):
         for n in range(1, LONGEST + 1):
             keys, count = np.unique(words.hashes(words.phrases(n), n), return_counts=True)
-            yield pa.RecordBatch.from_pydict({"key": keys.view(np.int64), "n": count.astype(np.int64)})
+            for x in range(0, len(keys), ROWS):
+                part = {"key": keys[x : x + ROWS].view(np.int64), "n": count[x : x + ROWS].astype(np.int64)}
+                yield pa.RecordBatch.from_pydict(part)
 
 
 def _equal(keys: np.ndarray, second: np.ndarray, i: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -204,9 +208,11 @@ def _counted(shared):
                 keys = words.hashes(i, n)
                 wanted = reach & ~reach_old
                 if wanted.any():
-                    at, count = _equal(keys[wanted], second, i[wanted], n)
-                    lang = pa.DictionaryArray.from_arrays(_index(label, words.lang[at]), texts).cast(pa.string())
-                    yield _rows(lang, _strings(words, at, n), n, count)
+                    places, counts = _equal(keys[wanted], second, i[wanted], n)
+                    for x in range(0, len(places), ROWS):
+                        at = places[x : x + ROWS]
+                        lang = pa.DictionaryArray.from_arrays(_index(label, words.lang[at]), texts).cast(pa.string())
+                        yield _rows(lang, _strings(words, at, n), n, counts[x : x + ROWS])
                 inside = _marked(words, i, keys, reach, now)
                 inside_old = inside if old is None else _marked(words, i, keys, reach_old, old)
 
