@@ -18,7 +18,9 @@ SELECT example_id, input,
     CASE WHEN example_id % 3 = 0 THEN 'step one of the departments budget' ELSE input END ||
     '","measures":[{"name":"' || calc || '","calculation":"' || CASE WHEN example_id % 71 = 0 THEN 'Trend' ELSE calc END ||
     '","original_phrase":"' || CASE WHEN example_id % 6 = 0 THEN 'How many' ELSE 'count' END || '"}],' ||
-    '"dimensions":[{"name":"' || dim || '","filter_value":null,"original_phrase":"' || event_type || '"}],"timegrain":null,"timeframe":' ||
+    '"dimensions":[{"name":"' || dim || '","filter_value":null,"original_phrase":"' || event_type || '"}' ||
+    CASE WHEN example_id % 120 = 59 THEN ',{"name":"Segment","filter_value":"Premium Customers","original_phrase":"premium customers"}' ELSE '' END ||
+    '],"timegrain":null,"timeframe":' ||
     CASE WHEN example_id % 13 = 0 THEN 'null' ELSE '{"phrase":"last month"}' END || ',"pattern":null,' ||
     CASE WHEN example_id % 83 = 0 THEN '' ELSE '"segments":[],' END ||
     '"breakdowns":[' || CASE WHEN example_id % 11 = 0 THEN '{"name":"' || dim || '","filter_value":null,"original_phrase":"' || event_type || '"}' ELSE '' END ||
@@ -53,6 +55,23 @@ FROM (
 ) b
 """
 
+# Outputs as other writers spell them: own key order, white space, long and spelled numbers, escapes,
+# repeated keys, elements of other kinds, texts that are no object. ``~`` stands for a backslash.
+ODD_SQL = """
+SELECT 1000000000 + event_id AS example_id, 'Show sales of departments in Q' || CAST(event_id % 4 + 1 AS STRING) || ' 2024' AS input,
+  replace(replace(CASE event_id % 9
+    WHEN 0 THEN '{ "version" : 123456789012345678901234567890123456789012 , "discovery_results" : [ {"measures":[ {"n":1.0,"calculation":"Count","name":"Count"} , 7, "a {~"name~":~"Count~"}" ],"weight":1e5,"sub_question":"x","step_id":"step_1"} , "stray" ], "intent":"a" }'
+    WHEN 1 THEN '{"discovery_results":[{"measures":[{"name":"Max"}]}],"intent":"i","discovery_results":[{"measures":[{"name":"Max"}],"dimensions":[{"name":"Temporal","name":"Geographic"}],"measures":[{"name":"Sum","name":"Min","share":0.10}]}]}'
+    WHEN 2 THEN '{"discovery_results":[{"measure~u0073":[{"na~u006de":"~u0043ount","calculation":"Count"}],"unmatched_intents":[{"type":"act~u0069on","phrase":"sal~u0065s"},{"type":"action"},[{"type":"action"}]],"sub_question":null}]}'
+    WHEN 3 THEN '{}'
+    WHEN 4 THEN '{"discovery_results":{"measures":[{"name":"Max"}]},"note":"caf@"}'
+    WHEN 5 THEN '{"intent":"i","discovery_results":[ {  } , {"dimensions":[ ],"measures":null,"unmatched_intents":{"type":"action"}} ],"extra":{"discovery_results":[{"measures":[{"name":"Max"}]}]}}'
+    WHEN 6 THEN '{"intent":"i","discovery_results":[{"step_id":1,"dimensions":[{"name":"Categorical","filter":{"name":"Temporal"},"list":[{"name":"Geographic"}]}],"sub_question":{"text":"x","alt":[1, 2]} ,"unmatched_intents":[{"type":"action","phrase":"schools","phrase":"budget"}]}]}'
+    WHEN 7 THEN '{"intent":"i","discovery_results":[{"measures":[{"name":"Max"}]}]'
+    ELSE '[{"measures":[{"name":"Max"}]}]' END, '~', chr(92)), '@', chr(233)) AS output_json
+FROM @events WHERE event_id % 25 < 9
+"""
+
 EXISTING_SQL = """
 SELECT c_custkey AS line_no,
   CASE WHEN c_custkey % 15 = 0 THEN '   '
@@ -103,6 +122,12 @@ def examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _run(spark, EXAMPLES_SQL, events=events)
 
 
+def odd_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The examples, and those whose outputs are spelled otherwise."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return examples(spark, sf_dir).unionByName(_run(spark, ODD_SQL, events=events))
+
+
 def existing_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _run(spark, EXISTING_SQL, customer=spark.read.parquet(f"{sf_dir}/customer.parquet"))
 

@@ -1,14 +1,10 @@
-"""JSON text helpers: strict validity, key presence, lossless edits of nested objects."""
+"""JSON text helpers: strict validity, key presence, reading level by level."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from phrasemill.schemas import VARIANT_OBJECT, VARIANT_OBJECTS
-
 _STRICT = {"allowSingleQuotes": "false"}
 
 
@@ -53,62 +49,3 @@ def result_texts(output_json: Column) -> Column:
 def typed_items(texts: Column, kind: str) -> Column:
     """The elements of a list of texts as structs, NULL where an element is no object."""
     return F.transform(texts, lambda t: F.when(is_object(t), F.from_json(t, kind)))
-
-
-def as_text(value: Column) -> Column:
-    """A variant string's value; NULL for any other kind of value."""
-    return F.when(F.schema_of_variant(value) == "STRING", F.try_variant_get(value, "$", "string"))
-
-
-def as_object(value: Column) -> Column:
-    """A variant object as ``map<string,variant>``; NULL if it is not one."""
-    return F.try_variant_get(value, "$", VARIANT_OBJECT)
-
-
-def as_items(value: Column) -> Column:
-    """A variant array as ``array<variant>``, every element as it is; NULL if it is no array."""
-    return F.try_variant_get(value, "$", "array<variant>")
-
-
-def as_objects(value: Column) -> Column:
-    """A variant array as ``array<map<string,variant>>``, its other elements NULL; NULL if it is
-    no array."""
-    return F.try_variant_get(value, "$", VARIANT_OBJECTS)
-
-
-def edit_key(obj: Column, edits: dict[str, Callable[[Column], Column]]) -> Column:
-    """Apply ``edits[key]`` to the values of those keys; other and absent keys stay as they are."""
-
-    def value_of(key: Column, value: Column) -> Column:
-        out = None
-        for name, fn in edits.items():
-            out = F.when(key == name, fn(value)) if out is None else out.when(key == name, fn(value))
-        return out.otherwise(value)
-
-    return F.transform_values(obj, value_of)
-
-
-def edit_items(value: Column, fn: Callable[[Column], Column]) -> Column:
-    """Map ``fn`` over the objects of a variant array; anything else passes through."""
-
-    def edited(item: Column) -> Column:
-        return F.coalesce(F.to_variant_object(fn(as_object(item))), item)
-
-    items = F.try_variant_get(value, "$", "array<variant>")
-    return F.coalesce(F.to_variant_object(F.transform(items, edited)), value)
-
-
-def edit_results(output_json: Column, fn: Callable[[Column], Column]) -> Column:
-    """Map ``fn`` over the ``discovery_results`` objects of an output and write it back.
-
-    Lossless: unknown keys, JSON nulls and absent keys survive. Top-level keys keep their order,
-    those below come out sorted. A text :func:`is_editable` rejects is returned unchanged.
-    """
-    top = F.from_json(output_json, VARIANT_OBJECT)
-    edits = {"discovery_results": lambda value: edit_items(value, fn)}
-    return F.coalesce(F.to_json(edit_key(top, edits)), output_json)
-
-
-def is_editable(output_json: Column) -> Column:
-    """Whether a text is one JSON object that repeats no key below its top level."""
-    return F.from_json(output_json, VARIANT_OBJECT).isNotNull()

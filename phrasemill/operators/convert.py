@@ -1,14 +1,14 @@
-"""Conversion of examples: question rewriting and lossless recoding of outputs. Narrow only."""
+"""Conversion of examples: question rewriting and order-keeping recoding of outputs. Narrow only."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import json
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from phrasemill.functions.jsontext import as_text, edit_items, edit_key, edit_results, is_editable
 from phrasemill.functions.lexicon import DEFAULT, Lexicon, backfill_context, rewrite_terms
+from phrasemill.functions.splice import Edit, edit_elements, edit_members, edit_results, is_editable, mentions, text_of
 from phrasemill.functions.text import emit
 
 # Recoded names. Names that are not listed stay as they are.
@@ -21,40 +21,46 @@ UNMATCHED_PHRASES = {
 }
 
 
-def recoder(mapping: dict[str, str]) -> Callable[[Column], Column]:
-    """A function that maps a variant string through ``mapping``, leaving other values alone."""
-    table = F.create_map(*[F.lit(x) for pair in mapping.items() for x in pair])
+def recoder(mapping: dict[str, str]) -> Edit:
+    """An edit that maps a JSON string through ``mapping``, leaving other values alone."""
+    pairs = [(F.lit(old), F.lit(json.dumps(new, ensure_ascii=False))) for old, new in mapping.items()]
+    table = F.create_map(*[x for pair in pairs for x in pair])
+    return lambda raw: F.coalesce(F.try_element_at(table, text_of(raw)), raw)
 
-    def recode(value: Column) -> Column:
-        return F.coalesce(F.try_element_at(table, as_text(value)).cast("variant"), value)
 
-    return recode
+def field_edit(field: str, mapping: dict[str, str]) -> Edit:
+    """Edit of an array field: recode ``field`` of each of its objects."""
+    recode = recoder(mapping)
 
+    def edit(raw):
+        edited = edit_elements(raw, lambda item: edit_members(item, {field: recode}))
+        return F.when(mentions(raw, mapping), edited).otherwise(raw)
 
-def field_edit(field: str, mapping: dict[str, str]) -> Callable[[Column], Column]:
-    """Edit of an array field: recode ``field`` of each of its objects."""
-    return lambda value: edit_items(value, lambda item: edit_key(item, {field: recoder(mapping)}))
+    return edit
 
 
-def _recode(df: DataFrame, edits: dict[str, Callable[[Column], Column]]) -> DataFrame:
-    return df.withColumn(
-        "output_json", edit_results(F.col("output_json"), lambda result: edit_key(result, edits))
-    )
+def _recode(df: DataFrame, *fields: tuple[str, str, dict[str, str]]) -> DataFrame:
+    """Recode ``(list field, key, names)``; outputs that mention no listed name are not cut."""
+    edits = {field: field_edit(key, names) for field, key, names in fields if names}
+    if not edits:
+        return df
+    some = mentions(F.col("output_json"), dict.fromkeys(n for *_, names in fields for n in names))
+    return df.withColumn("output_json", edit_results(F.col("output_json"), lambda r: edit_members(r, edits), some))
 
 
 def recode_measures(df: DataFrame, names: dict[str, str] = MEASURE_NAMES) -> DataFrame:
     """Recode measure names; calculations and phrases are untouched."""
-    return _recode(df, {"measures": field_edit("name", names)})
+    return _recode(df, ("measures", "name", names))
 
 
 def recode_dimensions(df: DataFrame, names: dict[str, str] = DIMENSION_NAMES) -> DataFrame:
     """Recode dimension names."""
-    return _recode(df, {"dimensions": field_edit("name", names)})
+    return _recode(df, ("dimensions", "name", names))
 
 
 def recode_unmatched(df: DataFrame, phrases: dict[str, str] = UNMATCHED_PHRASES) -> DataFrame:
     """Recode unmatched phrases by exact, case-sensitive match."""
-    return _recode(df, {"unmatched_intents": field_edit("phrase", phrases)})
+    return _recode(df, ("unmatched_intents", "phrase", phrases))
 
 
 def convert_output(
@@ -65,18 +71,13 @@ def convert_output(
 ) -> DataFrame:
     """All three recodes in one pass over the JSON; the sub question stays as it was."""
     return _recode(
-        df,
-        {
-            "measures": field_edit("name", measures),
-            "dimensions": field_edit("name", dimensions),
-            "unmatched_intents": field_edit("phrase", unmatched),
-        },
+        df, ("measures", "name", measures), ("dimensions", "name", dimensions), ("unmatched_intents", "phrase", unmatched)
     )
 
 
 def unreadable_outputs(df: DataFrame) -> DataFrame:
-    """Quarantine: examples whose output is left unconverted because it is no JSON object, or
-    repeats a key inside."""
+    """Quarantine: examples whose output is left unconverted because it is no JSON object, or nests
+    deeper than edits reach."""
     return emit(df, ~is_editable(F.col("output_json")), F.col("example_id"), F.col("output_json"))
 
 

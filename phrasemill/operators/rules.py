@@ -9,15 +9,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from phrasemill.functions.jsontext import (
-    as_items, as_object, as_text, canonical, edit_items, edit_key, edit_results, has_key, is_object, result_texts,
-    typed_items,
-)
+from phrasemill.functions.jsontext import canonical, has_key, is_object, result_texts, typed_items
+from phrasemill.functions.splice import edit_elements, edit_members, edit_results, mentions, quote
 from phrasemill.functions.text import contains_any, digest, emit
 from phrasemill.operators.audit import BI_TERMS, NON_BI_TERMS
-from phrasemill.operators.convert import recoder
+from phrasemill.operators.convert import field_edit
 from phrasemill.operators.flatten import items, steps
-from phrasemill.schemas import ITEM_TYPES, LIST_FIELDS, REQUIRED_FIELDS, VARIANT_OBJECT, result_type
+from phrasemill.schemas import ITEM_TYPES, LIST_FIELDS, REQUIRED_FIELDS, result_type
 
 # Named by the rules.
 TYPE_FIXES = {"action": "business_action"}
@@ -80,131 +78,102 @@ def union_datasets(**datasets: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- fixes
 
 
-def _type_edit(fixes: dict[str, str]) -> dict:
-    return {
-        "unmatched_intents": lambda v: edit_items(v, lambda u: edit_key(u, {"type": recoder(fixes)}))
-    }
+def _edited(df: DataFrame, per_result, when: Column | None = None, **other) -> DataFrame:
+    return df.withColumn("output_json", edit_results(F.col("output_json"), per_result, when, **other))
 
 
 def fix_types(df: DataFrame, fixes: dict[str, str] = TYPE_FIXES) -> DataFrame:
     """Recode invalid types of unmatched intents."""
-    edit = _type_edit(fixes)
-    return df.withColumn(
-        "output_json", edit_results(F.col("output_json"), lambda r: edit_key(r, edit))
-    )
-
-
-def _with_defaults(obj: Column, defaults: dict[str, str]) -> Column:
-    """``obj`` with each absent key added; defaults are JSON texts. Complete objects pass through."""
-    table = F.create_map(
-        *[x for k, text in defaults.items() for x in (F.lit(k), F.parse_json(F.lit(text)))]
-    )
-    absent = F.array_except(F.array(*map(F.lit, defaults)), F.map_keys(obj))
-    added = F.map_filter(table, lambda k, _: ~F.map_contains_key(obj, k))
-    return F.when(F.size(absent) == 0, obj).otherwise(F.map_concat(obj, added))
-
-
-def _completed(df: DataFrame, per_result) -> DataFrame:
-    """Edit every result, then add absent top-level keys; only outputs that lack one are parsed
-    a second time."""
-    top = F.from_json(F.col("_pm_filled"), VARIANT_OBJECT)
-    whole = F.to_json(_with_defaults(top, {"intent": "null", "discovery_results": "[]"}))
-    keys = F.json_object_keys("_pm_filled")
-    incomplete = ~(F.array_contains(keys, "intent") & F.array_contains(keys, "discovery_results"))
-    incomplete = incomplete & (F.array_size(F.array_distinct(keys)) == F.array_size(keys))
-    return (
-        df.withColumn("_pm_filled", edit_results(F.col("output_json"), per_result))
-        .withColumn("output_json", F.when(incomplete, F.coalesce(whole, F.col("_pm_filled"))).otherwise(F.col("_pm_filled")))
-        .drop("_pm_filled")
-    )
+    edit = {"unmatched_intents": field_edit("type", fixes)}
+    return _edited(df, lambda r: edit_members(r, edit), mentions(F.col("output_json"), fixes))
 
 
 _EMPTY_FIELDS = {f: "[]" if f in LIST_FIELDS else "null" for f in REQUIRED_FIELDS}
+_EMPTY_TOP = {"intent": "null", "discovery_results": "[]"}
 
 
 def complete_fields(df: DataFrame) -> DataFrame:
-    """Add absent required keys with their empty value: ``[]`` for lists, else null."""
-    return _completed(df, lambda r: _with_defaults(r, _EMPTY_FIELDS))
+    """Append absent required keys with their empty value: ``[]`` for lists, else null."""
+    return _edited(df, lambda r: edit_members(r, {}, _EMPTY_FIELDS), absent=_EMPTY_TOP)
 
 
 def fix_examples(df: DataFrame) -> DataFrame:
     """The two published fixes, types and absent fields, in one pass."""
-    edit = _type_edit(TYPE_FIXES)
-    return _completed(df, lambda r: _with_defaults(edit_key(r, edit), _EMPTY_FIELDS))
+    edit = {"unmatched_intents": field_edit("type", TYPE_FIXES)}
+    return _edited(df, lambda r: edit_members(r, edit, _EMPTY_FIELDS), absent=_EMPTY_TOP)
+
+
+def _list_edit(field: str, per_item, words: tuple[str, ...]) -> dict:
+    """Edit of the objects of a list that mentions one of ``words``."""
+
+    def edit(raw: Column) -> Column:
+        return F.when(mentions(raw, words), edit_elements(raw, per_item)).otherwise(raw)
+
+    return {field: edit}
 
 
 def fix_count_names(df: DataFrame) -> DataFrame:
     """Name every ``Count`` measure ``Count``."""
 
     def renamed(measure: Column) -> Column:
-        is_count = F.coalesce(as_text(F.try_element_at(measure, F.lit("calculation"))) == "Count", F.lit(False))
-        return edit_key(
-            measure, {"name": lambda v: F.when(is_count, F.lit("Count").cast("variant")).otherwise(v)}
-        )
+        is_count = F.from_json(measure, "struct<calculation:string>")["calculation"] == "Count"
+        return F.when(is_count, edit_members(measure, {"name": lambda _: F.lit('"Count"')})).otherwise(measure)
 
-    edit = {"measures": lambda v: edit_items(v, renamed)}
-    return df.withColumn(
-        "output_json", edit_results(F.col("output_json"), lambda r: edit_key(r, edit))
-    )
+    edit = _list_edit("measures", renamed, ("Count",))
+    return _edited(df, lambda r: edit_members(r, edit), mentions(F.col("output_json"), ("Count",)))
 
 
 def reclassify_unknown(df: DataFrame, phrases: tuple[str, ...] = BUSINESS_PHRASES) -> DataFrame:
     """Turn ``unknown_term`` into ``business_entity`` for listed phrases (case-insensitive)."""
 
     def retyped(intent: Column) -> Column:
-        phrase = F.lower(as_text(F.try_element_at(intent, F.lit("phrase"))))
-        kind = as_text(F.try_element_at(intent, F.lit("type")))
-        hit = F.coalesce((kind == "unknown_term") & phrase.isin(*phrases), F.lit(False))
-        return edit_key(
-            intent,
-            {"type": lambda v: F.when(hit, F.lit("business_entity").cast("variant")).otherwise(v)},
-        )
+        read = F.from_json(intent, "struct<phrase:string,type:string>")
+        hit = (read["type"] == "unknown_term") & F.lower(read["phrase"]).isin(*phrases)
+        return F.when(hit, edit_members(intent, {"type": lambda _: F.lit('"business_entity"')})).otherwise(intent)
 
-    edit = {"unmatched_intents": lambda v: edit_items(v, retyped)}
-    return df.withColumn(
-        "output_json", edit_results(F.col("output_json"), lambda r: edit_key(r, edit))
-    )
+    edit = _list_edit("unmatched_intents", retyped, ("unknown_term",))
+    return _edited(df, lambda r: edit_members(r, edit), mentions(F.col("output_json"), ("unknown_term",)))
+
+
+def _name(item: Column) -> Column:
+    """The name of an object of a list; NULL for any other element."""
+    return F.when(item.startswith("{"), F.from_json(item, "struct<name:string>")["name"])
 
 
 def drop_redundant_dimensions(df: DataFrame) -> DataFrame:
     """Remove dimensions whose name is also among the breakdowns of the same result."""
 
-    def name(item: Column) -> Column:
-        return as_text(F.try_element_at(as_object(item), F.lit("name")))
-
     def pruned(result: Column) -> Column:
-        names = F.array_compact(F.transform(as_items(F.try_element_at(result, F.lit("breakdowns"))), name))
+        listed = F.from_json(result, "struct<breakdowns:array<string>>")["breakdowns"]
+        names = F.array_compact(F.transform(listed, _name))
 
-        def kept(value: Column) -> Column:
-            left = F.filter(as_items(value), lambda d: ~F.coalesce(F.array_contains(names, name(d)), F.lit(False)))
-            return F.coalesce(F.to_variant_object(left), value)
+        def left(raw: Column) -> Column:
+            return edit_elements(raw, keep=lambda d: ~F.coalesce(F.array_contains(names, _name(d)), F.lit(False)))
 
-        return edit_key(result, {"dimensions": kept})
+        return F.when(F.size(names) > 0, edit_members(result, {"dimensions": left})).otherwise(result)
 
-    return df.withColumn("output_json", edit_results(F.col("output_json"), pruned))
+    return _edited(df, pruned)
 
 
-def _put(result: Column, key: str, value: Column) -> Column:
+def _put(result: Column, key: str, raw: Column) -> Column:
     """A result with one key set, whether it had it or not."""
-    return F.map_concat(F.map_filter(result, lambda k, _: k != key), F.create_map(F.lit(key), value))
+    return edit_members(result, {key: lambda _: raw}, {key: raw})
 
 
 def fix_sub_questions(df: DataFrame) -> DataFrame:
     """Set the sub question of one-step examples to the question; see :func:`sub_question_mismatch`."""
-    one = F.coalesce(F.array_size(result_texts(F.col("output_json"))) == 1, F.lit(False))
-    edited = edit_results(F.col("output_json"), lambda r: _put(r, "sub_question", F.col("input").cast("variant")))
-    fixed = F.when(one & F.col("input").isNotNull(), edited).otherwise(F.col("output_json"))
-    return df.withColumn("output_json", fixed)
+    one = F.coalesce(F.array_size(result_texts(F.col("output_json"))) == 1, F.lit(False)) & F.col("input").isNotNull()
+    return _edited(df, lambda r: _put(r, "sub_question", quote(F.col("input"))), one)
 
 
 def fix_timeframes(df: DataFrame, pattern: str = TIME_PHRASE) -> DataFrame:
-    """Give the results of a question with a time phrase that phrase as time frame, where no result
-    of the example has one; see :func:`missing_timeframe`."""
+    """Give the first result of a question with a time phrase that phrase as time frame, where no result
+    of the example has one; see :func:`missing_timeframe`. Later steps build on the first, so the phrase
+    is not repeated in them."""
     phrase = F.regexp_extract("input", pattern, 1)
     open_ = (phrase != "") & ~F.coalesce(_covered(), F.lit(False))
-    frame = F.to_variant_object(F.create_map(F.lit("phrase"), phrase.cast("variant")))
-    edited = edit_results(F.col("output_json"), lambda r: _put(r, "timeframe", frame))
-    return df.withColumn("output_json", F.when(open_, edited).otherwise(F.col("output_json")))
+    frame = F.concat(F.lit('{"phrase":'), quote(phrase), F.lit("}"))
+    return _edited(df, lambda r: _put(r, "timeframe", frame), open_, only_first=True)
 
 
 def _covered() -> Column:
@@ -216,51 +185,38 @@ def _covered() -> Column:
 
 
 def add_business_phrases(df: DataFrame, phrases: tuple[str, ...] = PREMIUM_PHRASES) -> DataFrame:
-    """Add listed phrases of the question to the unmatched intents of every result without them.
+    """Move listed phrases of the question to the unmatched intents of every result.
 
-    An absent or null list is created.
+    A dimension whose name, filter value or original phrase is such a phrase goes; a result whose
+    unmatched intents lack the phrase gets it as ``business_entity``. An absent or null list is created.
     """
+    some = F.col("_pm_phrases")
+
+    def item(phrase: Column) -> Column:
+        return F.concat(F.lit('{"phrase":'), quote(phrase), F.lit(',"type":"business_entity","reason":"listed business phrase"}'))
 
-    key = F.lit("unmatched_intents")
+    def listed(d: Column) -> Column:
+        read = F.from_json(d, "struct<name:string,filter_value:string,original_phrase:string>")
+        said = F.array_compact(F.array(*[F.lower(read[f]) for f in ("name", "filter_value", "original_phrase")]))
+        return F.coalesce(F.when(d.startswith("{"), F.arrays_overlap(said, some)), F.lit(False))
 
     def extended(result: Column) -> Column:
-        value = F.try_element_at(result, key)
-        # absent and null count as an empty list; anything else that is no list is left alone
-        empty = value.isNull() | F.is_variant_null(value)
-        known = F.when(empty, F.array().cast("array<variant>")).otherwise(as_items(value))
-        have = F.transform(
-            known, lambda u: F.lower(as_text(F.try_element_at(as_object(u), F.lit("phrase"))))
-        )
-        new = F.filter(
-            F.col("_pm_phrases"), lambda p: ~F.coalesce(F.array_contains(have, p), F.lit(False))
-        )
-        added = F.transform(
-            new,
-            lambda p: F.to_variant_object(F.create_map(
-                F.lit("phrase"), p.cast("variant"),
-                F.lit("type"), F.lit("business_entity").cast("variant"),
-                F.lit("reason"), F.lit("listed business phrase").cast("variant"),
-            )),
-        )
-        grown = F.to_variant_object(F.concat(known, added))
-        rest = F.map_filter(result, lambda k, _: k != key)
-        return F.when(known.isNull() | (F.size(new) == 0), result).otherwise(
-            F.map_concat(rest, F.create_map(key, grown))
+        intents = F.from_json(result, "struct<unmatched_intents:array<string>>")["unmatched_intents"]
+        have = F.array_compact(F.transform(intents, lambda u: F.when(u.startswith("{"), F.lower(F.from_json(u, "struct<phrase:string>")["phrase"]))))
+        new = F.filter(some, lambda p: ~F.coalesce(F.array_contains(have, p), F.lit(False)))
+        added = F.transform(new, item)
+        alone = F.concat(F.lit("["), F.array_join(added, ","), F.lit("]"))
+        grow = lambda raw: F.when(raw == "null", alone).otherwise(edit_elements(raw, more=added))
+        return edit_members(
+            result, {"unmatched_intents": grow, "dimensions": lambda raw: edit_elements(raw, keep=lambda d: ~listed(d))},
+            {"unmatched_intents": alone},
         )
 
     found = F.array_compact(
         F.array(*[F.when(F.col(_LOWER).contains(p), F.lit(p)) for p in phrases])
     )
-    return (
-        _with_lower(df)
-        .withColumn("_pm_phrases", found)
-        .withColumn(
-            "output_json",
-            F.when(F.size("_pm_phrases") > 0, edit_results(F.col("output_json"), extended))
-            .otherwise(F.col("output_json")),
-        )
-        .drop(_LOWER, "_pm_phrases")
-    )
+    rows = _with_lower(df).withColumn("_pm_phrases", found)
+    return _edited(rows, extended, F.size("_pm_phrases") > 0).drop(_LOWER, "_pm_phrases")
 
 
 # ---------------------------------------------------------------- checks

@@ -63,66 +63,113 @@ def converted(rel: str, others: str) -> str:
     )
 
 
-# Edited JSON text: top-level keys as they were, sorted keys below.
+# Edited JSON text, by tokens: each keeps the white space behind it, and knows for every level the key
+# and the container it stands in.
 
-def obj(o: str, value: str, key: str = "k", extra: list[str] | None = None) -> str:
-    keys = f"json_keys({o})" if extra is None else f"list_distinct(list_concat(json_keys({o}), {strings(extra)}))"
-    return (
-        f"'{{' || array_to_string(list_transform(list_sort({keys}), lambda {key}: "
-        f"'\"' || {key} || '\":' || {value}), ',') || '}}'"
+EX_ODD = f"{EX} UNION ALL {fx.ODD_SQL.replace('@events', 'events')}"
+TOKEN = r'"(?:[^"\\]|\\.)*"\s*|[\[\]{}:,]\s*|[^\s"\[\]{}:,]+\s*|^\s+'
+LEVELS = range(1, 6)
+
+
+def tokens(ex: str) -> str:
+    levels = ", ".join(
+        f"last_value(CASE WHEN is_key AND level = {k} THEN key END IGNORE NULLS) OVER w AS key{k}, "
+        f"last_value(CASE WHEN is_key AND level = {k} THEN is_last END IGNORE NULLS) OVER w AS last{k}, "
+        f"last_value(CASE WHEN opens AND level = {k} THEN tok END IGNORE NULLS) OVER w AS open{k}, "
+        f"last_value(CASE WHEN opens AND level = {k} THEN pos END IGNORE NULLS) OVER w AS at{k}"
+        for k in LEVELS
     )
+    return f"""
+SELECT *, min(CASE WHEN {IN_RESULT} AND opens AND level = 3 THEN pos END) OVER (PARTITION BY example_id) AS first_result FROM (
+SELECT *, {levels}, lag(tok) OVER w AS before, lead(tok) OVER w AS behind, lead(level) OVER w AS level_behind
+FROM (
+  SELECT *, is_key AND row_number() OVER (PARTITION BY example_id, is_key, place, key ORDER BY pos DESC) = 1 AS is_last
+  FROM (
+    SELECT *, CASE WHEN is_key THEN json_extract_string(tok, '$') END AS key,
+      last_value(CASE WHEN opens AND level = inner_level THEN pos END IGNORE NULLS) OVER (PARTITION BY example_id, level ORDER BY pos) AS place
+    FROM (
+      SELECT *, level AS inner_level, tok[1] = '"' AND lead(tok) OVER (PARTITION BY example_id ORDER BY pos) = ':' AS is_key
+      FROM (
+        SELECT example_id, input, pos, raw, tok, opens,
+          CAST(sum(CASE WHEN opens THEN 1 ELSE 0 END) OVER p - coalesce(sum(CASE WHEN closes THEN 1 ELSE 0 END) OVER (
+            PARTITION BY example_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INTEGER) AS level
+        FROM (
+          SELECT *, rtrim(raw, ' ' || chr(10) || chr(9)) AS tok, tok IN ('[', '{{') AS opens, tok IN (']', '}}') AS closes
+          FROM (
+            SELECT example_id, input, unnest(parts) AS raw, unnest(range(len(parts))) AS pos
+            FROM (SELECT *, regexp_extract_all(output_json, '{TOKEN}') AS parts FROM ({ex}) WHERE {IS_OBJECT})
+          )
+        ) WINDOW p AS (PARTITION BY example_id ORDER BY pos)
+      )
+    )
+  )
+) WINDOW w AS (PARTITION BY example_id ORDER BY pos))"""
 
 
-def at(o: str, key: str) -> str:
-    return f"CAST(json_extract({o}, '$.' || {key}) AS VARCHAR)"
+IS_OBJECT = "json_valid(output_json) AND json_type(CASE WHEN json_valid(output_json) THEN output_json END) = 'OBJECT'"
+IN_RESULT = "key1 = 'discovery_results' AND last1 AND open2 = '[' AND open3 = '{'"
 
 
-def items(v: str, recode: dict[str, str]) -> str:
-    """A list value; ``recode`` maps an item key to the SQL of its new text."""
-    whens = " ".join(f"WHEN {q(k)} THEN CAST(to_json({sql}) AS VARCHAR)" for k, sql in recode.items())
-    value = f"CASE k {whens} ELSE {at('e', 'k')} END" if recode else at("e", "k")
-    return (
-        f"'[' || array_to_string(list_transform(CAST({v} AS JSON[]), lambda e: CASE json_type(e) "
-        f"WHEN 'OBJECT' THEN {obj('e', value)} ELSE CAST(e AS VARCHAR) END), ',') || ']'"
-    )
+ONE_RESULT = f"{IS_OBJECT} AND json_array_length(CASE WHEN {IS_OBJECT} THEN output_json END, '$.discovery_results') = 1"
 
 
-def plain(v: str) -> str:
-    return (
-        f"CASE json_type({v}) WHEN 'ARRAY' THEN {items(v, {})} "
-        f"WHEN 'OBJECT' THEN {obj(v, at(v, 'k'))} ELSE CAST({v} AS VARCHAR) END"
-    )
+def value_of(level: int) -> str:
+    """Whether a token begins the value of the last key of its name at a level."""
+    return f"last{level} AND before = ':' AND (level = {level} AND NOT opens OR level = {level + 1} AND opens)"
 
 
-def canonical(edits: dict[str, dict[str, str]], complete: bool = False) -> str:
-    """The output with ``edits`` (field -> item recodes), optionally with absent keys added."""
-    whens = "".join(
-        f"WHEN f = {q(field)} THEN {items(f'json_extract(r, {q('$.' + field)})', recode)} "
-        for field, recode in edits.items()
-    )
-    value = plain(f"json_extract(r, {q('$.')} || f)")
-    if edits:
-        value = f"CASE {whens}ELSE {value} END"
+def edited(ex: str, recodes: dict[str, dict[str, dict[str, str]]] | None = None, complete: bool = False,
+           puts: dict[str, tuple[str, str]] | None = None) -> str:
+    """``(example_id, input, output_json)`` with strings of list items recoded, absent keys appended and
+    keys of results set (key -> raw value, condition on the token and its example ``x``)."""
+    new = "tok"
+    whens = []
+    for field, keys in (recodes or {}).items():
+        for key, mapping in keys.items():
+            pairs = " ".join(f"WHEN {q(a)} THEN {q(chr(34) + b + chr(34))}" for a, b in mapping.items())
+            whens.append(
+                f"WHEN {IN_RESULT} AND key3 = {q(field)} AND last3 AND open4 = '[' AND open5 = '{{' AND level = 5 AND key5 = "
+                f"{q(key)} AND {value_of(5)} AND tok[1] = '\"' THEN CASE json_extract_string(CASE WHEN tok[1] = '\"' THEN tok ELSE '0' END, '$') {pairs} ELSE tok END"
+            )
+    absent_top, absent_result = [], []
     if complete:
-        empty = f"CASE WHEN list_contains({strings(LIST_FIELDS)}, f) THEN '[]' ELSE 'null' END"
-        value = f"CASE WHEN NOT list_contains(json_keys(r), f) THEN {empty} ELSE {value} END"
-    result = obj("r", value, "f", list(REQUIRED_FIELDS) if complete else None)
-    results = (
-        "'[' || array_to_string(list_transform(CAST(json_extract(output_json, '$.discovery_results') AS JSON[]), "
-        f"lambda r: {result}), ',') || ']'"
-    )
-    top = f"CASE WHEN t = 'discovery_results' THEN {results} ELSE {at('output_json', 't')} END"
-    if complete:
-        top = (
-            "CASE WHEN NOT list_contains(json_keys(output_json), t) THEN "
-            f"CASE t WHEN 'intent' THEN 'null' ELSE '[]' END ELSE {top} END"
+        absent_top = [("intent", "null", "true"), ("discovery_results", "[]", "true")]
+        absent_result = [(f, "[]" if f in LIST_FIELDS else "null", "true") for f in REQUIRED_FIELDS]
+    inside_put = "false"
+    for key, (raw, condition) in (puts or {}).items():
+        mine = f"{IN_RESULT} AND key3 = {q(key)} AND last3 AND ({condition})"
+        whens.append(f"WHEN {mine} AND {value_of(3)} THEN {raw}")
+        inside_put = f"{mine} AND NOT (is_key AND level = 3) AND (level > 3 OR level = 3 AND tok NOT IN (':', ',', '{{', '}}')) AND NOT ({value_of(3)})"
+        absent_result.append((key, raw, condition))
+    if whens:
+        new = f"CASE {' '.join(whens)} ELSE tok END"
+    new = f"CASE WHEN {inside_put} THEN '' ELSE {new} END"
+
+    def added(level: int, fields: list[tuple[str, str, str]], where: str) -> str:
+        if not fields:
+            return "''"
+        have = f"(SELECT list(k.key) FROM t k WHERE k.example_id = t.example_id AND k.is_key AND k.level = {level} AND k.place = t.at{level})"
+        listed = ", ".join(
+            f"CASE WHEN ({condition}) AND NOT coalesce(list_contains({have}, {q(name)}), false) THEN {q(chr(34) + name + chr(34) + ':')} || {raw if condition != 'true' else q(raw)} END"
+            for name, raw, condition in fields
         )
-    keys = "json_keys(output_json)"
-    if complete:
-        keys = f"list_concat({keys}, list_filter(['intent', 'discovery_results'], lambda n: NOT list_contains({keys}, n)))"
-    return (
-        f"'{{' || array_to_string(list_transform({keys}, lambda t: '\"' || t || '\":' || {top}), ',') || '}}'"
-    )
+        return (
+            f"CASE WHEN {where} AND (behind = '}}' AND level_behind = {level}) THEN coalesce(CASE WHEN tok <> '{{' THEN ',' ELSE '' END || "
+            f"nullif(array_to_string(list_filter([{listed}], lambda s: s IS NOT NULL), ','), ''), '') ELSE '' END"
+        )
+
+    # what is appended stands behind the token before the closing brace
+    top = added(1, absent_top, "open1 = '{'")
+    result = added(3, absent_result, f"{IN_RESULT} AND (level = 3 OR level = 4)")
+    trailing = f"CASE WHEN {inside_put} AND NOT (behind IN (',', '}}') AND level_behind = 3) THEN '' ELSE substr(raw, length(tok) + 1) END"
+    if puts:  # white space inside a replaced value goes with it
+        first = " OR ".join(f"({IN_RESULT} AND key3 = {q(k)} AND last3 AND ({c}) AND {value_of(3)} AND NOT (behind IN (',', '}}') AND level_behind = 3))" for k, (_, c) in puts.items())
+        trailing = f"CASE WHEN {first} THEN '' ELSE {trailing} END"
+    return f"""
+SELECT x.example_id, x.input, coalesce(o.text, x.output_json) AS output_json FROM ({ex}) x LEFT JOIN (
+  WITH t AS MATERIALIZED ({tokens(ex)})
+  SELECT example_id, string_agg({new} || {result} || {top} || {trailing}, '' ORDER BY pos) AS text FROM t GROUP BY example_id
+) o USING (example_id)"""
 
 
 def text_at(o: str, key: str) -> str:
@@ -134,15 +181,14 @@ D_NAME = case_of(text_at("e", "name"), convert.DIMENSION_NAMES)
 U_PHRASE = case_of(text_at("e", "phrase"), convert.UNMATCHED_PHRASES)
 U_TYPE = case_of(text_at("e", "type"), rules.TYPE_FIXES)
 RECODES = {
-    "measures": {"name": M_NAME}, "dimensions": {"name": D_NAME}, "unmatched_intents": {"phrase": U_PHRASE},
+    "measures": {"name": convert.MEASURE_NAMES}, "dimensions": {"name": convert.DIMENSION_NAMES},
+    "unmatched_intents": {"phrase": convert.UNMATCHED_PHRASES},
 }
+TYPES = {"unmatched_intents": {"type": rules.TYPE_FIXES}}
 
-CONVERTED_OUTPUT = f"SELECT example_id, input, {canonical(RECODES)} AS output_json FROM ({EX})"
+CONVERTED_OUTPUT = edited(EX, RECODES)
 CONVERTED_EX = converted(CONVERTED_OUTPUT, "example_id, output_json")
-FIXED_EX = (
-    f"SELECT example_id, input, {canonical({'unmatched_intents': {'type': U_TYPE}}, complete=True)} AS output_json "
-    f"FROM ({EX})"
-)
+FIXED_EX = edited(EX, TYPES, complete=True)
 
 
 def steps(ex: str = EX) -> str:
@@ -476,8 +522,8 @@ ORACLE: dict[str, str] = {
     "recode_measures": flat_rows("measures", **{**MEASURES, "name": M_NAME}),
     "recode_dimensions": flat_rows("dimensions", **{**DIMENSIONS, "name": D_NAME}),
     "recode_unmatched": flat_rows("unmatched_intents", **{**UNMATCHED, "phrase": U_PHRASE}),
-    "convert_output": f"SELECT example_id, output_json FROM ({CONVERTED_OUTPUT})",
-    "convert_examples": CONVERTED_EX,
+    "convert_output": f"SELECT example_id, output_json FROM ({edited(EX_ODD, RECODES)})",
+    "convert_examples": converted(edited(EX_ODD, RECODES), "example_id, output_json"),
     "unreadable_outputs": (
         f"SELECT example_id, content AS output_json FROM ({RSP}) WHERE content IS NOT NULL AND NOT json_valid(content)"
     ),
@@ -618,7 +664,8 @@ ORACLE: dict[str, str] = {
         f"{skeleton('line')} FROM ({STRIPPED})"
     ),
     "fix_types": flat_rows("unmatched_intents", **{**UNMATCHED, "type": U_TYPE}),
-    "complete_fields": f"SELECT example_id, {canonical({}, complete=True)} AS output_json FROM ({EX})",
+    "fix_types_text": f"SELECT example_id, output_json FROM ({edited(EX_ODD, TYPES)})",
+    "complete_fields": f"SELECT example_id, output_json FROM ({edited(EX_ODD, complete=True)})",
     "invalid_types": type_issues(),
     "invalid_calculations": calculation_issues(),
     "complexity_mismatch": complexity_issues(),
@@ -684,15 +731,20 @@ ORACLE: dict[str, str] = {
         rf"regexp_extract(input, '{rules.TIME_PHRASE}', 1) <> '' AND NOT EXISTS (SELECT 1 FROM ({steps()}) s WHERE "
         "s.example_id = x.example_id AND json_extract_string(s.r, '$.timeframe.phrase') IS NOT NULL)"
     ),
-    "sub_question_fix": (
-        "SELECT example_id, step_no, CASE WHEN count(*) OVER (PARTITION BY example_id) = 1 THEN input ELSE "
-        f"{text_at('r', 'sub_question')} END AS sub_question FROM ({steps()})"
-    ),
-    "timeframe_fix": (
-        rf"SELECT example_id, step_no, CASE WHEN regexp_extract(input, '{rules.TIME_PHRASE}', 1) <> '' AND "
-        "count(json_extract_string(r, '$.timeframe.phrase')) OVER (PARTITION BY example_id) = 0 "
-        rf"THEN regexp_extract(input, '{rules.TIME_PHRASE}', 1) ELSE json_extract_string(r, '$.timeframe.phrase') END "
-        f"AS timeframe FROM ({steps()})"
+    "sub_question_fix": "SELECT example_id, output_json FROM (" + edited(EX_ODD, puts={"sub_question": (
+        "CAST(to_json(input) AS VARCHAR)",
+        f"example_id IN (SELECT example_id FROM ({EX_ODD}) WHERE {ONE_RESULT})")}) + ")",
+    "timeframe_fix": "SELECT example_id, output_json FROM (" + edited(EX_ODD, puts={"timeframe": (
+        f"'{{{chr(34)}phrase{chr(34)}:{chr(34)}' || regexp_extract(input, '{rules.TIME_PHRASE}', 1) || '{chr(34)}}}'",
+        rf"regexp_extract(input, '{rules.TIME_PHRASE}', 1) <> '' AND at3 = first_result AND NOT EXISTS (SELECT 1 FROM t c WHERE "
+        f"c.example_id = t.example_id AND {IN_RESULT.replace('key', 'c.key').replace('last', 'c.last').replace('open', 'c.open')} AND "
+        "c.key3 = 'timeframe' AND c.last3 AND c.level = 4 AND c.key4 = 'phrase' AND c.before = ':' AND c.tok <> 'null')")}) + ")",
+    "premium_move": (
+        "SELECT example_id, step_no, row_number() OVER (PARTITION BY example_id, step_no ORDER BY item_no) - 1 AS item_no, "
+        f"{DIMENSIONS['name']} AS name, {DIMENSIONS['filter_value']} AS filter_value, {DIMENSIONS['original_phrase']} AS "
+        f"original_phrase FROM ({flat('dimensions')}) WHERE NOT (contains(lower(input), 'premium customers') AND "
+        "coalesce(list_contains(list_transform(json_extract_string(e, ['$.name', '$.filter_value', '$.original_phrase']), "
+        "lambda v: lower(v)), 'premium customers'), false))"
     ),
     "premium_reclass": (
         flat_rows("unmatched_intents", **UNMATCHED)

@@ -29,6 +29,11 @@ def on_examples(fn: Callable[[DataFrame], DataFrame]) -> Query:
     return lambda spark, sf_dir: fn(fx.examples(spark, sf_dir))
 
 
+def on_all_spellings(fn: Callable[[DataFrame], DataFrame]) -> Query:
+    """A query over the examples and those with outputs of other writers."""
+    return lambda spark, sf_dir: fn(fx.odd_examples(spark, sf_dir))
+
+
 def on_responses(fn: Callable[[DataFrame], DataFrame]) -> Query:
     return lambda spark, sf_dir: fn(fx.responses(spark, sf_dir))
 
@@ -311,8 +316,8 @@ QUERIES: dict[str, Query] = {
     "recode_measures": recoded(convert.recode_measures, flatten.flatten_measures),
     "recode_dimensions": recoded(convert.recode_dimensions, flatten.flatten_dimensions),
     "recode_unmatched": recoded(convert.recode_unmatched, flatten.flatten_unmatched),
-    "convert_output": on_examples(lambda ex: convert.convert_output(ex).select("example_id", "output_json")),
-    "convert_examples": on_examples(convert.convert_examples),
+    "convert_output": on_all_spellings(lambda ex: convert.convert_output(ex).select("example_id", "output_json")),
+    "convert_examples": on_all_spellings(convert.convert_examples),
     "unreadable_outputs": on_responses(
         lambda r: convert.unreadable_outputs(
             r.filter("content IS NOT NULL").select("example_id", F.col("content").alias("output_json"))
@@ -385,7 +390,8 @@ QUERIES: dict[str, Query] = {
     # rules
     "union_datasets": union_datasets,
     "fix_types": recoded(rules.fix_types, flatten.flatten_unmatched),
-    "complete_fields": on_examples(lambda ex: rules.complete_fields(ex).select("example_id", "output_json")),
+    "fix_types_text": on_all_spellings(lambda ex: rules.fix_types(ex).select("example_id", "output_json")),
+    "complete_fields": on_all_spellings(lambda ex: rules.complete_fields(ex).select("example_id", "output_json")),
     "invalid_types": on_examples(rules.invalid_types),
     "invalid_calculations": on_examples(rules.invalid_calculations),
     "complexity_mismatch": on_examples(rules.complexity_mismatch),
@@ -406,12 +412,9 @@ QUERIES: dict[str, Query] = {
     "redundant_dimensions": on_examples(rules.redundant_dimensions),
     "redundant_dimensions_fix": recoded(rules.drop_redundant_dimensions, flatten.flatten_dimensions),
     "missing_timeframe": on_examples(rules.missing_timeframe),
-    "sub_question_fix": on_examples(
-        lambda ex: flatten.flatten_steps(rules.fix_sub_questions(ex)).select("example_id", "step_no", "sub_question")
-    ),
-    "timeframe_fix": on_examples(
-        lambda ex: flatten.flatten_steps(rules.fix_timeframes(ex)).select("example_id", "step_no", "timeframe")
-    ),
+    "sub_question_fix": on_all_spellings(lambda ex: rules.fix_sub_questions(ex).select("example_id", "output_json")),
+    "timeframe_fix": on_all_spellings(lambda ex: rules.fix_timeframes(ex).select("example_id", "output_json")),
+    "premium_move": recoded(rules.add_business_phrases, flatten.flatten_dimensions),
     "premium_reclass": recoded(rules.add_business_phrases, flatten.flatten_unmatched),
     "exact_duplicates": on_examples(rules.exact_duplicates),
     "exact_duplicates_documents": on_documents(lambda d: rules.exact_duplicates(d, columns=("input",))),

@@ -34,11 +34,6 @@ ITEM_TYPES = {
     "unmatched_intents": UNMATCHED,
 }
 
-# A VARIANT field tells an absent key (SQL NULL) from a JSON null (a variant holding null),
-# which a typed field cannot.
-VARIANT_OBJECT = "map<string,variant>"
-VARIANT_OBJECTS = "array<map<string,variant>>"
-
 EXAMPLE = "example_id bigint, input string, output_json string"
 RESPONSE = "example_id bigint, attempt int, content string, error string"
 

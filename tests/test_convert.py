@@ -85,12 +85,12 @@ def test_other_elements_survive(make):
     assert json.loads(convert.convert_output(make(("q", json.dumps(before)))).first().output_json) == after
 
 
-def test_repeated_keys_do_not_stop_the_job(make):
-    texts = ['{"intent":"a","intent":"b"}', '{"discovery_results":[{"measures":[{"name":"Max","name":"Min"}]}]}', "{}"]
+def test_of_repeated_keys_the_last_is_edited(make):
+    texts = ['{"intent":"a","intent":"b"}', '{"discovery_results":[{"measures":[{"name":"Max","name":"Min"}]}]}', "{}", "["]
     df = make(*[("q", t) for t in texts])
     rows = convert.convert_output(df).orderBy("example_id").collect()
-    assert [r.output_json for r in rows] == texts
-    assert [r.example_id for r in convert.unreadable_outputs(df).collect()] == [1]
+    assert [r.output_json for r in rows] == [texts[0], texts[1].replace("Min", "Minimum"), "{}", "["]
+    assert [r.example_id for r in convert.unreadable_outputs(df).collect()] == [3]
 
 
 @pytest.mark.parametrize("text", ["not json", "[1]", '"x"', '{"a":1', ""])

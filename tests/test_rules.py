@@ -84,6 +84,21 @@ def test_premium(make):
     assert got == [(0, 0, "x"), (0, 0, "premium customers"), (0, 1, "Premium Customers")]
 
 
+def test_premium_moves_out_of_the_dimensions(make):
+    text = ('{"discovery_results": [ {"dimensions":[{"name":"Segment","filter_value":"Premium Customers"}, {"name":"Region"},"x"],'
+            '"n":1.0} ] }')
+    moved = ('{"discovery_results": [ {"dimensions":[{"name":"Region"},"x"],"n":1.0,"unmatched_intents":[{"phrase":"premium customers",'
+             '"type":"business_entity","reason":"listed business phrase"}]} ] }')
+    df = make(("premium customers by region", text), ("by region", text))
+    assert [r.output_json for r in rules.add_business_phrases(df).orderBy("example_id").collect()] == [moved, text]
+
+
+def test_the_time_frame_goes_to_the_first_result(make):
+    df = make(("ARR for Q3 2024", '{"discovery_results":["x",{"timeframe":null},{"timeframe":null}]}'))
+    assert rules.fix_timeframes(df).first().output_json == (
+        '{"discovery_results":["x",{"timeframe":{"phrase":"Q3 2024"}},{"timeframe":null}]}')
+
+
 def test_timeframe(make):
     df = make(("ARR for Q3 2024", out({"timeframe": None})), ("ARR for Q3 2024", out({"timeframe": {"phrase": "Q3 2024"}})),
               ("in the last month", out()), ("blast it", out()))
@@ -107,7 +122,8 @@ def test_conflicts_as_json(make):
 
 def test_repeated_keys_while_completing(make):
     df = make(("q", '{"a":1,"a":2}'), ("q", "broken"))
-    assert [r.output_json for r in rules.complete_fields(df).orderBy("example_id").collect()] == ['{"a":1,"a":2}', "broken"]
+    whole = '{"a":1,"a":2,"intent":null,"discovery_results":[]}'
+    assert [r.output_json for r in rules.complete_fields(df).orderBy("example_id").collect()] == [whole, "broken"]
 
 
 def test_digest_borders(make):
