@@ -7,8 +7,8 @@ border phrase that turns out frequent is a *failure*: it and its like become pro
 pass counts what is new to border and proposals, until a pass finds no failure. Then no frequent
 phrase can be missing, because all parts of a frequent phrase are frequent.
 
-Proposals are held as a bitmap of ``BITMAP`` bits over phrase hashes, which is what travels to the
-tasks: its size does not follow the corpus. A phrase that only shares a bit with a proposal is counted
+Proposals are held as a bitmap of ``BITMAP`` bits over phrase hashes, which are what travels to the
+tasks: their size does not follow the corpus. A phrase that only shares a bit with a proposal is counted
 too, and its exact count decides, so a full bitmap costs time and never a result. Counts are keyed by
 the phrase itself; hashes only collect equal phrases within a chunk, and two independent ones must agree.
 
@@ -36,7 +36,7 @@ SAMPLE, PROPOSED = 8, 2
 #: Bits of the set of proposals.
 BITMAP = 1 << 27
 #: Bytes of text whose phrases are summed before they leave a task, and bytes that are hashed at once.
-CHUNK, BLOCK = 6 << 20, 1 << 20
+CHUNK, BLOCK = 4 << 20, 1 << 18
 #: Phrases in one batch of rows.
 ROWS = 1 << 16
 #: A longer candidate with so many hundredths of the occurrences covers a phrase inside it.
@@ -97,17 +97,15 @@ class Words:
         kinds = np.frombuffer(raw.translate(KINDS), np.uint8)
         word = kinds == 2
         before = np.append(False, word)[:-1]
-        kept = word | before  # each word and the byte behind it
-        at = np.cumsum(kept) - kept
         starts, ends = np.flatnonzero(word & ~before), np.flatnonzero(~word & before)
         if len(ends) < len(starts):
             ends = np.append(ends, len(raw))
-        data = np.frombuffer(raw, np.uint8)[kept]
-        inner = word[kept]
-        self.data = np.where(inner, data, 32).astype(np.uint8)
-        self.starts = at[starts]
-        self.ends = self.starts + (ends - starts)
-        self.piece = np.cumsum(kinds == 0)[starts] if len(raw) else starts
+        kept = word | before  # each word and the byte behind it
+        self.data = np.where(word[kept], np.frombuffer(raw, np.uint8)[kept], np.uint8(32))
+        sizes = ends - starts
+        self.starts = np.cumsum(sizes + 1) - sizes - 1
+        self.ends = self.starts + sizes
+        self.piece = np.searchsorted(np.flatnonzero(kinds == 0), starts)
         size = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
         self.lang = langs[np.searchsorted(np.cumsum(size), starts, side="right")]
         self.first = FIRST.words(self.data, self.starts, self.ends)
@@ -186,35 +184,37 @@ def _equal(keys: np.ndarray, second: np.ndarray, i: np.ndarray, n: int) -> tuple
 
 
 def _counted(shared):
-    """Exact counts of the words and of all phrases whose parts are proposals now but were not all
-    before; ``words`` 0 is the number of all words of a language, told in the first pass."""
+    """Exact counts. In the full pass (``frequent`` unknown) of words and of all phrases whose parts are
+    proposed, and, as ``words`` 0, of all words of a language; in the expansion pass of the phrases that
+    were left out and whose parts are frequent or were not counted either."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        old, now = map(_opened, shared.value)
+        proposed, frequent = map(_opened, shared.value)
         for words, names in _chunks(batches):
             second = SECOND.words(words.data, words.starts, words.ends)
             label = np.array(list(names), np.uint64)
             texts = pa.array(list(names.values()), pa.string())
-            if old is None:
+            if frequent is None:
                 for key, lang in names.items():
                     total = int((words.lang == np.uint64(key)).sum())
                     yield _rows(pa.array([lang]), pa.array([""]), 0, np.array([total]))
-            inside = inside_old = np.ones(len(words.starts) + 1, bool)
+            inside = hopeful = np.ones(len(words.starts) + 1, bool)
             for n in range(1, LONGEST + 1):
                 # the parts of the phrase at i are the phrases of n - 1 words at i and at i + 1
                 i = words.phrases(n)
-                reach = inside[i] & inside[i + 1]
-                reach_old = inside_old[i] & inside_old[i + 1] & (old is not None)
+                counted = inside[i] & inside[i + 1]
                 keys = words.hashes(i, n)
-                wanted = reach & ~reach_old
+                wanted = counted if frequent is None else ~counted & hopeful[i] & hopeful[i + 1]
                 if wanted.any():
                     places, counts = _equal(keys[wanted], second, i[wanted], n)
                     for x in range(0, len(places), ROWS):
                         at = places[x : x + ROWS]
                         lang = pa.DictionaryArray.from_arrays(_index(label, words.lang[at]), texts).cast(pa.string())
                         yield _rows(lang, _strings(words, at, n), n, counts[x : x + ROWS])
-                inside = _marked(words, i, keys, reach, now)
-                inside_old = inside if old is None else _marked(words, i, keys, reach_old, old)
+                inside = _marked(words, i, keys, counted, proposed)
+                if frequent is not None:
+                    hopeful = _marked(words, i, keys, counted, frequent)
+                    hopeful[i[wanted]] = True
 
     return run
 
@@ -247,21 +247,16 @@ def _rows(lang: pa.Array, phrase: pa.Array, n: int, count: np.ndarray) -> pa.Rec
     )
 
 
-def _fresh(shared):
-    """Keys of frequent phrases that are no proposals: the failures of the border."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now = _opened(shared.value[1])
-        for batch in batches:
-            langs, phrases, sizes = (c.to_pylist() for c in batch.columns)
-            label = {lang: _lang_key(lang) for lang in set(langs)}
-            for n in range(1, LONGEST):
-                mine = [x for x, size in enumerate(sizes) if size == n]
-                words = Words([phrases[x].encode() for x in mine], np.array([label[langs[x]] for x in mine], np.uint64))
-                keys = words.hashes(n * np.arange(len(mine)), n)
-                yield pa.RecordBatch.from_pydict({"key": keys[~has(now, keys)].view(np.int64)})
-
-    return run
+def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Keys of phrases that are given as text."""
+    for batch in batches:
+        langs, phrases, sizes = (c.to_pylist() for c in batch.columns)
+        label = {lang: _lang_key(lang) for lang in set(langs)}
+        for n in range(1, LONGEST):
+            mine = [x for x, size in enumerate(sizes) if size == n]
+            words = Words([phrases[x].encode() for x in mine], np.array([label[langs[x]] for x in mine], np.uint64))
+            keys = words.hashes(n * np.arange(len(mine)), n)
+            yield pa.RecordBatch.from_pydict({"key": keys.view(np.int64)})
 
 
 def _bitmap(keys: DataFrame, bits: int) -> np.ndarray:
@@ -285,20 +280,21 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, text: str = "text", la
     # the sample is drawn by the whole row, so that copies of a text are in or out one by one
     drawn = plain.where(F.pmod(F.xxhash64(*plain.columns), F.lit(SAMPLE)) == 0).select(*both)
     proposed = drawn.mapInArrow(_sampled, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
-    old, now = None, _bitmap(proposed.where(F.col("n") >= PROPOSED).select("key"), bits)
-    found = None
-    while True:
-        shared = spark.sparkContext.broadcast((_closed(old), _closed(now)))
-        counted = plain.select(*both).mapInArrow(_counted(shared), "lang string, phrase string, words int, n bigint")
-        sums = counted.groupBy("lang", "phrase", "words").agg(F.sum("n").alias("n"))
+    bitmap = _bitmap(proposed.where(F.col("n") >= PROPOSED).select("key"), bits)
+
+    def counted(frequent: np.ndarray | None) -> DataFrame:
+        shared = spark.sparkContext.broadcast((_closed(bitmap), _closed(frequent)))
+        rows = plain.select(*both).mapInArrow(_counted(shared), "lang string, phrase string, words int, n bigint")
+        # most phrases of a task occur there once: they are dealt out without being summed there first
+        sums = rows.repartition("lang", "phrase", "words").groupBy("lang", "phrase", "words").agg(F.sum("n").alias("n"))
         kept = stage(sums.where((F.col("n") >= least) | (F.col("words") == 0)), "phrases")
-        found = kept if found is None else found.unionByName(kept)
-        failures = kept.where("words between 1 and 3").select("lang", "phrase", "words").mapInArrow(_fresh(shared), "key bigint")
-        more = _bitmap(failures, bits)
         shared.unpersist()
-        if not more.any():
-            return found
-        old, now = now, now | more
+        return kept
+
+    full = counted(None)
+    frequent = _bitmap(full.where(f"words between 1 and {LONGEST - 1}").select("lang", "phrase", "words").mapInArrow(_keys, "key bigint"), bits)
+    failures = frequent & ~bitmap
+    return full.unionByName(counted(frequent)) if failures.any() else full
 
 
 def _big(value: Column) -> Column:

@@ -118,22 +118,28 @@ def test_phrases_with_one_hash_are_told_apart():
     assert sorted(zip(c._strings(words, at, 1).to_pylist(), count.tolist(), strict=True)) == [("a", 3), ("b", 3)]
 
 
-def test_later_passes_count_only_what_is_new():
-    batch = pa.RecordBatch.from_pydict({"text": ["x y z"], "lang": ["en"]})
-    words = c.Words([b"x y z"], np.array([c._lang_key("en")], np.uint64))
-    none = np.zeros(1 << 10, np.uint64)
-    some = none.copy()
-    for key in words.hashes(np.array([0, 1]), 1).tolist():  # x and y
-        bit = key & ((1 << 16) - 1)
-        some[bit >> 6] |= np.uint64(1 << (bit & 63))
+def test_the_expansion_counts_what_the_full_pass_left_out():
+    batch = pa.RecordBatch.from_pydict({"text": ["w x y z"], "lang": ["en"]})
+    words = c.Words([b"w x y z"], np.array([c._lang_key("en")], np.uint64))
+
+    def bitmap(*phrases):
+        out = np.zeros(1 << 10, np.uint64)
+        for i, n in phrases:
+            bit = int(words.hashes(np.array([i]), n)[0]) & ((1 << 16) - 1)
+            out[bit >> 6] |= np.uint64(1 << (bit & 63))
+        return out
 
     class Shared:
         def __init__(self, *value):
             self.value = value
 
     def counted(*bitmaps):
-        return [r["phrase"] for b in c._counted(Shared(*map(c._closed, bitmaps)))(iter([batch])) for r in b.to_pylist()]
-
-    assert sorted(counted(None, some)) == ["", "x", "x y", "y", "z"]
-    assert counted(none, some) == ["x y"]
-    assert counted(some, some) == []
+        return sorted(r["phrase"] for b in c._counted(Shared(*map(c._closed, bitmaps)))(iter([batch])) for r in b.to_pylist())
+
+    proposed = bitmap((1, 1), (2, 1))  # x and y
+    assert counted(proposed, None) == ["", "w", "x", "x y", "y", "z"]
+    # w fails: what holds it and nothing infrequent (z; x y was counted) comes now
+    assert counted(proposed, bitmap((0, 1), (1, 1), (2, 1))) == ["w x"]
+    assert counted(proposed, bitmap((0, 1), (1, 1), (2, 1), (1, 2))) == ["w x", "w x y"]
+    assert counted(proposed, bitmap((0, 1), (1, 1), (2, 1), (3, 1), (1, 2))) == ["w x", "w x y", "w x y z", "x y z", "y z"]
+    assert counted(proposed, proposed) == []
