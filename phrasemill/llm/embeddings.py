@@ -112,8 +112,8 @@ class Index:
 def fit(rows: np.ndarray, threshold: float = THRESHOLD, centroids: int = CENTROIDS, target: float = TARGET_RECALL) -> Index:
     """Fit codebooks on unit vectors of a sample and set the visits that reach the target recall.
 
-    True pairs are the linked pairs inside the sample plus, for each vector, one displaced by just
-    the angle of the threshold in a random direction: the hardest neighbour there can be.
+    The pairs are each vector of the sample and one displaced by just the angle of the threshold in a
+    random direction: a pair as far apart as links can be.
     """
     half = rows.shape[1] // 2
     index = Index(kmeans(rows[:, :half], centroids), kmeans(rows[:, half:], centroids), 1)

@@ -103,9 +103,9 @@ def learn(df: DataFrame, text: str = "text", lang: str = "lang", size: int = SIZ
     )
     by_rank = Window.partitionBy("lang").orderBy(F.desc("n"), "code")
     return (
-        counts.withColumn("place", F.row_number().over(by_rank) - 1)
-        .where(F.col("place") < size)
-        .select("lang", "code", "place")
+        counts.withColumn("rank", F.row_number().over(by_rank))
+        .where(F.col("rank") <= size)  # on the rank itself, so that tasks drop what cannot be in it
+        .select("lang", "code", (F.col("rank") - 1).alias("place"))
     )
 
 

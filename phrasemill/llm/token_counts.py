@@ -93,14 +93,14 @@ class Counter:
         self.known = dict(self.whole)
 
     def _merge(self, missing: list[str]) -> None:
-        if len(self.known) > len(self.whole) + REMEMBERED:
-            self.known = dict(self.whole)
         codes = self.tokenizer.encode_batch_fast(missing, add_special_tokens=False)
         self.known.update(zip(missing, map(len, codes), strict=True))
 
     def count(self, texts: list[str | None]) -> list[int]:
         out = [0] * len(texts)
         plain = []
+        if len(self.known) > len(self.whole) + REMEMBERED:  # between slices only: a slice needs all it has merged
+            self.known = dict(self.whole)
         for i, text in enumerate(texts):
             if not text:
                 continue
@@ -111,9 +111,6 @@ class Counter:
         missing = {p for _, parts in plain for p in parts if p not in self.known}
         if missing:
             self._merge(list(missing))
-            missing = {p for _, parts in plain for p in parts if p not in self.known}
-            if missing:  # forgotten just now
-                self._merge(list(missing))
         get = self.known.__getitem__
         for i, parts in plain:
             out[i] = sum(map(get, parts))

@@ -63,3 +63,12 @@ def test_forgetting_changes_nothing(monkeypatch):
     counter = token_counts.Counter(library.to_str(), token_counts.whole_tokens(library), [])
     for text in ("qwertz asdfgh", "yxcvbn qwertz zzzzq", "asdfgh"):
         assert counter.count([text]) == [len(library.encode(text, add_special_tokens=False).ids)]
+
+
+def test_a_slice_larger_than_the_cache(monkeypatch):
+    library = Tokenizer.from_file(FILE)
+    monkeypatch.setattr(token_counts, "REMEMBERED", 3)
+    counter = token_counts.Counter(library.to_str(), token_counts.whole_tokens(library), [])
+    for turn in range(3):
+        texts = [f"qzx{turn}{i} wvk{i}j " * 2 for i in range(20)]
+        assert counter.count(texts) == [len(library.encode(t, add_special_tokens=False).ids) for t in texts]
