@@ -10,7 +10,7 @@ from phrasemill.functions.lexicon import DEFAULT, Lexicon
 from phrasemill.operators import annotate
 from phrasemill.operators.convert import convert_examples
 from phrasemill.operators.questions import combine_questions
-from phrasemill.schemas import RESPONSE
+from phrasemill.schemas import EXAMPLE, RESPONSE
 from phrasemill.sources import examples as files
 from phrasemill.sources import text
 
@@ -45,40 +45,99 @@ def merge_question_files(spark: SparkSession, existing: str, generated: str, tar
 
 def annotate_dataset(
     spark: SparkSession, source: str, template: str, context: str, model: annotate.ModelCall,
-    responses: str, target: str, start: int = 0, end: int | None = None, batch_size: int = 10,
+    store: str, target: str, start: int = 0, end: int | None = None, batch_size: int = 10,
     layout: str = "lines", parallelism: int | None = None, commit_every: int = 100_000,
 ) -> DataFrame:
     """Send the slice ``[start, end)`` of a dataset through a model and write the result.
 
-    Answers are committed to ``responses`` after every ``commit_every`` positions, before anything
-    is derived from them. A rerun with the same folder asks only for examples without a final
-    outcome there, so a failure costs the calls of one step at most, and the result cannot mix two
-    answers to one prompt. Returns the summary of the stored result.
+    The work goes by the steps of :func:`prepare_steps` and can be stopped and started again with the
+    same ``store`` at any time. Returns the summary of the stored result.
     """
+    prepare_steps(spark, source, store, start, end, layout, commit_every)
+    template_text = text.load_template(spark, template).first()["template"]
+    context_text = text.load_context(spark, context).first()["context"]
+    annotate_steps(spark, store, model, template_text, context_text, batch_size, parallelism)
+    annotated(spark, store).write.parquet(target)
+    return annotate.annotation_summary(spark.read.parquet(target))
+
+
+_MANIFEST = "source string, start bigint, end bigint, commit_every bigint"
+
+
+def prepare_steps(
+    spark: SparkSession, source: str, store: str, start: int = 0, end: int | None = None, layout: str = "lines",
+    commit_every: int = 100_000,
+) -> None:
+    """Number the examples of a slice and write them into ``store``, in steps of ``commit_every`` positions.
+
+    This is the only time that the source is read. A store that is complete stays as it is, one that was
+    left half written is written anew; a store of another source, slice or step size is refused.
+    """
+    wanted = (source, start, end, commit_every)
+    known = _stored(spark, f"{store}/manifest", _MANIFEST)
+    known = None if known is None else known.first()
+    if known is not None:
+        if tuple(known) != wanted:
+            raise ValueError(f"{store} was made for {tuple(known)}, not for {wanted}")
+        return
     examples = annotate.slice_range(files.read_examples(spark, source, layout), start, end)
-    texts = [text.load_template(spark, template).first()["template"], text.load_context(spark, context).first()["context"]]
-    span = examples.agg(F.min("example_id"), F.max("example_id")).first()
-    for first in range(span[0], span[1] + 1, commit_every) if span[0] is not None else ():
-        step = annotate.slice_range(examples, first, first + commit_every)
-        stored = answers(spark, responses)
-        if stored is not None:
-            step = annotate.unanswered(step, stored)
+    step = F.floor(F.col("example_id") / commit_every).cast("bigint")
+    examples.withColumn("step", step).write.mode("overwrite").partitionBy("step").parquet(f"{store}/examples")
+    # written last, so that its presence tells that the examples are complete
+    spark.createDataFrame([wanted], _MANIFEST).coalesce(1).write.mode("overwrite").parquet(f"{store}/manifest")
+
+
+def open_steps(spark: SparkSession, store: str) -> list[int]:
+    """The steps that hold an example without a final outcome, from one scan of ids and answers."""
+    examples = spark.read.schema(f"{EXAMPLE}, step bigint").parquet(f"{store}/examples").select("step", "example_id")
+    known = answers(spark, store)
+    if known is not None:
+        examples = annotate.unanswered(examples, known)
+    return sorted(r.step for r in examples.select("step").distinct().collect())
+
+
+def annotate_steps(
+    spark: SparkSession, store: str, model: annotate.ModelCall, template: str, context: str | None = None,
+    batch_size: int = 10, parallelism: int | None = None, max_steps: int | None = None,
+) -> int:
+    """Ask the model for what is open in a prepared store, step by step; returns the steps left over.
+
+    A step reads its own examples and its own answers only, and its answers are committed before the next
+    step begins, so a failure costs the calls of one step at most and attempts of an example come from one
+    run. ``parallelism`` tasks call the model (by default as many as the session has cores);
+    ``max_steps`` ends the run earlier.
+    """
+    left = open_steps(spark, store)
+    for step in left[:max_steps]:
+        todo = spark.read.schema(EXAMPLE).parquet(f"{store}/examples/step={step}")
+        known = _stored(spark, f"{store}/answers/step={step}", RESPONSE)
+        if known is not None:
+            todo = annotate.unanswered(todo, known)
         made = annotate.annotate_batches(
-            step, model, batch_size, parallelism=parallelism, template=texts[0], context=texts[1]
+            todo, model, batch_size, parallelism=parallelism or spark.sparkContext.defaultParallelism,
+            template=template, context=context,
         )
-        made.write.mode("append").parquet(responses)
-    stored = answers(spark, responses)
-    if stored is None:
-        stored = spark.createDataFrame([], RESPONSE)
-    # a step that failed halfway has committed nothing, so attempts of an example come from one run
-    annotate.annotated_dataset(examples, stored).write.parquet(target)
-    return annotate.annotation_summary(spark.read.parquet(target))
+        made.write.mode("append").parquet(f"{store}/answers/step={step}")
+    return 0 if max_steps is None else max(len(left) - max_steps, 0)
+
+
+def annotated(spark: SparkSession, store: str) -> DataFrame:
+    """Every example of a store with its new output and where that came from."""
+    examples = spark.read.schema(EXAMPLE).parquet(f"{store}/examples")
+    known = answers(spark, store)
+    if known is None:
+        known = spark.createDataFrame([], RESPONSE)
+    return annotate.annotated_dataset(examples, known)
+
+
+def answers(spark: SparkSession, store: str) -> DataFrame | None:
+    """All answers of a store so far, or None before the first step is committed."""
+    return _stored(spark, f"{store}/answers", RESPONSE)
 
 
-def answers(spark: SparkSession, responses: str) -> DataFrame | None:
-    """The answers stored so far, or None before the first step is committed."""
+def _stored(spark: SparkSession, path: str, schema: str) -> DataFrame | None:
     try:
-        return spark.read.schema(RESPONSE).parquet(responses)
+        return spark.read.schema(schema).parquet(path)
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise

@@ -627,6 +627,11 @@ ORACLE: dict[str, str] = {
     "request_rows": request(annotate.BATCH),
     "request_rows_interactive": request(annotate.INTERACTIVE),
     "annotate_batches": ANNOTATE,
+    "incremental_annotate": (
+        "SELECT example_id, input, CASE n % 4 WHEN 2 THEN 'skeleton' ELSE 'model' END AS provenance, CASE n % 4 WHEN 2 THEN "
+        f"{skeleton('input')} ELSE '{{\"chars\": ' || n || ', \"attempt\": ' || CASE n % 4 WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 0 END "
+        f"|| '}}' END AS output_json FROM (SELECT *, length({PROMPT}) AS n FROM ({EX}))"
+    ),
     "parse_response": f"SELECT example_id, attempt::BIGINT AS attempt, content, error, kind FROM ({PARSED})",
     "resolve_attempts": (
         f"SELECT example_id, won::BIGINT AS attempt, content FROM ({OUTCOME}) WHERE won IS NOT NULL"

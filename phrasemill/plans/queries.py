@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from phrasemill import fixtures as fx
 from phrasemill.functions.lexicon import DEFAULT, backfill_context, rewrite_terms
 from phrasemill.operators import annotate, audit, convert, flatten, questions, rules
-from phrasemill.plans.jobs import convert_dataset
+from phrasemill.plans.jobs import annotate_steps, annotated, convert_dataset, prepare_steps
 from phrasemill.session import scratch_dir
 from phrasemill.sources import examples as example_files
 from phrasemill.sources import text as text_files
@@ -254,6 +254,17 @@ def annotate_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.withColumn("attempt", F.col("attempt").cast("bigint"))
 
 
+def incremental_annotate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Annotation in four steps, stopped after two of them and taken up again."""
+    base = scratch_dir(spark, "annotate")
+    examples = fx.examples(spark, sf_dir)
+    example_files.write_examples(examples, f"{base}/in")
+    prepare_steps(spark, f"{base}/in", f"{base}/store", commit_every=-(-examples.count() // 4) or 1)
+    while annotate_steps(spark, f"{base}/store", echo_model(), TEMPLATE, CONTEXT, max_steps=2):
+        pass
+    return annotated(spark, f"{base}/store")
+
+
 def request_rows(settings: annotate.RequestSettings) -> Query:
     return on_examples(lambda ex: annotate.request_rows(ex, TEMPLATE, CONTEXT, settings))
 
@@ -373,6 +384,7 @@ QUERIES: dict[str, Query] = {
     "request_rows": request_rows(annotate.BATCH),
     "request_rows_interactive": request_rows(annotate.INTERACTIVE),
     "annotate_batches": annotate_batches,
+    "incremental_annotate": incremental_annotate,
     "parse_response": on_responses(
         lambda r: annotate.parse_response(r).withColumn("attempt", F.col("attempt").cast("bigint"))
     ),

@@ -148,8 +148,33 @@ def test_a_rerun_asks_only_for_what_is_open(spark, tmp_path):
     with pytest.raises(Exception):
         job("out1")
     stored = jobs.answers(spark, str(tmp_path / "r"))
-    assert stored.count() == 10
+    assert stored.count() == 10 and jobs.open_steps(spark, str(tmp_path / "r")) == [1]
     (tmp_path / "broken").unlink()
+    (tmp_path / "d.json").write_text("not read again")
     before = asked()
     summary = job("out2").collect()
     assert asked() - before == 10 and sorted(r.example_id for r in summary) == list(range(20))
+    assert jobs.open_steps(spark, str(tmp_path / "r")) == []
+    before = asked()
+    assert jobs.annotate_steps(spark, str(tmp_path / "r"), model, TEMPLATE) == 0 and asked() == before
+
+
+def test_a_store_is_for_one_slice_and_is_written_whole(spark, tmp_path):
+    rows = [{"input": f"question {i}", "output": {}} for i in range(30)]
+    (tmp_path / "d.json").write_text("\n".join(map(json.dumps, rows)))
+    source, store = str(tmp_path / "d.json"), str(tmp_path / "s")
+    # left behind by a run that died before its examples were complete
+    spark.createDataFrame([(99, "old", "{}", 7)], "example_id bigint, input string, output_json string, step bigint").write.partitionBy(
+        "step").parquet(f"{store}/examples")
+    jobs.prepare_steps(spark, source, store, 5, 25, commit_every=10)
+    assert jobs.open_steps(spark, store) == [0, 1, 2]
+    jobs.prepare_steps(spark, source, store, 5, 25, commit_every=10)
+    with pytest.raises(ValueError, match="was made for"):
+        jobs.prepare_steps(spark, source, store, 0, 25, commit_every=10)
+    model = lambda prompts, attempt: ["{}"] * len(prompts)
+    assert jobs.annotate_steps(spark, store, model, TEMPLATE, max_steps=2) == 1
+    got = {r.example_id: r.provenance for r in jobs.annotated(spark, store).collect()}
+    assert got == {i: "model" if i < 20 else "original" for i in range(5, 25)}
+    assert jobs.annotate_steps(spark, store, model, TEMPLATE, max_steps=2) == 0
+    plan = spark.read.parquet(f"{store}/answers").where("step = 2")
+    assert sorted(r.example_id for r in plan.collect()) == list(range(20, 25))
