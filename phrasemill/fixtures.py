@@ -72,6 +72,18 @@ SELECT 1000000000 + event_id AS example_id, 'Show sales of departments in Q' ||
 FROM @events WHERE event_id % 25 < 9
 """
 
+# Examples as JSON Lines, some lines no records. Questions hold no character that JSON would escape.
+LINES_SQL = """
+SELECT example_id, CASE example_id % 50
+    WHEN 7 THEN 'no record ' || CAST(example_id AS STRING)
+    WHEN 8 THEN '{"output":' || output_json || '}'
+    WHEN 9 THEN '{"input":"' || input || '"}'
+    WHEN 10 THEN '{"input":"' || input || '","output":[' || CAST(example_id AS STRING) || ']}'
+    WHEN 11 THEN '  '
+    ELSE '{ "output" : ' || output_json || ', "id":' || CAST(example_id AS STRING) || ',"input":"' || input || '"}' END AS line
+FROM @examples
+"""
+
 EXISTING_SQL = """
 SELECT c_custkey AS line_no,
   CASE WHEN c_custkey % 15 = 0 THEN '   '
@@ -128,6 +140,11 @@ def odd_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return examples(spark, sf_dir).unionByName(_run(spark, ODD_SQL, events=events))
 
 
+def record_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(example_id, line)``: the examples as lines of record files."""
+    return _run(spark, LINES_SQL, examples=examples(spark, sf_dir))
+
+
 def existing_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _run(spark, EXISTING_SQL, customer=spark.read.parquet(f"{sf_dir}/customer.parquet"))
 

@@ -663,6 +663,14 @@ ORACLE: dict[str, str] = {
         f"(SELECT length({PROMPT}) AS n FROM ({EX}))"
     ),
     "incremental_convert": CONVERTED_EX,
+    "incremental_convert_lines": (
+        f"SELECT input, output_json, CAST(NULL AS VARCHAR) AS problem, CAST(NULL AS VARCHAR) AS record FROM ({CONVERTED_EX}) WHERE "
+        "example_id % 50 NOT BETWEEN 7 AND 11 UNION ALL SELECT NULL, NULL, CASE k WHEN 7 THEN 'not a JSON object' WHEN 8 THEN "
+        "'no input' WHEN 9 THEN 'no output' ELSE 'output is no object that can be edited' END, CASE k WHEN 7 THEN 'no record ' || "
+        "example_id WHEN 8 THEN '{\"output\":' || CAST(to_json(output_json) AS VARCHAR) || '}' WHEN 9 THEN '{\"input\":\"' || input || "
+        "'\"}' ELSE '{\"input\":\"' || input || '\",\"output\":\"[' || example_id || ']\"}' END FROM "
+        f"(SELECT *, example_id % 50 AS k FROM ({EX})) WHERE k BETWEEN 7 AND 10"
+    ),
     "union_datasets": (
         f"SELECT 'events' AS source, example_id AS source_id, example_id, input, output_json FROM ({EX}) UNION ALL "
         "SELECT 'questions', line_no, line_no + (SELECT max(event_id) + 1 FROM events), line, "

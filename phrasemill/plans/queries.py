@@ -15,7 +15,9 @@ from phrasemill.plans.jobs import annotate_steps, annotated, convert_dataset, pr
 from phrasemill.session import scratch_dir
 from phrasemill.sources import examples as example_files
 from phrasemill.sources import text as text_files
-from phrasemill.streaming.incremental import example_stream, incremental_convert
+from phrasemill.streaming.incremental import (
+    converted_lines, example_stream, incremental_convert, incremental_convert_lines, line_stream, rejected_lines,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -161,6 +163,19 @@ def incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{base}/out")
 
 
+def incremental_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Record lines, some of them broken, that arrive in two parts with a restart in between."""
+    base = scratch_dir(spark, "lines")
+    lines = fx.record_lines(spark, sf_dir)
+    for part in (0, 1):
+        lines.where(F.col("example_id") % 2 == part).select("line").write.mode("append").text(f"{base}/in")
+        stream = line_stream(spark, f"{base}/in", files_per_batch=4)
+        incremental_convert_lines(stream, f"{base}/out", f"{base}/checkpoint").awaitTermination()
+    none = F.lit(None).cast("string")
+    good = converted_lines(spark, f"{base}/out").select("input", "output_json", none.alias("problem"), none.alias("record"))
+    return good.union(rejected_lines(spark, f"{base}/out").select(none, none, "problem", "record"))
+
+
 def _planted(examples: DataFrame) -> DataFrame:
     """Examples in which some lists hold an element that is no object."""
     out = F.replace(F.col("output_json"), F.lit('"dimensions":[{'), F.lit('"dimensions":["Country",{'))
@@ -399,6 +414,7 @@ QUERIES: dict[str, Query] = {
     "stamp_results": stamp_results,
     "prompt_sizes": on_examples(lambda ex: annotate.prompt_sizes(ex, TEMPLATE, CONTEXT)),
     "incremental_convert": incremental,
+    "incremental_convert_lines": incremental_lines,
     # rules
     "union_datasets": union_datasets,
     "fix_types": recoded(rules.fix_types, flatten.flatten_unmatched),

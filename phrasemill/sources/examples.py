@@ -58,8 +58,12 @@ def _scan_objects(spark: SparkSession, path: str, indent: int, dense: bool) -> D
     # What stands behind the last object: white space, commas or the end of an array.
     piece = ~F.col("value").rlike(r"\A[\s,\[\]]*\z")
     rows = _placed(spark.read.text(path, lineSep=close), dense, keep=piece)
-    body = F.concat(F.regexp_replace("value", r"\A[\s,\[]+", ""), F.lit("\n}"))
-    record = F.from_json(body, _RECORD, {"columnNameOfCorruptRecord": "_corrupt_record"})
+    return parse_records(rows, F.concat(F.regexp_replace("value", r"\A[\s,\[]+", ""), F.lit("\n}")))
+
+
+def parse_records(rows: DataFrame, text: Column) -> DataFrame:
+    """``(example_id, input, output_json, problem, record)`` of rows whose ``text`` is one record."""
+    record = F.from_json(text, _RECORD, {"columnNameOfCorruptRecord": "_corrupt_record"})
     parsed = rows.select("example_id", record.alias("_pm_rec"))
     fields = [F.col(f"_pm_rec.{c}").alias(c) for c in ("input", "output", "_corrupt_record")]
     return _checked(emit(parsed, F.lit(True), F.col("example_id"), *fields))
