@@ -285,8 +285,7 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, text: str = "text", la
     def counted(frequent: np.ndarray | None) -> DataFrame:
         shared = spark.sparkContext.broadcast((_closed(bitmap), _closed(frequent)))
         rows = plain.select(*both).mapInArrow(_counted(shared), "lang string, phrase string, words int, n bigint")
-        # most phrases of a task occur there once: they are dealt out without being summed there first
-        sums = rows.repartition("lang", "phrase", "words").groupBy("lang", "phrase", "words").agg(F.sum("n").alias("n"))
+        sums = rows.groupBy("lang", "phrase", "words").agg(F.sum("n").alias("n"))
         kept = stage(sums.where((F.col("n") >= least) | (F.col("words") == 0)), "phrases")
         shared.unpersist()
         return kept
