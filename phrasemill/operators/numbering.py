@@ -53,16 +53,25 @@ def number_by_line(df: DataFrame, line_no: str = "line_no", position: str = "pos
     )
 
 
+def with_split(scan: DataFrame) -> DataFrame:
+    """Add the place of every row of a file scan that :func:`number_by_file` works with."""
+    return scan.select(
+        "*", F.col("_metadata.file_path").alias("_pm_path"), F.col("_metadata.file_block_start").alias("_pm_block"),
+    )
+
+
 def number_by_file(df: DataFrame, position: str, probe: str | None = None) -> DataFrame:
     """0-based position of each row of a file *scan*, in path order and order inside the file.
 
-    ``df`` must be a scan that carries ``_pm_path``, ``_pm_block`` and ``_pm_mid`` (see
-    ``sources.text.with_split``). Rows of one split have consecutive ids, so a row's position
-    is the number of rows in earlier splits plus its distance from the split's first row.
-    Only one small row per split is sorted. ``probe`` names a column that makes a row exist at
+    ``df`` must be a scan that carries ``_pm_path`` and ``_pm_block`` (see :func:`with_split`); it may
+    have been filtered, and then only the rows that are left count. They get a running number here, so
+    those of one split are consecutive, and a row's position is the number of rows in earlier splits plus
+    its distance from the split's first row. Only one small row per split is sorted; no row of the scan
+    is moved. ``probe`` names a column that makes a row exist at
     all: without it the counting scan of a JSON source would read no column and count blank
     lines too.
     """
+    df = df.withColumn("_pm_mid", F.monotonically_increasing_id())
     rows = F.count(F.lit(1))
     splits = df.groupBy("_pm_path", "_pm_block").agg(
         F.min("_pm_mid").alias("_pm_first"),

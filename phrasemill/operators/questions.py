@@ -1,4 +1,8 @@
-"""Merging of numbered question lists."""
+"""Merging of numbered question lists.
+
+A list is either a frame ``(line_no, line)``, whose order is that of ``line_no``, or a scan of text files
+(``sources.text.scan_lines``), whose order is that of the files. Numbering a scan moves no line.
+"""
 
 from __future__ import annotations
 
@@ -6,14 +10,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from phrasemill.functions.text import drop_number, strip_edges
-from phrasemill.operators.numbering import number_by_line
+from phrasemill.operators.numbering import number_by_file, number_by_line
 
 FIRST_NUMBER = 61  # fixed value: number of the first generated question
 
 
 def clean_lines(lines: DataFrame) -> DataFrame:
-    """Trimmed ``(line_no, line)`` without blank lines and ``//`` comments."""
-    trimmed = lines.select("line_no", strip_edges(F.col("line")).alias("line"))
+    """Trimmed lines without blank ones and ``//`` comments, with their places."""
+    trimmed = lines.withColumn("line", strip_edges(F.col("line")))
     return trimmed.filter((F.col("line") != "") & ~F.col("line").startswith("//"))
 
 
@@ -22,9 +26,16 @@ def strip_numbering(lines: DataFrame) -> DataFrame:
     return clean_lines(lines).withColumn("line", drop_number(F.col("line")))
 
 
+def _numbered(lines: DataFrame) -> DataFrame:
+    """Add the 0-based ``position`` of every line."""
+    if "line_no" in lines.columns:
+        return number_by_line(lines)
+    return number_by_file(lines, "position")
+
+
 def renumber(lines: DataFrame, first: int = FIRST_NUMBER) -> DataFrame:
     """Cleaned lines with consecutive numbers in line order, ``(position, line)``."""
-    numbered = number_by_line(strip_numbering(lines))
+    numbered = _numbered(strip_numbering(lines))
     return numbered.select(
         "position",
         F.concat((F.col("position") + first).cast("string"), F.lit(". "), F.col("line")).alias("line"),
@@ -36,6 +47,6 @@ def combine_questions(existing: DataFrame, generated: DataFrame, first: int = FI
 
     ``(source, position)`` is the order of the combined list.
     """
-    kept = number_by_line(clean_lines(existing)).select(F.lit(0).alias("source"), "position", "line")
+    kept = _numbered(clean_lines(existing)).select(F.lit(0).alias("source"), "position", "line")
     added = renumber(generated, first).select(F.lit(1).alias("source"), "position", "line")
     return kept.unionByName(added)

@@ -37,9 +37,7 @@ def audit_dataset(spark: SparkSession, source: str, report: str, layout: str = "
 
 def merge_question_files(spark: SparkSession, existing: str, generated: str, target: str) -> None:
     """Merge two question lists into one numbered list."""
-    combined = combine_questions(
-        text.read_raw_lines(spark, existing), text.read_raw_lines(spark, generated)
-    )
+    combined = combine_questions(text.scan_lines(spark, existing), text.scan_lines(spark, generated))
     text.write_lines(combined, target)
 
 

@@ -102,6 +102,10 @@ def _stored_lines(spark: SparkSession, lines: DataFrame, label: str) -> str:
     return path
 
 
+def _scan(spark: SparkSession, lines: DataFrame, label: str) -> DataFrame:
+    return text_files.scan_lines(spark, _stored_lines(spark, lines, label))
+
+
 def read_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_files.read_lines(spark, _stored_lines(spark, fx.generated_lines(spark, sf_dir), "lines"))
 
@@ -232,11 +236,13 @@ def strip_numbering(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def renumber(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return questions.renumber(fx.generated_lines(spark, sf_dir))
+    return questions.renumber(_scan(spark, fx.generated_lines(spark, sf_dir), "generated"))
 
 
 def combine_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = questions.combine_questions(fx.existing_lines(spark, sf_dir), fx.generated_lines(spark, sf_dir))
+    out = questions.combine_questions(
+        _scan(spark, fx.existing_lines(spark, sf_dir), "existing"), _scan(spark, fx.generated_lines(spark, sf_dir), "generated")
+    )
     return out.withColumn("source", F.col("source").cast("bigint"))
 
 

@@ -9,9 +9,8 @@ from pyspark.sql import functions as F
 from phrasemill.functions.jsontext import is_strict_json
 from phrasemill.functions.text import emit
 from phrasemill.operators.audit import quality_report
-from phrasemill.operators.numbering import number_by_file
+from phrasemill.operators.numbering import number_by_file, with_split
 from phrasemill.schemas import EXAMPLE
-from phrasemill.sources.text import with_split
 
 _RECORD = "input string, output string, _corrupt_record string"
 
@@ -40,7 +39,7 @@ def _placed(
     rows = rows if keep is None else rows.filter(keep)
     if dense:
         return number_by_file(rows, "example_id", probe)
-    return rows.drop("_pm_path", "_pm_block").withColumnRenamed("_pm_mid", "example_id")
+    return rows.drop("_pm_path", "_pm_block").withColumn("example_id", F.monotonically_increasing_id())
 
 
 def _scan_records(spark: SparkSession, path: str, array: bool, dense: bool) -> DataFrame:

@@ -6,24 +6,21 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from phrasemill.operators.numbering import number_by_file
+from phrasemill.operators.numbering import number_by_file, with_split
 from phrasemill.operators.questions import clean_lines
 
 
-def with_split(scan: DataFrame) -> DataFrame:
-    """Add what :func:`phrasemill.operators.numbering.number_by_file` needs to a file scan."""
-    return scan.select(
-        "*",
-        F.col("_metadata.file_path").alias("_pm_path"),
-        F.col("_metadata.file_block_start").alias("_pm_block"),
-        F.monotonically_increasing_id().alias("_pm_mid"),
-    )
+def scan_lines(spark: SparkSession, path: str) -> DataFrame:
+    """The lines of a text file or folder with their places in the files, not yet numbered.
+
+    Question lists are cleaned and numbered from such a scan without moving a line.
+    """
+    return with_split(spark.read.text(path)).withColumnRenamed("value", "line")
 
 
 def read_raw_lines(spark: SparkSession, path: str) -> DataFrame:
     """``(line_no, line)`` of a text file or folder, numbered from 0 in file order."""
-    scan = with_split(spark.read.text(path).withColumnRenamed("value", "line"))
-    return number_by_file(scan, "line_no").select("line_no", "line")
+    return number_by_file(scan_lines(spark, path), "line_no").select("line_no", "line")
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
