@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -185,7 +186,7 @@ def _equal(keys: np.ndarray, second: np.ndarray, i: np.ndarray, n: int) -> tuple
 
 def _counted(shared):
     """Exact counts. In the full pass (``frequent`` unknown) of words and of all phrases whose parts are
-    proposed, and, as ``words`` 0, of all words of a language; in the expansion pass of the phrases that
+    proposed, and, under an empty phrase, of all words of a language; in the expansion pass of the phrases that
     were left out and whose parts are frequent or were not counted either."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,7 +198,7 @@ def _counted(shared):
             if frequent is None:
                 for key, lang in names.items():
                     total = int((words.lang == np.uint64(key)).sum())
-                    yield _rows(pa.array([lang]), pa.array([""]), 0, np.array([total]))
+                    yield _rows(pa.array([lang]), pa.array([""]), np.array([total]))
             inside = hopeful = np.ones(len(words.starts) + 1, bool)
             for n in range(1, LONGEST + 1):
                 # the parts of the phrase at i are the phrases of n - 1 words at i and at i + 1
@@ -210,7 +211,7 @@ def _counted(shared):
                     for x in range(0, len(places), ROWS):
                         at = places[x : x + ROWS]
                         lang = pa.DictionaryArray.from_arrays(_index(label, words.lang[at]), texts).cast(pa.string())
-                        yield _rows(lang, _strings(words, at, n), n, counts[x : x + ROWS])
+                        yield _rows(lang, _strings(words, at, n), counts[x : x + ROWS])
                 inside = _marked(words, i, keys, counted, proposed)
                 if frequent is not None:
                     hopeful = _marked(words, i, keys, counted, frequent)
@@ -240,11 +241,10 @@ def _strings(words: Words, i: np.ndarray, n: int) -> pa.Array:
     return pa.Array.from_buffers(pa.string(), len(i), buffers)
 
 
-def _rows(lang: pa.Array, phrase: pa.Array, n: int, count: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [lang, phrase, pa.array(np.full(len(count), n, np.int32)), pa.array(count.astype(np.int64))],
-        names=["lang", "phrase", "words", "n"],
-    )
+def _rows(lang: pa.Array, phrase: pa.Array, count: np.ndarray) -> pa.RecordBatch:
+    """Phrase and language as one narrow key; no word holds the line break between them."""
+    key = pc.binary_join_element_wise(phrase, lang, "\n")
+    return pa.RecordBatch.from_arrays([key, pa.array(count.astype(np.int64))], names=["key", "n"])
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -284,9 +284,14 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, text: str = "text", la
 
     def counted(frequent: np.ndarray | None) -> DataFrame:
         shared = spark.sparkContext.broadcast((_closed(bitmap), _closed(frequent)))
-        rows = plain.select(*both).mapInArrow(_counted(shared), "lang string, phrase string, words int, n bigint")
-        sums = rows.groupBy("lang", "phrase", "words").agg(F.sum("n").alias("n"))
-        kept = stage(sums.where((F.col("n") >= least) | (F.col("words") == 0)), "phrases")
+        rows = plain.select(*both).mapInArrow(_counted(shared), "key string, n bigint")
+        # most phrases of a task occur there in one chunk: they are dealt out without being summed there again
+        sums = rows.repartition("key").groupBy("key").agg(F.sum("n").alias("n"))
+        some = sums.where((F.col("n") >= least) | F.col("key").startswith("\n"))
+        phrase = F.substring_index("key", "\n", 1)
+        named = some.select(F.col("key").substr(F.length(phrase) + 2, F.length("key")).alias("lang"), phrase.alias("phrase"), "n")
+        size = F.when(F.col("phrase") == "", 0).otherwise(F.size(F.split("phrase", " ")))
+        kept = stage(named.select("lang", "phrase", size.alias("words"), "n"), "phrases")
         shared.unpersist()
         return kept
 

@@ -134,7 +134,7 @@ def test_the_expansion_counts_what_the_full_pass_left_out():
             self.value = value
 
     def counted(*bitmaps):
-        return sorted(r["phrase"] for b in c._counted(Shared(*map(c._closed, bitmaps)))(iter([batch])) for r in b.to_pylist())
+        return sorted(r["key"].removesuffix("\nen") for b in c._counted(Shared(*map(c._closed, bitmaps)))(iter([batch])) for r in b.to_pylist())
 
     proposed = bitmap((1, 1), (2, 1))  # x and y
     assert counted(proposed, None) == ["", "w", "x", "x y", "y", "z"]
