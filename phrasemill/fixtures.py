@@ -17,7 +17,7 @@ SELECT example_id, input,
   CASE WHEN example_id % 89 = 0 THEN '' ELSE '"discovery_results":[{"step_id":"step_1","sub_question":"' ||
     CASE WHEN example_id % 3 = 0 THEN 'step one of the departments budget' ELSE input END ||
     '","measures":[{"name":"' || calc || '","calculation":"' || CASE WHEN example_id % 71 = 0 THEN 'Trend' ELSE calc END ||
-    '","original_phrase":"' || CASE WHEN example_id % 6 = 0 THEN 'How many' ELSE 'count' END || '"}],' ||
+    '","original_phrase":"' || CASE example_id % 6 WHEN 0 THEN 'How many' WHEN 1 THEN 'state and the age' WHEN 5 THEN 'the industries of companies' ELSE 'count' END || '"}],' ||
     '"dimensions":[{"name":"' || dim || '","filter_value":null,"original_phrase":"' || event_type || '"}' ||
     CASE WHEN example_id % 120 = 59 THEN ',{"name":"Segment","filter_value":"Premium Customers","original_phrase":"premium customers"}' ELSE '' END ||
     '],"timegrain":null,"timeframe":' ||
@@ -25,7 +25,7 @@ SELECT example_id, input,
     CASE WHEN example_id % 83 = 0 THEN '' ELSE '"segments":[],' END ||
     '"breakdowns":[' || CASE WHEN example_id % 11 = 0 THEN '{"name":"' || dim || '","filter_value":null,"original_phrase":"' || event_type || '"}' ELSE '' END ||
     '],"unmatched_intents":[' ||
-    CASE WHEN example_id % 24 = 4 THEN '{"phrase":"student","type":"unknown_term","reason":"synthetic"},{"phrase":"enrollment","type":"unknown_term","reason":"synthetic"}'
+    CASE WHEN example_id % 24 = 4 THEN '{"phrase":"Yearly","type":"unknown_term","reason":"synthetic"},{"phrase":"student","type":"unknown_term","reason":"a part"},{"phrase":"enrollment","type":"unknown_term","reason":"synthetic"},{"phrase":"schools","type":"unknown_term","reason":"synthetic"},{"phrase":"affiliation","type":"business_entity","reason":"synthetic"},{"phrase":"type","type":"unknown_term","reason":"synthetic"},{"phrase":"at every","type":"unknown_term","reason":"synthetic"}'
          ELSE '{"phrase":"' || CASE example_id % 7 WHEN 0 THEN 'departments' WHEN 1 THEN 'sales' WHEN 2 THEN 'schools' ELSE 'perf data' END ||
               '","type":"' || CASE example_id % 5 WHEN 0 THEN 'action' WHEN 1 THEN 'unknown_term' ELSE 'business_entity' END || '","reason":"synthetic"}' END ||
     ']}' ||

@@ -125,20 +125,26 @@ def edit_members(raw: Column, edits: dict[str, Edit], absent: dict[str, Column |
 
 def edit_elements(
     raw: Column, fn: Edit | None = None, keep: Callable[[Column], Column] | None = None, more: Column | None = None,
-    only_first: bool = False,
+    only_first: bool = False, whole: Edit | None = None,
 ) -> Column:
     """An array's text with its objects (or the first of them) edited, elements that ``keep`` refuses
     left out, and the raw elements ``more`` (an array of texts) appended. A text that is no array is
-    returned as it is."""
+    returned as it is.
+
+    ``whole`` maps all pieces ``array<struct<head,value>>`` to those that are left.
+    """
+
+    def opened(left: Column, pieces: Column) -> Column:
+        """Pieces of which the first has the head of the array's first."""
+        first = F.element_at(pieces, 1)["head"]
+        return F.transform(left, lambda p, i: F.struct(F.when(i == 0, first).otherwise(p["head"]).alias("head"), p["value"].alias("value")))
 
     def spliced(pieces: Column, tail: Column) -> Column:
         out = pieces
+        if whole is not None:
+            out = opened(whole(pieces), pieces)
         if keep is not None:
-            first = F.element_at(pieces, 1)["head"]
-            out = F.transform(
-                F.filter(pieces, lambda p: keep(p["value"])),
-                lambda p, i: F.struct(F.when(i == 0, first).otherwise(p["head"]).alias("head"), p["value"].alias("value")),
-            )
+            out = opened(F.filter(out, lambda p: keep(p["value"])), pieces)
         if fn is not None:
             first_object = F.array_position(F.transform(out, lambda p: p["value"].startswith("{")), True) - 1
 
@@ -159,6 +165,36 @@ def edit_elements(
     return F.when(raw.startswith("["), _pieces(raw, _ELEMENT_HEAD, "]", spliced)).otherwise(raw)
 
 
+def raw_elements(raw: Column) -> Column:
+    """The raw elements of an array; empty for anything else."""
+    found = F.regexp_extract_all(raw, F.lit(rf"(?s)\G{_ELEMENT_HEAD}({_VALUE})"), F.lit(1))
+    return F.when(raw.startswith("["), found).otherwise(F.array().cast("array<string>"))
+
+
+def raw_member(raw: Column, key: str) -> Column:
+    """The last raw value of a key whose spelling holds no escape; NULL if there is none."""
+    found = F.regexp_extract_all(raw, F.lit(rf"(?s)\G{_MEMBER_HEAD}{_VALUE}"), F.lit(0))
+    head = rf'(?s)\A\s*+[{{,]\s*+"{key}"\s*+:\s*+'
+    return F.regexp_replace(F.try_element_at(F.filter(found, lambda m: m.rlike(head)), F.lit(-1)), head, "")
+
+
+def adopt_members(raw: Column, other: Column) -> Column:
+    """An object's text with those members of another appended, as they stand, whose keys it lacks."""
+    found = F.regexp_extract_all(other, F.lit(rf"(?s)\G{_MEMBER_HEAD}{_VALUE}"), F.lit(0))
+    bare = F.transform(found, lambda m: F.regexp_replace(m, r"(?s)\A\s*+[{,]\s*+", ""))
+
+    def lacks(member: Column) -> Column:
+        spelled = F.regexp_extract(member, r'(?s)\A"((?:[^"\\]++|\\.)*+)"', 1)
+        key = F.when(spelled.contains("\\"), text_of(F.concat(F.lit('"'), spelled, F.lit('"')))).otherwise(spelled)
+        return ~F.array_contains(F.json_object_keys(raw), key)
+
+    tail = F.regexp_extract(raw, r"\s*\}\s*\z", 0)
+    body = raw.substr(F.lit(1), F.length(raw) - F.length(tail))
+    grown = lambda more: F.when(more == "", raw).otherwise(
+        F.concat(body, F.when(body.rlike(r"\A\s*\{\z"), F.lit("")).otherwise(F.lit(",")), more, tail))
+    return F.when(raw.startswith("{") & other.startswith("{"), let(F.array_join(F.filter(bare, lacks), ","), grown)).otherwise(raw)
+
+
 def mentions(raw: Column, words: Iterable[str]) -> Column:
     """Whether one of the words can be a whole string in ``raw``: where this is false nothing is cut."""
     out = raw.contains("\\")

@@ -10,7 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from phrasemill.functions.jsontext import canonical, has_key, is_object, result_texts, typed_items
-from phrasemill.functions.splice import edit_elements, edit_members, edit_results, mentions, quote
+from phrasemill.functions.splice import (
+    adopt_members, edit_elements, edit_members, edit_results, let, mentions, quote, raw_elements, raw_member,
+)
 from phrasemill.functions.text import contains_any, digest, emit
 from phrasemill.operators.audit import BI_TERMS, NON_BI_TERMS
 from phrasemill.operators.convert import field_edit
@@ -36,6 +38,10 @@ CALCULATION_WORDS = {
     "maximum": ("Max", "Maximum"),
     "minimum": ("Min", "Minimum"),
 }
+# Ours: least likeness (hundredths) of a phrase and the words that replace it; least results and
+# thousandths of a learned pair, and how many pairs a fix uses.
+LEAST_LIKENESS = 50
+DRIFT_SUPPORT, DRIFT_CONFIDENCE, DRIFT_PAIRS_USED = 5, 100, 1000
 BUSINESS_PHRASES = tuple(dict.fromkeys(BI_TERMS + NON_BI_TERMS))
 PREMIUM_PHRASES = ("premium customers",)
 TIME_PHRASE = r"(?i)\b(Q[1-4] \d{4}|last (?:one )?\w+)"
@@ -219,6 +225,255 @@ def add_business_phrases(df: DataFrame, phrases: tuple[str, ...] = PREMIUM_PHRAS
     return _edited(rows, extended, F.size("_pm_phrases") > 0).drop(_LOWER, "_pm_phrases")
 
 
+# ---------------------------------------------------------------- fixes of words and phrases
+
+# A word with what stands behind it, so that words in a row spell their part of the text.
+_WORD = r"[\p{L}\p{N}]+"
+_SPELLED = r"[\p{L}\p{N}]+[^\p{L}\p{N}]*"
+
+
+def _words(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(_WORD), F.lit(0))
+
+
+def _stretch(spelled: Column, start: Column, size: Column) -> Column:
+    """The text of ``size`` words from the ``start``-th on, as it stands."""
+    return F.regexp_replace(F.array_join(F.slice(spelled, start, size), ""), r"[^\p{L}\p{N}]+\z", "")
+
+
+def best_stretch(phrase: Column, words: Column, spelled: Column, least: int = LEAST_LIKENESS) -> Column:
+    """The words of a question in a row that are most like a phrase, as they stand; NULL if none is.
+
+    Likeness is twice the number of common words over the words of both, in hundredths at least
+    ``least``. Of equally like stretches the earliest counts, then the shortest. ``words`` are those of the
+    question in lower case, ``spelled`` the same with what stands behind each.
+    """
+
+    def scored(said: Column) -> Column:
+        n = F.size(said)
+
+        def of_size(size: Column) -> Column:
+            def at(start: Column) -> Column:
+                common = F.size(F.array_intersect(F.slice(words, start, size), said))
+                score = F.floor(common * 2_000_000 / (size + n))
+                return F.struct(score.alias("score"), (-start).alias("place"), (-size).alias("size"))
+
+            return F.transform(F.sequence(F.lit(1), F.size(words) - size + 1), at)
+
+        sizes = F.sequence(F.lit(1), F.least(F.size(words), 2 * n))
+        found = F.array_max(F.flatten(F.transform(sizes, of_size)))
+        return let(found, lambda f: F.when(f["score"] >= least * 10_000, _stretch(spelled, -f["place"], -f["size"])))
+
+    return let(F.array_distinct(_words(F.lower(phrase))), lambda said: F.when((F.size(said) > 0) & (F.size(words) > 0), scored(said)))
+
+
+def fix_original_phrases(
+    df: DataFrame, least: int = LEAST_LIKENESS, words: dict[str, tuple[str, ...]] = CALCULATION_WORDS
+) -> DataFrame:
+    """Give measures and dimensions whose original phrase is not part of the question the words that are.
+
+    These are the words in a row most like the phrase, see :func:`best_stretch`, or else, for a measure,
+    the listed words of the question that stand for its calculation ("how many" for ``Count``). Without
+    either the phrase stays and :func:`phrase_mismatch` goes on listing it.
+    """
+    lower, asked, spelled = F.col(_LOWER), F.col("_pm_words"), F.col("_pm_spelled")
+
+    def said_for(calculation: Column) -> Column:
+        hits = [
+            F.when(calculation.isin(*names) & lower.contains(word), F.col("input").substr(F.instr(lower, word), F.lit(len(word))))
+            for word, names in words.items()
+        ]
+        return F.coalesce(*hits) if hits else F.lit(None).cast("string")
+
+    def mended(item: Column) -> Column:
+        read = F.from_json(item, "struct<original_phrase:string,calculation:string>")
+
+        def choose(r: Column) -> Column:
+            better = F.coalesce(best_stretch(r["original_phrase"], asked, spelled, least), said_for(r["calculation"]))
+            foreign = ~lower.contains(F.lower(r["original_phrase"]))
+            return let(F.when(foreign, better), lambda b: F.when(
+                b.isNotNull(), edit_members(item, {"original_phrase": lambda _: quote(b)})).otherwise(item))
+
+        return let(read, choose)
+
+    edit = {field: lambda raw: edit_elements(raw, mended) for field in ("measures", "dimensions")}
+    rows = _with_lower(df).withColumns(
+        {"_pm_words": _words(F.lower("input")), "_pm_spelled": F.regexp_extract_all("input", F.lit(_SPELLED), F.lit(0))}
+    )
+    return _edited(rows, lambda r: edit_members(r, edit), F.col("input").isNotNull()).drop(_LOWER, "_pm_words", "_pm_spelled")
+
+
+def merge_split_phrases(df: DataFrame) -> DataFrame:
+    """Join neighbouring one-word unmatched phrases that stand side by side in the question.
+
+    A run is taken as long as its words, with one blank between them, are part of the question (any case);
+    the first of a run gets the whole phrase and keeps its other fields, the others go.
+    """
+
+    def merged(pieces: Column) -> Column:
+        kind = "struct<head:string,value:string,phrase:string,runs:boolean>"
+
+        def read(p: Column) -> Column:
+            phrase = F.when(p["value"].startswith("{"), F.from_json(p["value"], "struct<phrase:string>")["phrase"])
+            return F.struct(p["head"].alias("head"), p["value"].alias("value"), phrase.alias("phrase"), F.lit(False).alias("runs"))
+
+        def step(done: Column, p: Column) -> Column:
+            last = F.element_at(done, -1)
+            longer = F.concat(last["phrase"], F.lit(" "), p["phrase"])
+            single = ~p["phrase"].contains(" ") & (last["runs"] | ~last["phrase"].contains(" "))
+            joins = (F.size(done) > 0) & single & F.col(_LOWER).contains(F.lower(longer))
+            joined = F.struct(last["head"].alias("head"), last["value"].alias("value"), longer.alias("phrase"), F.lit(True).alias("runs"))
+            return F.when(joins, F.concat(F.slice(done, 1, F.size(done) - 1), F.array(joined))).otherwise(F.concat(done, F.array(p)))
+
+        runs = F.aggregate(F.transform(pieces, read), F.array().cast(f"array<{kind}>"), step)
+        return F.transform(runs, lambda r: F.struct(
+            r["head"].alias("head"),
+            F.when(r["runs"], edit_members(r["value"], {"phrase": lambda _: quote(r["phrase"])})).otherwise(r["value"]).alias("value"),
+        ))
+
+    edit = {"unmatched_intents": lambda raw: edit_elements(raw, whole=merged)}
+    return _edited(_with_lower(df), lambda r: edit_members(r, edit), F.col(_LOWER).isNotNull()).drop(_LOWER)
+
+
+# ---------------------------------------------------------------- fix of steps
+
+_MERGED_LISTS = ("measures", "dimensions", "pattern", "segments", "breakdowns", "unmatched_intents")
+
+
+def _merge(left: Column, right: Column) -> Column:
+    """Two results as one: lists joined with equal items once, of other values the left one unless it is
+    null, and what only the right one has. Associative, so any grouping of the steps gives the same."""
+
+    def joined(name: str):
+        def edit(raw: Column) -> Column:
+            other = raw_member(right, name)
+            items = F.array_distinct(F.concat(raw_elements(raw), raw_elements(other)))
+            both = F.concat(F.lit("["), F.array_join(items, ","), F.lit("]"))
+            more = F.size(F.array_except(raw_elements(other), raw_elements(raw))) > 0
+            return F.when(raw == "null", F.coalesce(other, raw)).when(more, both).otherwise(raw)
+
+        return edit
+
+    def first_of(name: str):
+        return lambda raw: F.when(raw == "null", F.coalesce(raw_member(right, name), raw)).otherwise(raw)
+
+    edits = {n: joined(n) if n in _MERGED_LISTS else first_of(n) for n in REQUIRED_FIELDS}
+    return let(edit_members(left, edits), lambda both: adopt_members(both, right))
+
+
+def merge_steps(df: DataFrame, indicators: tuple[str, ...] = COMPLEXITY_INDICATORS) -> DataFrame:
+    """Make one step of the results of questions without a complexity indicator; see
+    :func:`complexity_mismatch`. Elements that are no objects stay. Questions that need more steps than
+    they have cannot be split by rule and stay listed."""
+
+    def one(pieces: Column) -> Column:
+        objects = F.filter(pieces, lambda p: p["value"].startswith("{"))
+        values = F.transform(objects, lambda p: p["value"])
+        merged = F.aggregate(F.slice(values, 2, F.size(values)), F.element_at(values, 1), _merge)
+        named = let(merged, lambda m: edit_members(m, {"step_id": lambda _: F.lit('"step_1"')}))
+        first = F.struct(F.element_at(objects, 1)["head"].alias("head"), named.alias("value"))
+        others = F.filter(pieces, lambda p: ~p["value"].startswith("{"))
+        return F.when(F.size(objects) > 1, F.concat(F.array(first), others)).otherwise(pieces)
+
+    edit = {"discovery_results": lambda raw: edit_elements(raw, whole=one)}
+    several = F.array_size(result_texts(F.col("output_json"))) > 1
+    simple = several & ~contains_any(F.lower("input"), indicators) & F.json_object_keys("output_json").isNotNull()
+    merged = F.when(simple, F.coalesce(edit_members(F.col("output_json"), edit), F.col("output_json")))
+    return df.withColumn("output_json", merged.otherwise(F.col("output_json")))
+
+
+# ---------------------------------------------------------------- entity drift
+
+
+def _swaps(question: Column, sub_question: Column) -> Column:
+    """``array<struct<place,was,is>>``: words of a question that stand otherwise in its sub question.
+
+    The texts are compared word by word, so both must have as many words; others hold no swap.
+    """
+    same = F.zip_with(question, sub_question, lambda a, b: F.struct(a.alias("was"), b.alias("is")))
+    listed = F.transform(same, lambda p, i: F.struct((i + 1).alias("place"), p["was"].alias("was"), p["is"].alias("is")))
+    other = F.filter(listed, lambda p: F.lower(p["was"]) != F.lower(p["is"]))
+    return F.when(F.size(question) == F.size(sub_question), other).otherwise(F.array().cast("array<struct<place:int,was:string,is:string>>"))
+
+
+def learn_drift(df: DataFrame, support: int = DRIFT_SUPPORT, confidence: int = DRIFT_CONFIDENCE) -> DataFrame:
+    """Words that sub questions put in place of a question's word, learned from all examples.
+
+    A row ``(in_question, in_sub_question, results, question_results, sub_results, confidence, lift)`` for
+    each pair found at the same place of at least ``support`` results and in at least ``confidence``
+    thousandths of the results whose question holds the first word. ``lift`` is how many thousandths as
+    often the two meet as words spread by chance would. Each result counts a pair and a word once, and is
+    summed where it is read, so the shuffles carry distinct words and pairs.
+    """
+    flat = steps(df.filter("input IS NOT NULL"), "sub_question", keep=("input",)).filter("sub_question IS NOT NULL")
+    asked, told = _words(F.lower("input")), _words(F.lower("sub_question"))
+    pairs = F.transform(_swaps(asked, told), lambda p: F.struct(p["was"], p["is"]))
+    entry = lambda kind, a, b: F.struct(F.lit(kind).alias("kind"), a.alias("a"), b.alias("b"))
+    none = F.lit(None).cast("string")
+    rows = flat.select(F.explode(F.concat(
+        F.transform(F.array_distinct(pairs), lambda p: entry("pair", p["was"], p["is"])),
+        F.transform(F.array_distinct(asked), lambda w: entry("asked", w, none)),
+        F.transform(F.array_distinct(told), lambda w: entry("told", none, w)),
+        F.array(entry("all", none, none)),
+    )).alias("e")).groupBy("e.kind", "e.a", "e.b").agg(F.count(F.lit(1)).alias("n"))
+    of = lambda kind, *cols: rows.where(F.col("kind") == kind).select(*cols)
+    met = of("pair", F.col("a").alias("in_question"), F.col("b").alias("in_sub_question"), F.col("n").alias("results"))
+    met = met.where(F.col("results") >= support)
+    table = (
+        met.join(of("asked", F.col("a").alias("in_question"), F.col("n").alias("question_results")), "in_question")
+        .join(of("told", F.col("b").alias("in_sub_question"), F.col("n").alias("sub_results")), "in_sub_question")
+    )
+    total = of("all", F.col("n")).scalar()
+    share = F.expr("results * 1000 div question_results")
+    lift = F.floor(F.col("results").cast("decimal(38,0)") * 1000 * total.cast("decimal(18,0)") / (
+        F.col("question_results").cast("decimal(18,0)") * F.col("sub_results").cast("decimal(18,0)"))).cast("bigint")
+    return table.withColumns({"confidence": share, "lift": lift}).where(F.col("confidence") >= confidence).select(
+        "in_question", "in_sub_question", "results", "question_results", "sub_results", "confidence", "lift"
+    )
+
+
+def fix_drift(df: DataFrame, pairs: DataFrame, most: int = DRIFT_PAIRS_USED) -> DataFrame:
+    """Put the question's words back into sub questions, at the places where a learned pair stands.
+
+    The pairs enter the plan as one value, the ``most`` frequent of them (a rule set for review).
+    """
+    best = pairs.orderBy(F.desc("results"), "in_question", "in_sub_question").limit(most)
+    known = best.agg(F.collect_set(F.concat_ws(" ", "in_question", "in_sub_question"))).scalar()
+    asked = F.col("_pm_words")
+
+    def mended(result: Column) -> Column:
+        def put_back(sub: Column) -> Column:
+            spelled = F.regexp_extract_all(sub, F.lit(_SPELLED), F.lit(0))
+            before = F.regexp_extract(sub, r"\A[^\p{L}\p{N}]*", 0)
+            told = F.transform(spelled, lambda s: F.regexp_extract(s, _WORD, 0))
+            mine = F.filter(_swaps(asked, told), lambda p: F.array_contains(
+                F.col("_pm_known"), F.concat(F.lower(p["was"]), F.lit(" "), F.lower(p["is"]))))
+
+            def rebuilt(swaps: Column) -> Column:
+                def word(s: Column, i: Column) -> Column:
+                    was = F.try_element_at(F.filter(swaps, lambda p: p["place"] == i + 1), F.lit(1))["was"]
+                    return F.when(was.isNull(), s).otherwise(F.concat(was, F.regexp_extract(s, r"[^\p{L}\p{N}]*\z", 0)))
+
+                text = F.concat(before, F.array_join(F.transform(spelled, word), ""))
+                return F.when(F.size(swaps) > 0, edit_members(result, {"sub_question": lambda _: quote(text)})).otherwise(result)
+
+            return let(mine, rebuilt)
+
+        return let(F.from_json(result, "struct<sub_question:string>")["sub_question"],
+                   lambda sub: F.when(sub.isNotNull(), put_back(sub)).otherwise(result))
+
+    rows = df.withColumns({"_pm_words": _words(F.col("input")), "_pm_known": known})
+    return _edited(rows, mended, F.col("input").isNotNull()).drop("_pm_words", "_pm_known")
+
+
+def repair(df: DataFrame) -> DataFrame:
+    """All fixes that need no learning: structure and types, steps, phrases, sub questions, time frames."""
+    for fix in (fix_examples, merge_steps, merge_split_phrases, fix_original_phrases, reclassify_unknown,
+                drop_redundant_dimensions, add_business_phrases, fix_sub_questions, fix_timeframes):
+        df = fix(df)
+    return df
+
+
 # ---------------------------------------------------------------- checks
 
 
@@ -454,6 +709,51 @@ def conflicting_duplicates(df: DataFrame, as_json: bool = False) -> DataFrame:
     )
 
 
+# In a text, and inside the strings of a JSON text, where double quotes are escaped.
+_QUOTED = r"'[^']*'|\"[^\"]*\""
+_QUOTED_INSIDE = r"'[^']*'|\\\"[^\"\\]*\\\""
+_NUMBER = r"[0-9]+(?:[.,][0-9]+)*"
+
+
+def question_template(df: DataFrame) -> DataFrame:
+    """Add ``template``, the question with filter values, quoted values and numbers as slots, and ``shape``,
+    the output with the same slots.
+
+    Filter values are those of the example's own dimensions, in their order; an empty one is no slot.
+    """
+
+    def values_of(result: Column) -> Column:
+        read = F.from_json(result, "struct<dimensions:array<string>>")["dimensions"]
+        return F.transform(F.filter(read, lambda d: d.startswith("{")), lambda d: F.from_json(d, "struct<filter_value:string>")["filter_value"])
+
+    found = F.flatten(F.transform(result_texts(F.col("output_json")), lambda r: F.coalesce(values_of(r), F.array().cast("array<string>"))))
+    values = F.coalesce(F.filter(found, lambda v: v != ""), F.array().cast("array<string>"))
+    slots = lambda text: F.aggregate(F.col("_pm_values"), text, lambda t, v: F.replace(t, v, F.lit("<v>")))
+    slotted = lambda text, quoted: F.regexp_replace(F.regexp_replace(slots(text), quoted, "<q>"), _NUMBER, "<n>")
+    rows = df.withColumn("_pm_values", F.array_distinct(values))
+    return rows.withColumns({
+        "template": slotted(F.col("input"), _QUOTED), "shape": slotted(F.col("output_json"), _QUOTED_INSIDE),
+    }).drop("_pm_values")
+
+
+def conflicting_templates(df: DataFrame) -> DataFrame:
+    """Question templates that occur with outputs of different shapes: questions that are alike but for
+    numbers, quoted and filter values, answered differently. See :func:`question_template`.
+
+    Grouped by (template digest, shape digest) first, so that a hot template spreads and collapses before
+    it is grouped alone; the text of a template travels once a task and shape.
+    """
+    rows = question_template(df).filter("template IS NOT NULL")
+    pairs = rows.groupBy("template", digest(F.col("shape")).alias("_pm_shape")).agg(
+        F.min("example_id").alias("first_id"), F.count(F.lit(1)).alias("examples")
+    )
+    return (
+        pairs.groupBy("template")
+        .agg(F.min("first_id").alias("first_id"), F.sum("examples").alias("examples"), F.count(F.lit(1)).alias("shapes"))
+        .filter("shapes > 1")
+    )
+
+
 # ---------------------------------------------------------------- coverage and accounting
 
 

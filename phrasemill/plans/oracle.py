@@ -484,6 +484,103 @@ QUALITY_RATE = (
 )
 CALC_LISTS = " ".join(f"WHEN {q(w)} THEN {strings(c)}" for w, c in rules.CALCULATION_WORDS.items())
 
+# ---------------------------------------------------------------- fixes of words, phrases and steps
+
+WORD = r"[\pL\pN]+"
+SAID = (
+    "SELECT example_id, input, step_no, 'measure' AS kind, item_no, "
+    f"{text_at('e', 'original_phrase')} AS phrase, {text_at('e', 'calculation')} AS calculation FROM ({flat('measures')}) UNION ALL "
+    f"SELECT example_id, input, step_no, 'dimension', item_no, {text_at('e', 'original_phrase')}, NULL FROM ({flat('dimensions')})"
+)
+TRIGGER = "CASE " + " ".join(
+    f"WHEN list_contains({strings(names)}, calculation) AND contains(lower(input), {q(word)}) THEN "
+    f"substr(input, CAST(instr(lower(input), {q(word)}) AS INTEGER), {len(word)})"
+    for word, names in rules.CALCULATION_WORDS.items()
+) + " END"
+MENDED = f"""
+WITH said AS ({SAID}), asked AS (
+  SELECT DISTINCT input, phrase, regexp_extract_all(lower(input), '{WORD}') AS w,
+    regexp_extract_all(input, '{WORD}[^\pL\pN]*') AS spelled, list_distinct(regexp_extract_all(lower(phrase), '{WORD}')) AS p
+  FROM said WHERE NOT contains(lower(input), lower(phrase))
+), tried AS (
+  SELECT *, 2000000 * len(list_intersect(w[i:i + n - 1], p)) // (n + len(p)) AS score
+  FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS i FROM (SELECT *, unnest(range(1, least(len(w), 2 * len(p)) + 1)) AS n FROM asked))
+), best AS (
+  SELECT input, phrase, regexp_replace(array_to_string(spelled[i:i + n - 1], ''), '[^\pL\pN]+$', '') AS better FROM tried
+  WHERE score >= {rules.LEAST_LIKENESS} * 10000 QUALIFY row_number() OVER (PARTITION BY input, phrase ORDER BY score DESC, i, n) = 1
+)
+SELECT example_id, input, step_no, kind, item_no, CASE WHEN NOT contains(lower(input), lower(s.phrase)) THEN coalesce(better, {TRIGGER}, s.phrase)
+  ELSE s.phrase END AS original_phrase FROM said s LEFT JOIN best USING (input, phrase)
+"""
+JOINED = f"""
+SELECT example_id, step_no, unnest(range(len(runs))) AS item_no, unnest(runs) AS x FROM (
+  SELECT example_id, step_no, list_reduce(list_prepend(CAST([] AS STRUCT(p VARCHAR, t VARCHAR, r VARCHAR, many BOOLEAN)[]), list_transform(items, lambda v: [v])),
+    lambda done, one: CASE WHEN len(done) > 0 AND NOT contains(one[1].p, ' ') AND (done[-1].many OR NOT contains(done[-1].p, ' '))
+      AND contains(low, lower(done[-1].p || ' ' || one[1].p))
+      THEN list_append(done[:-2], struct_pack(p := done[-1].p || ' ' || one[1].p, t := done[-1].t, r := done[-1].r, many := true))
+      ELSE list_concat(done, one) END) AS runs
+  FROM (
+    SELECT example_id, step_no, lower(any_value(input)) AS low, list(struct_pack(p := {UNMATCHED['phrase']}, t := {UNMATCHED['type']},
+      r := {UNMATCHED['reason']}, many := false) ORDER BY item_no) AS items FROM ({flat('unmatched_intents')}) GROUP BY example_id, step_no
+  )
+)"""
+LISTS = ("measures", "dimensions", "pattern", "segments", "breakdowns", "unmatched_intents")
+HINTED = contained(rules.COMPLEXITY_INDICATORS)
+
+
+def merged_steps() -> str:
+    """``flatten_steps`` of the examples, the results of questions without an indicator being one."""
+    one = f"NOT {HINTED}"
+    place = f"CASE WHEN {one} THEN 0 ELSE step_no END"
+    counts = ", ".join(
+        f"CAST(len(list_distinct(flatten(list(coalesce(CAST(json_extract(r, '$.{f}') AS VARCHAR[]), []) ORDER BY step_no)))) AS BIGINT) AS n_{f}"
+        for f in LISTS
+    )
+    first = lambda path: f"first({path} ORDER BY step_no) FILTER (WHERE {path} IS NOT NULL)"
+    return (
+        f"SELECT example_id, {place} AS step_no, {first(text_at('r', 'step_id'))} AS step_id, {first(text_at('r', 'sub_question'))} AS sub_question, "
+        f"{first(text_at('r', 'timegrain.phrase'))} AS timegrain, {first(text_at('r', 'timeframe.phrase'))} AS timeframe, {counts} "
+        f"FROM ({steps()}) GROUP BY example_id, {place}"
+    )
+
+
+def slotted(text: str, quoted: str) -> str:
+    filled = f"list_reduce(list_prepend({text}, vs), lambda t, v: replace(t, v, '<v>'))"
+    return f"regexp_replace(regexp_replace({filled}, {q(quoted)}, '<q>', 'g'), {q(rules._NUMBER)}, '<n>', 'g')"
+
+
+DRIFT_EX = steps(converted(EX, "example_id, output_json"))
+ALIGNED = f"""
+SELECT example_id, step_no, sub, a, b, unnest(range(1, len(a) + 1)) AS place, unnest(a) AS was, unnest(b) AS is_ FROM (
+  SELECT example_id, step_no, {text_at('r', 'sub_question')} AS sub, regexp_extract_all(input, '{WORD}') AS a,
+    regexp_extract_all({text_at('r', 'sub_question')}, '{WORD}') AS b FROM ({DRIFT_EX})
+) WHERE len(a) = len(b)"""
+DRIFT = f"""
+WITH r AS (SELECT example_id, step_no, list_distinct(regexp_extract_all(lower(input), '{WORD}')) AS a,
+    list_distinct(regexp_extract_all(lower({text_at('r', 'sub_question')}), '{WORD}')) AS b FROM ({DRIFT_EX}) WHERE {text_at('r', 'sub_question')} IS NOT NULL),
+m AS (SELECT lower(was) AS was, lower(is_) AS is_, count(DISTINCT (example_id, step_no)) AS n FROM ({ALIGNED}) WHERE lower(was) <> lower(is_)
+  GROUP BY ALL HAVING count(DISTINCT (example_id, step_no)) >= {rules.DRIFT_SUPPORT}),
+qa AS (SELECT w, count(*) AS n FROM (SELECT unnest(a) AS w FROM r) GROUP BY w),
+qb AS (SELECT w, count(*) AS n FROM (SELECT unnest(b) AS w FROM r) GROUP BY w)
+SELECT was AS in_question, is_ AS in_sub_question, m.n AS results, qa.n AS question_results, qb.n AS sub_results,
+  m.n * 1000 // qa.n AS confidence, m.n * 1000 * (SELECT count(*) FROM r) // (qa.n * qb.n) AS lift
+FROM m JOIN qa ON qa.w = was JOIN qb ON qb.w = is_ WHERE m.n * 1000 // qa.n >= {rules.DRIFT_CONFIDENCE}"""
+PREMIUM = (
+    "contains(lower(input), 'premium customers') AND coalesce(list_contains(list_transform(json_extract_string(e, "
+    "['$.name', '$.filter_value', '$.original_phrase']), lambda v: lower(v)), 'premium customers'), false)"
+)
+REMOVED = (
+    f"SELECT example_id, step_no, item_no FROM ({flat('dimensions')}) WHERE {PREMIUM} OR "
+    f"coalesce(list_contains(json_extract_string(r, '$.breakdowns[*].name'), {text_at('e', 'name')}), false)"
+)
+REPAIRED = f"""
+SELECT issue_class, a.issues AS issues_before, CASE issue_class WHEN 'calculation' THEN a.issues WHEN 'complexity' THEN
+  (SELECT count(*) FROM ({EX}) WHERE {HINTED} AND coalesce(json_array_length(output_json, '$.discovery_results'), 0) < 2)
+  WHEN 'original_phrase' THEN (SELECT count(*) FROM ({MENDED}) WHERE NOT contains(lower(input), lower(original_phrase)) AND NOT
+    (kind = 'dimension' AND (example_id, step_no, item_no) IN ({REMOVED}))) ELSE 0 END AS issues_after
+FROM ({priorities()}) a"""
+
+
 ORACLE: dict[str, str] = {
     "read_examples": f"SELECT row_number() OVER (ORDER BY example_id) - 1 AS example_id, input, output_json FROM ({EX})",
     "write_examples": f"SELECT row_number() OVER (ORDER BY example_id) - 1 AS example_id, input, output_json "
@@ -713,6 +810,20 @@ ORACLE: dict[str, str] = {
         f"ORDER BY item_no) AS next FROM ({flat('unmatched_intents')})) WHERE NOT contains(phrase, ' ') AND NOT "
         "contains(next, ' ') AND contains(lower(input), lower(phrase || ' ' || next))"
     ),
+    "split_phrases_fix": f"SELECT example_id, step_no, item_no, x.p AS phrase, x.t AS type, x.r AS reason FROM ({JOINED})",
+    "original_phrase_fix": f"SELECT example_id, step_no, kind, item_no, original_phrase FROM ({MENDED})",
+    "complexity_fix": merged_steps(),
+    "entity_drift_learned": DRIFT,
+    "entity_drift_fix": (
+        f"SELECT s.example_id, s.step_no, coalesce(f.text, {text_at('s.r', 'sub_question')}) AS sub_question FROM ({DRIFT_EX}) s LEFT JOIN ("
+        f"SELECT example_id, step_no, string_agg(CASE WHEN d.results IS NOT NULL THEN was ELSE is_ END || regexp_extract(p, '[^\\pL\\pN]*$'), '' "
+        f"ORDER BY place) AS text FROM (SELECT *, regexp_extract_all(sub, '{WORD}[^\\pL\\pN]*')[place] AS p FROM ({ALIGNED})) x LEFT JOIN ({DRIFT}) d ON "
+        "d.in_question = lower(was) AND d.in_sub_question = lower(is_) GROUP BY example_id, step_no) f USING (example_id, step_no)"
+    ),
+    "before_after_repair": (
+        "SELECT *, CASE WHEN issues_before > 0 THEN (issues_before - issues_after) / issues_before::DOUBLE * 100 END AS "
+        f"improvement_pct FROM ({REPAIRED})"
+    ),
     "entity_drift": (
         "SELECT p.in_question, p.in_sub_question, count(s.example_id) AS results FROM "
         + rows([(q(a), q(b)) for a, b in rules.DRIFT_PAIRS])
@@ -755,9 +866,7 @@ ORACLE: dict[str, str] = {
     "premium_move": (
         "SELECT example_id, step_no, row_number() OVER (PARTITION BY example_id, step_no ORDER BY item_no) - 1 AS item_no, "
         f"{DIMENSIONS['name']} AS name, {DIMENSIONS['filter_value']} AS filter_value, {DIMENSIONS['original_phrase']} AS "
-        f"original_phrase FROM ({flat('dimensions')}) WHERE NOT (contains(lower(input), 'premium customers') AND "
-        "coalesce(list_contains(list_transform(json_extract_string(e, ['$.name', '$.filter_value', '$.original_phrase']), "
-        "lambda v: lower(v)), 'premium customers'), false))"
+        f"original_phrase FROM ({flat('dimensions')}) WHERE NOT ({PREMIUM})"
     ),
     "premium_reclass": (
         flat_rows("unmatched_intents", **UNMATCHED)
@@ -781,6 +890,12 @@ ORACLE: dict[str, str] = {
         "SELECT input, min(example_id) AS first_id, count(*) AS examples, count(DISTINCT output_json) AS outputs "
         f"FROM ({EX}) GROUP BY input HAVING count(DISTINCT output_json) > 1"
     ),
+    "conflicting_templates": (
+        f"SELECT template, min(example_id) AS first_id, count(*) AS examples, count(DISTINCT shape) AS shapes FROM (SELECT example_id, "
+        f"{slotted('input', rules._QUOTED)} AS template, {slotted('output_json', rules._QUOTED_INSIDE)} AS shape FROM (SELECT x.*, coalesce(v.vs, []) AS vs "
+        f"FROM ({EX}) x LEFT JOIN (SELECT example_id, list({DIMENSIONS['filter_value']} ORDER BY step_no, item_no) AS vs FROM ({flat('dimensions')}) "
+        f"WHERE {DIMENSIONS['filter_value']} <> '' GROUP BY example_id) v USING (example_id))) GROUP BY template HAVING count(DISTINCT shape) > 1"
+    ),
     "intent_coverage": (
         f"SELECT i.intent, count(x.example_id) AS examples FROM {rows([(q(i),) for i in rules.INTENTS])} i(intent) "
         f"LEFT JOIN ({EX}) x ON json_extract_string(x.output_json, '$.intent') = i.intent GROUP BY i.intent"

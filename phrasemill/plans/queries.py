@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from phrasemill import fixtures as fx
 from phrasemill.functions.lexicon import DEFAULT, backfill_context, rewrite_terms
 from phrasemill.operators import annotate, audit, convert, flatten, questions, rules
+from phrasemill.operators.flatten import items
 from phrasemill.plans.jobs import annotate_steps, annotated, convert_dataset, prepare_steps
 from phrasemill.session import scratch_dir
 from phrasemill.sources import examples as example_files
@@ -318,6 +319,29 @@ def union_datasets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.union_datasets(events=fx.examples(spark, sf_dir), questions=more)
 
 
+def _phrases(ex: DataFrame) -> DataFrame:
+    """The original phrases of all measures and dimensions."""
+    kinds = [
+        items(ex, field, "original_phrase").withColumn("kind", F.lit(kind))
+        for kind, field in (("measure", "measures"), ("dimension", "dimensions"))
+    ]
+    return kinds[0].unionByName(kinds[1])
+
+
+def entity_drift_learned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.learn_drift(convert.convert_question(fx.examples(spark, sf_dir)))
+
+
+def entity_drift_fix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ex = convert.convert_question(fx.examples(spark, sf_dir))
+    return flatten.flatten_steps(rules.fix_drift(ex, rules.learn_drift(ex))).select("example_id", "step_no", "sub_question")
+
+
+def before_after_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ex = fx.examples(spark, sf_dir)
+    return rules.before_after(ex, rules.repair(ex))
+
+
 def before_after(spark: SparkSession, sf_dir: str) -> DataFrame:
     ex = fx.examples(spark, sf_dir)
     return rules.before_after(ex, rules.fix_examples(ex))
@@ -440,6 +464,12 @@ QUERIES: dict[str, Query] = {
         lambda ex: rules.reclassify_unknown(ex), flatten.flatten_unmatched
     ),
     "split_phrases": on_examples(rules.split_phrases),
+    "split_phrases_fix": recoded(rules.merge_split_phrases, flatten.flatten_unmatched),
+    "original_phrase_fix": on_examples(lambda ex: _phrases(rules.fix_original_phrases(ex))),
+    "complexity_fix": recoded(rules.merge_steps, flatten.flatten_steps),
+    "entity_drift_learned": entity_drift_learned,
+    "entity_drift_fix": entity_drift_fix,
+    "before_after_repair": before_after_repair,
     "entity_drift": on_examples(lambda ex: rules.entity_drift(convert.convert_question(ex))),
     "calculation_mismatch": on_examples(rules.calculation_mismatch),
     "breakdown_confusion": on_examples(rules.breakdown_confusion),
@@ -454,6 +484,7 @@ QUERIES: dict[str, Query] = {
     "exact_duplicates_documents": on_documents(lambda d: rules.exact_duplicates(d, columns=("input",))),
     "drop_duplicates": on_examples(lambda ex: rules.drop_duplicates(ex).select("example_id", "input")),
     "conflicting_duplicates": on_examples(rules.conflicting_duplicates),
+    "conflicting_templates": on_examples(rules.conflicting_templates),
     "intent_coverage": on_examples(rules.intent_coverage),
     "issue_priorities": on_examples(rules.issue_priorities),
     "data_quality_rate": on_examples(rules.data_quality_rate),

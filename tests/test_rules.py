@@ -186,3 +186,85 @@ def test_lists_and_counts_agree_on_mixed_outputs(make):
     skipped = {(r.step_no, r.field, r.item_no) for r in flatten.skipped_elements(df).collect() if r.example_id == 0}
     assert skipped == {(0, "measures", 1), (0, "measures", 2), (0, "measures", 3), (0, "dimensions", 0), (0, "unmatched_intents", 1),
                        (1, "discovery_results", -1)}
+
+
+def test_original_phrases_come_from_the_question(make):
+    item = lambda phrase, calculation=None: {"original_phrase": phrase, "calculation": calculation}
+    question = "How many heads of the publishers are older than 56?"
+    df = make((question, out({
+        "measures": [item("count", "Count"), item("publishers of heads"), item(None), item("zzz"), item("HEADS of"), item("")],
+        "dimensions": [item("older 56"), item("Publishers, the"), "text"]})), (None, out({"measures": [item("x")]})), ("", out({"measures": [item("x")]})))
+    fixed = rules.fix_original_phrases(df)
+    result = first(fixed)["discovery_results"][0]
+    assert [m["original_phrase"] for m in result["measures"]] == ["How many", "heads of the publishers", None, "zzz", "HEADS of", ""]
+    assert [d if d == "text" else d["original_phrase"] for d in result["dimensions"]] == ["older than 56", "the publishers", "text"]
+    assert [r.original_phrase for r in rules.phrase_mismatch(fixed).collect() if r.example_id == 0] == ["zzz"]
+    before, after = (rules.with_issue_counts(d).orderBy("example_id").first().n_original_phrase for d in (df, fixed))
+    assert (before, after) == (5, 1)
+
+
+def test_split_phrases_are_joined_in_runs_of_any_length(make):
+    text = ('{"discovery_results":[{"unmatched_intents":[ {"phrase":"yearly","x":1.0}, {"phrase":"student"}, "s", {"phrase":"enrollment"},'
+            '{"phrase":"at"},{"phrase":"affiliation"},{"phrase":"two words"},{"phrase":"type"},{"phrase":null},{} ]}]}')
+    want = ('{"discovery_results":[{"unmatched_intents":[ {"phrase":"yearly student","x":1.0}, "s", {"phrase":"enrollment at affiliation"},'
+            '{"phrase":"two words"},{"phrase":"type"},{"phrase":null},{} ]}]}')
+    df = make(("The Yearly student enrollment at affiliation type two words", text), (None, text), ("other", text))
+    rows = rules.merge_split_phrases(df).orderBy("example_id").collect()
+    assert [r.output_json for r in rows] == [want, text, text]
+    assert rules.split_phrases(rules.merge_split_phrases(df)).count() == 0
+
+
+def test_steps_of_simple_questions_become_one(make):
+    text = ('{"discovery_results": [ {"step_id":"step_1","measures":[{"n":1.0}],"timegrain":null} , "x", {"step_id":"step_2",'
+            '"measures":[{"n":1.0},{"n":2}],"timegrain":{"phrase":"d"},"breakdowns":[1],"pattern":null}, {"extra":1.50,"segments":null} ],"n":1 }')
+    want = ('{"discovery_results": [ {"step_id":"step_1","measures":[{"n":1.0},{"n":2}],"timegrain":{"phrase":"d"},"breakdowns":[1],'
+            '"pattern":null,"extra":1.50,"segments":null} , "x" ],"n":1 }')
+    df = make(("plain", text), ("ordered by age", text), ("plain", out({})), ("plain", "broken"))
+    fixed = rules.merge_steps(df)
+    assert [r.output_json for r in fixed.orderBy("example_id").collect()] == [want, text, out({}), "broken"]
+    three = [{"measures": [i, i + 1], "segments": None, f"k{i}": i} for i in range(3)]
+    merged = first(rules.merge_steps(make(("plain", out(*three)))))["discovery_results"]
+    assert merged == [{"measures": [0, 1, 2, 3], "segments": None, "k0": 0, "k1": 1, "k2": 2}]
+
+
+def test_drift_is_learned_and_undone(make):
+    sub = lambda text: out({"sub_question": text})
+    swapped = [(f"How many heads of the Publishers are older than {i} ?", sub(f"How many heads of the departments are older than {i} ?")) for i in range(8)]
+    rare = [("the one", sub("the two"))] * 2
+    clean = [("all publishers", sub("all publishers")), ("other words here", sub("words here")), ("budget", sub(None)), (None, sub("x"))]
+    df = make(*swapped, *rare, *clean)
+    pairs = rules.learn_drift(df)
+    assert [tuple(r) for r in pairs.collect()] == [("publishers", "departments", 8, 9, 8, 888, 12 * 8 * 1000 // (9 * 8))]
+    rows = [r.output_json for r in rules.fix_drift(df, pairs).orderBy("example_id").collect()]
+    assert rows == [sub(q) for q, _ in swapped] + [o for _, o in [*rare, *clean]]
+    assert rules.learn_drift(make()).count() == 0
+    assert rules.fix_drift(make(*clean), rules.learn_drift(make())).count() == 4
+
+
+def test_repair_lowers_every_class_it_can(make):
+    bad = out({"unmatched_intents": [{"type": "action"}], "measures": [{"original_phrase": "count", "calculation": "Count"}]}, {"extra": 1})
+    df = make(("how many cats", bad), ("plain", "{}"))
+    row = {r.issue_class: (r.issues_before, r.issues_after) for r in rules.before_after(df, rules.repair(df)).collect()}
+    assert {k: after for k, (_, after) in row.items()} == dict.fromkeys(row, 0)
+    assert all(row[k][0] > 0 for k in ("structure", "invalid_type", "complexity", "original_phrase"))
+
+
+def test_conflicts_among_questions_of_one_template(make):
+    def output(name, value, sub):
+        return out({"sub_question": sub, "measures": [{"name": name}], "dimensions": [{"name": "Region", "filter_value": value}, "x"]})
+
+    df = make(
+        ("Sales of North in 2023 for 'A b'", output("Total", "North", "Sales of North in 2023 for 'A b'")),
+        ("Sales of South in 2,024.5 for 'c'", output("Total", "South", "Sales of South in 2,024.5 for 'c'")),
+        ('Sales of West in 7 for "d e"', output("Total", "West", 'Sales of West in 7 for "d e"')),
+        ("Sales of East in 9 for 'q'", output("Average", "East", "Sales of East in 9 for 'q'")),
+        ("Other 1", "{}"), ("Other 2", "{}"), (None, "{}"), ("Other 3", None), ("one", "{}"), ("one", "[]"),
+    )
+    rows = sorted(rules.conflicting_templates(df).collect())
+    assert [tuple(r) for r in rows] == [
+        ("Other <n>", 4, 3, 2), ("Sales of <v> in <n> for <q>", 0, 4, 2), ("one", 8, 2, 2)]
+
+
+def test_a_hot_template(make):
+    df = make(*[(f"batch {i}", "{}") for i in range(400)], *[(f"batch {i}", "[]") for i in range(5)])
+    assert [tuple(r) for r in rules.conflicting_templates(df).collect()] == [("batch <n>", 0, 405, 2)]
