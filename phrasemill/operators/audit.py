@@ -370,11 +370,17 @@ def dataset_term_flag(df: DataFrame, term: str = FLAG_TERM) -> DataFrame:
 
 
 def residual_term_summary(df: DataFrame) -> DataFrame:
-    """Distinct issue texts with their counts, the dataset-level issue included."""
-    counted = residual_terms(df).groupBy("issue").agg(F.count(F.lit(1)).alias("issues"))
-    flagged = dataset_term_flag(df).filter("term_present")
-    flag = flagged.select(F.lit(FLAG_ISSUE).alias("issue"), F.lit(1).cast("bigint").alias("issues"))
-    return counted.unionByName(flag)
+    """Distinct issue texts with their counts, the dataset-level issue included once.
+
+    Both are counted in one pass: an example brings up to two texts, which are summed where they are read.
+    """
+    term = first_contained(F.col("_pm_lower"), NON_BI_TERMS)
+    own = F.concat(F.lit("Non-BI term found: '"), term, F.lit("' in question"))
+    flag = F.when(_flag_condition(FLAG_TERM), F.lit(FLAG_ISSUE))
+    said = _with_lower(df).select(F.explode(F.array_compact(F.array(own, flag))).alias("issue"))
+    counted = said.groupBy("issue").agg(F.count(F.lit(1)).alias("issues"))
+    once = F.when(F.col("issue") == FLAG_ISSUE, F.lit(1).cast("bigint")).otherwise(F.col("issues"))
+    return counted.withColumn("issues", once)
 
 
 # ---------------------------------------------------------------- report and score

@@ -6,6 +6,8 @@ only make the rule usable.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -861,11 +863,24 @@ def data_quality_rate(df: DataFrame) -> DataFrame:
     return row.select("examples", "issues", rate.alias("quality_rate"))
 
 
-def before_after(before: DataFrame, after: DataFrame) -> DataFrame:
-    """Issues per class in two versions of a dataset and the improvement in percent."""
-    old = issue_priorities(before).select("issue_class", F.col("issues").alias("issues_before"))
-    new = issue_priorities(after).select("issue_class", F.col("issues").alias("issues_after"))
-    both = old.join(new, "issue_class", "full")
+def before_after(before: DataFrame, after: DataFrame | Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Issues per class in two versions of a dataset and the improvement in percent.
+
+    ``after`` is the other version, or the fix that makes it; a fix is applied and counted in the same pass
+    and aggregate as its input.
+    """
+    if isinstance(after, DataFrame):
+        old = issue_priorities(before).select("issue_class", F.col("issues").alias("issues_before"))
+        new = issue_priorities(after).select("issue_class", F.col("issues").alias("issues_after"))
+        both = old.join(new, "issue_class", "full")
+    else:
+        counted = with_issue_counts(before).withColumnsRenamed({f"n_{c}": f"_pm_{c}" for c in _CLASSES})
+        sums = [F.coalesce(F.sum(f"{p}{c}"), F.lit(0)).cast("bigint").alias(f"{p}{c}") for c in _CLASSES for p in ("_pm_", "n_")]
+        rows = [
+            F.struct(F.lit(c).alias("issue_class"), F.col(f"_pm_{c}").alias("issues_before"), F.col(f"n_{c}").alias("issues_after"))
+            for c in _CLASSES
+        ]
+        both = with_issue_counts(after(counted)).agg(*sums).select(F.inline(F.array(*rows)))
     gone = (F.col("issues_before") - F.col("issues_after")).cast("double")
     return both.select(
         "issue_class", "issues_before", "issues_after",

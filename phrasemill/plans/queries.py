@@ -54,13 +54,13 @@ def on_documents(fn: Callable[[DataFrame], DataFrame]) -> Query:
 
 def read_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_dir(spark, "examples")
-    example_files.write_examples(fx.examples(spark, sf_dir), path)
+    example_files.write_examples(fx.examples(spark, sf_dir), path, ordered=True)
     return example_files.read_examples(spark, path)
 
 
 def write_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = scratch_dir(spark, "converted")
-    example_files.write_examples(fx.examples(spark, sf_dir), f"{base}/in")
+    example_files.write_examples(fx.examples(spark, sf_dir), f"{base}/in", ordered=True)
     convert_dataset(spark, f"{base}/in", f"{base}/out")
     return example_files.read_examples(spark, f"{base}/out")
 
@@ -74,7 +74,7 @@ def write_examples_array(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(',\n    "output":\n      '), F.regexp_replace("output_json", ',"', ',\n      "'), F.lit("\n  }"),
     )
     ordered.select(indented).write.option("lineSep", ",\n").text(f"{base}/in")
-    example_files.write_examples(example_files.read_examples(spark, f"{base}/in", "pretty_array"), f"{base}/out")
+    example_files.write_examples(example_files.read_examples(spark, f"{base}/in", "pretty_array"), f"{base}/out", ordered=True)
     back = example_files.read_examples(spark, f"{base}/out")
     return back.select("example_id", "input", F.regexp_replace("output_json", ', +"', ',"').alias("output_json"))
 
@@ -280,7 +280,7 @@ def incremental_annotate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Annotation in four steps, stopped after two of them and taken up again."""
     base = scratch_dir(spark, "annotate")
     examples = fx.examples(spark, sf_dir)
-    example_files.write_examples(examples, f"{base}/in")
+    example_files.write_examples(examples, f"{base}/in", ordered=True)
     prepare_steps(spark, f"{base}/in", f"{base}/store", commit_every=-(-examples.count() // 4) or 1)
     while annotate_steps(spark, f"{base}/store", echo_model(), TEMPLATE, CONTEXT, max_steps=2):
         pass
@@ -338,13 +338,11 @@ def entity_drift_fix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def before_after_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ex = fx.examples(spark, sf_dir)
-    return rules.before_after(ex, rules.repair(ex))
+    return rules.before_after(fx.examples(spark, sf_dir), rules.repair)
 
 
 def before_after(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ex = fx.examples(spark, sf_dir)
-    return rules.before_after(ex, rules.fix_examples(ex))
+    return rules.before_after(fx.examples(spark, sf_dir), rules.fix_examples)
 
 
 

@@ -126,10 +126,11 @@ def write_problem(input: Column, output_json: Column) -> Column:
     )
 
 
-def write_examples(df: DataFrame, path: str, format: str = "json", ordered: bool = True) -> None:
-    """Write examples as JSON Lines or parquet; ``ordered`` keeps positions as file order.
+def write_examples(df: DataFrame, path: str, format: str = "json", ordered: bool = False) -> None:
+    """Write examples as JSON Lines or parquet, in one pass.
 
-    The order comes from range partitioning on the position, not from one sorted task. Examples
+    ``ordered`` makes positions the file order, by range partitioning and not by one sorted task; that makes
+    the rows twice, once for the ranges, so order a cheap input rather than the result. Examples
     that cannot be JSON records never become broken lines: they go with the reason to the folder
     ``_rejects`` inside ``path``, which readers of ``path`` skip; see :func:`unwritten_examples`.
     It is written only if there are any, and only then are they made a second time.

@@ -244,7 +244,8 @@ def test_drift_is_learned_and_undone(make):
 def test_repair_lowers_every_class_it_can(make):
     bad = out({"unmatched_intents": [{"type": "action"}], "measures": [{"original_phrase": "count", "calculation": "Count"}]}, {"extra": 1})
     df = make(("how many cats", bad), ("plain", "{}"))
-    row = {r.issue_class: (r.issues_before, r.issues_after) for r in rules.before_after(df, rules.repair(df)).collect()}
+    row = {r.issue_class: (r.issues_before, r.issues_after) for r in rules.before_after(df, rules.repair).collect()}
+    assert row == {r.issue_class: (r.issues_before, r.issues_after) for r in rules.before_after(df, rules.repair(df)).collect()}
     assert {k: after for k, (_, after) in row.items()} == dict.fromkeys(row, 0)
     assert all(row[k][0] > 0 for k in ("structure", "invalid_type", "complexity", "original_phrase"))
 
@@ -268,3 +269,10 @@ def test_conflicts_among_questions_of_one_template(make):
 def test_a_hot_template(make):
     df = make(*[(f"batch {i}", "{}") for i in range(400)], *[(f"batch {i}", "[]") for i in range(5)])
     assert [tuple(r) for r in rules.conflicting_templates(df).collect()] == [("batch <n>", 0, 405, 2)]
+
+
+def test_both_versions_are_counted_in_one_scan(spark, tmp_path):
+    path = str(tmp_path / "ex")
+    spark.createDataFrame([(0, "q", "{}")], "example_id bigint, input string, output_json string").write.parquet(path)
+    plan = rules.before_after(spark.read.parquet(path), rules.fix_examples)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1

@@ -74,7 +74,7 @@ def test_ids_without_counting_keep_the_order(spark, tmp_path):
 @pytest.mark.parametrize("format", ["json", "parquet"])
 def test_round_trip(spark, make, tmp_path, format):
     df = convert_examples(make(("List dogs", '{"intent":"é\\"","discovery_results":[]}'), ("a\nb", "{}")))
-    files.write_examples(df, str(tmp_path / "out"), format)
+    files.write_examples(df, str(tmp_path / "out"), format, ordered=True)
     back = (files.read_examples(spark, str(tmp_path / "out")) if format == "json"
             else spark.read.parquet(str(tmp_path / "out")))
     assert sorted(back.collect()) == sorted(df.collect())
@@ -126,7 +126,7 @@ def test_nothing_is_lost_on_writing(spark, tmp_path):
             (5, "d", "{} {}")]
     df = spark.createDataFrame(rows, "example_id bigint, input string, output_json string")
     path = str(tmp_path / "out")
-    files.write_examples(df, path)
+    files.write_examples(df, path, ordered=True)
     good = {r.input: r.output_json for r in files.read_examples(spark, path).collect()}
     assert set(good) == {"a", "line\nbreak"} and "".join(good["a"].split()) == '{"x":1,"y":[1,2]}'
     aside = {r.example_id: (r.input, r.output_json, r.problem) for r in files.unwritten_examples(spark, path).collect()}
