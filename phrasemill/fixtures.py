@@ -17,7 +17,7 @@ SELECT example_id, input,
   CASE WHEN example_id % 89 = 0 THEN '' ELSE '"discovery_results":[{"step_id":"step_1","sub_question":"' ||
     CASE WHEN example_id % 3 = 0 THEN 'step one of the departments budget' ELSE input END ||
     '","measures":[{"name":"' || calc || '","calculation":"' || CASE WHEN example_id % 71 = 0 THEN 'Trend' ELSE calc END ||
-    '","original_phrase":"' || CASE example_id % 6 WHEN 0 THEN 'How many' WHEN 1 THEN 'state and the age' WHEN 5 THEN 'the industries of companies' ELSE 'count' END || '"}],' ||
+    '","original_phrase":"' || CASE example_id % 6 WHEN 0 THEN 'How many' WHEN 1 THEN 'colour and the mileage' WHEN 5 THEN 'industry companies left it' ELSE 'count' END || '"}],' ||
     '"dimensions":[{"name":"' || dim || '","filter_value":null,"original_phrase":"' || event_type || '"}' ||
     CASE WHEN example_id % 120 = 59 THEN ',{"name":"Segment","filter_value":"Premium Customers","original_phrase":"premium customers"}' ELSE '' END ||
     '],"timegrain":null,"timeframe":' ||
@@ -38,12 +38,12 @@ FROM (
     CASE event_id % 4 WHEN 0 THEN 'Geographic' WHEN 1 THEN 'Temporal' WHEN 2 THEN 'Entity' ELSE 'Categorical' END AS dim,
     CASE WHEN event_id % 60 = 59 THEN 'List all premium customers ordered by age' ELSE
     CASE event_id % 12
-      WHEN 0 THEN 'How many of the departments hired more people than in week ' || CAST(event_id % 90 AS STRING) || ' ?'
-      WHEN 1 THEN 'List the name, state and age of all staff in departments sorted by age, batch ' || CAST(user_id AS STRING)
-      WHEN 2 THEN 'What are the highest and lowest budget in departments with ' || event_type || '?'
-      WHEN 3 THEN 'Compare sales between Q1 2024 and Q2 2024 for top ' || CAST(event_id % 9 + 1 AS STRING) || ' companies'
-      WHEN 4 THEN 'Find the yearly student enrollment at every affiliation type of schools'
-      WHEN 5 THEN 'Show each industry of those companies with ' || event_type || ' events'
+      WHEN 0 THEN 'How many of the departments closed their ledger before week ' || CAST(event_id % 90 AS STRING) || ' ?'
+      WHEN 1 THEN 'List the depot, colour and mileage of each van kept by departments, lot ' || CAST(user_id AS STRING)
+      WHEN 2 THEN 'What are the slowest lifts in departments on a tight budget after a ' || event_type || '?'
+      WHEN 3 THEN 'Compare umbrella sales in Q1 2024 with the rain in Q2 2024 for top ' || CAST(event_id % 9 + 1 AS STRING) || ' companies'
+      WHEN 4 THEN 'Find how yearly student enrollment follows bus fares at schools of one affiliation type'
+      WHEN 5 THEN 'Show which industry those companies left after ' || event_type || ' events'
       WHEN 6 THEN 'how many ' || event_type || 's'
       WHEN 7 THEN 'List dogs ' || CAST(event_id % 7 AS STRING)
       WHEN 8 THEN 'What are zebras'

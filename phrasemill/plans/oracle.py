@@ -497,7 +497,7 @@ TRIGGER = "CASE " + " ".join(
     f"substr(input, CAST(instr(lower(input), {q(word)}) AS INTEGER), {len(word)})"
     for word, names in rules.CALCULATION_WORDS.items()
 ) + " END"
-MENDED = f"""
+MENDED = rf"""
 WITH said AS ({SAID}), asked AS (
   SELECT DISTINCT input, phrase, regexp_extract_all(lower(input), '{WORD}') AS w,
     regexp_extract_all(input, '{WORD}[^\pL\pN]*') AS spelled, list_distinct(regexp_extract_all(lower(phrase), '{WORD}')) AS p

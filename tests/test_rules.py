@@ -190,14 +190,14 @@ def test_lists_and_counts_agree_on_mixed_outputs(make):
 
 def test_original_phrases_come_from_the_question(make):
     item = lambda phrase, calculation=None: {"original_phrase": phrase, "calculation": calculation}
-    question = "How many heads of the publishers are older than 56?"
+    question = "How many engines of the ferries were built before 1956?"
     df = make((question, out({
-        "measures": [item("count", "Count"), item("publishers of heads"), item(None), item("zzz"), item("HEADS of"), item("")],
-        "dimensions": [item("older 56"), item("Publishers, the"), "text"]})), (None, out({"measures": [item("x")]})), ("", out({"measures": [item("x")]})))
+        "measures": [item("count", "Count"), item("ferries of engines"), item(None), item("zzz"), item("ENGINES of"), item("")],
+        "dimensions": [item("built 1956"), item("Ferries, the"), "text"]})), (None, out({"measures": [item("x")]})), ("", out({"measures": [item("x")]})))
     fixed = rules.fix_original_phrases(df)
     result = first(fixed)["discovery_results"][0]
-    assert [m["original_phrase"] for m in result["measures"]] == ["How many", "heads of the publishers", None, "zzz", "HEADS of", ""]
-    assert [d if d == "text" else d["original_phrase"] for d in result["dimensions"]] == ["older than 56", "the publishers", "text"]
+    assert [m["original_phrase"] for m in result["measures"]] == ["How many", "engines of the ferries", None, "zzz", "ENGINES of", ""]
+    assert [d if d == "text" else d["original_phrase"] for d in result["dimensions"]] == ["built before 1956", "the ferries", "text"]
     assert [r.original_phrase for r in rules.phrase_mismatch(fixed).collect() if r.example_id == 0] == ["zzz"]
     before, after = (rules.with_issue_counts(d).orderBy("example_id").first().n_original_phrase for d in (df, fixed))
     assert (before, after) == (5, 1)
@@ -229,12 +229,12 @@ def test_steps_of_simple_questions_become_one(make):
 
 def test_drift_is_learned_and_undone(make):
     sub = lambda text: out({"sub_question": text})
-    swapped = [(f"How many heads of the Publishers are older than {i} ?", sub(f"How many heads of the departments are older than {i} ?")) for i in range(8)]
+    swapped = [(f"How many engines of the Ferries were built before {i} ?", sub(f"How many engines of the tractors were built before {i} ?")) for i in range(8)]
     rare = [("the one", sub("the two"))] * 2
-    clean = [("all publishers", sub("all publishers")), ("other words here", sub("words here")), ("budget", sub(None)), (None, sub("x"))]
+    clean = [("all ferries", sub("all ferries")), ("other words here", sub("words here")), ("budget", sub(None)), (None, sub("x"))]
     df = make(*swapped, *rare, *clean)
     pairs = rules.learn_drift(df)
-    assert [tuple(r) for r in pairs.collect()] == [("publishers", "departments", 8, 9, 8, 888, 12 * 8 * 1000 // (9 * 8))]
+    assert [tuple(r) for r in pairs.collect()] == [("ferries", "tractors", 8, 9, 8, 888, 12 * 8 * 1000 // (9 * 8))]
     rows = [r.output_json for r in rules.fix_drift(df, pairs).orderBy("example_id").collect()]
     assert rows == [sub(q) for q, _ in swapped] + [o for _, o in [*rare, *clean]]
     assert rules.learn_drift(make()).count() == 0
