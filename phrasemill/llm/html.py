@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 # Elements of HTML by their role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title iframe svg math object canvas audio video xmp noembed noframes".split())
+RAW = frozenset("script style noscript template textarea title iframe svg object canvas audio video xmp noembed noframes".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure "
     "footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre "
@@ -49,13 +49,21 @@ NAMES = frozenset(
 )
 #: Of these, what an article may be named and still be none of the page's own text.
 CARD_NAMES = frozenset("ad advert comment reply related recommended sponsored promo".split())
+#: Named exactly like this inside an article, an element is none of its text, unless it wraps the text.
+CERTAIN_NAMES = frozenset(
+    "ad ads advert adverts advertisement advertising sponsored promo promotion notice related recommended newsletter cookie cookies "
+    "consent".split()
+)
+#: These hold what readers wrote, however much that is, as long as the page has other text.
+COMMENT_NAMES = frozenset("comment comments reply replies disqus".split())
 #: A name that begins like this tells what the element has beside it, not what it is.
 ABOUT = frozenset("has no with without".split())
 ROOT_NAMES = frozenset(("html", "body"))
 
 MARK = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
+    # a quote opens a value only right behind its sign
+    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]|=\s*(?:\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))?)*)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"""([^\s=/"'<>]+)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 SPACES = re.compile(r"\s+")
 NAME_PARTS = re.compile(r"[A-Za-z][a-z]*|[A-Z]+(?![a-z])")
@@ -76,7 +84,7 @@ class Block:
     tags: tuple[str, ...]
     banned: bool
     linked: float
-    #: "named" or "wrapped" for a block in an element that is named like boilerplate, else nothing.
+    #: "certain", "named" or "wrapped" for a block in an element that is named like boilerplate, else nothing.
     name: str = ""
 
 
@@ -86,6 +94,21 @@ class _Open:
     number: int
     banned: bool
     named: bool
+    #: 1 for an exact name, 2 for that of a comment.
+    exact: int = 0
+
+
+def _exact(attributes: str) -> int:
+    """2 if a class or id is, begins or ends with the name of a comment, 1 with another exact name."""
+    best = 0
+    for name, value in ATTRIBUTE.findall(attributes):
+        if name.lower() in ("class", "id"):
+            for word in value.strip("\"'").split():
+                parts = [p for p in re.split("[^a-z]+", word.lower()) if p]
+                if parts and parts[0] not in ABOUT:
+                    ends = {parts[0], parts[-1]}
+                    best = max(best, 2 if ends & COMMENT_NAMES else 1 if ends & CERTAIN_NAMES else 0)
+    return best
 
 
 def _named(attributes: str, names: frozenset[str]) -> bool:
@@ -110,8 +133,10 @@ def _hidden(attributes: str) -> bool:
     return False
 
 
-def _name_blocks(found: list[Block], around: list[tuple[int, ...]], rank: list[int], wraps: set[int]) -> None:
-    """Set ``name`` of every block from the named elements ``around`` it.
+def _name_blocks(
+    found: list[Block], around: list[tuple[int, ...]], rank: list[int], wraps: set[int], exact: list[dict[int, int]], holders: set[int]
+) -> None:
+    """Set ``name`` of every block from the named elements ``around`` it, of which ``exact`` ones are sure.
 
     An element wraps the page's text if it is in ``wraps`` or has more than half of the text of the
     highest ``rank`` there is: in articles, else in main, else anywhere. Links do not count.
@@ -127,9 +152,13 @@ def _name_blocks(found: list[Block], around: list[tuple[int, ...]], rank: list[i
             for number in numbers:
                 held[number] = held.get(number, 0.0) + n
     wraps = wraps | {number for number, n in held.items() if 2 * n > total}
-    for block, numbers in zip(found, around, strict=True):
+    # a page whose whole text is comments is a page of comments
+    other = any(n and r == best and 2 not in e.values() for n, r, e in zip(size, rank, exact, strict=True))
+    for block, numbers, sure in zip(found, around, exact, strict=True):
         if numbers:
             block.name = "wrapped" if wraps.issuperset(numbers) else "named"
+        if any(n not in holders and (kind == 2 and other or n not in wraps) for n, kind in sure.items()):
+            block.name = "certain"
 
 
 def blocks(page: str) -> list[Block]:
@@ -142,9 +171,12 @@ def blocks(page: str) -> list[Block]:
     around: list[tuple[int, ...]] = []
     rank: list[int] = []
     wraps: set[int] = set()
+    exact: list[dict[int, int]] = []
+    holders: set[int] = set()
     stack: list[_Open] = []
     pieces: list[str] = []
-    linked = count = 0
+    linked = count = within = 0
+    unclosed: set[str] = set()
     at, end = 0, len(page)
 
     def close() -> None:
@@ -156,11 +188,18 @@ def blocks(page: str) -> list[Block]:
                     text, tuple(o.number for o in stack if o.tag in BLOCK), tuple(o.tag for o in stack),
                     any(o.banned for o in stack), min(1.0, linked / len(text))))
                 around.append(tuple(o.number for o in stack if o.named))
+                inside = next((i for i, o in enumerate(stack) if o.tag in INSIDE and not o.named), len(stack))
+                exact.append({o.number: o.exact for o in stack[inside:] if o.exact})
                 own = {o.tag for o in stack if not o.named or o.tag == "main"}
                 rank.append(2 if "article" in own else 1 if "main" in own else 0)
             pieces.clear()
         linked = 0
 
+    def leave(start: int, stop: int | None = None) -> None:
+        nonlocal within
+        within -= sum(o.tag in INSIDE for o in stack[start:stop])
+        del stack[start:stop]
+
     def add(part: str) -> None:
         nonlocal linked
         pieces.append(part)
@@ -184,18 +223,25 @@ def blocks(page: str) -> list[Block]:
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i].tag == tag:
                     if tag in BLOCK or not any(o.tag in BLOCK for o in stack[i + 1 :]):
-                        del stack[i:]
+                        leave(i)
                     else:
-                        del stack[i]
+                        leave(i, i + 1)
                     break
                 if tag not in BLOCK and stack[i].tag in ("td", "th", "article", "nav", "footer", "aside"):
                     break
             continue
         if tag in RAW:
-            # raw text has no markup: it ends at its own end tag; a nested svg or object is rare
-            stop = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*(?:>|\Z)", re.I).search(page, at)
-            if not found[3].rstrip().endswith("/") or tag in ("script", "style", "title", "textarea"):
-                at = stop.end() if stop else end
+            # raw text has no markup: it ends at its own end tag; a nested svg or object is rare. Without an
+            # end tag text elements take the rest of the page, others are empty.
+            text_element = tag in ("script", "style", "title", "textarea")
+            if text_element or not found[3].rstrip().endswith("/") and tag not in unclosed:
+                stop = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*(?:>|\Z)", re.I).search(page, at)
+                if stop:
+                    at = stop.end()
+                elif text_element:
+                    at = end
+                else:
+                    unclosed.add(tag)
             if tag in ("title", "textarea"):
                 close()
             continue
@@ -207,7 +253,7 @@ def blocks(page: str) -> list[Block]:
             if tag in ENDS_P:
                 for i in range(len(stack) - 1, -1, -1):
                     if stack[i].tag == "p":
-                        del stack[i]
+                        leave(i, i + 1)
                         break
                     if stack[i].tag in BLOCK:
                         break
@@ -215,31 +261,33 @@ def blocks(page: str) -> list[Block]:
             if group:
                 for i in range(len(stack) - 1, -1, -1):
                     if stack[i].tag in group:
-                        del stack[i:]
+                        leave(i)
                         break
                     if stack[i].tag in BLOCK:
                         break
         if tag in VOID:
             continue
         count += 1
-        outside = tag in OUTSIDE and not (tag == "header" and any(o.tag in INSIDE for o in stack))
-        within = any(o.tag in INSIDE for o in stack)
+        outside = tag in OUTSIDE and not (tag == "header" and within)
         names = CARD_NAMES if tag in INSIDE else NAMES - {"header"} if within else NAMES
         described = tag not in ROOT_NAMES and bool(found[3])
         banned = outside or described and _hidden(found[3])
         named = described and _named(found[3], names)
         if tag in BLOCK or tag == "a" or banned or named:  # others say nothing, and often stay unclosed
-            stack.append(_Open(tag, count, banned, named))
+            stack.append(_Open(tag, count, banned, named, _exact(found[3]) if described and named else 0))
             if tag == "main":
                 wraps.update(o.number for o in stack if o.named)
+            within += tag in INSIDE
+            if tag in INSIDE and not named:
+                holders.update(o.number for o in stack[:-1] if o.exact)
     close()
-    _name_blocks(out, around, rank, wraps)
+    _name_blocks(out, around, rank, wraps, exact, holders)
     return out
 
 
 def gain(block: Block) -> float:
     """The classifier: how much more a block looks like content than like boilerplate."""
-    if block.banned:
+    if block.banned or block.name == "certain":
         return -CERTAIN
     tags = set(block.tags)
     words = block.text.count(" ") + 1

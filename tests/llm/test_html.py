@@ -100,3 +100,47 @@ def test_comments_longer_than_the_article():
     comment = "I liked it very much, thank you for it, and I have many more words to say about all of this. " * 3
     page = f"""<article><p>{text}</p></article><div class="comments"><p>{comment}</p><p>{comment}</p></div>"""
     assert main_text(page) == text
+
+
+LINE = "This is a long sentence with quite a few words in it, so that it looks like real text of an article."
+
+
+def page(body):
+    return f"<html><body><nav>Home</nav>{body}<footer>Imprint</footer></body></html>"
+
+
+@pytest.mark.parametrize("inner", [
+    f"<div class='ad'>{LINE} Buy now.</div>", f"<p class='comment'>{LINE} I say.</p>", f"<div class=notice>{LINE}</div>",
+    f"<aside class=x>{LINE}</aside>", f"<div id='related-posts'><p>{LINE}</p><p>{LINE}</p></div>", f"<div class='newsletter-box'>{LINE}</div>",
+    "<section class='comments'><h2>Comments</h2>" + "".join(f"<p>{LINE * 4} {k}</p>" for k in range(3)) + "</section>",
+    "<div class='comment-list'>" + "".join(f"<article class='comment'><p>{LINE * 4} {k}</p></article>" for k in range(3)) + "</div>",
+])
+def test_named_parts_of_an_article_are_left_out(inner):
+    assert main_text(page(f"<article><p>{LINE}</p>{inner}<p>{LINE} End.</p></article>")) == f"{LINE}\n{LINE} End."
+
+
+@pytest.mark.parametrize("body", [
+    f"<div class='related-wrap'><article><p>{LINE}</p><p>{LINE}</p></article></div>",
+    f"<article class='post'><div class='promo-layout'><p>{LINE}</p><p>{LINE}</p></div></article>",
+    f"<article><section class=discussion><p>{LINE}</p><p>{LINE}</p></section></article>",
+    f"<article><div class='has-comments'><p>{LINE}</p><p>{LINE}</p></div></article>",
+    f"<article class=thread><div class='comments'><p>{LINE}</p><p>{LINE}</p></div></article>",
+])
+def test_names_of_wrappers_do_not_take_the_text(body):
+    assert main_text(page(body)) == f"{LINE}\n{LINE}"
+
+
+def test_odd_markup_loses_no_text():
+    assert main_text(page(f"<article><p>{LINE} So <math><mi>x</mi><mo>=</mo><mn>1</mn></math>.</p><svg><path d='1'><p>{LINE}</p></article>")) == (
+        f"{LINE} So x=1.\n{LINE}")
+    assert main_text(page(f"<article><p title=dog's>{LINE}</p><img alt='it's'><p>{LINE}</p></article>")) == f"{LINE}\n{LINE}"
+    assert main_text(page(f"<article><p title=\"a > b\" data-x='>'>{LINE}</p></article>")) == LINE
+
+
+def test_deep_and_repeated_elements_are_read_in_linear_time():
+    import time
+
+    for text in ("<div>" * 20_000 + f"<p>{LINE}</p>" + "</div>" * 20_000, "<svg/>" * 20_000 + f"<p>{LINE}</p>", "<svg>" * 20_000 + f"<p>{LINE}</p>"):
+        begin = time.process_time()
+        assert main_text(f"<main>{text}</main>") == LINE
+        assert time.process_time() - begin < 2
