@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from phrasemill.functions.jsontext import is_object, result_texts, typed_items
+from phrasemill.functions.splice import let
 from phrasemill.schemas import ITEM_TYPES, REQUIRED_FIELDS, output_type, result_type
 
 
@@ -29,6 +30,42 @@ def with_typed_output(df: DataFrame) -> DataFrame:
     )
 
 
+def stored_results(df: DataFrame) -> DataFrame:
+    """Add ``results`` and ``skipped``: every output parsed once, for a parquet copy that is read many times.
+
+    ``results`` holds what :func:`steps` gives for each discovery result, ``skipped`` what
+    :func:`skipped_elements` lists. The functions of this module take a frame with these columns instead of
+    ``output_json``, with equal rows, and the scan then reads only the nested fields that they use.
+    """
+    def result(text: Column, i: Column) -> Column:
+        def fields(step: Column) -> Column:
+            read = [
+                (typed_items(step[f], ITEM_TYPES[f]) if f in ITEM_TYPES else step[f]).alias(f) for f in REQUIRED_FIELDS
+            ]
+            return F.struct(i.cast("bigint").alias("step_no"), *read)
+
+        return F.when(is_object(text), let(F.from_json(text, result_type(*REQUIRED_FIELDS)), fields))
+
+    def skipped(text: Column, i: Column) -> Column:
+        def entry(field: str, item: Column, element: Column) -> Column:
+            return F.struct(i.cast("bigint").alias("step_no"), F.lit(field).alias("field"), item.cast("bigint").alias("item_no"), element.alias("element"))
+
+        def listed(step: Column, field: str) -> Column:
+            elements = F.coalesce(step[field], F.array().cast("array<string>"))
+            return F.filter(F.transform(elements, lambda t, k: entry(field, k, t)), lambda e: ~is_object(e["element"]))
+
+        def of(step: Column) -> Column:
+            return F.concat(*[listed(step, f) for f in ITEM_TYPES])
+
+        whole = F.array(entry("discovery_results", F.lit(-1), text))
+        return F.when(is_object(text), let(F.from_json(text, result_type(*ITEM_TYPES)), of)).otherwise(whole)
+
+    texts = result_texts(F.col("output_json"))
+    return df.withColumns({
+        "results": F.filter(F.transform(texts, result), lambda r: r.isNotNull()), "skipped": F.flatten(F.transform(texts, skipped)),
+    })
+
+
 def steps(df: DataFrame, *fields: str, keep: tuple[str, ...] = ()) -> DataFrame:
     """``(example_id, *keep, step_no, *fields)`` per discovery result, parsing only ``fields``.
 
@@ -36,6 +73,11 @@ def steps(df: DataFrame, *fields: str, keep: tuple[str, ...] = ()) -> DataFrame:
     places; :func:`skipped_elements` lists both.
     """
     names = fields or REQUIRED_FIELDS
+    if "results" in df.columns:
+        # one array a field: only those are read, while exploding the results would read every field
+        chosen = F.arrays_zip(*[F.col("results")[f] for f in ("step_no", *names)])
+        stored = df.select("example_id", *keep, F.inline(chosen))
+        return stored.toDF("example_id", *keep, "step_no", *names)
     raw = df.select(
         "example_id", *keep, F.posexplode(result_texts(F.col("output_json"))).alias("_pm_no", "_pm_text")
     )
@@ -91,6 +133,8 @@ def flatten_unmatched(df: DataFrame) -> DataFrame:
 def skipped_elements(df: DataFrame) -> DataFrame:
     """Quarantine ``(example_id, step_no, field, item_no, element)``: what is no object where one
     belongs. ``field`` is ``discovery_results`` and ``item_no`` -1 for a whole result."""
+    if "skipped" in df.columns:
+        return df.select("example_id", F.inline("skipped"))
     raw = df.select("example_id", F.posexplode(result_texts(F.col("output_json"))).alias("_pm_no", "_pm_text"))
     at = F.col("_pm_no").cast("bigint").alias("step_no")
     whole = raw.filter(~is_object(F.col("_pm_text"))).select(

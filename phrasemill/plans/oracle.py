@@ -525,6 +525,32 @@ SELECT example_id, step_no, unnest(range(len(runs))) AS item_no, unnest(runs) AS
   )
 )"""
 LISTS = ("measures", "dimensions", "pattern", "segments", "breakdowns", "unmatched_intents")
+PLANTED = (
+    "SELECT example_id, input, CASE example_id % 10 WHEN 4 THEN replace(output_json, '\"dimensions\":[{', "
+    "'\"dimensions\":[\"Country\",{') WHEN 5 THEN replace(output_json, '\"discovery_results\":[', "
+    f"'\"discovery_results\":[7,') ELSE output_json END AS output_json FROM ({EX})"
+)
+SKIPPED = (
+    f"WITH s AS ({steps(PLANTED)}) "
+    "SELECT example_id, step_no, 'discovery_results' AS field, CAST(-1 AS BIGINT) AS item_no, r ->> '$' AS element FROM s "
+    "WHERE json_type(r) <> 'OBJECT' UNION ALL SELECT example_id, step_no, field, item_no, e ->> '$' FROM ("
+    + " UNION ALL ".join(
+        f"SELECT example_id, step_no, '{f}' AS field, unnest(xs) AS e, unnest(range(len(xs))) AS item_no FROM "
+        f"(SELECT *, CAST(json_extract(r, '$.{f}') AS JSON[]) AS xs FROM s WHERE json_type(r) = 'OBJECT')"
+        for f in ("measures", "dimensions", "pattern", "unmatched_intents"))
+    + ") WHERE json_type(e) <> 'OBJECT'"
+)
+
+
+def flat_steps(ex: str) -> str:
+    counts = ", ".join(f"{size(f)} AS n_{f}" for f in LISTS)
+    return (
+        f"SELECT example_id, step_no, {text_at('r', 'step_id')} AS step_id, {text_at('r', 'sub_question')} AS "
+        "sub_question, json_extract_string(r, '$.timegrain.phrase') AS timegrain, json_extract_string(r, "
+        f"'$.timeframe.phrase') AS timeframe, {counts} FROM ({steps(ex)})"
+    )
+
+
 HINTED = contained(rules.COMPLEXITY_INDICATORS)
 
 
@@ -637,28 +663,10 @@ ORACLE: dict[str, str] = {
     "conversion_progress": (
         f"SELECT example_id // 1000 * 1000 AS processed, count(*) AS examples FROM ({EX}) GROUP BY 1"
     ),
-    "skipped_elements": (
-        "WITH ex AS (SELECT example_id, CASE example_id % 10 WHEN 4 THEN replace(output_json, '\"dimensions\":[{', "
-        "'\"dimensions\":[\"Country\",{') WHEN 5 THEN replace(output_json, '\"discovery_results\":[', "
-        f"'\"discovery_results\":[7,') ELSE output_json END AS output_json, input FROM ({EX})), s AS ({steps('SELECT * FROM ex')}) "
-        "SELECT example_id, step_no, 'discovery_results' AS field, CAST(-1 AS BIGINT) AS item_no, r ->> '$' AS element FROM s "
-        "WHERE json_type(r) <> 'OBJECT' UNION ALL SELECT example_id, step_no, field, item_no, e ->> '$' FROM ("
-        + " UNION ALL ".join(
-            f"SELECT example_id, step_no, '{f}' AS field, unnest(xs) AS e, unnest(range(len(xs))) AS item_no FROM "
-            f"(SELECT *, CAST(json_extract(r, '$.{f}') AS JSON[]) AS xs FROM s WHERE json_type(r) = 'OBJECT')"
-            for f in ("measures", "dimensions", "pattern", "unmatched_intents"))
-        + ") WHERE json_type(e) <> 'OBJECT'"
-    ),
-    "flatten_steps": (
-        f"SELECT example_id, step_no, {text_at('r', 'step_id')} AS step_id, {text_at('r', 'sub_question')} AS "
-        "sub_question, json_extract_string(r, '$.timegrain.phrase') AS timegrain, json_extract_string(r, "
-        "'$.timeframe.phrase') AS timeframe, "
-        + ", ".join(
-            f"{size(f)} AS n_{f}"
-            for f in ("measures", "dimensions", "pattern", "segments", "breakdowns", "unmatched_intents")
-        )
-        + f" FROM ({steps()})"
-    ),
+    "skipped_elements": SKIPPED,
+    "flatten_steps": flat_steps(EX),
+    "stored_steps": flat_steps(PLANTED) + " WHERE json_type(r) = 'OBJECT'",
+    "stored_skipped": SKIPPED,
     "flatten_measures": flat_rows("measures", **MEASURES),
     "flatten_dimensions": flat_rows("dimensions", **DIMENSIONS),
     "flatten_unmatched": flat_rows("unmatched_intents", **UNMATCHED),

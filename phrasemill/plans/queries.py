@@ -225,6 +225,13 @@ def typed_output(ex: DataFrame, responses: DataFrame) -> DataFrame:
     )
 
 
+def stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The examples with some planted elements as a parquet copy with parsed outputs."""
+    path = scratch_dir(spark, "stored")
+    flatten.stored_results(_planted(fx.examples(spark, sf_dir))).write.parquet(path)
+    return spark.read.parquet(path)
+
+
 def rewritten_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return convert.convert_question(fx.conversations(spark, sf_dir))
 
@@ -385,6 +392,8 @@ QUERIES: dict[str, Query] = {
     "flatten_dimensions": on_examples(flatten.flatten_dimensions),
     "flatten_unmatched": on_examples(flatten.flatten_unmatched),
     "skipped_elements": on_examples(lambda ex: flatten.skipped_elements(_planted(ex))),
+    "stored_steps": lambda spark, sf_dir: flatten.flatten_steps(stored(spark, sf_dir)),
+    "stored_skipped": lambda spark, sf_dir: flatten.skipped_elements(stored(spark, sf_dir)),
     # audit
     "step_distribution": on_examples(audit.step_distribution),
     "complexity_summary": on_examples(audit.complexity_summary),

@@ -142,3 +142,17 @@ def test_own_lexicon_letters_stand_for_themselves(make):
 def test_an_empty_vocabulary_backfills_every_trigger(make):
     out = convert.convert_question(make(("how many dogs", "{}")), lexicon=Lexicon(()))
     assert out.first().input == "How many users dogs"
+
+
+def test_stored_results_give_the_same_rows(spark, make, tmp_path):
+    odd = ('{"discovery_results":["x",7,{"step_id":1,"measures":["m",{"name":"A"},null,{"name":"B","calculation":"Sum"}],"dimensions":null,'
+           '"pattern":{"name":"no list"}},{"unmatched_intents":[[],{"phrase":"p"}]}]}')
+    df = make(*[("q", t) for t in (json.dumps(SAMPLE[0]), odd, "{}", "broken", '{"discovery_results":null}', '{"discovery_results":[]}')], (None, None))
+    flatten.stored_results(df).write.parquet(str(tmp_path / "s"))
+    stored = spark.read.parquet(str(tmp_path / "s"))
+    for fn in (flatten.flatten_steps, flatten.flatten_measures, flatten.flatten_dimensions, flatten.flatten_unmatched, flatten.skipped_elements):
+        want = sorted(map(str, fn(df).collect()))
+        assert sorted(map(str, fn(stored).collect())) == want and want
+    plan = flatten.flatten_measures(stored)._jdf.queryExecution().executedPlan().toString()
+    read = plan.split("ReadSchema: ")[1].splitlines()[0]
+    assert read.startswith("struct<example_id:bigint,results:array<struct<step_no:bigint,measures:array")
