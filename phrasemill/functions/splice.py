@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 Edit = Callable[[Column], Column]
 
-DEPTH = 24
+DEPTH = 12
 
 # Possessive groups never give back, so a long text costs one pass and no stack.
 _STRING = r'"(?:[^"\\]++|\\.)*+"'
@@ -29,7 +29,6 @@ for _ in range(DEPTH - 1):
 _VALUE = rf'(?:{_STRING}|{_NESTED}|[^\s,\[\]{{}}":]++)'
 _MEMBER_HEAD = rf'\s*+[{{,]\s*+{_STRING}\s*+:\s*+'
 _ELEMENT_HEAD = r'\s*+[\[,]\s*+'
-_KEY = r'"((?:[^"\\]++|\\.)*+)"\s*+:\s*+\z'
 
 
 def let(value: Column, fn: Callable[[Column], Column]) -> Column:
@@ -54,20 +53,20 @@ def _pieces(text: Column, head: str, closing: str, fn: Callable[[Column, Column]
     """``fn`` of the pieces of ``text`` and of what follows the last; the text itself if it is not made
     of such pieces to its end."""
 
-    def piece(whole: Column) -> Column:
-        return let(
-            F.regexp_extract(whole, rf"(?s)\A{head}", 0),
-            lambda h: F.struct(h.alias("head"), whole.substr(F.length(h) + 1, F.length(whole)).alias("value")),
-        )
+    pattern = F.lit(rf"(?s)\G({head})({_VALUE})")
 
-    def joined(found: Column) -> Column:
-        used = F.length(F.array_join(found, ""))
-        tail = text.substr(used + 1, F.length(text))
+    def zipped(heads: Column, values: Column) -> Column:
+        return F.zip_with(heads, values, lambda h, v: F.struct(h.alias("head"), v.alias("value")))
+
+    def joined(pieces: Column) -> Column:
+        return let(text.substr(F.length(_text(pieces)) + 1, F.length(text)), lambda tail: ended(pieces, tail))
+
+    def ended(pieces: Column, tail: Column) -> Column:
         opening = "{" if closing == "}" else "["
-        whole = F.when(F.size(found) > 0, tail.rlike(rf"\A\s*\{closing}\s*\z")).otherwise(tail.rlike(rf"\A\s*\{opening}\s*\{closing}\s*\z"))
-        return F.when(whole, let(F.transform(found, piece), lambda pieces: fn(pieces, tail))).otherwise(text)
+        whole = F.when(F.size(pieces) > 0, tail.rlike(rf"\A\s*\{closing}\s*\z")).otherwise(tail.rlike(rf"\A\s*\{opening}\s*\{closing}\s*\z"))
+        return F.when(whole, fn(pieces, tail)).otherwise(text)
 
-    return let(F.regexp_extract_all(text, F.lit(rf"(?s)\G{head}{_VALUE}"), F.lit(0)), joined)
+    return let(zipped(F.regexp_extract_all(text, pattern, F.lit(1)), F.regexp_extract_all(text, pattern, F.lit(2))), joined)
 
 
 def _text(pieces: Column) -> Column:
@@ -91,14 +90,10 @@ def edit_members(raw: Column, edits: dict[str, Edit], absent: dict[str, Column |
     absent = absent or {}
     names = list(dict.fromkeys([*edits, *absent]))
 
-    def key(piece: Column) -> Column:
-        spelled = F.regexp_extract(piece["head"], _KEY, 1)
-        return F.when(spelled.contains("\\"), text_of(F.concat(F.lit('"'), spelled, F.lit('"')))).otherwise(spelled)
-
     def spliced(pieces: Column, tail: Column) -> Column:
         def with_places(keys: Column) -> Column:
             # places of the last occurrences, from 0; beyond the end for an absent key
-            last = {n: F.size(keys) - F.array_position(F.reverse(keys), n) for n in names}
+            last = {n: F.size(keys) - F.array_position(keys, n) for n in names}
             return let(F.struct(*[v.alias(f"p{i}") for i, v in enumerate(last.values())]), filled)
 
         def filled(places: Column) -> Column:
@@ -110,15 +105,15 @@ def edit_members(raw: Column, edits: dict[str, Edit], absent: dict[str, Column |
                     value = F.when(i == at[n], fn(piece["value"])) if value is None else value.when(i == at[n], fn(piece["value"]))
                 return F.struct(piece["head"].alias("head"), F.coalesce(value, piece["value"]).alias("value"))
 
-            body = _text(F.transform(pieces, edited) if edits else pieces)
+            whole = _text(F.transform(pieces, edited) if edits else pieces)
             if not absent:
-                return F.concat(body, tail)
+                return F.concat(whole, tail)
             more = F.concat_ws(",", *[
                 F.when(at[n] == F.size(pieces), F.concat(F.lit(json.dumps(n) + ":"), F.lit(value))) for n, value in absent.items()
             ])
-            return let(more, lambda m: _grown(body, tail, m, "{"))
+            return let(F.struct(whole.alias("b"), more.alias("m")), lambda x: _grown(x["b"], tail, x["m"], "{"))
 
-        return let(F.transform(pieces, key), with_places)
+        return let(F.reverse(F.json_object_keys(raw)), with_places)
 
     return _pieces(raw, _MEMBER_HEAD, "}", spliced)
 

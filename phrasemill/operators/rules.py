@@ -408,16 +408,20 @@ def learn_drift(df: DataFrame, support: int = DRIFT_SUPPORT, confidence: int = D
     summed where it is read, so the shuffles carry distinct words and pairs.
     """
     flat = steps(df.filter("input IS NOT NULL"), "sub_question", keep=("input",)).filter("sub_question IS NOT NULL")
-    asked, told = _words(F.lower("input")), _words(F.lower("sub_question"))
-    pairs = F.transform(_swaps(asked, told), lambda p: F.struct(p["was"], p["is"]))
     entry = lambda kind, a, b: F.struct(F.lit(kind).alias("kind"), a.alias("a"), b.alias("b"))
     none = F.lit(None).cast("string")
-    rows = flat.select(F.explode(F.concat(
-        F.transform(F.array_distinct(pairs), lambda p: entry("pair", p["was"], p["is"])),
-        F.transform(F.array_distinct(asked), lambda w: entry("asked", w, none)),
-        F.transform(F.array_distinct(told), lambda w: entry("told", none, w)),
-        F.array(entry("all", none, none)),
-    )).alias("e")).groupBy("e.kind", "e.a", "e.b").agg(F.count(F.lit(1)).alias("n"))
+
+    def entries(said: Column) -> Column:
+        pairs = F.transform(_swaps(said["asked"], said["told"]), lambda p: F.struct(p["was"], p["is"]))
+        return F.concat(
+            F.transform(F.array_distinct(pairs), lambda p: entry("pair", p["was"], p["is"])),
+            F.transform(F.array_distinct(said["asked"]), lambda w: entry("asked", w, none)),
+            F.transform(F.array_distinct(said["told"]), lambda w: entry("told", none, w)),
+            F.array(entry("all", none, none)),
+        )
+
+    said = F.struct(_words(F.lower("input")).alias("asked"), _words(F.lower("sub_question")).alias("told"))
+    rows = flat.select(F.explode(let(said, entries)).alias("e")).groupBy("e.kind", "e.a", "e.b").agg(F.count(F.lit(1)).alias("n"))
     of = lambda kind, *cols: rows.where(F.col("kind") == kind).select(*cols)
     met = of("pair", F.col("a").alias("in_question"), F.col("b").alias("in_sub_question"), F.col("n").alias("results"))
     met = met.where(F.col("results") >= support)
