@@ -27,7 +27,6 @@ HEADLINES = [
     "exact_duplicates", "drop_duplicates", "conflicting_duplicates", "clean_subset",
     "read_examples", "write_examples", "incremental_convert",
     "repair_concat_json", "union_datasets", "write_lines", "typed_output",
-    "renumber", "split_phrases_fix", "complexity_fix", "conflicting_templates", "incremental_convert_lines",
 ]
 #: Timed on a stored copy with parsed outputs, which is made beforehand.
 STORED = {"stored:flatten_steps": flatten.flatten_steps, "stored:flatten_measures": flatten.flatten_measures}
