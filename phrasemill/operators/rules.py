@@ -386,6 +386,9 @@ def merge_steps(df: DataFrame, indicators: tuple[str, ...] = COMPLEXITY_INDICATO
 
 # ---------------------------------------------------------------- entity drift
 
+# What a count of learned drift is for; the nulls of a group's words tell the same.
+_PAIR, _ASKED, _TOLD, _ALL = range(4)
+
 
 def _swaps(question: Column, sub_question: Column) -> Column:
     """``array<struct<place,was,is>>``: words of a question that stand otherwise in its sub question.
@@ -406,30 +409,37 @@ def learn_drift(df: DataFrame, support: int = DRIFT_SUPPORT, confidence: int = D
     thousandths of the results whose question holds the first word. ``lift`` is how many thousandths as
     often the two meet as words spread by chance would. Each result counts a pair and a word once, and is
     summed where it is read, so the shuffles carry distinct words and pairs.
+
+    All counts come from one aggregate. What is left out is left out inside the generator, and kinds are
+    told apart by a column of the aggregate: filters on the question or on a group key would be pushed
+    below it, into the expression of the question, and make four different reads of one.
     """
-    flat = steps(df.filter("input IS NOT NULL"), "sub_question", keep=("input",)).filter("sub_question IS NOT NULL")
-    entry = lambda kind, a, b: F.struct(F.lit(kind).alias("kind"), a.alias("a"), b.alias("b"))
+    flat = steps(df, "sub_question", keep=("input",))
     none = F.lit(None).cast("string")
+    entry = lambda kind, a, b: F.struct(F.lit(kind).alias("kind"), a.alias("a"), b.alias("b"))
 
     def entries(said: Column) -> Column:
         pairs = F.transform(_swaps(said["asked"], said["told"]), lambda p: F.struct(p["was"], p["is"]))
         return F.concat(
-            F.transform(F.array_distinct(pairs), lambda p: entry("pair", p["was"], p["is"])),
-            F.transform(F.array_distinct(said["asked"]), lambda w: entry("asked", w, none)),
-            F.transform(F.array_distinct(said["told"]), lambda w: entry("told", none, w)),
-            F.array(entry("all", none, none)),
+            F.transform(F.array_distinct(pairs), lambda p: entry(_PAIR, p["was"], p["is"])),
+            F.transform(F.array_distinct(said["asked"]), lambda w: entry(_ASKED, w, none)),
+            F.transform(F.array_distinct(said["told"]), lambda w: entry(_TOLD, none, w)),
+            F.array(entry(_ALL, none, none)),
         )
 
-    said = F.struct(_words(F.lower("input")).alias("asked"), _words(F.lower("sub_question")).alias("told"))
-    rows = flat.select(F.explode(let(said, entries)).alias("e")).groupBy("e.kind", "e.a", "e.b").agg(F.count(F.lit(1)).alias("n"))
+    both = F.col("input").isNotNull() & F.col("sub_question").isNotNull()
+    said = F.when(both, F.struct(_words(F.lower("input")).alias("asked"), _words(F.lower("sub_question")).alias("told")))
+    found = F.explode(let(said, lambda s: F.when(s.isNotNull(), entries(s))))
+    counted = flat.select(found.alias("e")).groupBy("e.a", "e.b").agg(F.min("e.kind").alias("kind"), F.count(F.lit(1)).alias("n"))
+    rows = counted.select("kind", "n", *[F.coalesce(c, F.lit("")).alias(c) for c in ("a", "b")])
     of = lambda kind, *cols: rows.where(F.col("kind") == kind).select(*cols)
-    met = of("pair", F.col("a").alias("in_question"), F.col("b").alias("in_sub_question"), F.col("n").alias("results"))
+    met = of(_PAIR, F.col("a").alias("in_question"), F.col("b").alias("in_sub_question"), F.col("n").alias("results"))
     met = met.where(F.col("results") >= support)
     table = (
-        met.join(of("asked", F.col("a").alias("in_question"), F.col("n").alias("question_results")), "in_question")
-        .join(of("told", F.col("b").alias("in_sub_question"), F.col("n").alias("sub_results")), "in_sub_question")
+        met.join(of(_ASKED, F.col("a").alias("in_question"), F.col("n").alias("question_results")), "in_question")
+        .join(of(_TOLD, F.col("b").alias("in_sub_question"), F.col("n").alias("sub_results")), "in_sub_question")
     )
-    total = of("all", F.col("n")).scalar()
+    total = of(_ALL, F.col("n")).scalar()
     share = F.expr("results * 1000 div question_results")
     lift = F.floor(F.col("results").cast("decimal(38,0)") * 1000 * total.cast("decimal(18,0)") / (
         F.col("question_results").cast("decimal(18,0)") * F.col("sub_results").cast("decimal(18,0)"))).cast("bigint")

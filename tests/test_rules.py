@@ -1,6 +1,6 @@
 import json
 
-from phrasemill.operators import flatten, rules
+from phrasemill.operators import convert, flatten, rules
 from phrasemill.schemas import REQUIRED_FIELDS
 
 
@@ -276,3 +276,14 @@ def test_both_versions_are_counted_in_one_scan(spark, tmp_path):
     spark.createDataFrame([(0, "q", "{}")], "example_id bigint, input string, output_json string").write.parquet(path)
     plan = rules.before_after(spark.read.parquet(path), rules.fix_examples)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("FileScan") == 1
+
+
+def test_drift_reads_the_question_once(make):
+    df = convert.convert_question(make(("how many departments", '{"discovery_results":[{"sub_question":"how many publishers"}]}')))
+    query = rules.learn_drift(df, support=1, confidence=1)
+    assert query.count() >= 0
+    plan = query._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    filters = [line for line in plan if "Filter " in line]
+    assert filters and not any("RLIKE" in line for line in filters)  # no filter repeats the rewriting
+    counts = {line[line.index("Aggregate ") :].split("[")[1].count("#") for line in plan if "Aggregate " in line}
+    assert counts == {2}  # grouped by the two words alone, so all uses share one exchange
