@@ -1,10 +1,11 @@
 """Order-keeping edits of JSON text.
 
 An object or array is cut in one pass into its members or elements, each a piece of the text itself: a
-head (separator, key, white space) and a raw value. Only values that an edit changes are replaced, and
-the pieces are joined again, so everything else stays byte for byte: key order, white space, spelled
-numbers, escapes, unknown keys and elements of other kinds. Of a repeated key the last value is edited,
-which is the one that counts when the text is read.
+head (separator, key, white space) and a raw value; the closing is the last piece. Only pieces that an
+edit is for are split into head and value, only values that it changes are replaced, and the pieces are
+joined again, so everything else stays byte for byte: key order, white space, spelled numbers, escapes,
+unknown keys and elements of other kinds. Of a repeated key the last value is edited, which is the one
+that counts when the text is read.
 
 Texts nest up to ``DEPTH`` levels below the piece that is cut; a deeper one is left as it is.
 """
@@ -21,11 +22,13 @@ Edit = Callable[[Column], Column]
 
 DEPTH = 12
 
-# Possessive groups never give back, so a long text costs one pass and no stack.
-_STRING = r'"(?:[^"\\]++|\\.)*+"'
-_NESTED = rf'[\[{{](?:[^\[\]{{}}"]++|{_STRING})*+[\]}}]'
+# Possessive and atomic groups never give back, so a long text costs one pass and no stack. A run of
+# plain characters is an atomic greedy one, which is the fastest loop there is.
+_STRING = r'"(?>[^"\\]*)(?:\\.[^"\\]*+)*+"'
+_PLAIN = r'(?>[^\[\]{}"]+)'
+_NESTED = rf'[\[{{](?:{_PLAIN}|{_STRING})*+[\]}}]'
 for _ in range(DEPTH - 1):
-    _NESTED = rf'[\[{{](?:[^\[\]{{}}"]++|{_STRING}|{_NESTED})*+[\]}}]'
+    _NESTED = rf'[\[{{](?:{_PLAIN}|{_STRING}|{_NESTED})*+[\]}}]'
 _VALUE = rf'(?:{_STRING}|{_NESTED}|[^\s,\[\]{{}}":]++)'
 _MEMBER_HEAD = rf'\s*+[{{,]\s*+{_STRING}\s*+:\s*+'
 _ELEMENT_HEAD = r'\s*+[\[,]\s*+'
@@ -49,28 +52,33 @@ def quote(text: Column) -> Column:
     return listed.substr(F.lit(2), F.length(listed) - 2)
 
 
-def _pieces(text: Column, head: str, closing: str, fn: Callable[[Column, Column], Column]) -> Column:
-    """``fn`` of the pieces of ``text`` and of what follows the last; the text itself if it is not made
-    of such pieces to its end."""
+def _pieces(text: Column, head: str, opening: str, closing: str, fn: Callable[[Column, Column], Column]) -> Column:
+    """``fn`` of the pieces of ``text`` and of the closing behind the last (of an empty object or list: all
+    of it); the text itself if it is not made of such pieces to its end."""
+    end = rf"\s*+\{closing}\s*+\z"
+    pattern = rf"(?s)\G{head}{_VALUE}|\G{end}|\A\s*+\{opening}{end}"
 
-    pattern = F.lit(rf"(?s)\G({head})({_VALUE})")
+    def checked(cut: Column) -> Column:
+        tail = F.try_element_at(cut, F.lit(-1))
+        whole = (F.octet_length(F.array_join(cut, "")) == F.octet_length(text)) & tail.rlike(rf"\A\s*+(?:\{opening})?+{end}")
+        return F.when(whole, fn(F.slice(cut, 1, F.size(cut) - 1), tail)).otherwise(text)
 
-    def zipped(heads: Column, values: Column) -> Column:
-        return F.zip_with(heads, values, lambda h, v: F.struct(h.alias("head"), v.alias("value")))
+    return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), checked)
 
-    def joined(pieces: Column) -> Column:
-        return let(text.substr(F.length(_text(pieces)) + 1, F.length(text)), lambda tail: ended(pieces, tail))
 
-    def ended(pieces: Column, tail: Column) -> Column:
-        opening = "{" if closing == "}" else "["
-        whole = F.when(F.size(pieces) > 0, tail.rlike(rf"\A\s*\{closing}\s*\z")).otherwise(tail.rlike(rf"\A\s*\{opening}\s*\{closing}\s*\z"))
-        return F.when(whole, fn(pieces, tail)).otherwise(text)
+def _parted(piece: Column, head: str) -> Column:
+    """A piece as ``struct<head,value>``."""
+    return let(F.regexp_extract(piece, rf"\A{head}", 0), lambda h: F.struct(
+        h.alias("head"), piece.substr(F.length(h) + 1, F.length(piece)).alias("value")))
 
-    return let(zipped(F.regexp_extract_all(text, pattern, F.lit(1)), F.regexp_extract_all(text, pattern, F.lit(2))), joined)
+
+def _with_value(piece: Column, head: str, fn: Edit) -> Column:
+    """A piece with its value edited; the piece itself where the edit gives NULL."""
+    return let(_parted(piece, head), lambda p: F.coalesce(F.concat(p["head"], fn(p["value"])), piece))
 
 
 def _text(pieces: Column) -> Column:
-    return F.array_join(F.transform(pieces, lambda p: F.concat(p["head"], p["value"])), "")
+    return F.array_join(pieces, "")
 
 
 def _grown(body: Column, tail: Column, more: Column, opening: str) -> Column:
@@ -100,10 +108,11 @@ def edit_members(raw: Column, edits: dict[str, Edit], absent: dict[str, Column |
             at = {n: places[f"p{i}"] for i, n in enumerate(names)}
 
             def edited(piece: Column, i: Column) -> Column:
-                value = None
+                out = None
                 for n, fn in edits.items():
-                    value = F.when(i == at[n], fn(piece["value"])) if value is None else value.when(i == at[n], fn(piece["value"]))
-                return F.struct(piece["head"].alias("head"), F.coalesce(value, piece["value"]).alias("value"))
+                    new = _with_value(piece, _MEMBER_HEAD, fn)
+                    out = F.when(i == at[n], new) if out is None else out.when(i == at[n], new)
+                return out.otherwise(piece)
 
             whole = _text(F.transform(pieces, edited) if edits else pieces)
             if not absent:
@@ -115,7 +124,7 @@ def edit_members(raw: Column, edits: dict[str, Edit], absent: dict[str, Column |
 
         return let(F.reverse(F.json_object_keys(raw)), with_places)
 
-    return _pieces(raw, _MEMBER_HEAD, "}", spliced)
+    return _pieces(raw, _MEMBER_HEAD, "{", "}", spliced)
 
 
 def edit_elements(
@@ -134,30 +143,36 @@ def edit_elements(
         first = F.element_at(pieces, 1)["head"]
         return F.transform(left, lambda p, i: F.struct(F.when(i == 0, first).otherwise(p["head"]).alias("head"), p["value"].alias("value")))
 
-    def spliced(pieces: Column, tail: Column) -> Column:
+    def edited(p: Column, chosen: Column) -> Column:
+        """The text of a piece, edited if it is chosen."""
+        return F.concat(p["head"], F.when(chosen, F.coalesce(fn(p["value"]), p["value"])).otherwise(p["value"]))
+
+    def chosen_elements(out: Column) -> Column:
+        is_object = lambda p: p["value"].startswith("{")
+        if fn is None:
+            return F.transform(out, lambda p: F.concat(p["head"], p["value"]))
+        if not only_first:
+            return F.transform(out, lambda p: edited(p, is_object(p)))
+        return let(F.array_position(F.transform(out, is_object), True) - 1, lambda first: F.transform(
+            out, lambda p, i: edited(p, is_object(p) & (i == first))))
+
+    def spliced(cut: Column, tail: Column) -> Column:
+        return let(F.transform(cut, lambda t: _parted(t, _ELEMENT_HEAD)), lambda pieces: rejoined(pieces, tail))
+
+    def rejoined(pieces: Column, tail: Column) -> Column:
         out = pieces
         if whole is not None:
             out = opened(whole(pieces), pieces)
         if keep is not None:
             out = opened(F.filter(out, lambda p: keep(p["value"])), pieces)
-        if fn is not None:
-            first_object = F.array_position(F.transform(out, lambda p: p["value"].startswith("{")), True) - 1
-
-            def edited(p: Column, i: Column) -> Column:
-                chosen = p["value"].startswith("{")
-                chosen = chosen & (i == first_object) if only_first else chosen
-                value = F.when(chosen, F.coalesce(fn(p["value"]), p["value"])).otherwise(p["value"])
-                return F.struct(p["head"].alias("head"), value.alias("value"))
-
-            out = F.transform(out, edited)
-        body = _text(out)
+        body = _text(chosen_elements(out))
         if keep is not None:  # nothing left: the opening of the first element stays
             body = let(body, lambda b: F.when((b == "") & (F.size(pieces) > 0), F.rtrim(F.element_at(pieces, 1)["head"])).otherwise(b))
         if more is None:
             return F.concat(body, tail)
         return let(F.struct(body.alias("b"), F.array_join(more, ",").alias("m")), lambda x: _grown(x["b"], tail, x["m"], "["))
 
-    return F.when(raw.startswith("["), _pieces(raw, _ELEMENT_HEAD, "]", spliced)).otherwise(raw)
+    return F.when(raw.startswith("["), _pieces(raw, _ELEMENT_HEAD, "[", "]", spliced)).otherwise(raw)
 
 
 def raw_elements(raw: Column) -> Column:

@@ -80,3 +80,18 @@ def test_every_fix_keeps_spelling_and_order(make, fix):
     kept = sum(1 for c in text if any(c == d for d in rest))
     assert '"z" : 123456789012345678901234567890123456789012' in after and '"weight":1.0' in after and '"z":1e5' in after
     assert after.index('"z" :') < after.index('"weight"') < after.index('"z":1e5') and kept
+
+
+def test_an_edit_cuts_a_text_once(spark):
+    df = spark.createDataFrame([('{"a":[1]}',)], "t string")
+    plan = df.select(splice.edit_members(F.col("t"), {"a": lambda _: F.lit("2")}).alias("o"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("regexp_extract_all") == 1
+
+
+def test_a_closing_ends_a_text(spark):
+    texts = ['{"a":1', '{"a":1}}', '{"a":1} x', '{"a":1,}', '}', '{', ' { } ', ' {"a":1} ', '{"b":[1}', '{"a":{"a":1}']
+    edited = apply(spark, texts, lambda c: splice.edit_members(c, {"a": lambda _: F.lit("2")}))
+    assert edited == [' {"a":2} ' if t == ' {"a":1} ' else t for t in texts]
+    lists = ["[1", "[1]]", "[1] x", "[1,]", "]", "[", "[ ]", "[1 ]"]
+    grown = apply(spark, lists, lambda c: splice.edit_elements(c, more=F.array(F.lit("7"))))
+    assert grown == [*lists[:6], "[7 ]", "[1,7 ]"]
