@@ -43,6 +43,8 @@ CALCULATION_WORDS = {
 # Ours: least likeness (hundredths) of a phrase and the words that replace it; least results and
 # thousandths of a learned pair, and how many pairs a fix uses.
 LEAST_LIKENESS = 50
+# Words of a phrase up to which rounded scores tell stretches apart: (3 n)^2 < 2,000,000.
+MOST_TIGHT = 400
 DRIFT_SUPPORT, DRIFT_CONFIDENCE, DRIFT_PAIRS_USED = 5, 100, 1000
 BUSINESS_PHRASES = tuple(dict.fromkeys(BI_TERMS + NON_BI_TERMS))
 PREMIUM_PHRASES = ("premium customers",)
@@ -253,17 +255,25 @@ def best_stretch(phrase: Column, words: Column, spelled: Column, least: int = LE
 
     def scored(said: Column) -> Column:
         n = F.size(said)
+        # A stretch that begins or ends with another word is less like the phrase than the one without it:
+        # the scores differ by more than rounding while phrases have at most MOST_TIGHT words.
+        every = F.sequence(F.lit(1), F.size(words))
+        within = F.filter(every, lambda i: F.array_contains(said, F.element_at(words, i)))
+        places = F.when(n <= MOST_TIGHT, within).otherwise(every) if least > 0 else every
 
-        def of_size(size: Column) -> Column:
-            def at(start: Column) -> Column:
-                common = F.size(F.array_intersect(F.slice(words, start, size), said))
-                score = F.floor(common * 2_000_000 / (size + n))
-                return F.struct(score.alias("score"), (-start).alias("place"), (-size).alias("size"))
+        def stretches(at: Column) -> Column:
+            def to(start: Column) -> Column:
+                def ending(end: Column) -> Column:
+                    size = end - start + 1
+                    common = F.size(F.array_intersect(F.slice(words, start, size), said))
+                    score = F.floor(common * 2_000_000 / (size + n))
+                    return F.struct(score.alias("score"), (-start).alias("place"), (-size).alias("size"))
 
-            return F.transform(F.sequence(F.lit(1), F.size(words) - size + 1), at)
+                return F.transform(F.filter(at, lambda end: (end >= start) & (end - start < 2 * n)), ending)
 
-        sizes = F.sequence(F.lit(1), F.least(F.size(words), 2 * n))
-        found = F.array_max(F.flatten(F.transform(sizes, of_size)))
+            return F.array_max(F.flatten(F.transform(at, to)))
+
+        found = let(places, stretches)
         return let(found, lambda f: F.when(f["score"] >= least * 10_000, _stretch(spelled, -f["place"], -f["size"])))
 
     return let(F.array_distinct(_words(F.lower(phrase))), lambda said: F.when((F.size(said) > 0) & (F.size(words) > 0), scored(said)))
