@@ -5,13 +5,12 @@ from __future__ import annotations
 import json
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from phrasemill import fixtures as fx
 from phrasemill.functions.lexicon import DEFAULT, backfill_context, rewrite_terms
 from phrasemill.operators import annotate, audit, convert, flatten, questions, rules
-from phrasemill.operators.flatten import items
 from phrasemill.plans.jobs import annotate_steps, annotated, convert_dataset, prepare_steps
 from phrasemill.session import scratch_dir
 from phrasemill.sources import examples as example_files
@@ -327,12 +326,14 @@ def union_datasets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _phrases(ex: DataFrame) -> DataFrame:
-    """The original phrases of all measures and dimensions."""
-    kinds = [
-        items(ex, field, "original_phrase").withColumn("kind", F.lit(kind))
-        for kind, field in (("measure", "measures"), ("dimension", "dimensions"))
-    ]
-    return kinds[0].unionByName(kinds[1])
+    """The original phrases of all measures and dimensions, from one reading of each example."""
+    def tagged(field: str, kind: str) -> Column:
+        listed = F.transform(field, lambda item, i: F.when(item.isNotNull(), F.struct(
+            i.cast("bigint").alias("item_no"), item["original_phrase"].alias("original_phrase"), F.lit(kind).alias("kind"))))
+        return F.coalesce(listed, F.array().cast("array<struct<item_no:bigint,original_phrase:string,kind:string>>"))
+
+    both = F.concat(tagged("measures", "measure"), tagged("dimensions", "dimension"))
+    return flatten.steps(ex, "measures", "dimensions").select("example_id", "step_no", F.inline(both)).filter("kind IS NOT NULL")
 
 
 def entity_drift_learned(spark: SparkSession, sf_dir: str) -> DataFrame:

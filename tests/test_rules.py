@@ -287,3 +287,12 @@ def test_drift_reads_the_question_once(make):
     assert filters and not any("RLIKE" in line for line in filters)  # no filter repeats the rewriting
     counts = {line[line.index("Aggregate ") :].split("[")[1].count("#") for line in plan if "Aggregate " in line}
     assert counts == {2}  # grouped by the two words alone, so all uses share one exchange
+
+
+def test_phrases_read_an_example_once(make):
+    from phrasemill.plans.queries import _phrases
+
+    df = make(("q", out({"measures": [{"original_phrase": "a"}, 3, {}], "dimensions": [None, {"original_phrase": "b"}]}, {"dimensions": None})))
+    rows = sorted((r.step_no, r.kind, r.item_no, r.original_phrase) for r in _phrases(df).collect())
+    assert rows == [(0, "dimension", 1, "b"), (0, "measure", 0, "a"), (0, "measure", 2, None)]
+    assert _phrases(df)._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 1
