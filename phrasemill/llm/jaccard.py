@@ -7,7 +7,10 @@ shingles, their prefixes, so only texts that meet there are compared:
 * Copies collapse to one node for each distinct set before anything is joined.
 * The order comes from a count-min sketch over the shingles of all texts. Its size is fixed, and
   any order gives the same links, so its error costs time only, never a link.
-* Length and positional filters work in the join on prefix shingles, the suffix filter on what is
+* Shingles of a prefix that no other prefix holds are not shared within both prefixes. How many others
+  a prefix has from a shingle on, and what lies behind the longer prefix, bound the overlap of two
+  texts that first share this shingle; so texts with a common passage only are hardly compared.
+* Length and positional filters and that bound work in the join on prefix shingles, the suffix filter on what is
   left: value ranges hold too different numbers of shingles for the pair to link. Survivors are
   verified on the words, once a pair.
 * A prefix shingle that many texts share would give all pairs of them. Instead each round compares
@@ -27,7 +30,8 @@ from math import log
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import zstandard
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from phrasemill.llm.common import release, slices, stage
@@ -36,7 +40,9 @@ from phrasemill.llm.shingles import WIDTH, shingle_set, shingle_texts
 
 THRESHOLD = 80
 #: Cells in each of the two rows of the sketch.
-CELLS = 1 << 16
+CELLS = 1 << 21
+#: Rows in which a task sends its sketch.
+PARTS = 64
 #: Leaders of each group in one round.
 LEADERS = 8
 #: Rounds with leaders end when this many open pairs are left for each prefix entry, or when a
@@ -58,26 +64,29 @@ def _sketch(width: int):
             for start, end in slices(texts):
                 values = np.concatenate([shingle_set(t, width) for t in texts[start:end]])
                 for row, cells in enumerate(_cells(values)):
-                    total[row] += np.bincount(cells, minlength=CELLS)
-        flat = total.ravel()
-        used = np.flatnonzero(flat)
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(flat[used])], names=["cell", "n"])
+                    np.add.at(total[row], cells, 1)
+        parts = [zstandard.compress(p.tobytes(), 1) for p in np.array_split(total.ravel(), PARTS)]
+        yield pa.RecordBatch.from_pydict({"part": pa.array(range(PARTS), pa.int32()), "cells": parts})
 
     return count
 
 
+def _summed(table: pa.Table) -> pa.Table:
+    cells = sum(np.frombuffer(zstandard.decompress(c.as_buffer()), np.int64) for c in table["cells"])
+    return pa.table({"part": table["part"][:1], "cells": [zstandard.compress(cells.tobytes(), 1)]})
+
+
 def frequencies(texts: DataFrame, width: int = WIDTH) -> np.ndarray:
     """A count-min sketch of the number of texts that hold each shingle: 2 x ``CELLS`` counters.
 
-    A task sends at most that many rows; the sums, whose number is fixed, come to the driver.
+    A task sends ``PARTS`` rows; the sums, whose size is fixed, come to the driver.
     """
-    rows = (
-        texts.mapInArrow(_sketch(width), "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).collect()
-    )
-    out = np.zeros(2 * CELLS, np.int64)
-    for r in rows:
-        out[r["cell"]] = r["n"]
-    return out.reshape(2, CELLS)
+    schema = "part int, cells binary"
+    rows = texts.mapInArrow(_sketch(width), schema).groupBy("part").applyInArrow(_summed, schema).collect()
+    if not rows:
+        return np.zeros((2, CELLS), np.uint32)
+    parts = [np.frombuffer(zstandard.decompress(bytes(r.cells)), np.int64) for r in sorted(rows, key=lambda r: r.part)]
+    return np.concatenate(parts).clip(max=(1 << 32) - 1).astype(np.uint32).reshape(2, CELLS)
 
 
 def _prefixes(shared, threshold: int, width: int):
@@ -115,10 +124,14 @@ def _need(threshold: int, a: str, b: str) -> str:
 
 
 def _filters(threshold: int, x: str, y: str) -> str:
-    """SQL of the length and the positional filter for two entries of one prefix shingle."""
+    """SQL of the length and the positional filter for two entries of one prefix shingle, and of the
+    bound by shared shingles: of the overlap no more than ``held`` lies in both prefixes, and from the
+    first that does not, all lie behind one of the two."""
     return (
         f"{threshold} * greatest({x}.n, {y}.n) <= 100 * least({x}.n, {y}.n) "
-        f"and least({x}.n - {x}.pos, {y}.n - {y}.pos) >= {_need(threshold, f'{x}.n', f'{y}.n')}"
+        f"and least({x}.n - {x}.pos, {y}.n - {y}.pos) >= {_need(threshold, f'{x}.n', f'{y}.n')} "
+        f"and least({x}.held, {y}.held) + ceil({threshold} * greatest({x}.n, {y}.n) / 100.0D - 1e-9) - 1 "
+        f">= {_need(threshold, f'{x}.n', f'{y}.n')}"
     )
 
 
@@ -191,11 +204,11 @@ def near_duplicates(df: DataFrame, threshold: int = THRESHOLD, width: int = WIDT
     )
     # the smaller set of a linked pair has the shared shingle even among fewer first ones
     index = F.expr(f"pos <= n - {_need(threshold, 'n', 'n')}")
-    often = (
-        entries.groupBy("h").agg(F.count("*").alias("c"), F.max(index).alias("leads")).where("c > 1 and leads").select("h")
-    )
+    on_h = Window.partitionBy("h")
+    shared = entries.withColumn("c", F.count("*").over(on_h)).withColumn("leads", F.max(index).over(on_h)).where("c > 1")
+    held = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("pos"))).alias("held")
     band = F.floor(F.log("n") / log(100 / threshold)).alias("band")
-    members = stage(entries.join(often, "h").select("h", "node", "n", "pos", band), "shingle-members")
+    members = stage(shared.select("h", "node", "n", "pos", held, band, "leads").where("leads").drop("leads"), "shingle-members")
     # documents whose rows hold several sets tie these together
     several = base.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("top")).where("a < top")
     edges = base.join(several, "doc_id").where("node <> a").select("a", F.col("node").alias("b")).distinct()
@@ -231,11 +244,11 @@ def near_duplicates(df: DataFrame, threshold: int = THRESHOLD, width: int = WIDT
             # leaders have few rarer shingles before the shared one: they are like the text that the
             # others were made from rather than ones with changes of their own; each round tries others
             head = F.struct(F.floor(F.expr("20 * pos / n")).alias("far"), F.xxhash64("node", F.lit(spin)).alias("rank"),
-                            "node", "n", "pos", "comp")
+                            "node", "n", "pos", "held", "comp")
             seat = F.pmod(F.xxhash64("node", F.lit(spin), F.lit("seat")), F.lit(LEADERS)).alias("seat")
             lead = (
                 now.join(per.select("h"), "h", "left_semi").groupBy("h", "band", seat).agg(F.min(head).alias("lead"))
-                .select("h", "band", "lead.node", "lead.n", "lead.pos", "lead.comp")
+                .select("h", "band", "lead.node", "lead.n", "lead.pos", "lead.held", "lead.comp")
             )
             pairs = (
                 now.alias("x").join(lead.alias("y"), ["h", "band"])

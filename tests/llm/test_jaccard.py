@@ -125,3 +125,20 @@ def test_components(spark):
     want = {i: 0 for i in range(41)} | {i: 100 for i in range(100, 140)} | {299: 299, 300: 299}
     assert got == want
     assert components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+
+
+def test_a_common_passage_makes_no_pairs_without_a_sketch(spark, monkeypatch):
+    rng = random.Random(9)
+    passage = " ".join(f"s{i}" for i in range(30))
+    rows = [(i, passage + " " + " ".join(f"u{rng.randrange(10**9)}" for _ in range(120)), None) for i in range(60)]
+    rows += [(60 + i, " ".join(f"t{j}" for j in range(i % 3, 80)), None) for i in range(9)]
+    compared, links = [], jaccard._links
+
+    def count(pairs, *rest):
+        compared.append(pairs.count())
+        return links(pairs, *rest)
+
+    monkeypatch.setattr(jaccard, "frequencies", lambda *_: np.zeros((2, jaccard.CELLS), np.uint32))
+    monkeypatch.setattr(jaccard, "_links", count)
+    assert result(jaccard.near_duplicates(spark.createDataFrame(rows, SCHEMA))) == plain(rows)
+    assert sum(compared) <= 9
