@@ -7,6 +7,9 @@ shingles, their prefixes, so only texts that meet there are compared:
 * Copies collapse to one node for each distinct set before anything is joined.
 * The order comes from a count-min sketch over the shingles of all texts. Its size is fixed, and
   any order gives the same links, so its error costs time only, never a link.
+* Prefix shingles that no other text has among its own go before anything is joined: 32 bits of each are
+  exchanged, packed, and a bitmap of those that came twice travels back. It may pass some too many,
+  which the join on whole shingles drops.
 * Shingles of a prefix that no other prefix holds are not shared within both prefixes. How many others
   a prefix has from a shingle on, and what lies behind the longer prefix, bound the overlap of two
   texts that first share this shingle; so texts with a common passage only are hardly compared.
@@ -26,7 +29,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
-from math import log
+from math import ceil, log, log2
 
 import numpy as np
 import pyarrow as pa
@@ -34,15 +37,21 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from phrasemill.llm.common import release, slices, stage
+from phrasemill.llm.common import release, stage
 from phrasemill.llm.components import components
-from phrasemill.llm.shingles import WIDTH, shingle_set, shingle_texts
+from phrasemill.llm.shingles import WIDTH, shingle_sets, shingle_texts
 
 THRESHOLD = 80
 #: Cells in each of the two rows of the sketch.
 CELLS = 1 << 21
 #: Rows in which a task sends its sketch.
 PARTS = 64
+#: Bits of the bitmap of prefix shingles that two texts have.
+PLACES = 27
+#: Bits of the bitmap of texts to compare. Fuller bitmaps pass more rows, lose none.
+WANTED = 24
+#: Prefix shingles of one bucket of their exchange, about, and those that a task holds until it sends them.
+BUCKET, HELD = 1 << 20, 1 << 22
 #: Leaders of each group in one round.
 LEADERS = 8
 #: Rounds with leaders end when this many open pairs are left for each prefix entry, or when a
@@ -60,9 +69,7 @@ def _sketch(width: int):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((2, CELLS), np.int64)
         for batch in batches:
-            texts = batch.column(0).to_pylist()
-            for start, end in slices(texts):
-                values = np.concatenate([shingle_set(t, width) for t in texts[start:end]])
+            for _, _, values, _ in shingle_sets(batch.column(0), width):
                 for row, cells in enumerate(_cells(values)):
                     np.add.at(total[row], cells, 1)
         parts = [zstandard.compress(p.tobytes(), 1) for p in np.array_split(total.ravel(), PARTS)]
@@ -89,35 +96,132 @@ def frequencies(texts: DataFrame, width: int = WIDTH) -> np.ndarray:
     return np.concatenate(parts).clip(max=(1 << 32) - 1).astype(np.uint32).reshape(2, CELLS)
 
 
+def _lists(values: np.ndarray, sizes: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(values))
+
+
 def _prefixes(shared, threshold: int, width: int):
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = shared.value
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for start, end in slices(texts):
-                sizes, digests, prefixes = [], [], []
-                for doc_id, text in zip(ids[start:end], texts[start:end], strict=True):
-                    values = shingle_set(text, width)
-                    n = len(values)
-                    own = values.tobytes() if n else f"no words {doc_id}".encode()
-                    one, two = _cells(values)
-                    rare = np.minimum(counts[0, one], counts[1, two])
-                    first = np.lexsort((values, rare))[: n - -(-threshold * n // 100) + 1 if n else 0]
-                    sizes.append(n)
+            ids, sizes, digests, lengths, prefixes = batch.column(0), [], [], [], []
+            for first, last, values, bounds in shingle_sets(batch.column(1), width):
+                one, two = _cells(values)
+                rare = np.minimum(counts[0].take(one), counts[1].take(two))
+                # sorted, these are the places of values in the order by rareness and value
+                order = rare.astype(np.uint64) << np.uint64(32) | np.arange(len(values), dtype=np.uint64)
+                for row, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True), first):
+                    own = values[a:b] if a < b else f"no words {ids[row].as_py()}".encode()
                     digests.append(hashlib.blake2b(own, digest_size=16).digest())
-                    prefixes.append(values[first].view(np.int64))
-                ends = np.cumsum([0, *map(len, prefixes)])
-                lists = pa.ListArray.from_arrays(
-                    pa.array(ends, pa.int32()), pa.array(np.concatenate(prefixes) if prefixes else np.empty(0, np.int64))
-                )
+                    order[a:b].sort()
+                n = np.diff(bounds)
+                length = np.where(n > 0, n - -(-threshold * n // 100) + 1, 0)
+                at = np.arange(length.sum()) + np.repeat(bounds[:-1] - np.cumsum(length) + length, length)
+                prefixes.append(values[(order[at] & np.uint64((1 << 32) - 1)).astype(np.int64)].view(np.int64))
+                sizes.append(n)
+                lengths.append(length)
+            if sizes:
+                lists = _lists(np.concatenate(prefixes), np.concatenate(lengths))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[start:end], pa.int64()), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), lists],
+                    [ids.cast(pa.int64()), pa.array(np.concatenate(sizes)), pa.array(digests, pa.binary()), lists],
                     names=["doc_id", "n", "digest", "prefix"],
                 )
 
     return describe
 
 
+def _packed(bits: int):
+    """What follows the first ``bits`` bits of the prefix shingles of a task, packed by those bits."""
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+
+        def rows() -> pa.RecordBatch:
+            values = np.sort(np.concatenate(held))
+            cuts = np.searchsorted(values, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits))
+            rest = ((values >> np.uint64(32 - bits)) & np.uint64((1 << 32) - 1)).astype(np.uint32)
+            parts = [(i, p.tobytes()) for i, p in enumerate(np.split(rest, cuts)) if len(p)]
+            return pa.RecordBatch.from_pydict({"bucket": pa.array([i for i, _ in parts], pa.int32()),
+                                               "rest": pa.array([p for _, p in parts], pa.binary())})
+
+        for batch in batches:
+            held.append(batch.column(0).flatten().to_numpy().view(np.uint64))
+            if sum(map(len, held)) >= HELD:
+                yield rows()
+                held.clear()
+        if held:
+            yield rows()
+
+    return send
+
+
+def _twice(bits: int):
+    def find(table: pa.Table) -> pa.Table:
+        rest = np.sort(np.concatenate([np.frombuffer(r.as_buffer(), np.uint32) for r in table["rest"]]))
+        own = np.zeros(1 << (PLACES - bits), bool)
+        own[rest[1:][rest[1:] == rest[:-1]] >> np.uint32(32 - (PLACES - bits))] = True
+        return pa.table({"bucket": table["bucket"][:1], "rest": [zstandard.compress(np.packbits(own, bitorder="little"), 1)]})
+
+    return find
+
+
+def _shared(rows: DataFrame, threshold: int) -> np.ndarray:
+    """A bitmap of ``PLACES`` bits, by their first bits, of the prefix shingles that occur twice in ``rows``."""
+    shingles = rows.agg(F.sum("n")).first()[0] or 0
+    bits = min(max(ceil(log2(shingles * (100 - threshold) / 100 / BUCKET + 1)), 5), PLACES - 3)
+    schema = "bucket int, rest binary"
+    sent = rows.select("prefix").mapInArrow(_packed(bits), schema)
+    bitmap = np.zeros((1 << bits, 1 << (PLACES - bits - 3)), np.uint8)
+    for r in sent.groupBy("bucket").applyInArrow(_twice(bits), schema).toLocalIterator():
+        bitmap[r.bucket] = np.frombuffer(zstandard.decompress(bytes(r.rest)), np.uint8)
+    return bitmap.ravel()
+
+
+def _holds(bitmap: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return (bitmap[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+
+
+def _thinned(known):
+    """The rows with those prefix shingles only that a bitmap holds, and their places."""
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("prefix")
+            values, sizes = lists.flatten().to_numpy(), lists.value_lengths().to_numpy().astype(np.int64)
+            ends = np.cumsum(sizes)
+            held = _holds(known.value, (values.view(np.uint64) >> np.uint64(64 - PLACES)).astype(np.int64))
+            pos = np.arange(len(values)) - np.repeat(ends - sizes, sizes)
+            left = np.diff(np.concatenate([[0], np.cumsum(held)])[np.concatenate([[0], ends])])
+            rows = [batch.column(c) for c in ("doc_id", "n", "digest")] + [_lists(pos[held], left), _lists(values[held], left)]
+            yield pa.RecordBatch.from_arrays(rows, names=["doc_id", "n", "digest", "pos", "h"]).filter(pa.array(left > 0))
+
+    return keep
+
+
+def _wanted(ids: DataFrame) -> np.ndarray:
+    """A bitmap of ``WANTED`` bits of the hashes of ``ids``."""
+    place = _place("node")
+    rows = ids.groupBy(F.bitmap_bucket_number(place).alias("i")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits")).toLocalIterator()
+    bitmap = np.zeros((1 << WANTED) // 8, np.uint8)
+    for r in rows:
+        part = np.frombuffer(bytes(r.bits), np.uint8)
+        bitmap[(r.i - 1) * len(part) : r.i * len(part)] = part
+    return bitmap
+
+
+def _place(column: str):
+    return F.pmod(F.xxhash64(column), F.lit(1 << WANTED)) + 1
+
+
+def _among(known):
+    @F.arrow_udf("boolean")
+    def test(place: pa.Array) -> pa.Array:
+        return pa.array(_holds(known.value, place.to_numpy(zero_copy_only=False) - 1))
+
+    return test
+
+
 def _need(threshold: int, a: str, b: str) -> str:
     """SQL: the least overlap of two linked sets of sizes ``a`` and ``b``."""
     return f"ceil({threshold} * ({a} + {b}) / {100 + threshold}.0D - 1e-9)"
@@ -153,12 +257,15 @@ def linked(x: set, y: set, threshold: int = THRESHOLD) -> bool:
 
 def _verify(threshold: int, width: int):
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        values = lru_cache(maxsize=256)(lambda t: shingle_set(t, width))
-        plain = lru_cache(maxsize=256)(lambda t: shingle_texts(t, width))
         for batch in batches:
+            sides = pa.chunked_array([batch.column("s"), batch.column("t")]).combine_chunks().dictionary_encode()
+            at, texts, values = sides.indices.to_pylist(), sides.dictionary, []
+            for _, _, found, bounds in shingle_sets(texts, width):
+                values += np.split(found, bounds[1:-1])
+            plain = lru_cache(maxsize=256)(lambda i: shingle_texts(texts[i].as_py(), width))
             keep = []
-            for s, t in zip(batch.column("s").to_pylist(), batch.column("t").to_pylist(), strict=True):
-                x, y = values(s), values(t)
+            for s, t in zip(at[: len(batch)], at[len(batch) :], strict=True):
+                x, y = values[s], values[t]
                 # equal words have equal values, so what the values rule out needs no words
                 near = may_link(x, y, threshold) and enough(np.intersect1d(x, y, True).size, len(x), len(y), threshold)
                 keep.append(near and linked(plain(s), plain(t), threshold))
@@ -188,9 +295,9 @@ def near_duplicates(df: DataFrame, threshold: int = THRESHOLD, width: int = WIDT
     """
     spark = df.sparkSession
     docs = df.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    shared = spark.sparkContext.broadcast(frequencies(docs.select("text"), width))
+    counts = spark.sparkContext.broadcast(frequencies(docs.select("text"), width))
     rows = stage(
-        docs.mapInArrow(_prefixes(shared, threshold, width), "doc_id bigint, n bigint, digest binary, prefix array<bigint>"),
+        docs.mapInArrow(_prefixes(counts, threshold, width), "doc_id bigint, n bigint, digest binary, prefix array<bigint>"),
         "shingle-prefixes",
     )
     nodes = rows.where("doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("node"))
@@ -198,9 +305,11 @@ def near_duplicates(df: DataFrame, threshold: int = THRESHOLD, width: int = WIDT
         rows.select("doc_id", "n", "digest").join(nodes, "digest", "left").select("doc_id", "n", "node"),
         "shingle-nodes",
     )
+    met = spark.sparkContext.broadcast(_shared(rows, threshold))
+    thin = rows.mapInArrow(_thinned(met), "doc_id bigint, n bigint, digest binary, pos array<bigint>, h array<bigint>")
     entries = (
-        rows.join(nodes.withColumnRenamed("digest", "of"), F.col("digest") == F.col("of"))
-        .where("doc_id = node").select("node", "n", F.posexplode("prefix").alias("pos", "h"))
+        thin.join(nodes.withColumnRenamed("digest", "of"), F.col("digest") == F.col("of"))
+        .where("doc_id = node").select("node", "n", F.inline(F.arrays_zip("pos", "h")))
     )
     # the smaller set of a linked pair has the shared shingle even among fewer first ones
     index = F.expr(f"pos <= n - {_need(threshold, 'n', 'n')}")
@@ -209,16 +318,18 @@ def near_duplicates(df: DataFrame, threshold: int = THRESHOLD, width: int = WIDT
     held = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("pos"))).alias("held")
     band = F.floor(F.log("n") / log(100 / threshold)).alias("band")
     members = stage(shared.select("h", "node", "n", "pos", held, band, "leads").where("leads").drop("leads"), "shingle-members")
+    release(rows)
     # documents whose rows hold several sets tie these together
     several = base.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("top")).where("a < top")
     edges = base.join(several, "doc_id").where("node <> a").select("a", F.col("node").alias("b")).distinct()
     edges, tested, parts = stage(edges, "edges"), None, None
+    some = _among(spark.sparkContext.broadcast(_wanted(members.select("node"))))
     texts = stage(
-        docs.join(members.select(F.col("node").alias("doc_id")).distinct(), "doc_id")
+        docs.where("doc_id is not null").where(some(_place("doc_id")))
+        .join(members.select(F.col("node").alias("doc_id")).distinct(), "doc_id")
         .select(F.col("doc_id").alias("node"), "text"),
         "shingle-texts",
     )
-    release(rows)
     size = members.count()
     spin, before = 0, float("inf")
     while True:

@@ -16,12 +16,14 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from phrasemill.llm import jaccard
 from phrasemill.llm.common import stage
+from phrasemill.llm.shingles import word_counts
 
 CAPACITY = 2048
 LOT = 4096
@@ -131,9 +133,12 @@ def pack(df: DataFrame, length: str = "n_tokens", source: str | None = "source",
 def measured(docs: DataFrame) -> DataFrame:
     """``documents`` with what packing needs: ``n_tokens`` as words between white space, and as
     ``cluster`` a digest of the text, so that copies never share a bin."""
-    found = F.split(F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x09-\x0D]", " ")), " +")
-    return docs.select("doc_id", F.size(F.filter(found, lambda w: w != "")).cast("bigint").alias("n_tokens"),
-                       "source", F.md5("text").alias("cluster"))
+
+    @F.arrow_udf("bigint")
+    def n_words(text: pa.Array) -> pa.Array:
+        return pa.array(word_counts(text))
+
+    return docs.select("doc_id", n_words("text").alias("n_tokens"), "source", F.md5("text").alias("cluster"))
 
 
 def clustered(docs: DataFrame) -> DataFrame:

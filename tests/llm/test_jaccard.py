@@ -4,13 +4,14 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from phrasemill.llm import jaccard
 from phrasemill.llm.components import components
 from phrasemill.llm.queries import op7_ngram_jaccard_join
-from phrasemill.llm.shingles import shingle_set, shingle_texts, words
+from phrasemill.llm.shingles import shingle_set, shingle_sets, shingle_texts, word_counts, words
 
 SCHEMA = "doc_id bigint, text string, component_id string"
 
@@ -142,3 +143,36 @@ def test_a_common_passage_makes_no_pairs_without_a_sketch(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "_links", count)
     assert result(jaccard.near_duplicates(spark.createDataFrame(rows, SCHEMA))) == plain(rows)
     assert sum(compared) <= 9
+
+
+def test_a_long_word_leaves_the_other_words_as_they_are(spark):
+    text = " ".join(f"w{i}" for i in range(80))
+    rows = [(1, text, None), (2, text + " " + "q" * 5000, None), (3, text + " " + "q" * 9000, None)]
+    assert len(np.intersect1d(shingle_set(rows[0][1]), shingle_set(rows[1][1]))) == 76
+    assert len(shingle_set("q" * 5000 + "r" + "q" * 4095 + " " + "q" * 9096, 1)) == 2
+    assert result(jaccard.near_duplicates(spark.createDataFrame(rows, SCHEMA))) == plain(rows)
+
+
+def test_texts_of_a_column_are_cut_as_each_alone():
+    rng = random.Random(2)
+    texts = ["", None, "a", " ", "a b", "b", "x" * 70_000, "Ünï A", "é\n"]
+    texts += [" ".join(rng.choice(("a", "B", "cc", "é")) for _ in range(rng.randrange(30))) for _ in range(9000)]
+    for column in (pa.array(texts), pa.array(texts, pa.large_string()), pa.array(["z", *texts, "z"]).slice(1, len(texts))):
+        found = []
+        for first, last, values, bounds in shingle_sets(column):
+            assert first == len(found) and len(bounds) == last - first + 1
+            found += np.split(values, bounds[1:-1])
+        assert [v.tolist() for v in found] == [shingle_set(t).tolist() for t in texts]
+        assert word_counts(column).tolist() == [len(words(t)) for t in texts]
+    assert list(shingle_sets(pa.array([], pa.string()))) == [] and not len(word_counts(pa.array([], pa.string())))
+
+
+def test_only_prefix_shingles_of_two_rows_are_joined(spark):
+    own = [[i << 40 | 7 for i in range(1 + 100 * k, 60 + 100 * k)] for k in range(30)]
+    rows = [(k, 300, bytes([k]), [-5 - k, *p] if k % 3 else [*p, -1 << 62]) for k, p in enumerate(own)] + [(90, 0, b"z", [])]
+    df = spark.createDataFrame(rows, "doc_id bigint, n bigint, digest binary, prefix array<bigint>").repartition(4)
+    met = spark.sparkContext.broadcast(jaccard._shared(df, 80))
+    kept = df.mapInArrow(jaccard._thinned(met), "doc_id bigint, n bigint, digest binary, pos array<bigint>, h array<bigint>").collect()
+    held = {(r.doc_id, p, h) for r in kept for p, h in zip(r.pos, r.h, strict=True)}
+    assert {(k, 59, -1 << 62) for k in range(0, 30, 3)} <= held
+    assert {k for k, p, h in held if h == -1 << 62} == set(range(0, 30, 3)) and all(rows[k][3][p] == h for k, p, h in held)
