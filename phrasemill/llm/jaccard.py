@@ -14,8 +14,9 @@ shingles, their prefixes, so only texts that meet there are compared:
   a prefix has from a shingle on, and what lies behind the longer prefix, bound the overlap of two
   texts that first share this shingle; so texts with a common passage only are hardly compared.
 * Length and positional filters and that bound work in the join on prefix shingles, the suffix filter on what is
-  left: value ranges hold too different numbers of shingles for the pair to link. Survivors are
-  verified on the words, once a pair.
+  left: value ranges hold too different numbers of shingles for the pair to link. Before texts are
+  joined, parities rule out pairs: of ``PARITY`` bits of a set each shingle turns one, so two sets
+  differ by no fewer shingles than their bits. Survivors are verified on the words, once a pair.
 * A prefix shingle that many texts share would give all pairs of them. Instead each round compares
   its texts of like size with a few leaders, and texts already in one component are not compared again. When few
   pairs lie across components, or rounds no longer help, the last pass compares all that are left:
@@ -59,6 +60,8 @@ LEADERS = 8
 OPEN_PAIRS = 8
 #: Value ranges of the suffix filter.
 RANGES = 16
+#: Parity bits of a set of shingles.
+PARITY = 1024
 
 
 def _cells(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -247,6 +250,26 @@ def may_link(x: np.ndarray, y: np.ndarray, threshold: int) -> bool:
     return int(np.abs(sizes[0] - sizes[1]).sum()) <= len(x) + len(y) - 2 * need
 
 
+def parities(texts: pa.Array, width: int = WIDTH) -> pa.ListArray:
+    """For each text the size of its set and the parity bits of the set in longs."""
+    out = []
+    for first, last, values, bounds in shingle_sets(texts, width):
+        for row in range(0, last - first, 256):
+            ends = bounds[row : row + 257]
+            n = np.diff(ends)
+            at = (values[ends[0] : ends[-1]] & np.uint64(PARITY - 1)).astype(np.int64) + np.repeat(np.arange(len(n)) * PARITY, n)
+            odd = (np.bincount(at, minlength=len(n) * PARITY) & 1).astype(bool).reshape(-1, PARITY)
+            out.append(np.column_stack([n, np.packbits(odd, axis=1, bitorder="little").view(np.int64)]))
+    rows = np.concatenate(out) if out else np.empty((0, 1 + PARITY // 64), np.int64)
+    return _lists(rows.ravel(), np.full(len(rows), rows.shape[1]))
+
+
+def _may_differ(threshold: int, x: str, y: str) -> str:
+    """SQL: the parities of two texts allow their sets to link."""
+    bits = " + ".join(f"bit_count({x}[{i}] ^ {y}[{i}])" for i in range(1, 1 + PARITY // 64))
+    return f"{bits} <= {x}[0] + {y}[0] - 2 * {_need(threshold, f'{x}[0]', f'{y}[0]')}"
+
+
 def enough(both: int, x: int, y: int, threshold: int) -> bool:
     return both > 0 and 100 * both >= threshold * (x + y - both)
 
@@ -274,8 +297,19 @@ def _verify(threshold: int, width: int):
     return check
 
 
+def _near(pairs: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
+    """The pairs ``(a, b)`` that the parities of their texts leave."""
+    with_a = pairs.join(texts.select(F.col("node").alias("a"), F.col("odd").alias("x")), "a")
+    both = with_a.join(texts.select(F.col("node").alias("b"), F.col("odd").alias("y")), "b")
+    return both.where(F.expr(_may_differ(threshold, "x", "y"))).select("a", "b").distinct()
+
+
 def _links(pairs: DataFrame, texts: DataFrame, threshold: int, width: int) -> DataFrame:
     """The pairs ``(a, b)`` whose texts link."""
+    pairs = stage(_near(pairs, texts, threshold), "shingle-pairs")
+    ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b"))
+    some = _among(pairs.sparkSession.sparkContext.broadcast(_wanted(ends)))
+    texts = texts.select("node", "text").where(some(_place("node")))
     with_a = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("s")), "a")
     both = with_a.join(texts.select(F.col("node").alias("b"), F.col("text").alias("t")), "b")
     return both.select("a", "b", "s", "t").mapInArrow(_verify(threshold, width), "a bigint, b bigint").distinct()
@@ -324,10 +358,15 @@ def near_duplicates(df: DataFrame, threshold: int = THRESHOLD, width: int = WIDT
     edges = base.join(several, "doc_id").where("node <> a").select("a", F.col("node").alias("b")).distinct()
     edges, tested, parts = stage(edges, "edges"), None, None
     some = _among(spark.sparkContext.broadcast(_wanted(members.select("node"))))
+
+    @F.arrow_udf("array<bigint>")
+    def parity(text: pa.Array) -> pa.Array:
+        return parities(text, width)
+
     texts = stage(
         docs.where("doc_id is not null").where(some(_place("doc_id")))
         .join(members.select(F.col("node").alias("doc_id")).distinct(), "doc_id")
-        .select(F.col("doc_id").alias("node"), "text"),
+        .select(F.col("doc_id").alias("node"), "text", parity("text").alias("odd")),
         "shingle-texts",
     )
     size = members.count()

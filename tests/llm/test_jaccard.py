@@ -176,3 +176,23 @@ def test_only_prefix_shingles_of_two_rows_are_joined(spark):
     held = {(r.doc_id, p, h) for r in kept for p, h in zip(r.pos, r.h, strict=True)}
     assert {(k, 59, -1 << 62) for k in range(0, 30, 3)} <= held
     assert {k for k, p, h in held if h == -1 << 62} == set(range(0, 30, 3)) and all(rows[k][3][p] == h for k, p, h in held)
+
+
+def test_parities_never_rule_out_a_link_and_spare_texts(spark):
+    rng = random.Random(6)
+    base = [f"w{i}" for i in range(200)]
+    texts = []
+    for k in range(60):
+        own = list(base)
+        for at in rng.sample(range(200), k // 3):
+            own[at] = f"v{k} {at}"
+        texts.append(" ".join(own))
+    rows = spark.createDataFrame(enumerate(texts), "node bigint, text string")
+    texts_of = rows.withColumn("odd", F.arrow_udf(lambda t: jaccard.parities(t), "array<bigint>")("text"))
+    pairs = spark.createDataFrame([(a, b) for b in range(60) for a in range(b)], "a bigint, b bigint")
+    left = {tuple(r) for r in jaccard._near(pairs, texts_of, 80).collect()}
+    sets = [shingle_texts(t) for t in texts]
+    links = {(a, b) for b in range(60) for a in range(b) if jaccard.linked(sets[a], sets[b])}
+    assert links <= left and len(left - links) < 0.2 * (1770 - len(links))
+    assert {tuple(r) for r in jaccard._links(pairs, texts_of, 80, 5).collect()} == links
+    assert jaccard.parities(pa.array([None, "a"])).to_pylist()[0] == [0] * 17
