@@ -130,7 +130,7 @@ def write_examples(df: DataFrame, path: str, format: str = "json", ordered: bool
     """Write examples as JSON Lines or parquet, in one pass.
 
     ``ordered`` makes positions the file order, by range partitioning and not by one sorted task; that makes
-    the rows twice, once for the ranges, so order a cheap input rather than the result. Examples
+    the rows twice, once for the ranges, but checks them once, so order a cheap input rather than the result. Examples
     that cannot be JSON records never become broken lines: they go with the reason to the folder
     ``_rejects`` inside ``path``, which readers of ``path`` skip; see :func:`unwritten_examples`.
     It is written only if there are any, and only then are they made a second time.
@@ -139,14 +139,14 @@ def write_examples(df: DataFrame, path: str, format: str = "json", ordered: bool
     if format != "json":
         (rows.orderBy("example_id") if ordered else rows).write.format(format).save(path)
         return
-    checked = rows.withColumn("problem", write_problem(F.col("input"), F.col("output_json")))
+    problem = write_problem(F.col("input"), F.col("output_json")).alias("problem")
     seen = Observation()
+    # ordered before they are checked: what finds the ranges makes the rows, but parses none of them
+    checked = (rows.orderBy("example_id") if ordered else rows).select("*", problem)
     good = checked.observe(seen, F.count("problem").alias("rejects")).filter("problem IS NULL")
-    if ordered:
-        good = good.orderBy("example_id")
     good.select(record_text(F.col("input"), F.col("output_json"))).write.text(path)
     if seen.get["rejects"]:
-        checked.filter("problem IS NOT NULL").write.parquet(f"{path.rstrip('/')}/_rejects")
+        rows.select("*", problem).filter("problem IS NOT NULL").write.parquet(f"{path.rstrip('/')}/_rejects")
 
 
 def unwritten_examples(spark: SparkSession, path: str) -> DataFrame:

@@ -1,6 +1,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from phrasemill.operators.convert import convert_examples
 from phrasemill.plans import jobs
@@ -135,3 +136,27 @@ def test_nothing_is_lost_on_writing(spark, tmp_path):
     assert files.rejected_examples(spark, path).count() == 0
     files.write_examples(df.where("example_id = 4"), path + "2")
     assert files.unwritten_examples(spark, path + "2").count() == 0
+
+
+def test_ordered_writing_checks_a_record_once_and_puts_rejects_aside(spark, tmp_path):
+    rows = [(i, None if i % 10 == 3 else f"q{i}", "{" if i % 10 == 7 else "{}") for i in range(400)][::-1]
+    checks = spark.sparkContext.accumulator(0)
+    known = files.write_problem
+
+    def counted(question, output):
+        def count(values):
+            checks.add(len(values))
+            return values
+
+        return known(F.pandas_udf(count, "string")(question), output)
+
+    df = spark.createDataFrame(rows, "example_id bigint, input string, output_json string").repartition(5)
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(files, "write_problem", counted)
+        files.write_examples(df.where("input is not null and output_json <> '{'"), str(tmp_path / "good"), ordered=True)
+    assert checks.value == 320
+    files.write_examples(df, str(tmp_path / "all"), ordered=True)
+    parts = sorted((tmp_path / "all").glob("part-*"))
+    lines = "".join(f.read_text() for f in parts).splitlines()
+    assert [json.loads(line)["input"] for line in lines] == [r[1] for r in rows[::-1] if r[1] and r[2] == "{}"]
+    assert files.unwritten_examples(spark, str(tmp_path / "all")).count() == 80
