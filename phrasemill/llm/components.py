@@ -21,9 +21,9 @@ def _large(edges: DataFrame) -> DataFrame:
 
 def _small(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = _least(down)
-    out = down.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return out.union(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
+    # the edge to the least node stays, the others turn to it
+    return down.join(_least(down), "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"),
+                                               F.col("m").alias("b")).distinct()
 
 
 def _settled(edges: DataFrame) -> bool:
@@ -34,21 +34,27 @@ def _settled(edges: DataFrame) -> bool:
     return met.where("out > 1 or out = 1 and into = 1").limit(1).count() == 0
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """``(node, component)`` for every node of ``edges(a, b)``; the component is its smallest node.
+def stars(edges: DataFrame) -> DataFrame:
+    """``(node, component)``, staged, for every node of ``edges(a, b)`` but the smallest of each component.
 
-    Self-loops and repeated edges do no harm; a node that only has a self-loop is not returned.
-    Each round keeps one row an edge at most, is written to the shared folder, and hot nodes are
-    joined to one row each, so skewed joins can be split. After about log(n) rounds the edges are
-    stars around the smallest nodes.
+    Self-loops and repeated edges do no harm. Each round keeps one row an edge at most, is written to
+    the shared folder, and hot nodes are joined to one row each, so skewed joins can be split. After
+    about log(n) rounds the edges are stars around the smallest nodes.
     """
-    down = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    now = stage(down.distinct(), "edges")
+    now = stage(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), "edges")
     while not _settled(now):
         after = stage(_small(_large(now)), "edges")
         release(now)
         now = after
-    roots = now.select(F.col("b").alias("node")).distinct()
-    return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(
-        roots.select("node", F.col("node").alias("component"))
-    )
+    found = now.toDF("node", "component")
+    found._staged_at = now._staged_at
+    return found
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """``(node, component)`` for every node of ``edges(a, b)``; the component is its smallest node.
+
+    A node that only has a self-loop is not returned.
+    """
+    found = stars(edges)
+    return found.union(found.select(F.col("component").alias("node"), "component").distinct())

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from phrasemill.llm.common import release, stage
-from phrasemill.llm.components import components
+from phrasemill.llm.components import stars
 from phrasemill.llm.shingles import WIDTH, shingle_sets, shingle_texts
 
 THRESHOLD = 80
@@ -175,7 +175,7 @@ def _shared(rows: DataFrame, threshold: int) -> np.ndarray:
     schema = "bucket int, rest binary"
     sent = rows.select("prefix").mapInArrow(_packed(bits), schema)
     bitmap = np.zeros((1 << bits, 1 << (PLACES - bits - 3)), np.uint8)
-    for r in sent.groupBy("bucket").applyInArrow(_twice(bits), schema).toLocalIterator():
+    for r in sent.groupBy("bucket").applyInArrow(_twice(bits), schema).collect():
         bitmap[r.bucket] = np.frombuffer(zstandard.decompress(bytes(r.rest)), np.uint8)
     return bitmap.ravel()
 
@@ -205,7 +205,7 @@ def _wanted(ids: DataFrame) -> np.ndarray:
     """A bitmap of ``WANTED`` bits of the hashes of ``ids``."""
     place = _place("node")
     rows = ids.groupBy(F.bitmap_bucket_number(place).alias("i")).agg(
-        F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits")).toLocalIterator()
+        F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits")).collect()
     bitmap = np.zeros((1 << WANTED) // 8, np.uint8)
     for r in rows:
         part = np.frombuffer(bytes(r.bits), np.uint8)
@@ -312,7 +312,7 @@ def _links(pairs: DataFrame, texts: DataFrame, threshold: int, width: int) -> Da
     texts = texts.select("node", "text").where(some(_place("node")))
     with_a = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("s")), "a")
     both = with_a.join(texts.select(F.col("node").alias("b"), F.col("text").alias("t")), "b")
-    return both.select("a", "b", "s", "t").mapInArrow(_verify(threshold, width), "a bigint, b bigint").distinct()
+    return both.select("a", "b", "s", "t").mapInArrow(_verify(threshold, width), "a bigint, b bigint")
 
 
 def _in_order(x: str, y: str):
@@ -375,7 +375,7 @@ def near_duplicates(df: DataFrame, threshold: int = THRESHOLD, width: int = WIDT
         if parts is None:
             now = members.withColumn("comp", F.col("node"))
         else:
-            now = members.join(parts.select("node", "component"), "node", "left").withColumn(
+            now = members.join(parts, "node", "left").withColumn(
                 "comp", F.coalesce("component", "node")).drop("component")
         now = stage(now, "shingle-members")
         kinds = now.groupBy("h", "comp").agg(F.count("*").alias("c"))
@@ -409,7 +409,8 @@ def near_duplicates(df: DataFrame, threshold: int = THRESHOLD, width: int = WIDT
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = stage(pairs, "shingle-pairs")
         edges = stage(edges.union(_links(pairs, texts, threshold, width)), "edges")
-        parts = stage(components(edges), "components")
+        release(parts)
+        parts = stars(edges)
         if last:
             break
         tested = pairs if tested is None else stage(tested.union(pairs), "shingle-pairs")

@@ -196,3 +196,30 @@ def test_parities_never_rule_out_a_link_and_spare_texts(spark):
     assert links <= left and len(left - links) < 0.2 * (1770 - len(links))
     assert {tuple(r) for r in jaccard._links(pairs, texts_of, 80, 5).collect()} == links
     assert jaccard.parities(pa.array([None, "a"])).to_pylist()[0] == [0] * 17
+
+
+def test_a_bitmap_takes_few_jobs_however_many_partitions(spark, monkeypatch):
+    rows = [(i, 9, bytes([i]), [i << 40, -7]) for i in range(90)]
+    df = spark.createDataFrame(rows, "node bigint, n bigint, digest binary, prefix array<bigint>").repartition(3)
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        for k, v in zip(before, ("40", "false"), strict=True):
+            spark.conf.set(k, v)
+        for made, group in ((lambda: jaccard._wanted(df.select("node")), "wanted"), (lambda: jaccard._shared(df, 80), "shared")):
+            spark.sparkContext.setJobGroup(group, group)
+            assert made().any()
+            assert len(spark.sparkContext.statusTracker().getJobIdsForGroup(group)) < 10
+    finally:
+        spark.sparkContext._jsc.clearJobGroup()
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_values_of_words_of_every_length():
+    texts = ["a", "a\0", "\0", "\0\0"] + ["x" * n for n in (*range(2, 40), 255, 256, 257, 300, 5000)]
+    texts += ["x" * n + "y" for n in (7, 8, 15, 16, 247, 255, 256, 299)] + ["y" + "x" * n for n in (7, 8, 256)]
+    values = [shingle_set(t).tolist() for t in texts]
+    assert len({v for v, in values}) == len(texts)
+    assert [shingle_set(t.upper()).tolist() for t in texts] == values
+    assert [shingle_set(f"one {t} two", 1).tolist() for t in texts] == [
+        sorted(shingle_set("one").tolist() + shingle_set("two").tolist() + v) for v in values]
