@@ -10,6 +10,19 @@ from pyspark.sql import functions as F
 
 from phrasemill.session import scratch_dir
 
+#: Bytes of rows in one Arrow batch, about; both sides of a Python task hold several batches.
+BATCH = 8 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Rows go to Python tasks in batches of about ``BATCH`` bytes, not of Spark's 64 MB.
+
+    A session's own smaller or larger bound stays.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name) == "67108864b":
+        spark.conf.set(name, f"{BATCH}b")
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -38,7 +38,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from phrasemill.llm.common import release, stage
+from phrasemill.llm.common import bound_batches, release, stage
 from phrasemill.llm.components import stars
 from phrasemill.llm.shingles import WIDTH, shingle_sets, shingle_texts
 
@@ -52,7 +52,7 @@ PLACES = 27
 #: Bits of the bitmap of texts to compare. Fuller bitmaps pass more rows, lose none.
 WANTED = 24
 #: Prefix shingles of one bucket of their exchange, about, and those that a task holds until it sends them.
-BUCKET, HELD = 1 << 20, 1 << 22
+BUCKET, HELD = 1 << 20, 1 << 20
 #: Leaders of each group in one round.
 LEADERS = 8
 #: Rounds with leaders end when this many open pairs are left for each prefix entry, or when a
@@ -70,12 +70,12 @@ def _cells(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _sketch(width: int):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((2, CELLS), np.int64)
+        total = np.zeros((2, CELLS), np.int32)  # texts of one task
         for batch in batches:
             for _, _, values, _ in shingle_sets(batch.column(0), width):
                 for row, cells in enumerate(_cells(values)):
                     np.add.at(total[row], cells, 1)
-        parts = [zstandard.compress(p.tobytes(), 1) for p in np.array_split(total.ravel(), PARTS)]
+        parts = [zstandard.compress(p.astype(np.int64).tobytes(), 1) for p in np.array_split(total.ravel(), PARTS)]
         yield pa.RecordBatch.from_pydict({"part": pa.array(range(PARTS), pa.int32()), "cells": parts})
 
     return count
@@ -328,6 +328,7 @@ def near_duplicates(df: DataFrame, threshold: int = THRESHOLD, width: int = WIDT
     with the same set, or null. Empty tables give empty results; other columns are not looked at.
     """
     spark = df.sparkSession
+    bound_batches(spark)
     docs = df.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     counts = spark.sparkContext.broadcast(frequencies(docs.select("text"), width))
     rows = stage(

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from phrasemill.llm.common import slices
+from phrasemill.llm.common import bound_batches, slices
 
 #: Ranks in a profile, of a language and of a document.
 SIZE = 400
@@ -95,6 +95,7 @@ def learn(df: DataFrame, text: str = "text", lang: str = "lang", size: int = SIZ
     Counts cover all rows. Tasks sum up what they read, so the shuffle carries distinct n-grams
     and the ranking sees at most ``size`` rows of a language from each task.
     """
+    bound_batches(df.sparkSession)
     rows = df.select(F.col(text).alias("text"), F.col(lang).alias("lang")).where("lang is not null and text is not null")
     counts = (
         rows.mapInArrow(_count, "lang string, code bigint, n bigint")
@@ -143,6 +144,7 @@ def identify(df: DataFrame, profiles: DataFrame, text: str = "text", size: int =
     one without a letter, or an empty set of profiles gives ``und`` with score 0. Columns of the
     input with these two names are replaced; all others, nulls and repeated rows included, stay.
     """
+    bound_batches(df.sparkSession)
     known = Profiles(profiles.collect(), size)
     shared = df.sparkSession.sparkContext.broadcast(known)
 

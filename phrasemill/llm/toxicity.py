@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from phrasemill.llm import crf
-from phrasemill.llm.common import slices, stage
+from phrasemill.llm.common import bound_batches, slices, stage
 
 MAX_LABELLED = 20_000
 #: Windows of tokens that the CRF is fitted on; those of smallest hash.
@@ -40,6 +40,8 @@ PRIOR_ROWS = 3.0
 #: Least log-likelihood ratio of a word or prefix that counts as a sign.
 EVIDENCE = 15.0
 THRESHOLD = 0.7
+#: Keys that a task counts until it sends them, and words whose values it keeps; workers keep this memory.
+HELD, RECENT = 150_000, 60_000
 WORD = re.compile(r"\w+")
 SCORES = "score double, n_toxic double, spans array<struct<start:int,end:int,prob:double>>"
 
@@ -65,7 +67,7 @@ def _count_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for text, label in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist(), strict=True):
             words = set(WORD.findall(text.lower()))
             tallies[label].update({k for w in words for k in keys(w)})
-            if sum(map(len, tallies)) > 500_000:
+            if sum(map(len, tallies)) > HELD:
                 yield from flush()
     yield from flush()
 
@@ -116,7 +118,7 @@ def _windows(known: Signs):
     """A task that cuts sample texts into windows and tags their tokens."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        share = lru_cache(maxsize=200_000)(known.share)
+        share = lru_cache(maxsize=RECENT)(known.share)
         for batch in batches:
             words_out, tags_out = [], []
             for text, label in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist(), strict=True):
@@ -176,7 +178,7 @@ class Tagger:
 
     def __init__(self, model: Model):
         self.model = model
-        self.emission = lru_cache(maxsize=300_000)(model.emission)
+        self.emission = lru_cache(maxsize=RECENT)(model.emission)
 
     def tag(self, texts: list[str | None]) -> list[tuple[list[str], np.ndarray]]:
         """The lower-cased words of each text and the marginal chance of each to be toxic."""
@@ -243,6 +245,7 @@ def learn(df: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) ->
     A document labelled twice is toxic if any label says so; null labels and texts do not count.
     Without both kinds of labels there is nothing to learn and None is returned.
     """
+    bound_batches(df.sparkSession)
     marks = (
         labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id")
         .agg(F.max(F.col("toxic").cast("int")).alias("label"))
@@ -267,6 +270,7 @@ def score(df: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
     (end exclusive) and their largest chance. Null and empty texts get the score of no token;
     without a model every score is 0. Columns of the input with these names are replaced.
     """
+    bound_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf(SCORES)
