@@ -41,11 +41,11 @@ CALCULATION_WORDS = {
     "minimum": ("Min", "Minimum"),
 }
 # Ours: least likeness (hundredths) of a phrase and the words that replace it; least results and
-# thousandths of a learned pair, and how many pairs a fix uses.
+# thousandths of a learned pair.
 LEAST_LIKENESS = 50
 # Words of a phrase up to which rounded scores tell stretches apart: (3 n)^2 < 2,000,000.
 MOST_TIGHT = 400
-DRIFT_SUPPORT, DRIFT_CONFIDENCE, DRIFT_PAIRS_USED = 5, 100, 1000
+DRIFT_SUPPORT, DRIFT_CONFIDENCE = 5, 100
 BUSINESS_PHRASES = tuple(dict.fromkeys(BI_TERMS + NON_BI_TERMS))
 PREMIUM_PHRASES = ("premium customers",)
 TIME_PHRASE = r"(?i)\b(Q[1-4] \d{4}|last (?:one )?\w+)"
@@ -458,13 +458,29 @@ def learn_drift(df: DataFrame, support: int = DRIFT_SUPPORT, confidence: int = D
     )
 
 
-def fix_drift(df: DataFrame, pairs: DataFrame, most: int = DRIFT_PAIRS_USED) -> DataFrame:
+def _found_pairs(df: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``(_pm_row, _pm_known)``: the pairs that stand in the results of rows with a key, for keys that have any.
+
+    The join is on pairs alone, so no text moves with it and neither side need fit a task.
+    """
+    flat = steps(df.select("example_id", "input", "output_json", "_pm_row"), "sub_question", keep=("input", "_pm_row"))
+
+    def keys(swaps: Column) -> Column:
+        return F.array_distinct(F.transform(swaps, lambda p: F.struct(F.lower(p["was"]).alias("a"), F.lower(p["is"]).alias("b"))))
+
+    swaps = F.when(F.col("sub_question") != F.col("input"), _swaps(_words(F.col("input")), _words(F.col("sub_question"))))
+    asked = flat.select("_pm_row", F.inline(keys(swaps)))
+    known = asked.join(pairs.select(F.col("in_question").alias("a"), F.col("in_sub_question").alias("b")), ["a", "b"])
+    return known.groupBy("_pm_row").agg(F.collect_set(F.concat_ws(" ", "a", "b")).alias("_pm_known"))
+
+
+def fix_drift(df: DataFrame, pairs: DataFrame) -> DataFrame:
     """Put the question's words back into sub questions, at the places where a learned pair stands.
 
-    The pairs enter the plan as one value, the ``most`` frequent of them (a rule set for review).
+    All pairs count, however many there are. Each row gets those that stand in it by a join on a hash of
+    its texts; rows whose hashes meet share their pairs, which are learned pairs all the same, so that
+    changes no result. Rows without a pair are not cut.
     """
-    best = pairs.orderBy(F.desc("results"), "in_question", "in_sub_question").limit(most)
-    known = best.agg(F.collect_set(F.concat_ws(" ", "in_question", "in_sub_question"))).scalar()
     asked = F.col("_pm_words")
 
     def mended(result: Column) -> Column:
@@ -488,8 +504,10 @@ def fix_drift(df: DataFrame, pairs: DataFrame, most: int = DRIFT_PAIRS_USED) ->
         return let(F.from_json(result, "struct<sub_question:string>")["sub_question"],
                    lambda sub: F.when(sub.isNotNull(), put_back(sub)).otherwise(result))
 
-    rows = df.withColumns({"_pm_words": _words(F.col("input")), "_pm_known": known})
-    return _edited(rows, mended, F.col("input").isNotNull()).drop("_pm_words", "_pm_known")
+    keyed = df.withColumn("_pm_row", F.xxhash64("input", "output_json"))
+    rows = keyed.join(_found_pairs(keyed, pairs), "_pm_row", "left").withColumn("_pm_words", _words(F.col("input")))
+    some = F.col("input").isNotNull() & F.col("_pm_known").isNotNull()
+    return _edited(rows, mended, some).drop("_pm_row", "_pm_words", "_pm_known")
 
 
 def repair(df: DataFrame) -> DataFrame:

@@ -241,6 +241,19 @@ def test_drift_is_learned_and_undone(make):
     assert rules.fix_drift(make(*clean), rules.learn_drift(make())).count() == 4
 
 
+def test_every_learned_pair_is_undone(spark, make):
+    """More pairs than one value of a plan would hold; each row is mended by its own, rare ones too."""
+    sub = lambda text: out({"sub_question": text}, {"sub_question": "w1"})
+    n = 1500
+    df = make(*[(f"Show W{i} now", sub(f"show x{i}, now")) for i in range(n)], ("same w3 now", sub("same x4 now")), (None, sub("x1")))
+    pairs = spark.createDataFrame([(f"w{i}", f"x{i}", n - i) for i in range(n)], "in_question string, in_sub_question string, results bigint")
+    fixed = rules.fix_drift(df, pairs)
+    assert fixed.columns == df.columns
+    rows = [r.output_json for r in fixed.orderBy("example_id").collect()]
+    assert rows == [sub(f"show W{i}, now") for i in range(n)] + [sub("same x4 now"), sub("x1")]
+    assert rules.fix_drift(df.union(df), pairs).count() == 2 * len(rows)
+
+
 def test_repair_lowers_every_class_it_can(make):
     bad = out({"unmatched_intents": [{"type": "action"}], "measures": [{"original_phrase": "count", "calculation": "Count"}]}, {"extra": 1})
     df = make(("how many cats", bad), ("plain", "{}"))
