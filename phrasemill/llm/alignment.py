@@ -38,17 +38,18 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from phrasemill.llm.common import slices, stage
+from phrasemill.llm.common import bound_batches, slices, stage
 from phrasemill.llm.token_counts import PATTERN, byte_letters
 
 #: Bytes of one lane.
 LANE = 1024
 #: Code points that are encoded and merged at once.
-SLICE = 1 << 20
-#: Code points of a chunk, whose documents share one set of distinct pairs.
-CHUNK = 1 << 22
+SLICE = 1 << 19
+#: Code points of a chunk, whose documents share one set of distinct pairs; a chunk is one row of about
+#: two bytes a code point, of which a task holds a few.
+CHUNK = 1 << 21
 #: Links that are expanded at once, and from how many a group is first reduced to distinct ids.
-EXPANDED, WIDE = 1 << 21, 1 << 14
+EXPANDED, WIDE = 1 << 20, 1 << 14
 #: Bits of an id in a pair; three such fields and a document number fit 64 bits.
 BITS = 21
 #: Code points for which the fast encoder is compared with the library before it is used.
@@ -456,6 +457,7 @@ def align(df: DataFrame, byte_file: str, piece_file: str, text: str = "text") ->
     Columns of these names are replaced; other names may repeat. Texts are encoded once; chunks are
     staged with their pairs, and a frequent pair costs one row a chunk.
     """
+    bound_batches(df.sparkSession)
     new = ["n_a", "n_b", "n_groups", "n_links", "groups_sha256", "n_best", "count_sum"]
     at = df.columns.index(text)
     plain = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
@@ -466,7 +468,7 @@ def align(df: DataFrame, byte_file: str, piece_file: str, text: str = "text") ->
         _chunks(_files(df, byte_file, piece_file), len(kept)),
         "chunk string, docs binary, sizes binary, pairs binary, weights binary",
     )
-    chunks = stage(chunks, "alignment", compression="zstd")
+    chunks = stage(chunks, "alignment", compression="zstd", wide=True)
     asked = chunks.select("chunk", "pairs").mapInArrow(_asked, "chunk string, a bigint, b bigint, docs bigint")
     # pairs of an A id: at most the vocabulary of B, whatever the corpus
     counts = asked.groupBy("a", "b").agg(F.sum("docs").alias("n")).withColumn(

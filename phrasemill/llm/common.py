@@ -28,16 +28,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def stage(df: DataFrame, label: str, compression: str | None = None) -> DataFrame:
+def stage(df: DataFrame, label: str, compression: str | None = None, wide: bool = False) -> DataFrame:
     """Write ``df`` once into the shared folder of ``spark.checkpoint.dir`` and read it back.
 
     This cuts the lineage with files that every executor sees, so a lost executor costs only its
     running tasks. Columns are stored by position and renamed after, so names may clash or repeat.
+    ``wide`` is for rows of megabytes: each is a row group of its own. Else a writer holds, and a reader
+    unpacks at once, up to a hundred of them, as many as a task has.
     """
     spark = df.sparkSession
     path = scratch_dir(spark, label)
     plain = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
-    plain.write.parquet(path, compression=compression)
+    options = {"parquet.block.row.count.limit": "1"} if wide else {}
+    plain.write.options(**options).parquet(path, compression=compression)
     back = spark.read.schema(plain.schema).parquet(path)
     out = back.toDF(*df.columns)
     out._staged_at = path

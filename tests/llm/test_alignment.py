@@ -2,14 +2,17 @@
 
 import hashlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
+import pyarrow.parquet as pq
 import pytest
 import sentencepiece
 from tokenizers import Tokenizer
 
 from phrasemill.llm import alignment
+from phrasemill.llm.common import stage
 from phrasemill.llm.queries import op11_token_alignment
 from phrasemill.llm.token_counts import byte_letters
 
@@ -132,6 +135,21 @@ def test_frames(spark, libraries):
     assert empty.collect() == []
 
 
+def test_a_chunk_is_read_alone(spark, libraries, monkeypatch):
+    """A task reads one chunk at a time, however many chunks the task that wrote them had."""
+    staged = []
+    monkeypatch.setattr(alignment, "CHUNK", 50)
+    monkeypatch.setattr(alignment, "SLICE", 20)
+    monkeypatch.setattr(alignment, "stage", lambda *a, **b: staged.append(stage(*a, **b)) or staged[-1])
+    texts = [f"größer than {i}, the same" for i in range(40)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").coalesce(1)
+    got = {r.doc_id: values(r) for r in alignment.align(df, *FILES).collect()}
+    assert [got[i] for i in range(40)] == brute(texts, libraries)
+    files = [pq.ParquetFile(f).metadata for f in Path(staged[0]._staged_at).glob("*.parquet")]
+    rows = [m.num_rows for m in files]
+    assert max(rows) > 5 and [m.num_row_groups for m in files] == rows
+
+
 def test_alignments_are_the_text_behind_the_digest(spark, libraries):
     df = spark.createDataFrame(list(enumerate(EDGES)), "doc_id bigint, text string")
     rows = {r.doc_id: r for r in alignment.alignments(df, *FILES).collect()}
