@@ -23,12 +23,13 @@ Edit = Callable[[Column], Column]
 DEPTH = 12
 
 # Possessive and atomic groups never give back, so a long text costs one pass and no stack. A run of
-# plain characters is an atomic greedy one, which is the fastest loop there is.
-_STRING = r'"(?>[^"\\]*)(?:\\.[^"\\]*+)*+"'
-_PLAIN = r'(?>[^\[\]{}"]+)'
-_NESTED = rf'[\[{{](?:{_PLAIN}|{_STRING})*+[\]}}]'
+# plain characters is an atomic greedy one, which is the fastest loop there is; each follows a bracket,
+# a string or a nested text, so that no place is tried twice.
+_STRING = r'"(?>[^"\\]*)(?:\\.(?>[^"\\]*))*+"'
+_PLAIN = r'(?>[^\[\]{}"]*)'
+_NESTED = rf'[\[{{]{_PLAIN}(?:{_STRING}{_PLAIN})*+[\]}}]'
 for _ in range(DEPTH - 1):
-    _NESTED = rf'[\[{{](?:{_PLAIN}|{_STRING}|{_NESTED})*+[\]}}]'
+    _NESTED = rf'[\[{{]{_PLAIN}(?:(?:{_STRING}|{_NESTED}){_PLAIN})*+[\]}}]'
 _VALUE = rf'(?:{_STRING}|{_NESTED}|[^\s,\[\]{{}}":]++)'
 _MEMBER_HEAD = rf'\s*+[{{,]\s*+{_STRING}\s*+:\s*+'
 _ELEMENT_HEAD = r'\s*+[\[,]\s*+'
@@ -181,28 +182,39 @@ def raw_elements(raw: Column) -> Column:
     return F.when(raw.startswith("["), found).otherwise(F.array().cast("array<string>"))
 
 
-def raw_member(raw: Column, key: str) -> Column:
-    """The last raw value of a key whose spelling holds no escape; NULL if there is none."""
-    found = F.regexp_extract_all(raw, F.lit(rf"(?s)\G{_MEMBER_HEAD}{_VALUE}"), F.lit(0))
-    head = rf'(?s)\A\s*+[{{,]\s*+"{key}"\s*+:\s*+'
-    return F.regexp_replace(F.try_element_at(F.filter(found, lambda m: m.rlike(head)), F.lit(-1)), head, "")
+def raw_members(raw: Column) -> Column:
+    """The raw members of an object, each with its head."""
+    return F.regexp_extract_all(raw, F.lit(rf"(?s)\G{_MEMBER_HEAD}{_VALUE}"), F.lit(0))
+
+
+def spelled_members(members: Column) -> Column:
+    """Raw members as ``array<struct<key,value>>``, the key as it is spelled between its quotes."""
+    head = rf'(?s)\A\s*+[{{,]\s*+"((?:[^"\\]++|\\.)*+)"\s*+:\s*+'
+    return F.transform(members, lambda m: F.struct(
+        F.regexp_extract(m, head, 1).alias("key"), F.regexp_replace(m, head, "").alias("value")))
+
+
+def raw_value(spelled: Column, key: str) -> Column:
+    """The last raw value of a key whose spelling holds no escape among spelled members; NULL if there is none."""
+    return F.try_element_at(F.filter(spelled, lambda m: m["key"] == key), F.lit(-1))["value"]
 
 
 def adopt_members(raw: Column, other: Column) -> Column:
     """An object's text with those members of another appended, as they stand, whose keys it lacks."""
-    found = F.regexp_extract_all(other, F.lit(rf"(?s)\G{_MEMBER_HEAD}{_VALUE}"), F.lit(0))
+    found = raw_members(other)
     bare = F.transform(found, lambda m: F.regexp_replace(m, r"(?s)\A\s*+[{,]\s*+", ""))
 
-    def lacks(member: Column) -> Column:
+    def lacks(keys: Column, member: Column) -> Column:
         spelled = F.regexp_extract(member, r'(?s)\A"((?:[^"\\]++|\\.)*+)"', 1)
         key = F.when(spelled.contains("\\"), text_of(F.concat(F.lit('"'), spelled, F.lit('"')))).otherwise(spelled)
-        return ~F.array_contains(F.json_object_keys(raw), key)
+        return ~F.array_contains(keys, key)
 
     tail = F.regexp_extract(raw, r"\s*\}\s*\z", 0)
     body = raw.substr(F.lit(1), F.length(raw) - F.length(tail))
     grown = lambda more: F.when(more == "", raw).otherwise(
         F.concat(body, F.when(body.rlike(r"\A\s*\{\z"), F.lit("")).otherwise(F.lit(",")), more, tail))
-    return F.when(raw.startswith("{") & other.startswith("{"), let(F.array_join(F.filter(bare, lacks), ","), grown)).otherwise(raw)
+    return F.when(raw.startswith("{") & other.startswith("{"), let(
+        let(F.json_object_keys(raw), lambda keys: F.array_join(F.filter(bare, lambda m: lacks(keys, m)), ",")), grown)).otherwise(raw)
 
 
 def mentions(raw: Column, words: Iterable[str]) -> Column:

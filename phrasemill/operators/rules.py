@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from phrasemill.functions.jsontext import canonical, has_key, is_object, result_texts, typed_items
 from phrasemill.functions.splice import (
-    adopt_members, edit_elements, edit_members, edit_results, let, mentions, quote, raw_elements, raw_member,
+    adopt_members, edit_elements, edit_members, edit_results, let, mentions, quote, raw_elements, raw_members, raw_value,
+    spelled_members,
 )
 from phrasemill.functions.text import contains_any, digest, emit
 from phrasemill.operators.audit import BI_TERMS, NON_BI_TERMS
@@ -92,6 +93,13 @@ def _edited(df: DataFrame, per_result, when: Column | None = None, **other) -> D
     return df.withColumn("output_json", edit_results(F.col("output_json"), per_result, when, **other))
 
 
+def _maybe(fields: str, test: Callable[[Column], Column]) -> Column:
+    """False only where all results can be read and ``test`` is false for every one: then an edit that needs it
+    would change nothing, and the text is not cut. Whatever cannot be read or is NULL counts as yes."""
+    read = F.from_json("output_json", f"struct<discovery_results:array<struct<{fields}>>>")["discovery_results"]
+    return F.coalesce(F.exists(read, test), F.lit(True))
+
+
 def fix_types(df: DataFrame, fixes: dict[str, str] = TYPE_FIXES) -> DataFrame:
     """Recode invalid types of unmatched intents."""
     edit = {"unmatched_intents": field_edit("type", fixes)}
@@ -102,15 +110,23 @@ _EMPTY_FIELDS = {f: "[]" if f in LIST_FIELDS else "null" for f in REQUIRED_FIELD
 _EMPTY_TOP = {"intent": "null", "discovery_results": "[]"}
 
 
+def _incomplete() -> Column:
+    """Whether a required key may be absent; see :func:`_maybe`."""
+    has_all = lambda text, keys: F.size(F.array_except(F.array(*map(F.lit, keys)), F.json_object_keys(text))) == 0
+    whole = F.forall(result_texts(F.col("output_json")), lambda r: has_all(r, _EMPTY_FIELDS))
+    return ~F.coalesce(has_all(F.col("output_json"), _EMPTY_TOP) & whole, F.lit(False))
+
+
 def complete_fields(df: DataFrame) -> DataFrame:
     """Append absent required keys with their empty value: ``[]`` for lists, else null."""
-    return _edited(df, lambda r: edit_members(r, {}, _EMPTY_FIELDS), absent=_EMPTY_TOP)
+    return _edited(df, lambda r: edit_members(r, {}, _EMPTY_FIELDS), _incomplete(), absent=_EMPTY_TOP)
 
 
 def fix_examples(df: DataFrame) -> DataFrame:
     """The two published fixes, types and absent fields, in one pass."""
     edit = {"unmatched_intents": field_edit("type", TYPE_FIXES)}
-    return _edited(df, lambda r: edit_members(r, edit, _EMPTY_FIELDS), absent=_EMPTY_TOP)
+    some = mentions(F.col("output_json"), TYPE_FIXES) | _incomplete()
+    return _edited(df, lambda r: edit_members(r, edit, _EMPTY_FIELDS), some, absent=_EMPTY_TOP)
 
 
 def _list_edit(field: str, per_item, words: tuple[str, ...]) -> dict:
@@ -162,7 +178,7 @@ def drop_redundant_dimensions(df: DataFrame) -> DataFrame:
 
         return F.when(F.size(names) > 0, edit_members(result, {"dimensions": left})).otherwise(result)
 
-    return _edited(df, pruned)
+    return _edited(df, pruned, _maybe("breakdowns:array<string>", lambda r: F.array_size(r["breakdowns"]) > 0))
 
 
 def _put(result: Column, key: str, raw: Column) -> Column:
@@ -173,7 +189,12 @@ def _put(result: Column, key: str, raw: Column) -> Column:
 def fix_sub_questions(df: DataFrame) -> DataFrame:
     """Set the sub question of one-step examples to the question; see :func:`sub_question_mismatch`."""
     one = F.coalesce(F.array_size(result_texts(F.col("output_json"))) == 1, F.lit(False)) & F.col("input").isNotNull()
-    return _edited(df, lambda r: _put(r, "sub_question", quote(F.col("input"))), one)
+    # spelled as it would be: a text without escapes, and no other kind of value, of which none has a blank inside
+    # but lists and objects
+    plain = ~F.col("output_json").contains("\\") & F.col("input").contains(" ") & ~F.col("input").rlike(r"\A[\[{]")
+    plain = plain & (quote(F.col("input")) == F.concat(F.lit('"'), "input", F.lit('"')))
+    other = _maybe("sub_question:string", lambda r: r["sub_question"] != F.col("input"))
+    return _edited(df, lambda r: _put(r, "sub_question", quote(F.col("input"))), one & (~plain | other))
 
 
 def fix_timeframes(df: DataFrame, pattern: str = TIME_PHRASE) -> DataFrame:
@@ -288,7 +309,8 @@ def fix_original_phrases(
     the listed words of the question that stand for its calculation ("how many" for ``Count``). Without
     either the phrase stays and :func:`phrase_mismatch` goes on listing it.
     """
-    lower, asked, spelled = F.col(_LOWER), F.col("_pm_words"), F.col("_pm_spelled")
+    lower, asked = F.col(_LOWER), F.col("_pm_words")
+    spelled = F.regexp_extract_all("input", F.lit(_SPELLED), F.lit(0))  # no column: few rows need it
 
     def said_for(calculation: Column) -> Column:
         hits = [
@@ -308,11 +330,16 @@ def fix_original_phrases(
 
         return let(read, choose)
 
+    def near(item: Column) -> Column:
+        phrase = F.lower(item["original_phrase"])
+        likely = F.arrays_overlap(_words(phrase), asked) if least > 0 else F.lit(True)
+        return ~lower.contains(phrase) & (said_for(item["calculation"]).isNotNull() | likely)
+
+    phrases = "array<struct<original_phrase:string,calculation:string>>"
+    some = _maybe(f"measures:{phrases},dimensions:{phrases}", lambda r: F.exists(r["measures"], near) | F.exists(r["dimensions"], near))
     edit = {field: lambda raw: edit_elements(raw, mended) for field in ("measures", "dimensions")}
-    rows = _with_lower(df).withColumns(
-        {"_pm_words": _words(F.lower("input")), "_pm_spelled": F.regexp_extract_all("input", F.lit(_SPELLED), F.lit(0))}
-    )
-    return _edited(rows, lambda r: edit_members(r, edit), F.col("input").isNotNull()).drop(_LOWER, "_pm_words", "_pm_spelled")
+    rows = _with_lower(df).withColumn("_pm_words", _words(F.lower("input")))
+    return _edited(rows, lambda r: edit_members(r, edit), F.col("input").isNotNull() & some).drop(_LOWER, "_pm_words")
 
 
 def merge_split_phrases(df: DataFrame) -> DataFrame:
@@ -344,7 +371,8 @@ def merge_split_phrases(df: DataFrame) -> DataFrame:
         ))
 
     edit = {"unmatched_intents": lambda raw: edit_elements(raw, whole=merged)}
-    return _edited(_with_lower(df), lambda r: edit_members(r, edit), F.col(_LOWER).isNotNull()).drop(_LOWER)
+    some = F.col(_LOWER).isNotNull() & _maybe("unmatched_intents:array<string>", lambda r: F.array_size(r["unmatched_intents"]) > 1)
+    return _edited(_with_lower(df), lambda r: edit_members(r, edit), some).drop(_LOWER)
 
 
 # ---------------------------------------------------------------- fix of steps
@@ -356,21 +384,29 @@ def _merge(left: Column, right: Column) -> Column:
     """Two results as one: lists joined with equal items once, of other values the left one unless it is
     null, and what only the right one has. Associative, so any grouping of the steps gives the same."""
 
-    def joined(name: str):
+    def joined(own: Column, name: str):
         def edit(raw: Column) -> Column:
-            other = raw_member(right, name)
-            items = F.array_distinct(F.concat(raw_elements(raw), raw_elements(other)))
-            both = F.concat(F.lit("["), F.array_join(items, ","), F.lit("]"))
-            more = F.size(F.array_except(raw_elements(other), raw_elements(raw))) > 0
-            return F.when(raw == "null", F.coalesce(other, raw)).when(more, both).otherwise(raw)
+            def chosen(other: Column) -> Column:
+                def lists(x: Column) -> Column:
+                    items = F.array_distinct(F.concat(x["mine"], x["theirs"]))
+                    both = F.concat(F.lit("["), F.array_join(items, ","), F.lit("]"))
+                    return F.when(F.size(F.array_except(x["theirs"], x["mine"])) > 0, both).otherwise(raw)
+
+                cut = F.struct(raw_elements(raw).alias("mine"), raw_elements(other).alias("theirs"))
+                return F.when(raw == "null", F.coalesce(other, raw)).otherwise(let(cut, lists))
+
+            return let(raw_value(own, name), chosen)
 
         return edit
 
-    def first_of(name: str):
-        return lambda raw: F.when(raw == "null", F.coalesce(raw_member(right, name), raw)).otherwise(raw)
+    def first_of(own: Column, name: str):
+        return lambda raw: F.when(raw == "null", F.coalesce(raw_value(own, name), raw)).otherwise(raw)
+
+    def merged(own: Column) -> Column:
+        edits = {n: joined(own, n) if n in _MERGED_LISTS else first_of(own, n) for n in REQUIRED_FIELDS}
+        return let(edit_members(left, edits), lambda both: adopt_members(both, right))
 
-    edits = {n: joined(n) if n in _MERGED_LISTS else first_of(n) for n in REQUIRED_FIELDS}
-    return let(edit_members(left, edits), lambda both: adopt_members(both, right))
+    return let(spelled_members(raw_members(right)), merged)
 
 
 def merge_steps(df: DataFrame, indicators: tuple[str, ...] = COMPLEXITY_INDICATORS) -> DataFrame:
@@ -836,17 +872,19 @@ def with_issue_counts(
         return F.coalesce(F.aggregate(results, F.lit(0), lambda n, r: n + per_result(r)), F.lit(0))
 
     def bad(result: Column, name: str, item_test) -> Column:
-        read = F.array_compact(typed_items(result["step"][name], ITEM_TYPES[name]))
-        return F.coalesce(F.array_size(F.filter(read, item_test)), F.lit(0))
+        return F.coalesce(F.array_size(F.filter(result[name], item_test)), F.lit(0))
 
     def foreign(item: Column) -> Column:
         return ~F.coalesce(F.col(_LOWER).contains(F.lower(item["original_phrase"])), F.lit(True))
 
     texts = result_texts(F.col("output_json"))
-    step = result_type("measures", "dimensions", "unmatched_intents")
+    lists = ("measures", "dimensions", "unmatched_intents")
     read = F.transform(
         F.filter(texts, is_object),
-        lambda t: F.struct(F.json_object_keys(t).alias("keys"), F.from_json(t, step).alias("step")),
+        lambda t: let(F.from_json(t, result_type(*lists)), lambda step: F.struct(
+            F.json_object_keys(t).alias("keys"),
+            *[F.array_compact(typed_items(step[name], ITEM_TYPES[name])).alias(name) for name in lists],
+        )),
     )
     required = F.array(*map(F.lit, REQUIRED_FIELDS))
     broken = ~has_key(F.col("output_json"), "intent") | ~has_key(F.col("output_json"), "discovery_results")

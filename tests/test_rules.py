@@ -1,5 +1,7 @@
 import json
 
+import pytest
+
 from phrasemill.operators import convert, flatten, rules
 from phrasemill.schemas import REQUIRED_FIELDS
 
@@ -263,6 +265,30 @@ def test_repair_lowers_every_class_it_can(make):
     assert all(row[k][0] > 0 for k in ("structure", "invalid_type", "complexity", "original_phrase"))
 
 
+def test_what_needs_no_edit_is_not_cut(make):
+    """Which texts an edit is asked for: all it could change or cannot read, and no others."""
+    item = lambda phrase, **more: {"original_phrase": phrase, "calculation": "Sum", **more}
+    whole = out({"sub_question": "all cats", "measures": [item("cats")], "dimensions": [item("zzz")], "breakdowns": [], "unmatched_intents": [{"phrase": "a"}]})
+    df = make(
+        ("all cats", whole), ("all cats", whole.replace('"cats"', '"the cats"')), ("all cats", whole.replace('"breakdowns": []', '"breakdowns": [1]')),
+        ("all cats", whole.replace('{"phrase": "a"}', '{"phrase": "a"}, 7')), ("all cats", whole.replace('[{"sub', '["stray", {"sub')), ("all cats", "broken"),
+    )
+    some = {}
+    edited = rules._edited
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(rules, "_edited", lambda rows, fn, when=None, **other: some.update(last=rows.select("example_id", when.alias("w"))) or edited(rows, fn, when, **other))
+        for fix, want in ((rules.fix_original_phrases, [1, 4, 5]), (rules.drop_redundant_dimensions, [2, 4, 5]),
+                          (rules.merge_split_phrases, [3, 4, 5]), (rules.fix_examples, [0, 1, 2, 3, 4, 5])):
+            fix(df)
+            assert [r.example_id for r in some["last"].orderBy("example_id").collect() if r.w] == want
+        full = out({k: [] if k in rules.LIST_FIELDS else None for k in rules.REQUIRED_FIELDS})
+        rules.fix_examples(make(("q", full), ("q", full.replace('"intent"', '"other"')), ("q", full.replace('"segments"', '"s"'))))
+        assert [r.w for r in some["last"].orderBy("example_id").collect()] == [False, True, True]
+        spelled = out({"sub_question": "all cats"})
+        rules.fix_sub_questions(make(("all cats", spelled), ("all cats", spelled.replace("all c", "all\\u0020c")), ("5", out({"sub_question": 5})), ("all dogs", spelled)))
+        assert [r.w for r in some["last"].orderBy("example_id").collect()] == [False, True, True, True]
+
+
 def test_conflicts_among_questions_of_one_template(make):
     def output(name, value, sub):
         return out({"sub_question": sub, "measures": [{"name": name}], "dimensions": [{"name": "Region", "filter_value": value}, "x"]})
